@@ -23,6 +23,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+def tokenizer_ranks() -> bytes:
+    """The rank file of op3, as bytes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.byte_bpe import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_ranks(), public_tokenizers.PATTERN)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
@@ -30,6 +46,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.simhash import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.jaccard_join import jaccard_components
 
