@@ -46,6 +46,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import fingerprint_edits
 
@@ -64,6 +71,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("terms")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.jaccard_join import jaccard_components
 

@@ -63,3 +63,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
     raise RuntimeError("components did not settle")
+
+
+#: Rows of a narrow table (a few numbers each) up to which it is broadcast; about 32 MB.
+NARROW = 1_000_000
+
+
+def narrow_join(rows: DataFrame, narrow: DataFrame, on: str, how: str = "inner", limit: int = NARROW) -> DataFrame:
+    """``rows`` joined with a table of few columns: broadcast if it was counted at ``limit`` rows or fewer, else by shuffle.
+
+    The result is the same either way; the broadcast spares shuffling the rows' texts.
+    """
+    small = narrow.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(narrow) if small else narrow, on, how)
