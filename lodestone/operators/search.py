@@ -211,7 +211,8 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     if how == "and":
         rows = rows.join(need, "query_id").where("met = need")
     rows = rows.withColumn("score", F.col("w") * F.greatest(F.col("met"), F.lit(1)))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_ord")
+    # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_ord")
     rows = rows.withColumn("rank", F.row_number().over(best))
     if k is not None:
         rows = rows.where(F.col("rank") <= k)
