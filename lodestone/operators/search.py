@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.index import TextIndex
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
-from lodestone.plans.query import Leaf, Node, Resolver, SearchError, leaves
-
-#: Rows of (term, field) statistics up to which they are broadcast to the postings' scan.
-STATISTICS = 200_000
+from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
 
 
 def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") -> DataFrame:
@@ -182,32 +179,80 @@ def auto_suggest(index: TextIndex, query: str, *, limit: int | None = None, df_m
     return out.limit(limit) if limit is not None else out
 
 
-def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id", text: str = "text", k: int | None = 10, combine_with: str = "OR", bm25_options: dict | None = None) -> DataFrame:
-    """Exact search for a whole DataFrame of queries in one plan: (query_id, id, score, rank), the best ``k`` of each.
+def _deletions(term: Column, times: int) -> Column:
+    """The term and what is left of it after up to ``times`` deletions of a character."""
+    less = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))
+    out = F.array(term)
+    for _ in range(times):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
+    return out
+
+
+def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: float, weights: dict[str, float], max_fuzzy: int = 6) -> DataFrame:
+    """(asked, term, weight): the lexicon's terms that each of ``asked(asked)`` means.
 
-    Query terms are analysed by the document analyzer and met with the postings by one equi-join on the term.
+    Equality joins only where the sizes may be large: a lexicon term meets an asked one by a prefix of it, or by a string
+    that both give after as many deletions as edits are allowed (two at most; longer distances meet by length band).
     """
-    from lodestone.plans.query import BM25, combinator
+    size, own = F.length("term").cast("double"), F.length("asked").cast("double")
+    parts = [asked.join(lexicon.select("term"), F.col("asked") == F.col("term")).select("asked", "term", F.lit(1.0).alias("weight"))]
+    if prefix:
+        heads = lexicon.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", 1, i))).alias("asked")).where("asked <> term")
+        parts.append(heads.join(asked, "asked").select("asked", "term", (F.lit(float(weights["prefix"])) * size / (size + F.lit(0.3) * (size - own))).alias("weight")))
+    if fuzzy:
+        k = F.least(F.lit(max_fuzzy), F.floor(F.length("asked") * F.lit(float(fuzzy)) + 0.5)).cast("int") if fuzzy < 1 else F.lit(int(fuzzy))
+        wanted = asked.withColumn("k", k).where("k > 0")
+        near = []
+        for n in (1, 2):
+            left = wanted.where(F.col("k") == n).withColumn("cut", F.explode(_deletions(F.col("asked"), n)))
+            right = lexicon.select("term", F.explode(_deletions(F.col("term"), n)).alias("cut"))
+            near.append(left.join(right, "cut").select("asked", "term", "k").distinct())
+        far = wanted.where("k > 2")
+        near.append(far.join(lexicon.select("term"), F.abs(F.length("term") - F.length("asked")) <= F.col("k")).select("asked", "term", "k"))
+        pairs = near[0].unionByName(near[1]).unionByName(near[2])
+        pairs = pairs.withColumn("d", F.expr("levenshtein(asked, term, k)")).where("d > 0")
+        if prefix:
+            pairs = pairs.where(~F.col("term").startswith(F.col("asked")))
+        parts.append(pairs.select("asked", "term", (F.lit(float(weights["fuzzy"])) * size / (size + F.col("d"))).alias("weight")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
+
+def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id", text: str = "text", k: int | None = 10, combine_with: str = "OR", bm25_options: dict | None = None, prefix: bool = False, fuzzy: float | bool = 0, weights: dict[str, float] | None = None) -> DataFrame:
+    """A whole DataFrame of queries in one plan: (query_id, id, score, rank), the best ``k`` of each.
+
+    Query terms are analysed by the document analyzer and met with the postings by one equi-join on the term, after
+    prefix and fuzzy terms were expanded over the lexicon.
+    """
     how = combinator(combine_with)
     if how == "and_not":
         raise SearchError("a batch combines with AND or OR")
     c, b = index.config, {**BM25, **(bm25_options or {})}
     tokens = c.analyzer.tokenize_column(F.col(text), c.fields[0])
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(c.analyzer.terms_column(tokens, c.fields[0])).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(c.analyzer.terms_column(tokens, c.fields[0])).alias("asked"))
+    asked = asked.groupBy("query_id", "asked").agg(F.count("*").alias("times"))
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     postings = index.postings
     if index.dirt_count:
         postings = postings.join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
-    wanted = asked.select("term").distinct()
-    postings = postings.join(wanted, "term", "left_semi")
+    words = asked.select("asked").distinct()
+    if prefix or fuzzy:
+        means_of = expand_batch(words, index.lexicon(), prefix, FUZZY_SHARE if fuzzy is True else float(fuzzy), {**WEIGHTS, **(weights or {})})
+    else:
+        means_of = words.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
+    postings = postings.join(means_of.select("term").distinct(), "term", "left_semi")
     counts = postings.groupBy("term", "field_id").agg(F.count("*").cast("double").alias("m"))
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))])
     rank = bm25(F.col("tf").cast("double"), index.document_count, F.col("m"), F.col("len").cast("double"), F.element_at(means, F.col("field_id")), F.lit(float(b["k"])), F.lit(float(b["b"])), F.lit(float(b["d"])))
     # one row for each document and term, before terms meet queries
     per_term = postings.join(counts, ["term", "field_id"]).groupBy("term", "doc_ord").agg(F.sum(rank).alias("w"))
-    rows = per_term.join(asked, "term").groupBy("query_id", "doc_ord").agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.count("*").alias("met"))
+    if prefix or fuzzy:
+        per_asked = per_term.join(means_of, "term").groupBy("asked", "doc_ord").agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
+    else:
+        per_asked = per_term.withColumnRenamed("term", "asked")
+    rows = per_asked.join(asked, "asked").groupBy("query_id", "doc_ord").agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.count("*").alias("met"))
     if how == "and":
         rows = rows.join(need, "query_id").where("met = need")
     rows = rows.withColumn("score", F.col("w") * F.greatest(F.col("met"), F.lit(1)))

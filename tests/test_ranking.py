@@ -143,3 +143,12 @@ def test_batch_agrees_with_single_searches(spark, italian):
     got = {(r["query_id"], r["id"]): r["score"] for r in search_batch(italian, queries).collect()}
     want = {(q, r["id"]): r["score"] for q, t in ((1, "vita del"), (2, "nova nova como")) for r in search(italian, t).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_batch_expands_prefixes_and_edits(spark, italian):
+    texts = ["vit del", "nuova como", "mezo", "co me", "quela parti memorie", "vita"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    for options in ({"prefix": True}, {"fuzzy": 0.2}, {"fuzzy": 2}, {"fuzzy": 3, "prefix": True}):
+        got = {(r["query_id"], r["id"]): r["score"] for r in search_batch(italian, queries, k=None, **options).collect()}
+        want = {(q, r["id"]): r["score"] for q, t in enumerate(texts) for r in search(italian, t, details=False, **options).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}, options
