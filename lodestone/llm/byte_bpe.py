@@ -264,12 +264,13 @@ def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> D
     """``tokens``' columns and ``decoded`` (binary) from an array<int> column; null ids decode to nothing."""
     sent = tokens.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
-    at = tokens.columns.index(ids)
+    names = tokens.columns
+    at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBpe(read_ranks(sent.value), pattern)
         for b in batches:
             made = [bpe.decode(np.array(x or [], np.int64)) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*tokens.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*names, "decoded"])
 
     return tokens.mapInArrow(run, schema)

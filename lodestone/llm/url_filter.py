@@ -37,6 +37,8 @@ LISTED, LONGEST = 200, 24
 #: Words of the naive Bayes model at most, by count; the rest share the unseen word's probability.
 MAX_WORDS = 200_000
 SMOOTH = 0.5
+#: Occurrences that a listed word has in its class beside those in the URLs; both lists weigh the same.
+KNOWN = 5
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -154,8 +156,9 @@ def fit(pages: DataFrame, url: str = "url") -> dict:
     rows = table.where("word = ''").unionByName(table.where("word <> ''").orderBy(F.col("n").desc(), "word").limit(MAX_WORDS)).collect()
     n = {k: {r["word"]: r["n"] for r in rows if r["kind"] == k and r["word"]} for k in (0, 1)}
     docs = {k: next((r["n"] for r in rows if r["kind"] == k and not r["word"]), 0) for k in (0, 1)}
-    for w in sorted(BLOCK_WORDS):  # a listed word is known before it is met
-        n[1]["h:" + w] = n[1].get("h:" + w, 0) + 1
+    for kind, listed_words in ((1, BLOCK_WORDS), (0, PLAIN_WORDS)):  # a listed word is known before it is met
+        for w in sorted(listed_words):
+            n[kind]["h:" + w] = n[kind].get("h:" + w, 0) + KNOWN * len(BLOCK_WORDS) / len(listed_words)
     words = set(n[0]) | set(n[1])
     total = {k: sum(n[k].values()) + SMOOTH * (len(words) + 1) for k in (0, 1)}
     ratio = {w: math.log((n[1].get(w, 0) + SMOOTH) / total[1]) - math.log((n[0].get(w, 0) + SMOOTH) / total[0]) for w in words}
