@@ -85,3 +85,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from lodestone.llm.sql import SQL
+
+    return dict(SQL)
