@@ -286,8 +286,8 @@ class TextIndex:
         return {k: v for k, v in (rows[0]["stored"].asDict(True) if rows[0]["stored"] else {}).items() if v is not None}
 
     def cache(self) -> TextIndex:
-        """Keep the tables in memory or on executors' disks, postings laid out by term."""
-        self.postings = self.postings.repartition("term").sortWithinPartitions("term", "field_id").persist()
+        """Keep the tables in memory or on executors' disks, postings laid out by term; ranges split frequent terms."""
+        self.postings = self.postings.repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "field_id").persist()
         self.lengths, self.docs = self.lengths.persist(), self.docs.persist() if self.docs is not None else None
         return self
 

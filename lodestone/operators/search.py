@@ -17,6 +17,10 @@ from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_b
 from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
 
 
+#: Best rows up to which they are broadcast to the documents.
+BROADCAST_ROWS = 100_000
+
+
 def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") -> DataFrame:
     """(doc_ord, leaf, kind, term, field_id, w): what each match adds to its document.
 
@@ -41,6 +45,8 @@ def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") ->
             rows = rows.join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
         # counted before the shuffle; the statistics have a row for each matched term, not for each posting
         counts = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("m"))
+        if not any(x.prefix or x.distance for x in found):
+            counts = F.broadcast(counts)  # a row for each leaf and field at most
         rows = rows.join(counts, keys)
     rows = rows.withColumn("x", F.explode(expansions(found, F.col("term"))))
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))]) if index.means else F.create_map().cast("map<int,double>")
@@ -146,13 +152,16 @@ def search(index: TextIndex, query: Any, *, details: bool = True, sort: bool = T
         last = lambda t: F.array_max(F.transform(F.filter("hits", lambda h: h["term"] == t), lambda h: h["leaf"]))
         of = lambda t: F.transform(F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: (h["term"] == t) & (h["leaf"] == last(t))), lambda h: h["field_id"]))), lambda i: F.get(fields, i))
         out = out.withColumn("match", F.map_from_arrays("terms", F.transform("terms", of))).drop("hits")
-    joined = out.join(index.docs, "doc_ord")
-    stored = [F.col(f"stored.{s}").alias(s) for s in c.store_fields if s != "id"]
-    columns = ["id", "score", *(["terms", "query_terms", "match"] if details else []), *stored]
     keep = options.get("filter", c.search_options.get("filter"))
     ordered = [F.col("score").desc(), F.col("leaf"), F.col("rank"), F.col("doc_ord")]
     if len(found) == 1 and stars and stars[0].boost_document is None:
         ordered = [F.col("doc_ord")]
+    if limit is not None and keep is None:
+        out = out.orderBy(*ordered).limit(limit)  # stored fields of the best rows only
+        out = F.broadcast(out) if limit <= BROADCAST_ROWS else out
+    joined = out.join(index.docs, "doc_ord")
+    stored = [F.col(f"stored.{s}").alias(s) for s in c.store_fields if s != "id"]
+    columns = ["id", "score", *(["terms", "query_terms", "match"] if details else []), *stored]
     if keep is not None:
         # the predicate is over the shown columns; what orders the rows stays beside them
         joined = joined.select(*columns, F.struct("doc_ord", "leaf", "rank").alias("_order")).where(keep).withColumns({k: F.col(f"_order.{k}") for k in ("doc_ord", "leaf", "rank")})

@@ -12,8 +12,8 @@ from lodestone.operators.index import IndexConfig, TextIndex
 
 
 def save(index: TextIndex, path: str, files: int | None = None) -> None:
-    """Write docs, lengths, postings and counters below ``path``."""
-    postings = index.postings.repartitionByRange(*([files] if files else []), "term").sortWithinPartitions("term", "field_id", "doc_ord")
+    """Write docs, lengths, postings and counters below ``path``; ranges of (term, document) split frequent terms."""
+    postings = index.postings.repartitionByRange(*([files] if files else []), "term", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord")
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     if index.docs is not None:

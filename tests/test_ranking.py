@@ -96,6 +96,12 @@ def test_wildcard_and_null_fields(spark):
     assert ids(search(index, WILDCARD, filter="cool", boost_document=lambda i, t, s: i)) == [3, 1]
 
 
+def test_limit_keeps_the_first_rows(italian):
+    every = search(italian, "vita del quella", prefix=True).collect()
+    assert len(every) == 3 and search(italian, "vita del quella", prefix=True, limit=2).collect() == every[:2]
+    assert search(italian, "vita del quella", prefix=True, limit=1, filter=F.col("category") == "fiction").collect() == [r for r in every if r["category"] == "fiction"][:1]
+
+
 def test_suggestions(italian):
     said = lambda q, **o: [r["suggestion"] for r in auto_suggest(italian, q, **o).collect()]
     assert said("com") == ["como", "commedia"]
