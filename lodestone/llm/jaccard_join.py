@@ -10,7 +10,8 @@ so empties do not attract strangers and no pair is lost.
 Pairs are not spelled out within a signature's group.  Round 1 verifies each member against the group's smallest
 document.  Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of
 different components are first held against 64-bin element counts, whose L1 distance bounds the set difference from
-below, in blocks; survivors are verified exactly.  The result is the same as that of comparing all pairs.
+below, in blocks, and must share as many signatures as similar sets of their sizes do at least.  What is left is verified
+exactly, one pair for each two components first.  The result is the same as that of comparing all pairs.
 
 Defined results: null, empty or blank texts have an empty set, link with nothing and are their own component; texts of
 fewer words than the shingle width are one shingle; rows that repeat a document id count as one document by their
@@ -20,7 +21,7 @@ empty result; other input columns are ignored.
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import components, materialize, partitions
+from lodestone.llm.shared import components, materialize, narrow_join, partitions, shared_dir
 from lodestone.llm.words import U, WordHashes, chunks, mix64, shingles
 
 BINS = 64
@@ -66,11 +67,33 @@ class Bands:
         return (k + 2) // 2 + k // 13 + 1
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of one sorted distinct shingle set."""
+    def least_shared(self, x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
+        """Fewest signatures that similar sets of sizes x and y share; ex, ey: their empty subsets in both bands (n, 2)."""
+        top = self.of(int(max(x.max(), y.max()))) if len(x) else 0
+        high = np.array(self.high[: top + 1])
+        bx, by = np.searchsorted(high, x), np.searchsorted(high, y)
+        k = (self.den - self.num) * (x + y) // (self.den + self.num)
+        total = np.zeros(len(x), np.int64)
+        cells = np.array([2 * self.partitions(i) for i in range(top + 2)])
+        most = np.array([self.differences(1, i) for i in range(top + 2)])
+        rows = np.arange(len(x))
+        for step in (0, 1):
+            band = bx + step
+            at = band - by
+            both = (at == 0) | (at == 1)
+            band_ = np.minimum(band, len(cells) - 1)
+            fx, fy = ex[:, step], ey[rows, np.clip(at, 0, 1)]
+            signs = lambda e: e >= cells[band_] - most[band_]
+            lost = np.where(signs(fx) & signs(fy), 0, np.minimum(fx, fy))
+            total += np.where(both, np.maximum(0, cells[band_] - k - lost), 0)
+        return np.maximum(total, 1)
+
+
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Signatures of one sorted distinct shingle set, and how many subsets are empty in its band and the next."""
     if not len(s):
-        return np.empty(0, U)
-    own, out = bands.of(len(s)), []
+        return np.empty(0, U), [0, 0]
+    own, out, empty = bands.of(len(s)), [], []
     strong = mix64(s ^ U(0x5851F42D4C957F2D))
     for band in (own, own + 1):
         k = bands.differences(len(s), band)
@@ -81,91 +104,101 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         filled = np.bincount(at, minlength=cells) > 0
         sig = mix64(sums + mix64(np.arange(cells, dtype=U) + U(band) * U(1 << 40)))
         # k differences leave cells - k subsets alike.  With fewer empty ones than that, one of those has elements.
-        out.append(sig[filled] if cells - int(filled.sum()) < cells - k else sig)
-    return np.unique(np.concatenate(out))
+        empty.append(cells - int(filled.sum()))
+        out.append(sig[filled] if empty[-1] < cells - k else sig)
+    return np.unique(np.concatenate(out)), empty
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, print, bins): one row for each input row."""
+#: What the signing pass leaves for each row of the input (kind 0) and each member of a shared signature (kind 1).
+FIELDS = "kind int, id long, n_shingles long, print binary, bins binary, empty binary, sig long, low long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in chunks(batches):
-            n, prints, bins = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, hashes, width)
-                n.append(len(s))
-                prints.append(mix64(s).sum(dtype=U).tobytes() + mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).tobytes() if len(s) else None)
-                bins.append(np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bins, pa.binary())], names=["id", "n_shingles", "print", "bins"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n_shingles long, print binary, bins binary")
-
-
-def _signed(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, shards: int) -> DataFrame:
-    """(shard, sig, id) of groups of two or more documents, with the group's smallest document."""
+def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, shards: int) -> DataFrame:
+    """One pass over the texts and one exchange: sets and, of signatures of two or more documents, the members."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(num, den)
-        for b in chunks(batches, 16 << 20):
-            sigs, ids, seen = [], [], {}
+        for b in chunks(batches):
+            sigs, ids, seen, sets = [], [], {}, []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, hashes, width)
-                if i is None or not len(s):
+                if not len(s):
+                    sets.append((i, 0, None, None, None))
                     continue
-                whole = (len(s), mix64(s).sum(dtype=U).item())
-                if whole in seen:  # copies within a slice sign once, by the first; all copies share one class
-                    continue
-                seen[whole] = i
-                g = signatures(s, bands)
-                sigs.append(g)
-                ids.append(np.full(len(g), i, np.int64))
-            if not sigs:
-                continue
-            g, i = np.concatenate(sigs), np.concatenate(ids)
-            shard = (g >> U(33)) % U(shards)
-            order = np.argsort(shard, kind="stable")
-            g, i, shard = g[order], i[order], shard[order]
-            at = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
-            rows = [(x, g[p:q].tobytes(), i[p:q].tobytes()) for x, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if p < q]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "sigs", "ids"])
+                print_ = mix64(s).sum(dtype=U).tobytes() + mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).tobytes()
+                if print_ not in seen:  # copies within a slice sign once, by the first; all copies share one class
+                    g, empty = signatures(s, bands)
+                    bins = np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+                    seen[print_] = bins, np.array(empty, np.int32).tobytes(), i is not None
+                    if i is not None:
+                        sigs.append(g)
+                        ids.append(np.full(len(g), i, np.int64))
+                elif i is not None and not seen[print_][2]:
+                    sigs.append(signatures(s, bands)[0])
+                    ids.append(np.full(len(sigs[-1]), i, np.int64))
+                    seen[print_] = *seen[print_][:2], True
+                sets.append((i, len(s), print_, *seen[print_][:2]))
+            rows = [(j % shards, *x, None, None) for j, x in enumerate(sets)]
+            if sigs:
+                g, i = np.concatenate(sigs), np.concatenate(ids)
+                shard = (g >> U(33)) % U(shards)
+                order = np.argsort(shard, kind="stable")
+                g, i, shard = g[order], i[order], shard[order]
+                at = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
+                rows += [(x, None, None, None, None, None, g[p:q].tobytes(), i[p:q].tobytes()) for x, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if p < q]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(8)], names=["shard", "id", "n_shingles", "print", "bins", "empty", "sigs", "ids"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind, n, **cols):
+            types = {"id": pa.int64(), "n_shingles": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "empty": pa.binary(), "sig": pa.int64(), "low": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[cols.get(c, pa.nulls(n, k)) for c, k in types.items()]], names=["kind", *types])
+
         sigs, ids = [], []
         for b in batches:
-            sigs += [np.frombuffer(x, U) for x in b.column(1).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            sets = b.filter(b.column(6).is_null())
+            if sets.num_rows:
+                yield out(0, sets.num_rows, **{c: sets.column(k) for k, c in enumerate(("id", "n_shingles", "print", "bins", "empty"), 1)})
+            signed = b.filter(b.column(6).is_valid())
+            sigs += [np.frombuffer(x, U) for x in signed.column(6).to_pylist()]
+            ids += [np.frombuffer(x, np.int64) for x in signed.column(7).to_pylist()]
         if not sigs:
             return
         g, i = np.concatenate(sigs), np.concatenate(ids)
         del sigs, ids
-        order = np.lexsort((i, g))
+        order = np.argsort(g, kind="stable")
         g, i = g[order], i[order]
-        first = np.r_[True, g[1:] != g[:-1]]
-        start = np.flatnonzero(first)
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[start, len(g)])
+        low = np.repeat(np.minimum.reduceat(i, start), size)
         keep = np.repeat(size > 1, size)
-        low = np.repeat(i[start], size)[keep]
-        g, i = g[keep].view(np.int64), i[keep]
-        for at in range(0, len(g), 200_000):
-            cut = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(g[cut]), pa.array(i[cut]), pa.array(low[cut])], names=["sig", "id", "low"])
+        g, i, low = g[keep].view(np.int64), i[keep], low[keep]
+        for at in range(0, len(g), 100_000):
+            cut = slice(at, at + 100_000)
+            yield out(1, len(g[cut]), id=pa.array(i[cut]), sig=pa.array(g[cut]), low=pa.array(low[cut]))
 
-    cut = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(sign, "shard int, sigs binary, ids binary")
-    return cut.repartition(shards, "shard").mapInArrow(group, "sig long, id long, low long")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    cut = rows.mapInArrow(sign, "shard int, id long, n_shingles long, print binary, bins binary, empty binary, sigs binary, ids binary")
+    return cut.repartition(shards, "shard").mapInArrow(group, FIELDS)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingle sets are similar.  Texts travel once to each of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, s = WordHashes(), None, None
+        hashes, held = WordHashes(), {}
+
+        def of(i, t):
+            if i not in held:
+                if len(held) >= 500:
+                    held.clear()
+                held[i] = shingles(t, hashes, width)
+            return held[i]
+
         for b in chunks(batches):
             a, c = [], []
             for x, y, tx, ty in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if last != x:
-                    last, s = x, shingles(tx, hashes, width)
-                r = shingles(ty, hashes, width)
+                s, r = of(x, tx), of(y, ty)
                 both = len(np.intersect1d(s, r, assume_unique=True))
                 if den * both >= num * (len(s) + len(r) - both) and both:
                     a.append(x)
@@ -174,49 +207,68 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 
     t = docs.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t"))
     needed = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = materialize(t.join(needed, "i", "left_semi"), "texts")
+    needed = materialize(needed, "needed")
+    texts = materialize(narrow_join(t, needed, "i", "left_semi"), "texts")
     left = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
     full = left.join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
     return full.mapInArrow(run, "a long, b long")
 
 
-def _close(num: int, den: int, block: int = 2048):
-    """Pairs of one signature's members from different components that sizes and bins allow, by blocks."""
+def _close(num: int, den: int, block: int = 1024):
+    """Pairs of one signature's members from different components that sizes and bins allow, with ``least_shared``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def test(ids, sizes, comps, bins):
-            for p in range(0, len(ids), block):
-                for q in range(p, len(ids), block):
-                    x, y = slice(p, p + block), slice(q, q + block)
-                    sx, sy = sizes[x, None], sizes[None, y]
-                    ok = (comps[x, None] != comps[None, y]) & (np.minimum(sx, sy) * den >= np.maximum(sx, sy) * num)
-                    if p == q:
-                        ok &= np.triu(np.ones(ok.shape, bool), 1)
-                    u, v = np.nonzero(ok)
-                    for at in range(0, len(u), 1 << 18):
-                        uu, vv = u[at : at + (1 << 18)], v[at : at + (1 << 18)]
-                        far = np.abs(bins[x][uu].astype(np.int16) - bins[y][vv]).sum(axis=1, dtype=np.int64)
-                        near = far * (num + den) <= (sizes[x][uu] + sizes[y][vv]) * (den - num)
-                        a, c = ids[x][uu[near]], ids[y][vv[near]]
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
-
-        held, sig = [], None
-        for b in batches:
-            s = b.column(0).to_numpy(zero_copy_only=False)
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)]
-            bins = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
-            cuts = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
-            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-                if p == q:
+        bands = Bands(num, den)
+
+        def test(ids, sizes, comps, bins, empty, u, v):
+            ok = (comps[u] != comps[v]) & (np.minimum(sizes[u], sizes[v]) * den >= np.maximum(sizes[u], sizes[v]) * num)
+            u, v = u[ok], v[ok]
+            for at in range(0, len(u), 1 << 17):
+                p, q = u[at : at + (1 << 17)], v[at : at + (1 << 17)]
+                far = np.abs(bins[p].astype(np.int16) - bins[q]).sum(axis=1, dtype=np.int64)
+                near = far * (num + den) <= (sizes[p] + sizes[q]) * (den - num)
+                p, q = p[near], q[near]
+                if len(p):
+                    a, c, least = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), bands.least_shared(sizes[p], sizes[q], empty[p], empty[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(least)], names=["a", "b", "least"])
+
+        def groups(sig, *cols):
+            """Whole groups, sorted by signature: those of one size together."""
+            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            size = np.diff(np.r_[start, len(sig)])
+            for n in np.unique(size[size > 1]).tolist():
+                heads = start[size == n]
+                if n <= block:
+                    x, y = np.triu_indices(n, 1)
+                    step = max(1, (1 << 20) // len(x))
+                    for at in range(0, len(heads), step):
+                        h = heads[at : at + step, None]
+                        yield from test(*cols, (h + x).ravel(), (h + y).ravel())
                     continue
-                if held and sig != s[p]:
-                    yield from test(*(np.concatenate(z) for z in zip(*held, strict=True)))
-                    held = []
-                sig = s[p]
-                held.append((cols[0][p:q], cols[1][p:q], cols[2][p:q], bins[p:q]))
-        if held:
-            yield from test(*(np.concatenate(z) for z in zip(*held, strict=True)))
+                for h in heads.tolist():
+                    for p in range(0, n, block):
+                        for q in range(p, n, block):
+                            x, y = np.meshgrid(np.arange(p, min(p + block, n)), np.arange(q, min(q + block, n)), indexing="ij")
+                            x, y = x.ravel(), y.ravel()
+                            if p == q:
+                                x, y = x[x < y], y[x < y]
+                            yield from test(*cols, h + x, h + y)
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
+            now.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on in the next batch
+            if last:
+                yield from groups(*(x[:last] for x in now))
+            held = [x[last:] for x in now]
+        if held is not None:
+            yield from groups(*held)
 
     return run
 
@@ -225,36 +277,56 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) for each row of ``docs``; ``similarity`` is a fraction (numerator, denominator)."""
     num, den = similarity
     spark = docs.sparkSession
-    sets = materialize(_sets(docs, key, text, width, num, den), "sets")
+    path = f"{shared_dir(spark)}/signed-{uuid.uuid4().hex}"
+    _sign(docs, key, text, width, num, den, partitions(spark)).write.partitionBy("kind").parquet(path)
+    signed = spark.read.schema(FIELDS).parquet(path)
+    sets, shared = signed.where("kind = 0"), signed.where("kind = 1")
     # Equal sets are one class, named by its smallest document.
-    classes = sets.where("n_shingles > 0 AND id IS NOT NULL").groupBy("print", "n_shingles").agg(F.min("id").alias("rep"), F.first("bins").alias("bins"))
-    member = materialize(sets.where("n_shingles > 0 AND id IS NOT NULL").select("id", "print", "n_shingles").join(classes, ["print", "n_shingles"]).select("id", "rep", "n_shingles", "bins"), "member")
-    shared = materialize(_signed(docs, key, text, width, num, den, partitions(spark)), "signed")
-
-    name = member.select("id", "rep").distinct()
-    info = member.where("id = rep").select("rep", "n_shingles", "bins").distinct()
-    stars = shared.select("id", "low").where("id <> low").distinct()
-    stars = stars.join(name, "id").withColumnRenamed("rep", "b").join(name.select(F.col("id").alias("low"), F.col("rep").alias("a")), "low")
-    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = _may_link(stars, info, num, den)
+    filled = sets.where("n_shingles > 0 AND id IS NOT NULL")
+    classes = filled.groupBy("print").agg(F.min("id").alias("rep"))
+    name = materialize(filled.select("id", "print").join(classes, "print").select("id", "rep").distinct(), "names")
+    info = materialize(filled.join(classes, "print").where("id = rep").select("rep", "n_shingles", "bins", "empty").dropDuplicates(["rep"]), "classes")
+    members = shared.select("sig", "id", "low")
+
+    def by_class(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(name, "id").withColumnRenamed("rep", "b").join(name.select(F.col("id").alias("low"), F.col("rep").alias("a")), "low")
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def labels(links: DataFrame) -> DataFrame:
+        found = components(links)
+        return materialize(name.join(found, name["rep"] == found["node"], "left").select("id", "rep", F.coalesce("component", "rep").alias("comp")), "labels")
+
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        comp = label.select("rep", "comp").distinct()
+        pairs = pairs.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+        return pairs.where("ca <> cb")
+
+    # Round 1: each member against its group's smallest document.
+    stars = materialize(_may_link(by_class(members.where("id <> low").select("id", "low").distinct()), info, num, den), "stars")
     # ids that repeat with different texts bind the classes of those texts
     bound = name.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     links = materialize(_verify(stars, docs, key, text, width, num, den).unionByName(bound), "links")
-    found = components(links)
-
-    label = name.join(found, name["rep"] == found["node"], "left").select("id", "rep", F.coalesce("component", "rep").alias("comp"))
-    label = materialize(label, "label")
-    rows = shared.select("sig", "id").join(label, "id").select("sig", "rep", "comp").distinct()
+    label = labels(links)
+    # Round 2: groups that hold several components.  Similar pairs share several signatures, so pairs of fewer are out.
+    rows = members.select("sig", "id").join(label, "id").select("sig", "rep", "comp").distinct()
     open_ = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rows = rows.join(open_, "sig", "left_semi").join(info, "rep").select("sig", "rep", "n_shingles", "comp", "bins")
-    more = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_close(num, den), "a long, b long").distinct()
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(_verify(more, docs, key, text, width, num, den)), "links")
-        found = components(links)
-        label = name.join(found, name["rep"] == found["node"], "left").select("id", F.coalesce("component", "rep").alias("comp"))
-    label = label.groupBy("id").agg(F.min("comp").alias("comp"))
-    out = sets.select("id", "n_shingles").join(label, "id", "left")
+    rows = rows.join(open_, "sig", "left_semi").join(info, "rep").select("sig", "rep", "n_shingles", "comp", "bins", "empty")
+    near = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_close(num, den), "a long, b long, least long")
+    near = near.groupBy("a", "b", "least").agg(F.count("*").alias("shares")).where("shares >= least")
+    more = materialize(near.join(stars, ["a", "b"], "left_anti").select("a", "b", "shares"), "more")
+    for best in (True, False):
+        # first one pair for each two components: where that links, the others are settled
+        pairs = apart(more, label)
+        if best:
+            pairs = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("shares", "a", "b")).alias("x")).select("x.a", "x.b")
+        pairs = materialize(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            break
+        links = materialize(links.unionByName(_verify(pairs, docs, key, text, width, num, den)), "links")
+        label = labels(links)
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    of = label.groupBy("id").agg(F.min("comp").alias("comp"))
+    out = sets.select("id", "n_shingles").join(of, "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
 
 
