@@ -11,7 +11,7 @@ Pairs are not spelled out within a signature's group.  Round 1 verifies each mem
 document.  Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of
 different components are first held against 64-bin element counts, whose L1 distance bounds the set difference from
 below, in blocks, and must share as many signatures as similar sets of their sizes do at least.  What is left is verified
-exactly, one pair for each two components first.  The result is the same as that of comparing all pairs.
+exactly, the nearest pair of each two components first.  The result is the same as that of comparing all pairs.
 
 Defined results: null, empty or blank texts have an empty set, link with nothing and are their own component; texts of
 fewer words than the shingle width are one shingle; rows that repeat a document id count as one document by their
@@ -214,26 +214,38 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return full.mapInArrow(run, "a long, b long")
 
 
-def _close(num: int, den: int, block: int = 1024):
-    """Pairs of one signature's members from different components that sizes and bins allow, with ``least_shared``."""
+def _close(num: int, den: int, nearest: bool, block: int = 1024):
+    """Pairs of one signature's members from different components that sizes and bins allow, with ``least_shared``.
+
+    ``nearest``: of each signature and two components (by block) only the pair whose bins are closest, with their distance
+    and the components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
 
-        def test(ids, sizes, comps, bins, empty, u, v):
+        def test(sig, ids, sizes, comps, bins, empty, u, v):
             ok = (comps[u] != comps[v]) & (np.minimum(sizes[u], sizes[v]) * den >= np.maximum(sizes[u], sizes[v]) * num)
             u, v = u[ok], v[ok]
             for at in range(0, len(u), 1 << 17):
                 p, q = u[at : at + (1 << 17)], v[at : at + (1 << 17)]
                 far = np.abs(bins[p].astype(np.int16) - bins[q]).sum(axis=1, dtype=np.int64)
                 near = far * (num + den) <= (sizes[p] + sizes[q]) * (den - num)
-                p, q = p[near], q[near]
-                if len(p):
+                p, q, far = p[near], q[near], far[near]
+                if nearest and len(p):
+                    x, y = np.minimum(comps[p], comps[q]), np.maximum(comps[p], comps[q])
+                    order = np.lexsort((far, y, x, sig[p]))
+                    p, q, far, x, y = p[order], q[order], far[order], x[order], y[order]
+                    first = np.r_[True, (sig[p][1:] != sig[p][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                    p, q, far, x, y = p[first], q[first], far[first], x[first], y[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), far, x, y)], names=["a", "b", "far", "x", "y"])
+                elif len(p):
                     a, c, least = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), bands.least_shared(sizes[p], sizes[q], empty[p], empty[q])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(least)], names=["a", "b", "least"])
 
         def groups(sig, *cols):
             """Whole groups, sorted by signature: those of one size together."""
+            cols = (sig, *cols)
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             for n in np.unique(size[size > 1]).tolist():
@@ -296,35 +308,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = components(links)
         return materialize(name.join(found, name["rep"] == found["node"], "left").select("id", "rep", F.coalesce("component", "rep").alias("comp")), "labels")
 
-    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        comp = label.select("rep", "comp").distinct()
-        pairs = pairs.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-        return pairs.where("ca <> cb")
-
     # Round 1: each member against its group's smallest document.
     stars = materialize(_may_link(by_class(members.where("id <> low").select("id", "low").distinct()), info, num, den), "stars")
     # ids that repeat with different texts bind the classes of those texts
     bound = name.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     links = materialize(_verify(stars, docs, key, text, width, num, den).unionByName(bound), "links")
-    label = labels(links)
-    # Round 2: groups that hold several components.  Similar pairs share several signatures, so pairs of fewer are out.
-    rows = members.select("sig", "id").join(label, "id").select("sig", "rep", "comp").distinct()
-    open_ = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rows = rows.join(open_, "sig", "left_semi").join(info, "rep").select("sig", "rep", "n_shingles", "comp", "bins", "empty")
-    near = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_close(num, den), "a long, b long, least long")
-    near = near.groupBy("a", "b", "least").agg(F.count("*").alias("shares")).where("shares >= least")
-    more = materialize(near.join(stars, ["a", "b"], "left_anti").select("a", "b", "shares"), "more")
-    for best in (True, False):
-        # first one pair for each two components: where that links, the others are settled
-        pairs = apart(more, label)
-        if best:
-            pairs = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("shares", "a", "b")).alias("x")).select("x.a", "x.b")
-        pairs = materialize(pairs.select("a", "b"), "pairs")
+    label, tried = labels(links), stars
+    # Round 2: groups that hold several components.  First the nearest pair of each two components of a group: where one
+    # links them, their other pairs are settled.  Then all pairs that are left; similar ones share several signatures.
+    for nearest in (True, False):
+        rows = members.select("sig", "id").join(label, "id").select("sig", "rep", "comp").distinct()
+        open_ = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+        rows = rows.join(open_, "sig", "left_semi").join(info, "rep").select("sig", "rep", "n_shingles", "comp", "bins", "empty")
+        rows = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig")
+        if nearest:
+            pairs = rows.mapInArrow(_close(num, den, True), "a long, b long, far long, x long, y long")
+            pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            pairs = rows.mapInArrow(_close(num, den, False), "a long, b long, least long")
+            pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("shares")).where("shares >= least")
+        pairs = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         links = materialize(links.unionByName(_verify(pairs, docs, key, text, width, num, den)), "links")
         label = labels(links)
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        tried = tried.unionByName(pairs)
     of = label.groupBy("id").agg(F.min("comp").alias("comp"))
     out = sets.select("id", "n_shingles").join(of, "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
