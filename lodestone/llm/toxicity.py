@@ -39,7 +39,9 @@ MAX_LEXICON = 5_000
 #: A lexicon word's count in the character model: at least this, and together this share of all letters.
 LEXICON_WEIGHT, LEXICON_SHARE = 50, 0.01
 #: Logarithm of how much likelier a lexicon word is in toxic documents, and the share of those that it is in, at least.
-LEAST_RATIO, LEAST_SHARE = 3.0, 0.005
+LEAST_RATIO, LEAST_SHARE = 2.0, 0.005
+#: Other documents that a word is supposed to be in beyond those counted: keeps chance words of small samples out.
+UNSEEN = 2.5
 
 #: What signs and digits stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -106,7 +108,7 @@ class CharModel:
             n2, k2 = self.after2[context], self.kinds2[context]
             p3 = (self.tri[key] + k2 * p2) / (n2 + k2) if n2 else p2
             got = -math.log(p3)
-            if len(self.memo) < 500_000:
+            if len(self.memo) < 100_000:
                 self.memo[key] = got
         return got
 
@@ -157,7 +159,7 @@ class Scorer:
     def __init__(self, weights: dict[str, float], intercept: float, trigrams: dict[str, int]):
         self.weights, self.intercept, self.model = weights, intercept, CharModel(trigrams, sorted(weights))
         self.heads = frozenset(w[0] for w in weights)
-        self.look = Remembered(self.lexicon_word, 250_000).__getitem__
+        self.look = Remembered(self.lexicon_word, 120_000).__getitem__
 
     def lexicon_word(self, raw: str) -> str:
         """The lexicon word that a written one means, or ''."""
@@ -199,7 +201,7 @@ def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, least_ratio: floa
     """Lexicon weights and intercept from (word, toxic documents, other documents)."""
     weights, count = {}, {}
     for word, a, b in rows:
-        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + UNSEEN) / (n0 + 1))
         if w >= least_ratio:
             weights[word], count[word] = w, a
     top = sorted(weights, key=lambda x: (-weights[x] * count[x], x))[:MAX_LEXICON]
