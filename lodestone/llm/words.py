@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; forgets everything at ``bound`` words, so memory is bounded."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -56,8 +59,16 @@ def shingles(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndarray
     return np.unique(mix64(acc))
 
 
+def release() -> None:
+    """Give back what a reused worker process has left of its earlier tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator, max_bytes: int = 4 << 20) -> Iterator:
     """Arrow batches cut into slices of about ``max_bytes``, at least one row each: bounds what a step holds."""
+    release()
     for b in batches:
         step = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
