@@ -114,7 +114,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     heads_df = spark.createDataFrame(before, "k long, into int")
     sent = rows.join(F.broadcast(heads_df), "k").select("id", "t", "k", F.col("into").alias("bucket"), F.lit(1).alias("guest"))
     dealt = rows.select("id", "t", "k", "bucket", F.lit(0).alias("guest")).unionByName(sent)
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "k", "t").select("bucket", "guest", "id", "t")
+    # Small numbers whose hash leads to each partition: ranges do not meet in one.
+    seats = {r["p"]: r["k"] for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()}
+    seat = F.element_at(F.array(*[F.lit(seats.get(i, i)).cast("long") for i in range(n)]), F.col("bucket") % n + 1)
+    dealt = dealt.withColumn("seat", seat).repartition(n, "seat").sortWithinPartitions("bucket", "guest", "k", "t").select("bucket", "guest", "id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, bucket = WordHashes(), None, None

@@ -218,7 +218,7 @@ def test_model_agrees_with_the_dense_reference(spark):
     for t in texts:
         np.add.at(counts, quality.grams(quality.symbols(t)), 1)
     got, want = quality.dense(model), quality.dense_model(counts)
-    assert np.allclose(got, want, atol=1e-4)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)  # half precision
     assert np.allclose(np.exp(want.reshape(-1, quality.A)).sum(axis=1), 1)
 
 
