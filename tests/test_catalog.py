@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from lodestone import catalog, catalog_sql
+from lodestone import IndexConfig, TextIndex, catalog, catalog_sql, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,13 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables are absent")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_json_roundtrip_takes_every_part(spark, tmp_path):
+    parts = spark.range(500).selectExpr("id AS p_partkey", "CASE WHEN id % 3 = 0 THEN 'small gear' WHEN id % 3 = 1 THEN 'small ring' ELSE 'old plate' END AS p_name", "concat('b', id % 7) AS p_brand")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.QUERIES["json_roundtrip"](spark, str(tmp_path))
+    assert sorted(r["p_partkey"] for r in got.collect()) == [i for i in range(500) if i % 3 < 2]
+    index = TextIndex.build(spark.read.parquet(str(tmp_path / "part.parquet")), IndexConfig(["p_name"], id_field="p_partkey", store_fields=["p_brand"]))
+    want = catalog.scored(search(index, "small gear", details=False, sort=False), "p_partkey", "p_brand")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
