@@ -4,7 +4,8 @@ Host names are cut at dots and hyphens and the remaining concatenations are spli
 words cost their negative log probability, unknown runs a price that grows with their length.  Multinomial naive Bayes
 over the words of host and path gives the verdict where no rule fits.  It is trained on all given URLs: those with a word of
 the fixed list ``BLOCK_WORDS`` in their host are examples of ``block``, the others of ``allow``; the word counts that it
-learns extend the list to the words that keep company with it.
+learns extend the list to the words that keep company with it.  All words of both classes count at every size: the model is as
+large as the URLs' vocabulary, and the driver and each worker hold it.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path; those, like hosts without words, are
 allowed by the method; numbers in names count as one word; rows that repeat are judged alike; an empty table gives an
@@ -34,8 +35,6 @@ PLAIN_WORDS = frozenset("about account air all america app apps archive art arts
 CUT = re.compile(r"[^a-z0-9\u0080-\U0010ffff]+")
 #: Count that a listed word has in the unigram model beside its own occurrences, and the longest word.
 LISTED, LONGEST = 200, 24
-#: Words of the naive Bayes model at most, by count; the rest share the unseen word's probability.
-MAX_WORDS = 200_000
 SMOOTH = 0.5
 #: Occurrences that a listed word has in its class beside those in the URLs; both lists weigh the same.
 KNOWN = 5
@@ -134,7 +133,7 @@ def fit(pages: DataFrame, url: str = "url") -> dict:
             host, path = host_and_path(u)
             found.update((w, 0) for w in CUT.split(host.lower()) + CUT.split(path.lower()) if len(w) > 2 and w.isalpha() and len(w) <= LONGEST)
 
-    seen = {r["word"]: r["n"] for r in _sum(urls, parts).where("n > 1").orderBy(F.col("n").desc(), "word").limit(MAX_WORDS).collect()}
+    seen = {r["word"]: r["n"] for r in _sum(urls, parts).where("n > 1").collect()}  # once may be chance
     listed = {w: LISTED for w in BLOCK_WORDS | PLAIN_WORDS}
     # A name that splits into listed words is no word of its own, however often it stands.
     first = Segmenter(listed)
@@ -152,17 +151,17 @@ def fit(pages: DataFrame, url: str = "url") -> dict:
             found[("", kind)] += 1
             found.update((w, kind) for w in words)
 
-    table = _sum(urls, classes)
-    rows = table.where("word = ''").unionByName(table.where("word <> ''").orderBy(F.col("n").desc(), "word").limit(MAX_WORDS)).collect()
+    rows = _sum(urls, classes).collect()
     n = {k: {r["word"]: r["n"] for r in rows if r["kind"] == k and r["word"]} for k in (0, 1)}
     docs = {k: next((r["n"] for r in rows if r["kind"] == k and not r["word"]), 0) for k in (0, 1)}
     for kind, listed_words in ((1, BLOCK_WORDS), (0, PLAIN_WORDS)):  # a listed word is known before it is met
         for w in sorted(listed_words):
             n[kind]["h:" + w] = n[kind].get("h:" + w, 0) + KNOWN * len(BLOCK_WORDS) / len(listed_words)
     words = set(n[0]) | set(n[1])
-    total = {k: sum(n[k].values()) + SMOOTH * (len(words) + 1) for k in (0, 1)}
+    total = {k: math.fsum(n[k].values()) + SMOOTH * (len(words) + 1) for k in (0, 1)}
     ratio = {w: math.log((n[1].get(w, 0) + SMOOTH) / total[1]) - math.log((n[0].get(w, 0) + SMOOTH) / total[0]) for w in words}
-    return {"counts": counts, "ratio": ratio, "prior": math.log((docs[1] + 1) / (docs[0] + 1))}
+    unseen = math.log(total[0] / total[1])
+    return {"counts": counts, "ratio": ratio, "unseen": unseen, "prior": math.log((docs[1] + 1) / (docs[0] + 1))}
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -178,7 +177,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES)
             for u in b.column(1).to_pylist():
                 host, path = host_and_path(u)
                 words = features(u, segmenter)
-                z = m["prior"] + sum(m["ratio"].get(w, 0.0) for w in words) if words else -20.0
+                z = m["prior"] + sum(m["ratio"].get(w, m["unseen"]) for w in words) if words else -20.0
                 p = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
                 rule, verdict = ruled(host, path, rules)
                 out.append((host, path, rule, verdict or ("block" if p >= 0.5 else "allow"), p, " ".join(w[2:] for w in words if w[0] == "h")))

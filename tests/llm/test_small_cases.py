@@ -232,3 +232,14 @@ def test_urls(spark):
     assert by[4]["verdict"] == "block" and by[4]["host_words"] == "www cheap pills"
     assert by[12]["verdict"] == "block" and by[13]["verdict"] == "allow" and by[0]["verdict"] == "allow"
     assert len(rows) == 16 and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_all_url_words_count(spark):
+    letters = "bcdfghjklmnpqrstvwz"
+    words = [a + b + c + d + e for a in letters[:2] for b in letters for c in letters for d in letters for e in letters][:210_000]
+    urls = [f"http://{'casino' if i % 10 == 9 else 'garden'}.example.net/" + "/".join(words[i * 1000 : (i + 1) * 1000]) for i in range(210)]
+    model = url_filter.fit(spark.createDataFrame([(u,) for u in urls], "url string").repartition(4))
+    of = [["p:" + w for u in urls if (u[7] == "c") == block for w in u.split("/")[3:]] for block in (False, True)]
+    assert all(w in model["ratio"] for part in of for w in part)
+    assert {round(model["ratio"][w], 9) for w in of[0]} != {round(model["ratio"][w], 9) for w in of[1]}
+    assert min(model["ratio"][w] for w in of[1]) > model["unseen"] > max(model["ratio"][w] for w in of[0])
