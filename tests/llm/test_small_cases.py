@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, operator by operator."""
 
 import hashlib
+import re
 import zlib
 
 import pytest
@@ -176,6 +177,19 @@ def test_license_spans_lie_on_the_matches(spark):
     assert len(license_scan.rules()) > 200
 
 
+def test_license_gates_lose_no_match(spark):
+    texts = ["Released under GPLv3", "available under Apache 2.0", "distributed under the BSD 3-Clause", "provided under MIT", "https://scripts.sil.org/OFL", "mariadb.com/bsl11", "joinup.ec.europa.eu/page/eupl", "licensed under the Expat license"]
+    for _, _, regex, _, _ in license_scan.rules():
+        for a in license_scan.alternatives(regex.replace("[0-9]{2}", "99").replace("[a-z]+", "xyz")):
+            text = " ".join(a.replace(license_scan.BREAK, "").split())
+            if re.search(regex, f" {text} "):
+                texts.append(text.replace(" ", "-\n").upper())
+    assert len(texts) > 1900
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    gated, every = ({r["doc_id"]: r["labels"] for r in license_scan.scan(docs, gated=g).select("doc_id", "labels").collect()} for g in (True, False))
+    assert gated == every and all(gated.values())
+
+
 def test_toxicity(spark):
     bad = ["you are a total idiot and a clown today", "what an idiot that clown is", "such an idiot clown person", "idiot clown again here"]
     texts = [f"{bad[i % 4]} number {'abcdefghij'[i % 10]} {i}" if i % 5 == 0 else f"a calm text about gardens {i} and walks {'klmnopqrst'[i % 10]}" for i in range(200)]
