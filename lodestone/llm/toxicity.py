@@ -5,9 +5,10 @@ likelier in toxic documents form the lexicon, with the logarithm of that ratio a
 trained on all documents, with the lexicon's words weighted up.
 
 Scoring: plain words are looked up as they stand.  Words that may be disguised (digits or signs among letters, letters
-tripled, runs of single spaced letters) become a lattice: each character offers the letters it may stand for, a sign may
+doubled, runs of single spaced letters or signs) become a lattice: each character offers the letters it may stand for, a sign may
 also be dropped, and a run of equal letters may be one or two.  Viterbi decoding finds the path of least cost under
-channel costs and the character model; the restored word is scored in place of the written one.  The score is the
+channel costs and the character model; the restored word is scored in place of the written one.  Words no path of whose
+lattice spells a lexicon word are left out before decoding, whatever their length.  The score is the
 logistic of the intercept plus the weights of the distinct lexicon words found.
 
 Inputs of a score are the text and the model alone.  Defined results: null and empty texts score the intercept; rows
@@ -49,9 +50,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 NOISE = "*.-_~'`^#%&/\\,:;=+!|$@"
 
 EDGE = re.compile(r"^[^\w@$€£(]+|[^\w]+$")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][.\-_*]? ){3,}[^\W_](?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$€£!|+(])[.\-_*]?\s+){2,}(?:[^\W_]|[@$€£!|+(])[.,;:?!\-_*]*(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+\Z")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Channel cost of a word's end between spaced letters.
+GAP = 1.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -136,21 +139,49 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, model: CharModel, beam: int = 64) -> str:
-    """The likeliest plain word behind ``word``: Viterbi over the lattice; states are the last two letters."""
-    paths = {"^ ": (0.0, "")}
+def reaches(steps: list[list[tuple[str, float]]], heads: set[str], words, anywhere: bool = False) -> bool:
+    """Whether a path of the lattice spells one of ``words``, whose beginnings are ``heads``; ``anywhere``: in a part of it."""
+    states = {""}
+    for options in steps:
+        states = {t for s in states for letters, _ in options if (t := s + letters) in heads}
+        if anywhere:
+            if not states.isdisjoint(words):
+                return True
+            states.add("")
+        elif not states:
+            return False
+    return not states.isdisjoint(words)
+
+
+def restore(word: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest plain word behind ``word``: Viterbi over the lattice; states are the last two letters, all kept.
+
+    With ``spaced`` words may end between any two characters; they are returned with blanks between them.
+    """
+    paths: dict[str, tuple[float, tuple | None]] = {"^ ": (0.0, None)}
     for options in lattice(word):
-        step: dict[str, tuple[float, str]] = {}
-        for context, (cost, text) in paths.items():
+        step: dict[str, tuple[float, tuple | None]] = {}
+        if spaced:
+            for context, (cost, back) in list(paths.items()):
+                if context[1] != " ":
+                    total, ctx = cost + GAP + model.cost(context, " "), context[1] + " "
+                    if ctx not in paths or total < paths[ctx][0]:
+                        paths[ctx] = (total, (back, " "))
+        for context, (cost, back) in paths.items():
             for letters, channel in options:
                 total, ctx = cost + channel, context
                 for c in letters:
                     total += model.cost(ctx, c)
                     ctx = ctx[1] + c
                 if ctx not in step or total < step[ctx][0]:
-                    step[ctx] = (total, text + letters)
-        paths = step if len(step) <= beam else dict(sorted(step.items(), key=lambda x: x[1])[:beam])
-    return min(((cost + model.cost(ctx, " "), text) for ctx, (cost, text) in paths.items()), default=(0.0, ""))[1]
+                    step[ctx] = (total, (back, letters) if letters else back)
+        paths = step
+    _, back = min(((cost + model.cost(ctx, " "), back) for ctx, (cost, back) in paths.items()), default=(0.0, None), key=lambda x: x[0])
+    out = []
+    while back is not None:
+        back, letters = back
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Scorer:
@@ -158,7 +189,8 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], intercept: float, trigrams: dict[str, int]):
         self.weights, self.intercept, self.model = weights, intercept, CharModel(trigrams, sorted(weights))
-        self.heads = frozenset(w[0] for w in weights)
+        self.heads = {w[:i] for w in weights for i in range(len(w) + 1)}
+        self.longest = max(map(len, weights), default=0)
         self.look = Remembered(self.lexicon_word, 120_000).__getitem__
 
     def lexicon_word(self, raw: str) -> str:
@@ -168,11 +200,11 @@ class Scorer:
         word = EDGE.sub("", raw)
         if word in self.weights:
             return word
-        if PLAIN.match(word) and not TRIPLE.search(word) or not any(c.isalpha() for c in word) and not any(c in LEET for c in word) or len(word) > 60:
+        if PLAIN.match(word) and not DOUBLE.search(word) or not any(c.isalpha() for c in word) and not any(c in LEET for c in word):
             return ""
         for w in dict.fromkeys((word, raw)):
-            found = restore(w, self.model)
-            if found in self.weights:
+            # most words reach no lexicon word by any path, which is told without the model
+            if reaches(lattice(w), self.heads, self.weights) and (found := restore(w, self.model)) in self.weights:
                 return found
         return ""
 
@@ -180,14 +212,18 @@ class Scorer:
         out = set(map(self.look, set(words_of(text))))
         if text:
             for m in SPACED.finditer(text):
-                out.add(self.look("".join(c for c in m.group().lower() if c.isalnum())))
-                # letters of several words in a row: each run of lexicon length
-                out.update(self.spelled("".join(c for c in m.group().lower() if c.isalnum())))
+                run = "".join(m.group().lower().split())
+                letters = "".join(c for c in run if c.isalnum())
+                out.update((self.look(letters), self.look(run)))
+                # letters of several words in a row: each run of lexicon length, and the likeliest words behind the signs
+                out.update(self.spelled(letters))
+                if reaches(lattice(run), self.heads, self.weights, anywhere=True):
+                    out.update(w for w in restore(run, self.model, spaced=True).split() if w in self.weights)
         out.discard("")
         return out
 
     def spelled(self, letters: str) -> set[str]:
-        return {letters[i:j] for i in range(len(letters)) if letters[i] in self.heads for j in range(i + 4, min(len(letters), i + 16) + 1) if letters[i:j] in self.weights}
+        return {letters[i:j] for i in range(len(letters)) if letters[i] in self.heads for j in range(i + 4, min(len(letters), i + self.longest) + 1) if letters[i:j] in self.weights}
 
     def score(self, text: str | None) -> float:
         return self.of_terms(sorted(self.found(text)))

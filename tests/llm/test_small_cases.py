@@ -203,6 +203,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(3), labels.limit(0)).where("score > 0.5").count() == 0
 
 
+def test_disguised_words_are_decoded():
+    import collections
+
+    plain = "you are such a nice person and all the others like a good book or a long letter in the sun " * 50
+    trigrams = collections.Counter(plain[i : i + 3] for i in range(len(plain) - 2))
+    scorer = toxicity.Scorer({w: 3.0 for w in ("idiot", "moron", "loser", "asshole", "sod")}, -1.0, trigrams)
+    for text, word in [("id" + "i" * 80 + "ot", "idiot"), ("idiiot", "idiot"), ("mooron", "moron"), ("l o $ e r", "loser"), ("@ $ $ h o l e", "asshole"), ("l  o  s  e  r", "loser"), ("s o d", "sod"), ("y o u 1 d 1 o t", "idiot")]:
+        assert scorer.found(text) == {word}, text
+    assert scorer.found("a good book, a letter and all 1 2 3 4 5") == set()
+    assert scorer.found("ab" * 5000 + "1") == set()
+
+
 def test_quality(spark):
     import random
 
