@@ -1,27 +1,30 @@
 """Exact Jaccard self-join on word shingles by PartEnum signatures.
 
-Sets are banded by size so that two sets of similarity >= t lie in the same or in neighbouring bands; a set signs for its
-own band and the next.  In band i a pair differs in at most ``k_i`` elements.  The feature domain is cut into more than
-``k_i / 2`` partitions, so that one of them holds at most one difference.  Each partition is cut into two sub-partitions
-and each subset of one of them gives a signature: a single difference leaves one of the two alike, so similar pairs share
-a signature.  A set signs empty subsets only if it has so many of them that an agreement on empty ones alone is possible,
-so empties do not attract strangers and no pair is lost.
-
-Pairs are not spelled out within a signature's group.  Round 1 verifies each member against the group's smallest
-document.  Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of
-different components are first held against 64-bin element counts, whose L1 distance bounds the set difference from
-below, in blocks, and must share as many signatures as similar sets of their sizes do at least.  What is left is verified
-exactly, the nearest pair of each two components first.  The result is the same as that of comparing all pairs.
+Sets are banded by size so that two sets of similarity >= t lie in the same or in neighbouring bands.  Family f of
+signatures serves the pairs whose smaller set lies in band f; a set signs for its own band and for the one below.  In
+family f a similar pair differs in at most ``k_f`` elements.  The feature domain is cut into ``n_f > k_f / 2`` partitions,
+so that one of them holds at most one difference, and each partition into three sub-partitions, of which every subset of
+two gives a signature: one difference leaves one of the three subsets alike.  Empty subsets sign only where agreements on
+empty ones alone would be possible, so empties do not attract strangers and no pair is lost.
+
+A pair that differs less shares more: ``shared_least`` bounds the common signatures of a similar pair from below, and a
+document with fewer shared signatures than any partner of its size asks for has no partner.  Such documents leave, which
+empties their groups, until few leave; documents that merely share a passage go that way.
+
+Pairs are not spelled out within a signature's group.  Round 1 verifies each member against the group's smallest class.
+Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of different
+components are first held against 64-bin element counts, whose L1 distance bounds the set difference from below, in
+blocks that are dealt to tasks of their own, and must share as many signatures as similar sets of their sizes do at least.
+What is left is verified exactly, the nearest pair of each two components first.  The result is that of comparing all pairs.
 
 Defined results: null, empty or blank texts have an empty set, link with nothing and are their own component; texts of
-fewer words than the shingle width are one shingle; rows that repeat a document id count as one document by their
-distinct texts' union of links; null ids keep their rows (component null) and link with nothing; an empty table gives an
-empty result; other input columns are ignored.
+fewer words than the shingle width are one shingle; equal sets are one class (told apart by 128 bits); rows that repeat a
+document id count as one document by their distinct texts' union of links; null ids keep their rows (component null) and
+link with nothing; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,298 +32,375 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import components, materialize, narrow_join, partitions, shared_dir
+from lodestone.llm.shared import bounded_batches, components, discard, materialize, narrow_join, new_path, partitions, remove
 from lodestone.llm.words import U, WordHashes, chunks, mix64, shingles
 
 BINS = 64
+#: Sub-partitions of a partition; each subset that leaves one out is a signature.
+SUBS = 3
+#: Members of a signature's group that are compared within one task; larger groups are cut into blocks of about so many.
+BLOCK = 1024
+#: Pairs of one class that are verified in one task.
+PAIRS = 64
 
 
 class Bands:
-    """Size bands for similarity >= num/den and, for each, the bound on differing elements."""
+    """Size bands for similarity >= num/den; for each family the partitions and what similar pairs share."""
 
     def __init__(self, num: int, den: int):
         if not 0 < num <= den:
             raise ValueError("similarity must be in (0, 1]")
         self.num, self.den, self.low, self.high = num, den, [1], [den // num]
 
-    def of(self, size: int) -> int:
-        while self.high[-1] < size:
+    def reach(self, band: int) -> None:
+        while len(self.high) <= band:
             self.low.append(self.high[-1] + 1)
             self.high.append(max(self.low[-1], self.low[-1] * self.den // self.num))
-        lo, hi = 0, len(self.high) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if self.high[mid] < size else (lo, mid)
-        return lo
-
-    def differences(self, size: int, band: int) -> int:
-        """Most elements by which a set of ``size`` can differ from a similar one when both sign for ``band``."""
-        self.of(self.low[-1])
-        while len(self.high) <= band:
-            self.of(self.high[-1] + 1)
-        return (self.den - self.num) * 2 * self.high[band] // (self.den + self.num)
-
-    def partitions(self, band: int) -> int:
-        """First-level partitions: more than half the differences, and a seventh more, so that agreements on empty
-        subsets alone are rare."""
-        k = self.differences(1, band)
-        return (k + 2) // 2 + k // 13 + 1
-
-
-    def least_shared(self, x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
-        """Fewest signatures that similar sets of sizes x and y share; ex, ey: their empty subsets in both bands (n, 2)."""
-        top = self.of(int(max(x.max(), y.max()))) if len(x) else 0
-        high = np.array(self.high[: top + 1])
-        bx, by = np.searchsorted(high, x), np.searchsorted(high, y)
-        k = (self.den - self.num) * (x + y) // (self.den + self.num)
-        total = np.zeros(len(x), np.int64)
-        cells = np.array([2 * self.partitions(i) for i in range(top + 2)])
-        most = np.array([self.differences(1, i) for i in range(top + 2)])
-        rows = np.arange(len(x))
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        """The band of each size."""
+        while len(sizes) and self.high[-1] < sizes.max():
+            self.reach(len(self.high))
+        return np.searchsorted(np.array(self.high), sizes)
+
+    def differences(self, x, y):
+        """Most elements by which similar sets of sizes x and y differ."""
+        return (self.den - self.num) * (x + y) // (self.den + self.num)
+
+    def partitions(self, family: int) -> int:
+        """Partitions of family ``family`` (0 for -1, which serves no pair): more than half the differences."""
+        if family < 0:
+            return 0
+        self.reach(family + 1)
+        return (self.differences(self.high[family], self.high[family + 1]) + 2) // 2
+
+    def _partitions(self, family: np.ndarray) -> np.ndarray:
+        known = np.array([self.partitions(f) for f in range(int(family.max(initial=0)) + 1)] + [0])
+        return known[family]
+
+    @staticmethod
+    def alike(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Fewest subsets that stay alike in n partitions with k differences: a first one costs a partition two subsets,
+        a second one the third."""
+        return np.maximum(0, SUBS * n - (SUBS - 1) * np.minimum(k, n) - np.clip(k - n, 0, n))
+
+    def signs_empty(self, size: int, family: int, empty: int) -> bool:
+        """Whether a set's empty subsets sign: with so many, a partner could agree with it on empty ones alone."""
+        band = int(self.of(np.array([size]))[0])
+        other = min(size * self.den // self.num, self.high[band] * self.den // self.num) if family == band else self.high[family]
+        return empty >= self.alike(np.int64(self.partitions(family)), np.int64(self.differences(size, other)))
+
+    def shared_least(self, x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
+        """Fewest signatures that similar sets of sizes x and y share; ex, ey (n, 2): their empty subsets in the family of
+        their band and in the one below."""
+        bx, by, k = self.of(x), self.of(y), self.differences(x, y)
+        rows, total = np.arange(len(x)), np.zeros(len(x), np.int64)
         for step in (0, 1):
-            band = bx + step
-            at = band - by
-            both = (at == 0) | (at == 1)
-            band_ = np.minimum(band, len(cells) - 1)
-            fx, fy = ex[:, step], ey[rows, np.clip(at, 0, 1)]
-            signs = lambda e: e >= cells[band_] - most[band_]
-            lost = np.where(signs(fx) & signs(fy), 0, np.minimum(fx, fy))
-            total += np.where(both, np.maximum(0, cells[band_] - k - lost), 0)
+            family = bx - step
+            at = by - family
+            both = ((at == 0) | (at == 1)) & (family >= 0)
+            lost = np.minimum(ex[:, step], ey[rows, np.clip(at, 0, 1)])
+            total += np.where(both, np.maximum(0, self.alike(self._partitions(family), k) - lost), 0)
         return np.maximum(total, 1)
 
+    def shared_by_any(self, n: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Fewest signatures that sets of sizes n share with whatever set is similar to them."""
+        b = self.of(n)
+        self.of(n * self.den // self.num + 1)
+        high, low = np.array(self.high), np.array(self.low)
+        own, below = self._partitions(b), self._partitions(b - 1)
+        most = n * self.den // self.num
+        same = self.differences(n, np.minimum(high[b], most))
+        within = np.maximum(0, self.alike(own, same) - e[:, 0]) + np.where(b > 0, np.maximum(0, self.alike(below, same) - e[:, 1]), 0)
+        up = np.where(most > high[b], self.alike(own, self.differences(n, most)) - e[:, 0], within)
+        under = low[b] - 1
+        down = np.where((b > 0) & (under * self.den >= n * self.num), self.alike(below, self.differences(n, under)) - e[:, 1], within)
+        return np.maximum(1, np.minimum(np.minimum(within, up), down))
+
 
 def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
-    """Signatures of one sorted distinct shingle set, and how many subsets are empty in its band and the next."""
+    """Signatures of one sorted distinct shingle set, and its empty subsets in its band's family and the one below."""
     if not len(s):
         return np.empty(0, U), [0, 0]
-    own, out, empty = bands.of(len(s)), [], []
+    band, out, empty = int(bands.of(np.array([len(s)]))[0]), [], []
     strong = mix64(s ^ U(0x5851F42D4C957F2D))
-    for band in (own, own + 1):
-        k = bands.differences(len(s), band)
-        cells = 2 * bands.partitions(band)
-        at = (s % U(cells)).astype(np.int64)
-        sums = np.zeros(cells, U)
-        np.add.at(sums, at, strong)
-        filled = np.bincount(at, minlength=cells) > 0
-        sig = mix64(sums + mix64(np.arange(cells, dtype=U) + U(band) * U(1 << 40)))
-        # k differences leave cells - k subsets alike.  With fewer empty ones than that, one of those has elements.
-        empty.append(cells - int(filled.sum()))
-        out.append(sig[filled] if empty[-1] < cells - k else sig)
+    for family in (band, band - 1):
+        n = bands.partitions(family)
+        if not n:
+            empty.append(0)
+            continue
+        at = (s % U(SUBS * n)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        held = np.bincount(at, minlength=SUBS * n).reshape(n, SUBS)
+        ends = np.cumsum(held.ravel())
+        run = np.r_[U(0), np.cumsum(strong[order], dtype=U)]
+        sums = (run[ends] - run[ends - held.ravel()]).reshape(n, SUBS)
+        # a subset is the partition without one of its sub-partitions
+        whole = sums.sum(axis=1, dtype=U)[:, None] - sums
+        filled = (held.sum(axis=1)[:, None] - held).ravel() > 0
+        sig = mix64(whole.ravel() + mix64(np.arange(SUBS * n, dtype=U) + U(family + 1) * U(1 << 40)))
+        empty.append(int(len(filled) - filled.sum()))
+        out.append(sig if bands.signs_empty(len(s), family, empty[-1]) else sig[filled])
     return np.unique(np.concatenate(out)), empty
 
 
-#: What the signing pass leaves for each row of the input (kind 0) and each member of a shared signature (kind 1).
-FIELDS = "kind int, id long, n_shingles long, print binary, bins binary, empty binary, sig long, low long"
+def print_of(s: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return mix64(s).sum(dtype=U).tobytes() + mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).tobytes()
+
+
+#: What the signing pass leaves for each row of the input (kind 0) and each class of a shared signature (kind 1).
+FIELDS = "kind int, id long, n_shingles long, print binary, bins binary, empty binary, least long, tag long, sig long"
+KINDS = {"id": pa.int64(), "n_shingles": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "empty": pa.binary(), "least": pa.int64(), "tag": pa.int64(), "sig": pa.int64()}
 
 
 def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, shards: int) -> DataFrame:
-    """One pass over the texts and one exchange: sets and, of signatures of two or more documents, the members."""
+    """One pass over the texts and one exchange: sets and, of signatures of two or more classes, the classes' tags.
+
+    A tag is half of a class's print: classes of one tag only share candidates.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(num, den)
         for b in chunks(batches):
-            sigs, ids, seen, sets = [], [], {}, []
+            sigs, tags, seen, sets = [], [], {}, []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, hashes, width)
-                if not len(s):
-                    sets.append((i, 0, None, None, None))
+                if not len(s) or i is None:
+                    sets.append((i, len(s), *[None] * 5))
                     continue
-                print_ = mix64(s).sum(dtype=U).tobytes() + mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).tobytes()
-                if print_ not in seen:  # copies within a slice sign once, by the first; all copies share one class
+                name = print_of(s)
+                if name not in seen:  # copies within a slice sign once; all copies are one class
                     g, empty = signatures(s, bands)
+                    tag = int.from_bytes(name[:8], "little", signed=True)
                     bins = np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-                    seen[print_] = bins, np.array(empty, np.int32).tobytes(), i is not None
-                    if i is not None:
-                        sigs.append(g)
-                        ids.append(np.full(len(g), i, np.int64))
-                elif i is not None and not seen[print_][2]:
-                    sigs.append(signatures(s, bands)[0])
-                    ids.append(np.full(len(sigs[-1]), i, np.int64))
-                    seen[print_] = *seen[print_][:2], True
-                sets.append((i, len(s), print_, *seen[print_][:2]))
+                    least = int(bands.shared_by_any(np.array([len(s)]), np.array([empty]))[0])
+                    seen[name] = bins, np.array(empty, np.int32).tobytes(), least, tag
+                    sigs.append(g)
+                    tags.append(np.full(len(g), tag, np.int64))
+                sets.append((i, len(s), name, *seen[name]))
             rows = [(j % shards, *x, None, None) for j, x in enumerate(sets)]
             if sigs:
-                g, i = np.concatenate(sigs), np.concatenate(ids)
-                shard = (g >> U(33)) % U(shards)
+                g, i = np.concatenate(sigs), np.concatenate(tags)
+                shard = ((g >> U(33)) % U(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                g, i, shard = g[order], i[order], shard[order]
-                at = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
-                rows += [(x, None, None, None, None, None, g[p:q].tobytes(), i[p:q].tobytes()) for x, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if p < q]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(8)], names=["shard", "id", "n_shingles", "print", "bins", "empty", "sigs", "ids"])
+                g, i = g[order], i[order]
+                at = np.searchsorted(shard[order], np.arange(shards + 1))
+                rows += [(x, *[None] * 7, g[p:q].tobytes(), i[p:q].tobytes()) for x, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if p < q]
+            kinds = [pa.int32(), *list(KINDS.values())[:7], pa.binary(), pa.binary()]
+            names = ["shard", *list(KINDS)[:7], "sigs", "tags"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind, n, **cols):
-            types = {"id": pa.int64(), "n_shingles": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "empty": pa.binary(), "sig": pa.int64(), "low": pa.int64()}
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[cols.get(c, pa.nulls(n, k)) for c, k in types.items()]], names=["kind", *types])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[cols.get(c, pa.nulls(n, k)) for c, k in KINDS.items()]], names=["kind", *KINDS])
 
-        sigs, ids = [], []
+        sigs, tags = [], []
         for b in batches:
-            sets = b.filter(b.column(6).is_null())
+            sets = b.filter(b.column(8).is_null())
             if sets.num_rows:
-                yield out(0, sets.num_rows, **{c: sets.column(k) for k, c in enumerate(("id", "n_shingles", "print", "bins", "empty"), 1)})
-            signed = b.filter(b.column(6).is_valid())
-            sigs += [np.frombuffer(x, U) for x in signed.column(6).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in signed.column(7).to_pylist()]
+                yield out(0, sets.num_rows, **{c: sets.column(k) for k, c in enumerate(list(KINDS)[:7], 1)})
+            signed = b.filter(b.column(8).is_valid())
+            sigs += [np.frombuffer(x, U) for x in signed.column(8).to_pylist()]
+            tags += [np.frombuffer(x, np.int64) for x in signed.column(9).to_pylist()]
         if not sigs:
             return
-        g, i = np.concatenate(sigs), np.concatenate(ids)
-        del sigs, ids
+        g, i = np.concatenate(sigs), np.concatenate(tags)
+        del sigs, tags
         order = np.argsort(g, kind="stable")
         g, i = g[order], i[order]
-        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        size = np.diff(np.r_[start, len(g)])
-        low = np.repeat(np.minimum.reduceat(i, start), size)
-        keep = np.repeat(size > 1, size)
-        g, i, low = g[keep].view(np.int64), i[keep], low[keep]
+        twin = np.zeros(len(g), bool)
+        twin[1:] = g[1:] == g[:-1]
+        twin[:-1] |= twin[1:]
+        g, i = g[twin], i[twin]
+        order = np.lexsort((i, g))
+        g, i = g[order], i[order]
+        if len(g):  # copies of one class that were signed in several slices count once
+            new = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
+            g, i = g[new], i[new]
+        same = g[1:] == g[:-1]
+        twin = np.r_[False, same] | np.r_[same, False] if len(g) else np.zeros(0, bool)
+        g, i = g[twin].view(np.int64), i[twin]
         for at in range(0, len(g), 100_000):
             cut = slice(at, at + 100_000)
-            yield out(1, len(g[cut]), id=pa.array(i[cut]), sig=pa.array(g[cut]), low=pa.array(low[cut]))
+            yield out(1, len(g[cut]), tag=pa.array(i[cut]), sig=pa.array(g[cut]))
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    cut = rows.mapInArrow(sign, "shard int, id long, n_shingles long, print binary, bins binary, empty binary, sigs binary, ids binary")
+    cut = rows.mapInArrow(sign, "shard int, id long, n_shingles long, print binary, bins binary, empty binary, least long, tag long, sigs binary, tags binary")
     return cut.repartition(shards, "shard").mapInArrow(group, FIELDS)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar.  Texts travel once to each of their pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
+def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` of classes whose sets are similar.
 
-        def of(i, t):
-            if i not in held:
-                if len(held) >= 500:
-                    held.clear()
-                held[i] = shingles(t, hashes, width)
-            return held[i]
+    The pairs of a class ``a`` are dealt to one task for each ``PAIRS`` of them; its text goes to each of these once, and
+    the texts of its partners once to each of their pairs.
+    """
+    spark = docs.sparkSession
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, own = WordHashes(), None, None
         for b in chunks(batches):
             a, c = [], []
-            for x, y, tx, ty in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                s, r = of(x, tx), of(y, ty)
-                both = len(np.intersect1d(s, r, assume_unique=True))
-                if den * both >= num * (len(s) + len(r) - both) and both:
-                    a.append(x)
-                    c.append(y)
+            for x, y, name, t in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                s = shingles(t, hashes, width)
+                if print_of(s) != name:
+                    continue  # another text under the same id
+                if y is None:
+                    now, own = x, s
+                elif now == x:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if den * both >= num * (len(own) + len(s) - both):
+                        a.append(x)
+                        c.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    t = docs.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t"))
-    needed = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    needed = materialize(needed, "needed")
-    texts = materialize(narrow_join(t, needed, "i", "left_semi"), "texts")
-    left = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
-    full = left.join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(run, "a long, b long")
-
-
-def _close(num: int, den: int, nearest: bool, block: int = 1024):
-    """Pairs of one signature's members from different components that sizes and bins allow, with ``least_shared``.
-
-    ``nearest``: of each signature and two components (by block) only the pair whose bins are closest, with their distance
-    and the components.
+    t = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
+    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    needed = materialize(needed.join(info, "c").select("c", "rep", "print"), "needed")
+    texts = materialize(narrow_join(t, needed, "rep").select("c", "print", "t"), "texts")
+    deals = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("deals"))
+    own = deals.join(texts, deals["a"] == texts["c"]).select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("b"), "print", "t")
+    other = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), F.col("deals").cast("long")).cast("int").alias("deal"), "b")
+    other = other.join(texts, other["b"] == texts["c"]).select("a", "deal", "b", "print", "t")
+    dealt = own.unionByName(other).repartition(partitions(spark), "a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
+    found = materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "similar")
+    discard(needed, texts)
+    return found
+
+
+def _close(num: int, den: int, nearest: bool):
+    """Pairs of one signature's members from different components that sizes and bins allow, with ``shared_least``.
+
+    Input rows: sig, x, y (blocks of the group), right, c, n_shingles, comp, bins, empty; sorted by the first four.  Where x
+    and y differ, only pairs of a left and a right member are tried.  ``nearest``: of each signature and two components
+    (by block) only the pair whose bins are closest, with their distance and the components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
 
-        def test(sig, ids, sizes, comps, bins, empty, u, v):
+        def test(ids, sizes, comps, bins, empty, u, v):
             ok = (comps[u] != comps[v]) & (np.minimum(sizes[u], sizes[v]) * den >= np.maximum(sizes[u], sizes[v]) * num)
             u, v = u[ok], v[ok]
             for at in range(0, len(u), 1 << 17):
                 p, q = u[at : at + (1 << 17)], v[at : at + (1 << 17)]
                 far = np.abs(bins[p].astype(np.int16) - bins[q]).sum(axis=1, dtype=np.int64)
-                near = far * (num + den) <= (sizes[p] + sizes[q]) * (den - num)
+                near = far <= bands.differences(sizes[p], sizes[q])
                 p, q, far = p[near], q[near], far[near]
-                if nearest and len(p):
-                    x, y = np.minimum(comps[p], comps[q]), np.maximum(comps[p], comps[q])
-                    order = np.lexsort((far, y, x, sig[p]))
-                    p, q, far, x, y = p[order], q[order], far[order], x[order], y[order]
-                    first = np.r_[True, (sig[p][1:] != sig[p][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-                    p, q, far, x, y = p[first], q[first], far[first], x[first], y[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), far, x, y)], names=["a", "b", "far", "x", "y"])
-                elif len(p):
-                    a, c, least = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), bands.least_shared(sizes[p], sizes[q], empty[p], empty[q])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(least)], names=["a", "b", "least"])
-
-        def groups(sig, *cols):
-            """Whole groups, sorted by signature: those of one size together."""
-            cols = (sig, *cols)
-            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            size = np.diff(np.r_[start, len(sig)])
-            for n in np.unique(size[size > 1]).tolist():
-                heads = start[size == n]
-                if n <= block:
-                    x, y = np.triu_indices(n, 1)
-                    step = max(1, (1 << 20) // len(x))
-                    for at in range(0, len(heads), step):
-                        h = heads[at : at + step, None]
-                        yield from test(*cols, (h + x).ravel(), (h + y).ravel())
+                if not len(p):
                     continue
-                for h in heads.tolist():
-                    for p in range(0, n, block):
-                        for q in range(p, n, block):
-                            x, y = np.meshgrid(np.arange(p, min(p + block, n)), np.arange(q, min(q + block, n)), indexing="ij")
-                            x, y = x.ravel(), y.ravel()
-                            if p == q:
-                                x, y = x[x < y], y[x < y]
-                            yield from test(*cols, h + x, h + y)
+                a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
+                if nearest:
+                    x, y = np.minimum(comps[p], comps[q]), np.maximum(comps[p], comps[q])
+                    order = np.lexsort((far, y, x))
+                    a, b, far, x, y = a[order], b[order], far[order], x[order], y[order]
+                    first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(z[first]) for z in (a, b, far, x, y)], names=["a", "b", "far", "x", "y"])
+                else:
+                    least = bands.shared_least(sizes[p], sizes[q], empty[p], empty[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least)], names=["a", "b", "least"])
+
+        def tiles(x, y, right, *cols):
+            """Sorted whole tiles; those of one size and kind are tried together."""
+            start = np.flatnonzero(x)  # here: whether a tile begins
+            size = np.diff(np.r_[start, len(x)])
+            split = y[start]
+            for n in np.unique(size[(size > 1) & ~split]).tolist():
+                heads = start[(size == n) & ~split]
+                u, v = np.triu_indices(n, 1)
+                step = max(1, (1 << 20) // len(u))
+                for at in range(0, len(heads), step):
+                    h = heads[at : at + step, None]
+                    yield from test(*cols, (h + u).ravel(), (h + v).ravel())
+            for h, n in zip(start[split].tolist(), size[split].tolist(), strict=True):
+                left, other = h + np.flatnonzero(right[h : h + n] == 0), h + np.flatnonzero(right[h : h + n] == 1)
+                step = max(1, (1 << 20) // max(1, len(other)))
+                for at in range(0, len(left), step):
+                    u, v = np.meshgrid(left[at : at + step], other, indexing="ij")
+                    yield from test(*cols, u.ravel(), v.ravel())
 
         held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            now.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
-            now.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
+        for b in chunks(batches):
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            now.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, BINS))
+            now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
             if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on in the next batch
+                now = [np.concatenate(z) for z in zip(held, now, strict=True)]
+            sig, x, y = now[:3]
+            begins = np.r_[True, (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            last = int(np.flatnonzero(begins)[-1])  # the last tile may go on in the next batch
             if last:
-                yield from groups(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
+                yield from tiles(begins[:last], (x != y)[:last], *(z[:last] for z in now[3:]))
+            held = [z[last:] for z in now]
         if held is not None:
-            yield from groups(*held)
+            yield from tiles(np.arange(len(held[0])) == 0, held[1] != held[2], *held[3:])
 
     return run
 
 
+def _tiles(rows: DataFrame, spark) -> DataFrame:
+    """``rows`` (sig, c, ...) with each group over ``BLOCK`` members cut into blocks, each pair of which is a tile."""
+    blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "sig").withColumn("home", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("home", "other"), "y": F.greatest("home", "other"), "right": (F.col("home") > F.col("other")).cast("int")})
+    keys = ["sig", "x", "y"]
+    return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "right").select(*keys, "right", "c", "n_shingles", "comp", "bins", "empty")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``; ``similarity`` is a fraction (numerator, denominator)."""
     num, den = similarity
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/signed-{uuid.uuid4().hex}"
-    _sign(docs, key, text, width, num, den, partitions(spark)).write.partitionBy("kind").parquet(path)
+    bounded_batches(spark)
+    path = new_path(spark, "signed")
+    # A shard's signatures are sorted in one task: there are as many shards as splits of the input at least.
+    shards = max(partitions(spark), docs.rdd.getNumPartitions())
+    _sign(docs, key, text, width, num, den, shards).write.partitionBy("kind").parquet(path)
     signed = spark.read.schema(FIELDS).parquet(path)
-    sets, shared = signed.where("kind = 0"), signed.where("kind = 1")
-    # Equal sets are one class, named by its smallest document.
-    filled = sets.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = filled.groupBy("print").agg(F.min("id").alias("rep"))
-    name = materialize(filled.select("id", "print").join(classes, "print").select("id", "rep").distinct(), "names")
-    info = materialize(filled.join(classes, "print").where("id = rep").select("rep", "n_shingles", "bins", "empty").dropDuplicates(["rep"]), "classes")
-    members = shared.select("sig", "id", "low")
-
-    def by_class(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(name, "id").withColumnRenamed("rep", "b").join(name.select(F.col("id").alias("low"), F.col("rep").alias("a")), "low")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every, shared = signed.where("kind = 0"), signed.where("kind = 1").select("tag", "sig")
+    sets = every.where("print IS NOT NULL")
+
+    # Documents that share too few signatures leave, and signatures that one class is left of.
+    members, known = shared, sets.select("tag", "least")
+    for _ in range(2):
+        enough = members.groupBy("tag").agg(F.count("*").alias("n_shared"))
+        known = materialize(narrow_join(known, enough, "tag").where("n_shared >= least").select("tag", "least").distinct(), "able")
+        rows = narrow_join(members.select("sig", "tag"), known.select("tag"), "tag", "left_semi")
+        lows = rows.groupBy("sig").agg(F.min("tag").alias("low"), F.count("*").alias("n")).where("n > 1").select("sig", "low")
+        members = materialize(rows.join(lows, "sig").select("sig", "tag", "low"), "members")
+    # Classes that may have partners, and those of ids that repeat with several texts, which bind their classes.
+    several = sets.groupBy("id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select("id")
+    several = materialize(narrow_join(sets, several, "id", "left_semi").select("id", "print").distinct(), "several")
+    able = narrow_join(sets, members.select("tag").distinct(), "tag", "left_semi").select("print").unionByName(several.select("print")).distinct()
+    per = ["n_shingles", "tag", "bins", "empty"]
+    info = narrow_join(sets, materialize(able, "able"), "print").groupBy("print").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in per])
+    info = materialize(info.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers are read back, never made anew
+    number = info.select("tag", "c")
+    bound = several.join(info.select("print", "c"), "print")
+    bound = bound.join(bound.groupBy("id").agg(F.min("c").alias("a")), "id").where("a <> c").select("a", F.col("c").alias("b"))
 
     def labels(links: DataFrame) -> DataFrame:
         found = components(links)
-        return materialize(name.join(found, name["rep"] == found["node"], "left").select("id", "rep", F.coalesce("component", "rep").alias("comp")), "labels")
+        return materialize(number.join(found, F.col("c") == F.col("node"), "left").select("tag", "c", F.coalesce("component", "c").alias("comp")), "labels")
 
-    # Round 1: each member against its group's smallest document.
-    stars = materialize(_may_link(by_class(members.where("id <> low").select("id", "low").distinct()), info, num, den), "stars")
-    # ids that repeat with different texts bind the classes of those texts
-    bound = name.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = materialize(_verify(stars, docs, key, text, width, num, den).unionByName(bound), "links")
+    # Round 1: each member against its group's smallest class.
+    stars = members.where("tag <> low").select("tag", "low").distinct()
+    stars = stars.join(number, "tag").withColumnRenamed("c", "b").join(number.select(F.col("tag").alias("low"), F.col("c").alias("a")), "low").select("a", "b")
+    stars = materialize(_may_link(stars, info, num, den), "stars")
+    links = materialize(_verify(stars, info, docs, key, text, width, num, den).unionByName(bound), "links")
     label, tried = labels(links), stars
     # Round 2: groups that hold several components.  First the nearest pair of each two components of a group: where one
     # links them, their other pairs are settled.  Then all pairs that are left; similar ones share several signatures.
     for nearest in (True, False):
-        rows = members.select("sig", "id").join(label, "id").select("sig", "rep", "comp").distinct()
+        rows = members.select("sig", "tag").join(label, "tag").select("sig", "c", "comp")
         open_ = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        rows = rows.join(open_, "sig", "left_semi").join(info, "rep").select("sig", "rep", "n_shingles", "comp", "bins", "empty")
-        rows = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig")
+        rows = materialize(rows.join(open_, "sig", "left_semi"), "open")
+        # a partner in another component shares the signatures that hold both, which are open
+        many = rows.groupBy("c").agg(F.count("*").alias("n")).join(info.select("c", "n_shingles", "bins", "empty", "tag"), "c")
+        many = narrow_join(many, known, "tag").where("n >= least").drop("n", "tag", "least").distinct()
+        rows = _tiles(rows.join(many, "c"), spark)
         if nearest:
             pairs = rows.mapInArrow(_close(num, den, True), "a long, b long, far long, x long, y long")
             pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -328,29 +408,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             pairs = rows.mapInArrow(_close(num, den, False), "a long, b long, least long")
             pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("shares")).where("shares >= least")
         pairs = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = materialize(links.unionByName(_verify(pairs, docs, key, text, width, num, den)), "links")
-        label = labels(links)
-        tried = tried.unionByName(pairs)
-    of = label.groupBy("id").agg(F.min("comp").alias("comp"))
-    out = sets.select("id", "n_shingles").join(of, "id", "left")
+        if not pairs.isEmpty():
+            links = materialize(links.unionByName(_verify(pairs, info, docs, key, text, width, num, den)), "links")
+            label = labels(links)
+            tried = tried.unionByName(pairs)
+    # Ids whose component is another than themselves: by links, or as copies.
+    linked = info.select("print", "c", "rep").join(label.select("c", "comp"), "c")
+    linked = linked.join(linked.groupBy("comp").agg(F.min("rep").alias("least_id")), "comp").select("print", "least_id")
+    copies = sets.groupBy("print").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
+    named = materialize(copies.join(linked, "print", "full").select("print", F.coalesce("least_id", "rep").alias("comp")), "named")
+    moved = materialize(narrow_join(sets.select("id", "print"), named, "print").where("comp <> id").select("id", "comp").distinct(), "moved")
+    out = materialize(narrow_join(every.select("id", "n_shingles"), moved, "id", "left"), "components")
+    remove(spark, path)
+    discard(members, known, several, info, stars, links, label, named, moved)
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
 
 
 def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that sizes and bins allow."""
+    """Pairs (a < b) of different classes that sizes and bins allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for b in batches:
             if not b.num_rows:
                 continue
             a, c, x, y = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
             far = np.abs(p - q).sum(axis=1, dtype=np.int64)
-            ok = (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (far * (num + den) <= (x + y) * (den - num))
+            ok = (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (far <= bands.differences(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
-    left = pairs.join(info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("x"), F.col("bins").alias("p")), "a")
-    both = left.join(info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("y"), F.col("bins").alias("q")), "b")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = pairs.join(info.select(F.col("c").alias("a"), F.col("n_shingles").alias("x"), F.col("bins").alias("p")), "a")
+    both = left.join(info.select(F.col("c").alias("b"), F.col("n_shingles").alias("y"), F.col("bins").alias("q")), "b")
     return both.select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")

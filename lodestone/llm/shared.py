@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to or from a Python worker; long texts make a batch of few rows.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path that Spark reads)."""
@@ -15,37 +19,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session whose executors run in the driver's process (tests); on a
+    cluster a folder of one machine would lose rows, so that is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: cuts lineage and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``materialize``'s tables whose successors are written, and the shuffle files of finished queries.
+
+    Spark deletes a shuffle's files when the driver collects the garbage that held it; a driver with memory to spare may
+    not do so for half an hour, in which a long job's shuffles would add up on the executors' disks.
+    """
+    for df in tables:
+        remove(df.sparkSession, df._written)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, so that a worker's memory does not depend on text lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)`` for every node of an edge.
 
     ``component`` is the smallest node reachable.  Alternating large-star and small-star rounds: each round is two
     keyed aggregations and joins over the edges, so nothing is gathered on the driver, and the depth of the forest
-    falls geometrically.  Self loops and repeated edges are harmless; nulls must be filtered by the caller.
-    Raises if ``max_rounds`` do not suffice rather than return unfinished labels.
+    falls geometrically.  Rounds go on until the edges stay the same, however many it takes.  Self loops and repeated
+    edges are harmless; nulls must be filtered by the caller.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node points to the node's smallest neighbour
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -56,13 +100,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours and the node itself point to the smallest neighbour
         m1 = e1.groupBy("u").agg(F.min("v").alias("m"))
         e2 = e1.join(m1, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m1.select("u", F.col("m").alias("v")))
-        e = materialize(e2.where("u > v").distinct(), "cc")
+        last, e = e, materialize(e2.where("u > v").distinct(), "cc")
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
-    raise RuntimeError("components did not settle")
 
 
 #: Rows of a narrow table (a few numbers each) up to which it is broadcast; about 32 MB.

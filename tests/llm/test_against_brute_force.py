@@ -85,8 +85,57 @@ def test_signatures_meet_for_all_similar_pairs():
             continue
         bands = jaccard_join.Bands(4, 5)
         (a, ea), (b, eb) = jaccard_join.signatures(base, bands), jaccard_join.signatures(other, bands)
-        least = bands.least_shared(np.array([len(base)]), np.array([len(other)]), np.array([ea]), np.array([eb]))[0]
-        assert len(np.intersect1d(a, b)) >= least >= 1
+        shared = len(np.intersect1d(a, b))
+        assert shared >= bands.shared_least(np.array([len(base)]), np.array([len(other)]), np.array([ea]), np.array([eb]))[0] >= 1
+        assert shared >= bands.shared_by_any(np.array([len(base)]), np.array([ea]))[0] >= 1
+        assert shared >= bands.shared_by_any(np.array([len(other)]), np.array([eb]))[0] >= 1
+
+
+@pytest.mark.parametrize("similarity", [(4, 5), (9, 10), (1, 2), (1, 1)])
+def test_bounds_hold_for_the_largest_differences(similarity):
+    """Pairs right at the threshold: every size, as many differences as it allows."""
+    num, den = similarity
+    rng, bands = np.random.default_rng(7), jaccard_join.Bands(num, den)
+    for n in list(range(1, 130)) + [300, 700]:
+        for extra in {0, 1, n // 20, n * den // num - n}:
+            m = min(n + extra, n * den // num)
+            both = -(-num * (n + m) // (num + den))  # least intersection
+            if both > n:
+                continue
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m)).astype(np.uint64))
+            pool = rng.permutation(pool)
+            x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+            (a, ea), (b, eb) = jaccard_join.signatures(x, bands), jaccard_join.signatures(y, bands)
+            shared = len(np.intersect1d(a, b))
+            assert shared >= bands.shared_least(np.array([n]), np.array([m]), np.array([ea]), np.array([eb]))[0] >= 1
+            assert shared >= max(bands.shared_by_any(np.array([n]), np.array([ea]))[0], bands.shared_by_any(np.array([m]), np.array([eb]))[0])
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_links_of_all_texts_under_one_id(spark, turned):
+    """An id with two texts links with the near copies of both, whatever the order of its rows."""
+    rng = random.Random(3)
+    short, long = ([f"{c}{rng.randrange(10**6)}" for _ in range(n)] for c, n in (("s", 60), ("l", 300)))
+    rows = [(1, " ".join(short)), (1, " ".join(long)), (2, " ".join(short + ["x"])), (3, " ".join(["y", *long])), (4, "z z z"), (1, None)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == [(1, 0, 1), (1, 56, 1), (1, 296, 1), (2, 57, 1), (3, 297, 1), (4, 1, 4)]
+
+
+def test_groups_in_blocks(spark, monkeypatch):
+    """Signature groups that are cut into blocks, and hubs that are dealt to several tasks, lose nothing."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 3)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    chain, texts = list(base), []
+    for _ in range(40):  # neighbours are similar, the ends are not
+        chain[rng.randrange(80)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == jaccard_truth(rows)
 
 
 def test_components(spark):
