@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.shared import bounded_batches
 from lodestone.llm.words import chunks
 
 #: Patterns (fixed values) of which each match that holds a space and another character starts with that one space.
@@ -240,6 +241,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", outp
     clash = {c.lower() for c in carried} & {*new, "bpe_text"}
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     kinds = dict.fromkeys(new, T.StringType()) | {"n_tokens": T.LongType()} | ({} if output == "digest" else {"ids": T.ArrayType(T.IntegerType()), "decoded": T.BinaryType()})
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(c, kinds[c]) for c in new])

@@ -82,8 +82,12 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sort_by: dict[int, np.ndarray] = {}  # the first direction of each dimension
         for b in batches:
-            firsts = [float(np.frombuffer(v) @ directions(len(v) // 8, m, seed)[:, 0]) for v in b.column(1).to_pylist()] if b.num_rows else []
+            vs = [np.frombuffer(v) for v in b.column(1).to_pylist()]
+            for dim in {len(v) for v in vs} - set(sort_by):
+                sort_by[dim] = directions(dim, m, seed)[:, 0].copy()
+            firsts = [float(v @ sort_by[len(v)]) for v in vs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(firsts, pa.float64())], names=["label", "v", "rep", "n", "p"])
 
     placed = classes.select("label", "v", "rep", "n").mapInArrow(project, "label string, v binary, rep long, n long, p double")
@@ -104,10 +108,14 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
     tiled = tiled.select("label", "dim", F.least(mine, its).alias("x"), F.greatest(mine, its).alias("y"), (mine > its).alias("right"), "rep", "n", "v")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: dict[int, np.ndarray] = {}
+
         def work(key, ids, ns, vs, right):
             ids, ns, right = np.array(ids), np.array(ns), np.array(right)
             V = np.frombuffer(b"".join(vs)).reshape(len(vs), -1)
-            P = V @ directions(V.shape[1], m, seed)
+            if V.shape[1] not in lines:
+                lines[V.shape[1]] = directions(V.shape[1], m, seed)
+            P = V @ lines[V.shape[1]]
             # Bytes over the range that holds all but the tails; tails share the end cells, which only adds candidates.
             scale = half / 24
             Q = np.clip(np.rint(P / scale), -127, 127).astype(np.int8)

@@ -13,15 +13,15 @@ result; text is carried untouched, null or not.  Columns of the input may have a
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import partitions
+from lodestone.llm.shared import materialize, narrow_join, partitions
 
 #: Means over this are drawn as a sum of independent parts, so that exp(-mean) stays a normal number.
 PART = 50.0
+#: Copies of a document that are made in one go.
+CHUNK = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,12 +30,21 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_inverse(u: Column, mean: Column, mean_bound: float) -> Column:
-    """Smallest k with P(X <= k) >= u.  The terms end where no double is left between the sum and 1."""
-    last = int(math.ceil(mean_bound + 12 * math.sqrt(mean_bound) + 40))
+def poisson_inverse(u: Column, mean: Column) -> Column:
+    """Smallest k with P(X <= k) >= u, for means up to ``PART``.  Beyond the last term no double is left below 1."""
+    last = F.ceil(mean + 9 * F.sqrt(mean) + 20).cast("int")
     start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"))
     step = lambda s, i: F.when(s["cdf"] >= u, s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["p"] * mean / i).alias("p"), (s["cdf"] + s["p"] * mean / i).alias("cdf")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(last)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["k"])
+
+
+def draw(mean: Column, seed: int, key: Column) -> Column:
+    """A Poisson count: the sum of as many equal parts as the mean needs, each from a uniform number of its own.
+
+    The plan does not grow with the mean, and the work for a document is in proportion to the copies that come of it.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(mean / PART).cast("int"))
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0).cast("long"), lambda n, i: n + poisson_inverse(uniform(F.lit(seed), key, i), mean / parts))
 
 
 def rates(df: DataFrame, source: str, weights: dict | None, total: int | None, default_weight: float = 1.0) -> DataFrame:
@@ -44,26 +53,30 @@ def rates(df: DataFrame, source: str, weights: dict | None, total: int | None, d
     weight = F.lit(float(default_weight))
     for name, w in (weights or {}).items():
         weight = F.when(F.col("mix_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("mix_weight", weight)
-    all_of = counts.agg(F.sum("mix_weight").alias("_w"), F.sum("mix_rows").alias("_n"))
-    target = F.col("_n") if total is None else F.lit(float(total))
-    joined = counts.crossJoin(F.broadcast(all_of))  # one row
-    return joined.select("mix_source", "mix_rows", F.when(F.col("_w") > 0, target * F.col("mix_weight") / F.col("_w") / F.col("mix_rows")).otherwise(F.lit(0.0)).alias("mix_rate"))
+    counts = materialize(counts.withColumn("mix_weight", weight), "sources")
+    n, w = counts.agg(F.sum("mix_rows"), F.sum("mix_weight")).first()
+    if not w:
+        return counts.select("mix_source", "mix_rows", F.lit(0.0).alias("mix_rate"))
+    target = float(n if total is None else total)
+    return counts.select("mix_source", "mix_rows", (F.lit(target) * F.col("mix_weight") / F.lit(float(w)) / F.col("mix_rows")).alias("mix_rate"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict | None = None, total: int | None = None, seed: int = 11) -> DataFrame:
-    """``df``'s columns and mix_rate, mix_copy (from 0) and mix_order, globally shuffled."""
+    """``df``'s columns and mix_rate, mix_copy (from 0) and mix_order, globally shuffled.
+
+    The rates are one row for each source, counted and broadcast up to a bound, so rows are exchanged once: by the shuffle
+    itself, which is of the copies.
+    """
     clash = [c for c in df.columns if c.lower().startswith("mix_")]
     if clash:
         raise ValueError(f"columns {clash} clash with the operator's own")
     spark = df.sparkSession
-    per_source = rates(df, source, weights, total)
-    most = per_source.agg(F.max("mix_rate")).first()[0] or 0.0
-    parts = max(1, math.ceil(most / PART))
-    joined = df.join(per_source.select("mix_source", "mix_rate"), df[source].eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    drawn = F.lit(0)
-    for i in range(parts):
-        drawn = drawn + poisson_inverse(uniform(F.lit(seed), F.col(key), F.lit(i)), F.col("mix_rate") / parts, most / parts)
-    copies = joined.withColumn("mix_n", drawn).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))).drop("mix_n")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  a null source is one of its own
+    per_source = rates(df, source, weights, total).select(named(F.col("mix_source")).alias("mix_key"), "mix_rate")
+    joined = narrow_join(df.withColumn("mix_key", named(F.col(source))), per_source, "mix_key").drop("mix_key")
+    drawn = joined.withColumn("mix_n", draw(F.col("mix_rate"), seed, F.col(key))).where("mix_n > 0")
+    chunks = drawn.withColumn("mix_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(mix_n - 1) div {CHUNK}"))))
+    of_chunk = F.sequence(F.col("mix_chunk") * CHUNK, F.least(F.col("mix_n"), (F.col("mix_chunk") + 1) * CHUNK) - 1)
+    copies = chunks.withColumn("mix_copy", F.explode(F.transform(of_chunk, lambda i: i.cast("int")))).drop("mix_n", "mix_chunk")
     shuffled = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))))
     return shuffled.repartition(partitions(spark), "mix_order").sortWithinPartitions("mix_order")

@@ -1,20 +1,23 @@
 """Text quality by the perplexity of an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-Texts are read as symbols of a fixed alphabet of 64 (letters, classes of signs, and a mark after a word that repeats one
-of the few words before it), in 4-grams.  The model: raw counts for 4-grams, continuation counts below, three discounts
-for each order from its counts of counts, interpolation down to the uniform distribution.  Counting is sharded by n-gram:
-partial counts of each partition are summed by key, and the counts are joined with those of their contexts and with the
-discounts, which gives each n-gram's discounted share and each context's interpolation weight.  Both have at most 64**4
-rows whatever the corpus, so the scoring pass over the documents takes them along and needs no shuffle of texts.
+Texts are read as code points, with a mark after a word that repeats one of the few words before it, in 4-grams; a code
+point of the basic plane is a symbol of its own, those beyond share 2,048.  The model: raw counts for 4-grams, continuation
+counts below, three discounts for each order from its counts of counts, interpolation down to the uniform distribution.
+It is kept as tables sharded by n-gram, which grow with the trusted text and go to no single place.
+
+Scoring joins counts in shards: documents are dealt to chunks of about ``CHUNK_BYTES``, each chunk's distinct 4-grams are
+joined with the tables, order by order, and the answers meet the chunk's documents, whose negative log probabilities are
+summed there.  So a task holds the n-grams of one chunk, and a text is exchanged once.
 
 A document's perplexity is ``exp(mean negative log probability)``, over its symbols and ``PRIOR`` symbols at its language's
 median, which keeps short texts from being judged on a few letters.  Documents above the ``quantile`` of their language's
-trusted documents (of those that the model has not seen) are rejected.
+trusted documents (of those that the model has not seen) are rejected.  Medians and quantiles are exact, over means
+rounded to ``PLACES`` digits.
 
 Defined results: null and empty texts have the prior's perplexity, so they are kept; languages without trusted documents
 (null included, as a language of its own) use the quantile of all trusted documents; without any trusted document the
-model is uniform and all are kept; rows that repeat are scored alike; empty tables give empty results; all columns of the
-input are kept by ``keep_good``, whatever their names.
+model is uniform and all are kept; rows that repeat are scored alike; texts of any length are read whole; empty tables
+give empty results; all columns of the input are kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,60 +25,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.shared import materialize, narrow_join
+from lodestone.llm.shared import bounded_batches, materialize, narrow_join
 from lodestone.llm.words import chunks
 
 ORDER = 4
-A = 64
+#: Symbols that there are, boundary, repetition mark and shared ones included.
+SYMBOLS = 1 << 16
+BITS = 16
 #: Pseudo-symbols at the language's median that each document is scored with.
 PRIOR = 60
 #: A word of so many characters or more is marked if it is among the last ``BACK`` words.
 LONG, BACK = 4, 12
-#: Languages that are told apart, at most; more are an error.
-MOST_LANGUAGES = 10_000
-BOUND, UPPER, DIGIT, SPACE, LINE, SIGN, ACCENT, LETTER, OTHER, REPEAT, CONTROL = 0, 27, 28, 29, 30, 51, 52, 60, 61, 62, 63
-SIGNS = ".,!?'\"-():;/|%*&#$@_"  # 31 to 51
-
-
-def _codes() -> np.ndarray:
-    out = np.full(0x10000, OTHER, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if "a" <= x <= "z":
-            out[c] = c - 96
-        elif x.isupper():
-            out[c] = UPPER
-        elif x.isdigit():
-            out[c] = DIGIT
-        elif x in "\n\r":
-            out[c] = LINE
-        elif x.isspace():
-            out[c] = SPACE
-        elif x in SIGNS:
-            out[c] = 31 + SIGNS.index(x)
-        elif x.isalpha():
-            out[c] = ACCENT + c % 8 if c < 0x180 else LETTER
-        elif c < 32 or 127 <= c < 160:
-            out[c] = CONTROL
-        elif c < 127:
-            out[c] = SIGN
-    return out
-
-
-CODES = _codes()
+#: The boundary before a text, and the mark of a repeated word.
+BOUND, REPEAT = 0, 0xFFFF
+#: Bytes of text that are scored together.
+CHUNK_BYTES = 32 << 20
+#: Digits of mean negative log probabilities.
+PLACES = 3
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 def symbols(text: str | None) -> np.ndarray:
     """Symbols of a text, three boundaries in front."""
     if not text:
-        return np.zeros(ORDER - 1, np.int64)
+        return np.zeros(ORDER - 1, np.uint64)
     units = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = CODES[np.minimum(units, 0xFFFF)].astype(np.int64)
-    blank = (out == SPACE) | (out == LINE)
+    # code points beyond the basic plane share the places of the surrogates, which no text has
+    out = np.where(units > 0xFFFF, 0xD800 + units % 2048, units).astype(np.uint64)
+    blank = np.isin(units, SPACES)
     start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
     if len(start) > 1:
@@ -93,30 +76,12 @@ def symbols(text: str | None) -> np.ndarray:
             again[back:] |= word[back:] == word[:-back]
         again &= end - start >= LONG
         out = np.insert(out, end[again], REPEAT)
-    return np.r_[np.zeros(ORDER - 1, np.int64), out]
+    return np.r_[np.zeros(ORDER - 1, np.uint64), out]
 
 
 def grams(s: np.ndarray) -> np.ndarray:
-    """Codes of the 4-grams of ``symbols``."""
-    return ((s[:-3] * A + s[1:-2]) * A + s[2:-1]) * A + s[3:]
-
-
-def dense_model(counts: np.ndarray) -> np.ndarray:
-    """log P of every 4-gram from dense counts: the reference for the sharded form, used in tests."""
-    c = counts.reshape(-1, A).astype(np.float64)
-    levels = [c]
-    for _ in range(ORDER - 1):
-        n = levels[-1].shape[0] // A
-        levels.append((levels[-1].reshape(A, max(n, 1), A) > 0).sum(axis=0).astype(np.float64) if n else levels[-1])
-    p = np.full((1, A), 1 / A)
-    for c in reversed(levels):
-        d = discounts([int((c == k).sum()) for k in range(1, 5)])
-        cut = np.select([c == 0, c == 1, c == 2], [0, d[0], d[1]], d[2])
-        total = c.sum(axis=1, keepdims=True)
-        gamma = np.divide(cut.sum(axis=1, keepdims=True), total, out=np.ones_like(total), where=total > 0)
-        share = np.divide(c - cut, total, out=np.zeros_like(c), where=total > 0)
-        p = share + gamma * np.tile(p, (c.shape[0] // p.shape[0], 1))
-    return np.log(p).ravel()
+    """The 4-grams of ``symbols`` as 64-bit numbers, the last symbol in the lowest 16 bits."""
+    return ((s[:-3] << np.uint64(48)) | (s[1:-2] << np.uint64(32)) | (s[2:-1] << np.uint64(16)) | s[3:]).view(np.int64)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -132,81 +97,110 @@ def _counted(texts: DataFrame) -> DataFrame:
     """(gram, n) of a text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def add(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            now, m = np.unique(np.concatenate(held), return_counts=True)
-            both, at = np.unique(np.concatenate([code, now]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64)
-
-        for b in chunks(batches, 1 << 20):
+        for b in chunks(batches):
             held = [grams(symbols(t)) for t in b.column(0).to_pylist() if t]
             if held:
-                code, n = add(held)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["gram", "n"])
+                at, found = pd.factorize(np.concatenate(held))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, minlength=len(found)))], names=["gram", "n"])
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame) -> dict:
-    """The model of the texts (one column): each order's n-grams with their discounted shares, and interpolation weights.
+def _context(gram: Column | str) -> Column:
+    return F.shiftrightunsigned(gram, BITS)
+
 
-    Each order's counts are sharded by n-gram and joined with their context's totals; what comes to the driver are the
-    shares and weights of the n-grams that occur, 64**4 at most whatever the corpus.
+def _suffix(gram: Column | str, order: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+
+
+def train(texts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The model of the texts (one column): for orders 1 to 4 the tables (gram, share) and (context, gamma).
+
+    Each order's counts are sharded by n-gram and joined with their context's totals; an n-gram's share is its discounted
+    count over the context's total, a context's gamma the part that its discounts leave to the order below.
     """
-    level = materialize(_counted(texts), "grams")
-    tables = []
+    level, out = materialize(_counted(texts), "grams"), []
     for order in range(ORDER, 0, -1):
         few = level.where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()  # four rows
         d = discounts([next((r["m"] for r in few if r["n"] == k), 0) for k in range(1, 5)])
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = level.withColumn("context", F.expr(f"gram div {A}")).withColumn("cut", cut)
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("lost"))
-        shares = rows.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-        weights = contexts.select("context", (F.col("lost") / F.col("total")).alias("gamma"))
-        shares, weights = shares.toPandas(), weights.toPandas()
-        tables.append((order, shares["gram"].to_numpy(np.int32), shares["share"].to_numpy(np.float32), weights["context"].to_numpy(np.int32), weights["gamma"].to_numpy(np.float32)))
-        # continuation counts: in how many contexts' first symbols the shorter n-gram occurs
-        level = level.groupBy((F.col("gram") % A ** (order - 1)).alias("gram")).agg(F.count("*").alias("n")) if order > 1 else level
-    return {"tables": tables}
-
-
-def dense(model: dict) -> np.ndarray:
-    """log P of all 64**4 4-grams in 32 MB: the orders below whole, the last one by its first symbol."""
-    p = np.full((1, A), 1 / A, np.float32)
-    for order, gram, share, context, gamma in reversed(model["tables"][1:]):
-        weight = np.ones(A ** (order - 1), np.float32)
-        weight[context] = gamma
-        p = weight[:, None] * np.tile(p, (A ** (order - 1) // p.shape[0], 1))
-        p.ravel()[gram] += share
-    _, gram, share, context, gamma = model["tables"][0]
-    order = np.argsort(gram)
-    gram, share = gram[order], share[order]
-    weight = np.ones(A ** (ORDER - 1), np.float32)
-    weight[context] = gamma
-    size = A ** (ORDER - 1)
-    out = np.empty(A**ORDER, np.float16)
-    for first in range(A):
-        part = weight[first * size // A : (first + 1) * size // A, None] * p.reshape(-1, A)
-        low, high = np.searchsorted(gram, [first * size, (first + 1) * size])
-        part.ravel()[gram[low:high] - first * size] += share[low:high]
-        out[first * size : (first + 1) * size] = np.log(part).ravel()
-    return out
-
-
-def _scorer(sent):
-    """Function of a list of texts: symbols and negative log probability of each."""
-    model = dense(sent.value)
-
-    def score(texts: list[str | None]) -> tuple[list[int], list[float]]:
-        n, nll = [], []
-        for t in texts:
-            s = symbols(t)
-            n.append(len(s) - ORDER + 1)
-            nll.append(-float(model[grams(s)].sum(dtype=np.float64)) if len(s) >= ORDER else 0.0)
-        return n, nll
-
-    return score
+        rows = level.withColumn("context", _context("gram")).withColumn("cut", cut)
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("lost"))
+        shares = materialize(rows.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")), f"shares{order}")
+        out.append((shares, materialize(totals.select("context", (F.col("lost") / F.col("total")).alias("gamma")), f"gammas{order}")))
+        if order > 1:  # continuation counts: in how many contexts' first symbols the shorter n-gram occurs
+            level = materialize(level.groupBy(_suffix("gram", order).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    return out[::-1]
+
+
+def probabilities(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
+    """(gram, p) for the distinct n-grams ``needed(gram)``: joins with the shares, the gammas and the order below."""
+    shares, gammas = model[order - 1]
+    rows = needed.select("gram", _context("gram").alias("context"), _suffix("gram", order).alias("suffix"))
+    rows = rows.join(shares, "gram", "left").join(gammas, "context", "left")
+    if order == 1:
+        below = F.lit(1 / SYMBOLS)
+    else:
+        shorter = rows.select(F.col("suffix").alias("gram")).distinct()
+        rows = rows.join(probabilities(shorter, model, order - 1).select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        below = F.col("below")
+    return rows.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * below).alias("p"))
+
+
+def _fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as make it unlike all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with the number of symbols and their negative log probability, and the names of these two columns."""
+    bounded_batches(docs.sparkSession)
+    count, cost, chunk = (_fresh(docs.columns, x) for x in ("n_symbols", "nll", "chunk"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-size // CHUNK_BYTES))
+    parts = max(n, docs.rdd.getNumPartitions())
+    # Rows are dealt in turn, so that no key, however often it repeats, makes a chunk large.
+    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).repartition(parts, chunk)
+    at, of = docs.columns.index(text), len(docs.columns)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            texts, of_chunk = b.column(at).to_pylist(), b.column(of).to_numpy()
+            for c in np.unique(of_chunk).tolist():
+                held = [grams(symbols(t)) for t, x in zip(texts, of_chunk.tolist(), strict=True) if x == c and t]
+                if held:
+                    found = pd.unique(np.concatenate(held))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c)), pa.array(found)], names=["chunk", "gram"])
+
+    asked = dealt.mapInArrow(ask, "chunk long, gram long").distinct()
+    answers = asked.join(probabilities(asked.select("gram").distinct(), model), "gram").select(F.col("chunk").alias("of_chunk"), "gram", "p")
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType()), T.StructField(cost, T.DoubleType())])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("gram").to_numpy()
+        order = np.argsort(known)
+        known, cost_of = known[order], -np.log(right.column("p").to_numpy()[order])
+        n_, nll = [], []
+        for b in chunks(left.to_batches()):
+            found = [grams(symbols(t)) if t else np.empty(0, np.int64) for t in b.column(at).to_pylist()]
+            sizes = np.array([len(f) for f in found], np.int64)
+            codes, distinct = pd.factorize(np.concatenate(found)) if len(found) else (np.empty(0, np.int64), known[:0])
+            place = np.searchsorted(known, distinct)
+            if len(distinct) and (not len(known) or (known[np.minimum(place, len(known) - 1)] != distinct).any()):
+                raise RuntimeError("a chunk's documents changed between its two readings")
+            run = np.r_[0.0, np.cumsum(cost_of[place][codes])] if len(distinct) else np.zeros(1)
+            ends = np.cumsum(sizes)
+            n_.append(sizes)
+            nll.append(run[ends] - run[ends - sizes])
+        made = [pa.array(np.concatenate(n_) if n_ else np.empty(0, np.int64)), pa.array(np.concatenate(nll) if nll else np.empty(0))]
+        return pa.Table.from_arrays([*[left.column(i) for i in range(of)], *made], schema=None, names=schema.fieldNames())
+
+    out = dealt.groupBy(chunk).cogroup(answers.groupBy("of_chunk")).applyInArrow(answer, schema)
+    return out, count, cost
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.999) -> dict:
@@ -215,67 +209,55 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Trusted documents are those labelled 1.  Half of them by hash of the key train the model; the other half, which it
     has not seen, set medians and limits, so that they hold for documents outside the training text.
     """
-    spark = docs.sparkSession
     trusted = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND t <> ''")
-    trusted = narrow_join(texts, trusted, "id")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t IS NOT NULL AND t <> ''")
+    trusted = narrow_join(texts, materialize(trusted, "trusted"), "id")
     half = F.pmod(F.xxhash64("id"), F.lit(2))
     model = train(trusted.where(half == 0).select("t"))
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(sent)
-        for b in chunks(batches):
-            n, nll = score(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64())], names=["l", "n", "nll"])
-
-    scored = materialize(trusted.where(half == 1).select("t", "l").mapInArrow(run, "l string, n long, nll double"), "trusted")
-    mean = F.col("nll") / F.col("n")
-    medians = scored.groupBy(F.col("l").alias("of")).agg(F.percentile_approx(mean, 0.5, 10000).alias("median"))
-    middle = scored.agg(F.percentile_approx(mean, 0.5, 10000)).first()[0]
-    joined = scored.join(medians, F.col("l").eqNullSafe(F.col("of"))).select("l", "median", ((F.col("nll") + PRIOR * F.col("median")) / (F.col("n") + PRIOR)).alias("x"))
-    per = joined.groupBy("l").agg(F.first("median").alias("median"), F.percentile_approx("x", quantile, 10000).alias("most"))
-    overall = joined.agg(F.percentile_approx("x", quantile, 10000)).first()[0]
-    limits = {r["l"]: (r["median"], r["most"]) for r in per.limit(MOST_LANGUAGES + 1).collect()}
-    if len(limits) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    flat = float(np.log(A))
-    return {"model": model, "limits": limits, "other": (flat if middle is None else middle, flat + 1 if overall is None else overall)}
-
-
-def _judge(fitted: dict, sent, texts: list[str | None], langs: list[str | None]) -> tuple[list[float], list[bool]]:
-    n, nll = _scorer(sent)(texts)
-    perplexity, good = [], []
-    for m, x, language in zip(n, nll, langs, strict=True):
-        median, most = fitted["limits"].get(language, fitted["other"])
-        mean = (x + PRIOR * median) / (m + PRIOR)
-        perplexity.append(float(np.exp(mean)))
-        good.append(m == 0 or mean <= most)
-    return perplexity, good
+    held, count, cost = measured(trusted.where(half == 1).select("t", "l"), model, "t")
+    held = materialize(held.select("l", F.col(count).alias("n"), F.col(cost).alias("nll")), "held")
+    mean = F.round(F.col("nll") / F.col("n"), PLACES)
+    middle = held.agg(F.percentile(mean, F.lit(0.5))).first()[0]
+    medians = held.groupBy("l").agg(F.percentile(mean, F.lit(0.5)).alias("median")).select(_language("l").alias("of"), "median")
+    joined = narrow_join(held.withColumn("of", _language("l")), materialize(medians, "medians"), "of").withColumn("x", _mean("nll", "n"))
+    overall = joined.agg(F.percentile("x", F.lit(quantile))).first()[0]
+    limits = joined.groupBy("of").agg(F.first("median").alias("median"), F.percentile("x", F.lit(quantile)).alias("most"))
+    flat = float(np.log(SYMBOLS))
+    return {"model": model, "limits": materialize(limits, "limits"), "other": (flat if middle is None else middle, flat + 1 if overall is None else overall)}
+
+
+def _language(c: str) -> Column:
+    """A key of a language, null included."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def _mean(cost: str, count: str) -> Column:
+    return F.round((F.col(cost) + PRIOR * F.col("median")) / (F.col(count) + PRIOR), PLACES)
+
+
+def _judged(docs: DataFrame, fitted: dict, text: str, lang: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, the mean and whether it is good; and their names."""
+    rows, count, cost = measured(docs, fitted["model"], text)
+    middle, most = fitted["other"]
+    mean, good = _fresh(docs.columns, "mean"), _fresh(docs.columns, "good")
+    limits = fitted["limits"].select(F.col("of").alias("_of"), F.struct("median", "most").alias("_limit"))
+    clash = {"_of", "_limit"} & {c.lower() for c in docs.columns}
+    if clash:
+        limits = limits.withColumnsRenamed({c: _fresh(docs.columns, c) for c in clash})
+    of, limit = (_fresh(docs.columns, c) for c in ("_of", "_limit"))
+    rows = narrow_join(rows.withColumn(of, _language(lang)), limits, of, "left")
+    median, least = F.coalesce(F.col(limit)["median"], F.lit(middle)), F.coalesce(F.col(limit)["most"], F.lit(most))
+    value = F.round((F.col(cost) + PRIOR * median) / (F.col(count) + PRIOR), PLACES)
+    return rows.select(*[rows[c] for c in docs.columns], value.alias(mean), ((F.col(count) == 0) | (value <= least)).alias(good)), mean, good
 
 
 def score(docs: DataFrame, fitted: dict, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, lang, perplexity, good) of each row."""
-    sent, rest = docs.sparkSession.sparkContext.broadcast(fitted["model"]), {k: fitted[k] for k in ("limits", "other")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            x, good = _judge(rest, sent, b.column(1).to_pylist(), b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.float64()), pa.array(good, pa.bool_())], names=["k", "l", "perplexity", "good"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, f"k {kind}, l string, perplexity double, good boolean")
-    return out.withColumnsRenamed({"k": key, "l": lang})
+    rows, mean, good = _judged(docs.select(key, text, lang), fitted, text, lang)
+    return rows.select(key, lang, F.exp(mean).alias("perplexity"), F.col(good).alias("good"))
 
 
 def keep_good(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are good; all columns, in one pass."""
-    sent, rest = docs.sparkSession.sparkContext.broadcast(fitted["model"]), {k: fitted[k] for k in ("limits", "other")}
-    at, of = docs.columns.index(text), docs.columns.index(lang)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            _, good = _judge(rest, sent, b.column(at).to_pylist(), b.column(of).to_pylist())
-            yield b.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` that are good, with all their columns."""
+    rows, _, good = _judged(docs, fitted, text, lang)
+    return rows.where(F.col(good)).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import materialize, narrow_join, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mix(docs).select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"))
+    return mix(table(spark, sf_dir, "documents")).withColumnsRenamed({"mix_copy": "copy", "mix_order": "order_key"}).drop("mix_rate")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +53,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.simhash import fingerprint_edits
+    from lodestone.llm.simhash import fingerprint_edits, near_fingerprints
 
-    return fingerprint_edits(table(spark, sf_dir, "documents"))
+    rows = materialize(fingerprint_edits(table(spark, sf_dir, "documents")), "edits")
+    near = materialize(near_fingerprints(rows, radius=3), "near")
+    return narrow_join(rows, near, "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long"))).select(*rows.columns, "n_near")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import materialize, partitions
 
 ROUNDS = 6
+COLUMNS = ("size", "text_crc32", "row_number", "position", "shard", "slot")
 
 
 def _python_round(seed: int, r: int, half: int) -> int:
@@ -78,16 +79,20 @@ def _permuted(df: DataFrame, number: str, n: int, seed: int) -> DataFrame:
 
 
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 40, seed: int = 7) -> DataFrame:
-    """Columns: key, size, text_crc32, row_number, position, shard, slot; one row for each row of ``df``."""
+    """Columns: key, size, text_crc32, row_number, position, shard, slot; one row for each row of ``df``.
+
+    A key column that has the name of another of these comes out with an underscore behind its name.
+    """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = df.sparkSession
+    named = key + "_" * (key.lower() in COLUMNS)
     narrow = df.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    order = [F.col(key).asc_nulls_first(), F.col("size"), F.col("text_crc32")]
+    order = [F.col("_key").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     # The order is by value, so numbers do not depend on where the sampled range bounds fall.
     ranged = narrow.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     kept = materialize(ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).drop("_id"), "rows")
@@ -98,19 +103,23 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards:
     n = kept.count()
     numbered = kept.join(offsets, "_part").withColumn("row_number", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
     out = _permuted(numbered, "row_number", n, seed)
-    return out.withColumn("shard", (F.col("position") % n_shards).cast("int")).withColumn("slot", F.expr(f"position div {n_shards}L"))
+    out = out.withColumn("shard", (F.col("position") % n_shards).cast("int")).withColumn("slot", F.expr(f"position div {n_shards}L"))
+    return out.select(F.col("_key").alias(named), *COLUMNS)
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", n_shards: int = 40, seed: int = 7) -> None:
-    """Write ``df`` as one folder for each shard, rows in slot order.
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", n_shards: int = 40, seed: int = 7, shard: str = "shard_number") -> None:
+    """Write ``df`` as one folder ``<shard>=i`` for each shard, rows in slot order; ``shard`` must be a new name.
 
     Rows meet their slot by (key, size, checksum) and an ordinal within equal ones, so repeated rows keep their count.
     """
-    slots = shard_rows(df, key, text, n_shards, seed).select(F.col(key).alias("_k"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    same = Window.partitionBy("_k", "_s", "_c")
-    slots = slots.withColumn("_i", F.row_number().over(same.orderBy("_slot")))
-    rows = df.withColumns({"_k": F.col(key), "_s": (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long"), "_c": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
-    rows = rows.withColumn("_i", F.row_number().over(same.orderBy("_s")))
-    on = rows["_k"].eqNullSafe(slots["_k"]) & (rows["_s"] == slots["_s"]) & (rows["_c"] == slots["_c"]) & (rows["_i"] == slots["_i"])
-    placed = rows.join(slots.select("_k", "_s", "_c", "_i", "_shard", "_slot"), on).select(*[rows[c] for c in df.columns], "_shard", "_slot")
-    placed.repartition(partitions(df.sparkSession), "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    if shard.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"column {shard} is there already")
+    made = shard_rows(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t", n_shards, seed)
+    same = Window.partitionBy("k", "s", "c")
+    slots = made.select("k", F.col("size").alias("s"), F.col("text_crc32").alias("c"), F.col("shard").alias("to"), "slot").withColumn("i", F.row_number().over(same.orderBy("slot")))
+    # the rows travel as one struct, so their columns may have any names
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(key).alias("k"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("s"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"))
+    rows = rows.withColumn("i", F.row_number().over(same.orderBy("s")))
+    on = rows["k"].eqNullSafe(slots["k"]) & (rows["s"] == slots["s"]) & (rows["c"] == slots["c"]) & (rows["i"] == slots["i"])
+    placed = rows.join(slots, on).select("row", "to", "slot").repartition(partitions(df.sparkSession), "to").sortWithinPartitions("to", "slot")
+    placed.select(*[F.col("row")[c].alias(c) for c in df.columns], F.col("to").alias(shard)).write.partitionBy(shard).parquet(path)

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import partitions
+from lodestone.llm.shared import bounded_batches, materialize, narrow_join, partitions
 from lodestone.llm.words import U, WordHashes, chunks, mix64
 
 BITS = 128
 SHORT = 64
+#: Entries of a key that are compared with as many others in one task.
+TILE = 2048
 
 
 def fingerprint(text: str | None, hashes: WordHashes) -> bytes:
@@ -67,24 +69,98 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, f string").select(F.col("k").alias(key), F.col("f").alias("fingerprint"))
 
 
-def near_fingerprints(prints: DataFrame, radius: int, fingerprint: str = "fingerprint") -> DataFrame:
-    """(a, b, distance) of all distinct fingerprints a < b with at most ``radius`` differing bits.
+def near_fingerprints(prints: DataFrame, radius: int, fingerprint: str = "fingerprint", pairs: bool = False) -> DataFrame:
+    """(fingerprint, n_near): how many other distinct fingerprints differ in at most ``radius`` bits, where there are any.
+
+    With ``pairs`` (a, b, distance) of all these a < b instead.  Nulls are left out.
 
     The bits are cut into ``radius + 2`` blocks; two fingerprints within the radius agree on two blocks at least, so each
-    choice of two blocks is one table, sorted by their bits.  Equal fingerprints are one entry.
+    choice of two blocks is one table, keyed by their bits.  A pair counts in the table of the first two blocks that it
+    agrees on.  Entries that no other one shares a key with leave before any comparison; a key's entries are compared in
+    tiles of ``TILE`` by ``TILE``, each in a task of its own, and leave one count each.
     """
-    if not 0 <= radius <= 30:
-        raise ValueError("radius must be 0 to 30")
-    cut = np.linspace(0, BITS, radius + 3).round().astype(int)
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)])
-    rows = prints.select(F.col(fingerprint).alias("fp")).where("fp IS NOT NULL").distinct().withColumn("bits", bits)
-    block = [F.substring("bits", int(p) + 1, int(q - p)) for p, q in itertools.pairwise(cut)]
-    tables = F.array(*[F.concat(F.lit(f"{i},{j}:"), block[i], F.lit(":"), block[j]) for i, j in itertools.combinations(range(radius + 2), 2)])
-    keyed = rows.select("fp", F.explode(tables).alias("t"))
-    pairs = keyed.select("t", F.col("fp").alias("a")).join(keyed.select("t", F.col("fp").alias("b")), "t").where("a < b").select("a", "b").distinct()
-    word = lambda c, i: F.conv(F.substring(c, 1 + 15 * i, 15), 16, 10).cast("long")
-    distance = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(3)), F.lit(0))
-    return pairs.withColumn("distance", distance.cast("int")).where(F.col("distance") <= radius)
+    if not 0 <= radius <= 14:
+        raise ValueError("radius must be 0 to 14")
+    spark = prints.sparkSession
+    cut = np.linspace(0, BITS, radius + 3).round().astype(int).tolist()
+    tables = list(itertools.combinations(range(radius + 2), 2))
+
+    def bits(hi: np.ndarray, lo: np.ndarray, k: int) -> np.ndarray:
+        """The bits of block ``k``, at most 64."""
+        p, q = cut[k], cut[k + 1]
+        left = (hi << U(p)) | (lo >> U(64 - p) if p else U(0)) if p < 64 else lo << U(p - 64)
+        return left >> U(64 - (q - p))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 1 << 20):
+            words = np.frombuffer(bytes.fromhex("".join(b.column(0).to_pylist())), ">u8").astype(U).reshape(-1, 2)
+            hi, lo = words[:, 0], words[:, 1]
+            for t, (i, j) in enumerate(tables):
+                key = mix64(bits(hi, lo, i) + mix64(bits(hi, lo, j) + U(t + 1) * U(0x9E3779B97F4A7C15)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), t, np.int32)), *[pa.array(x.view(np.int64)) for x in (key, hi.copy(), lo.copy())]], names=["t", "key", "hi", "lo"])
+
+    def tile(x, y, right, t, hi, lo):
+        n = len(hi)
+        left = np.flatnonzero(right == 0) if x != y else np.arange(n)
+        other = np.flatnonzero(right == 1) if x != y else left
+        i, j = tables[t]
+        found = []
+        step = max(1, (1 << 20) // max(1, len(other)))
+        for at in range(0, len(left), step):
+            u, v = (z.ravel() for z in np.meshgrid(left[at : at + step], other, indexing="ij"))
+            if x == y:
+                u, v = u[u < v], v[u < v]
+            far = np.bitwise_count(hi[u] ^ hi[v]) + np.bitwise_count(lo[u] ^ lo[v])
+            near = far <= radius
+            u, v, far = u[near], v[near], far[near]
+            agreed, ok = np.zeros(len(u), np.int64), np.ones(len(u), bool)
+            for k in range(j + 1):
+                same = bits(hi[u], lo[u], k) == bits(hi[v], lo[v], k)
+                ok &= same if k in (i, j) else ~(same & (agreed < 2)) if k < j else ok
+                agreed += same
+            found.append((u[ok], v[ok], far[ok]))
+        u, v, far = (np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in range(3))
+        if pairs:
+            swap = (hi[u] > hi[v]) | ((hi[u] == hi[v]) & (lo[u] > lo[v]))
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            return [hi[u], lo[u], hi[v], lo[v], far.astype(np.int64)]
+        n_near = np.bincount(np.concatenate([u, v]), minlength=n)
+        some = np.flatnonzero(n_near)
+        return [hi[some], lo[some], n_near[some]]
+
+    names = ["a_hi", "a_lo", "b_hi", "b_lo", "distance"] if pairs else ["hi", "lo", "n"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chunks(batches):
+            now = [b.column(k).to_numpy() for k in range(7)]
+            if held is not None:
+                now = [np.concatenate(z) for z in zip(held, now, strict=True)]
+            begins = np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]) | (now[4][1:] != now[4][:-1])])
+            yield from some(now, begins)
+            held = [z[begins[-1] :] for z in now]
+        if held is not None:
+            yield from some(held, np.array([0, len(held[0])]))
+
+    def some(now, begins):
+        out = [tile(now[1][p], now[2][p], now[3][p:q], int(now[4][p]), now[5][p:q].view(U), now[6][p:q].view(U)) for p, q in itertools.pairwise(begins.tolist()) if q - p > 1]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).view(np.int64)) for c in range(len(names))], names=names)
+
+    distinct = prints.select(F.col(fingerprint).alias("fp")).where("fp IS NOT NULL").distinct()
+    keyed = distinct.mapInArrow(keys, "t int, key long, hi long, lo long")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    rows = narrow_join(keyed, shared, "key")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("home", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("home", "other"), "y": F.greatest("home", "other"), "right": (F.col("home") > F.col("other")).cast("int")})
+    order = ["key", "x", "y", "t", "right"]
+    rows = rows.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions(*order).select("key", "x", "y", "right", "t", "hi", "lo")
+    found = rows.mapInArrow(compare, ", ".join(f"{c} long" for c in names))
+    spell = lambda hi, lo: F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
+    if pairs:
+        return found.select(spell("a_hi", "a_lo").alias("a"), spell("b_hi", "b_lo").alias("b"), F.col("distance").cast("int").alias("distance"))
+    return found.groupBy("hi", "lo").agg(F.sum("n").alias("n_near")).select(spell("hi", "lo").alias("fingerprint"), "n_near")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,6 +171,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     each range is also sent to the range before, so each range knows all successors.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).withColumn("k", F.coalesce("id", F.lit(-(1 << 63))))
     n = partitions(spark)
     found = rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, max(n, 2))]), 100 * n)).first()[0] or []

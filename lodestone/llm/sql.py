@@ -12,9 +12,9 @@ FROM embeddings LEFT JOIN low ON id = vec_id"""
 OP4 = """WITH per AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT sum(n) FROM per) / (SELECT count(*) FROM per)::double / n AS rate FROM per),
 steps AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM rates CROSS JOIN (SELECT unnest(range(0, 100)) AS k)),
-drawn AS (SELECT d.doc_id, d.source, d.n_chars, (('0x' || substr(md5('11:' || d.doc_id || ':0'), 1, 13))::BIGINT + 0.5::double) / 4503599627370496::double AS u FROM documents d),
-counted AS (SELECT doc_id, source, n_chars, (SELECT count(*) FROM steps s WHERE s.source = drawn.source AND s.cdf < u) AS copies FROM drawn)
-SELECT doc_id, source, n_chars, copy::int AS copy, md5('11:order:' || doc_id || ':' || copy) AS order_key FROM (SELECT *, unnest(range(0, copies)) AS copy FROM counted)"""
+drawn AS (SELECT d.*, (('0x' || substr(md5('11:' || d.doc_id || ':0'), 1, 13))::BIGINT + 0.5::double) / 4503599627370496::double AS u FROM documents d),
+counted AS (SELECT * EXCLUDE (u), (SELECT count(*) FROM steps s WHERE s.source = drawn.source AND s.cdf < u) AS copies FROM drawn)
+SELECT * EXCLUDE (copies, copy), copy::int AS copy, md5('11:order:' || doc_id || ':' || copy) AS order_key FROM (SELECT *, unnest(range(0, copies)) AS copy FROM counted)"""
 
 OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh FROM w),

@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import Remembered
-from lodestone.llm.shared import materialize
+from lodestone.llm.shared import bounded_batches, materialize
 from lodestone.llm.words import WordHashes, chunks, shingles
 
 #: Labelled documents that are used for fitting, at most; those of least hash of the key.
 MAX_TRAIN = 40_000
-#: Lexicon words at most, by weight times count.
-MAX_LEXICON = 5_000
 #: A lexicon word's count in the character model: at least this, and together this share of all letters.
 LEXICON_WEIGHT, LEXICON_SHARE = 50, 0.01
 #: Logarithm of how much likelier a lexicon word is in toxic documents, and the share of those that it is in, at least.
@@ -223,6 +221,7 @@ class Scorer:
         return out
 
     def spelled(self, letters: str) -> set[str]:
+        """Lexicon words of four letters or more anywhere in a run of spaced letters."""
         return {letters[i:j] for i in range(len(letters)) if letters[i] in self.heads for j in range(i + 4, min(len(letters), i + self.longest) + 1) if letters[i:j] in self.weights}
 
     def score(self, text: str | None) -> float:
@@ -235,13 +234,8 @@ class Scorer:
 
 def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, least_ratio: float = LEAST_RATIO) -> tuple[dict[str, float], float]:
     """Lexicon weights and intercept from (word, toxic documents, other documents)."""
-    weights, count = {}, {}
-    for word, a, b in rows:
-        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + UNSEEN) / (n0 + 1))
-        if w >= least_ratio:
-            weights[word], count[word] = w, a
-    top = sorted(weights, key=lambda x: (-weights[x] * count[x], x))[:MAX_LEXICON]
-    return {w: weights[w] for w in top}, min(0.0, math.log((n1 + 0.5) / (n0 + 0.5)))
+    weights = {word: math.log((a + 0.5) / (n1 + 1)) - math.log((b + UNSEEN) / (n0 + 1)) for word, a, b in rows}
+    return {w: x for w, x in sorted(weights.items()) if x >= least_ratio}, min(0.0, math.log((n1 + 0.5) / (n0 + 0.5)))
 
 
 def bare(text: str | None) -> set[str]:
@@ -263,6 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     those of all documents.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     train = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull() & ~_held_out(key)).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(toxic).cast("int").alias("y"))
     n = train.count()
     if n > max_train:
@@ -314,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, terms): terms are the lexicon words found, sorted."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +326,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``; all columns, in one pass."""
+    bounded_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

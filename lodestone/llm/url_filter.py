@@ -1,15 +1,17 @@
-"""URL filters: rules by host and path, and a classifier of segmented host names for the rest.
+"""URL filters: rules by host and path, and a classifier of segmented names for the rest.
 
-Host names are cut at dots and hyphens and the remaining concatenations are split into words by a unigram Viterbi: known
-words cost their negative log probability, unknown runs a price that grows with their length.  Multinomial naive Bayes
-over the words of host and path gives the verdict where no rule fits.  It is trained on all given URLs: those with a word of
-the fixed list ``BLOCK_WORDS`` in their host are examples of ``block``, the others of ``allow``; the word counts that it
-learns extend the list to the words that keep company with it.  All words of both classes count at every size: the model is as
-large as the URLs' vocabulary, and the driver and each worker hold it.
+Names are cut at dots, hyphens and slashes, and the remaining concatenations are split into words by a unigram Viterbi:
+known words cost their negative log probability, unknown runs a price that grows with their length.  Multinomial naive
+Bayes over the words of host and path gives the verdict where no rule fits.  It is trained on the URLs that a rule decides,
+with the rule's verdict; the two fixed lists of words count as known before any URL is read.
+
+The segmenter's words are those that make up ``LEAST_SHARE`` of all names at least, so there are at most
+``1 / LEAST_SHARE`` of them whatever the input, and workers hold them.  The classifier's words have no such bound: their
+log ratios are a table, joined with the words of the distinct URLs and summed by URL.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path; those, like hosts without words, are
-allowed by the method; numbers in names count as one word; rows that repeat are judged alike; an empty table gives an
-empty result; other input columns are ignored.
+allowed by the method; numbers in names count as one word; names of any length are segmented whole; rows that repeat are
+judged alike; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import Remembered
+from lodestone.llm.shared import bounded_batches, materialize, narrow_join
 
 #: (rule, verdict): a host, a slash and the start of a path; the longest that fits decides.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -33,8 +36,12 @@ BLOCK_WORDS = frozenset("adult ads adserver adware banner bet bets betting bingo
 PLAIN_WORDS = frozenset("about account air all america app apps archive art arts auto baby bank beauty best blog board body book books box business buy cafe camera camp car care center chat chess church city class clean cloud club code coffee college com computer cook craft daily data dance day design digital direct docs dog dream drive earth east easy eco edu energy europe event example express fact family fan fashion film finance fire fish fit flower food forum game garden gift girl global go gold green group guide hair hand health help history home hope host hotel house idea image info institute inter jazz job journal kid kids kitchen lab land language law learn library life light line link list live local love mail map market master math media medicine meet mobile money moon mountain movie museum music nature net network news north ocean office online open page paint paper park part party peace people pet phone photo place plan planet play plus poem point post power press pro project radio rail real recipe red report research river road rock room school science sea search secure server service shop show site sky smart snow social soft solar song sound south space sport sports star state stay stone store story street student studio style sun support team tech test theater theatre times today tool town toy trade train travel tree trust tube university video view village visit voice walk wall water weather web week west wiki wild wind window wine winter wood word work works world yoga young zone".split())
 
 CUT = re.compile(r"[^a-z0-9\u0080-\U0010ffff]+")
-#: Count that a listed word has in the unigram model beside its own occurrences, and the longest word.
-LISTED, LONGEST = 200, 24
+#: Count that a listed word has in the unigram model beside its own occurrences.
+LISTED = 200
+#: Share of all names that a word of the segmenter makes up at least: there are at most a million.
+LEAST_SHARE = 1e-6
+#: Price of an unknown run's letter.
+UNKNOWN = 2.5
 SMOOTH = 0.5
 #: Occurrences that a listed word has in its class beside those in the URLs; both lists weigh the same.
 KNOWN = 5
@@ -66,23 +73,29 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]):
         self.total = sum(counts.values()) or 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
+        self.longest: dict[str, int] = {}
+        for w in counts:  # by first two letters, or the only one
+            self.longest[w[:2]] = max(self.longest.get(w[:2], 0), len(w))
         self.split = Remembered(self._split, 100_000).__getitem__
 
-    def unknown(self, n: int) -> float:
-        return math.log(self.total) + 2.5 * n
-
     def _split(self, name: str) -> tuple[str, ...]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                options.append((best[start][0] + self.cost.get(word, self.unknown(end - start)), start))
-            options.append((best[0][0] + self.unknown(end), 0))
-            best.append(min(options))
-        out, end = [], len(name)
+        """States at each place: the best way to end a word there, and to be within an unknown run."""
+        n, begin = len(name), math.log(self.total)
+        word: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        run = (math.inf, 0)
+        for at in range(n + 1):
+            if run[0] < word[at][0]:
+                word[at] = run
+            cost = word[at][0]
+            for size in range(1, min(max(self.longest.get(name[at : at + 2], 0), self.longest.get(name[at : at + 1], 0)), n - at) + 1):
+                known = self.cost.get(name[at : at + size])
+                if known is not None and cost + known < word[at + size][0]:
+                    word[at + size] = cost + known, at
+            run = min(run, (cost + begin, at))
+            run = run[0] + UNKNOWN, run[1]
+        out, end = [], n
         while end:
-            start = best[end][1]
+            start = word[end][1]
             out.append(name[start:end])
             end = start
         return tuple(reversed(out))
@@ -106,7 +119,7 @@ def features(url: str | None, segmenter: Segmenter) -> list[str]:
 
 
 def _sum(urls: DataFrame, count) -> DataFrame:
-    """(word, kind, n): ``count(urls, found)`` adds to a counter of (word, kind) for each batch."""
+    """(word, kind, n as double): ``count(urls, found)`` adds to a counter of (word, kind) for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -117,23 +130,26 @@ def _sum(urls: DataFrame, count) -> DataFrame:
                 found.clear()
         yield _rows(found)
 
-    return urls.mapInArrow(run, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    return urls.mapInArrow(run, "word string, kind int, n double").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
 def _rows(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "kind", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32()), pa.array(list(found.values()), pa.float64())], names=["word", "kind", "n"])
 
 
-def fit(pages: DataFrame, url: str = "url") -> dict:
-    """Unigram counts and naive Bayes parameters from all URLs."""
+def fit(pages: DataFrame, url: str = "url", rules=RULES) -> dict:
+    """Unigram counts of the segmenter (a bounded dict), log ratios of the classifier (a table), unseen word and prior."""
+    spark = pages.sparkSession
     urls = pages.select(F.col(url).alias("u"))
 
     def parts(batch: list, found: Counter) -> None:
         for u in batch:
             host, path = host_and_path(u)
-            found.update((w, 0) for w in CUT.split(host.lower()) + CUT.split(path.lower()) if len(w) > 2 and w.isalpha() and len(w) <= LONGEST)
+            found.update((w, 0) for w in CUT.split(host.lower()) + CUT.split(path.lower()) if len(w) > 2 and w.isalpha())
 
-    seen = {r["word"]: r["n"] for r in _sum(urls, parts).where("n > 1").collect()}  # once may be chance
+    names = materialize(_sum(urls, parts).select("word", "n"), "names")
+    every = names.agg(F.sum("n")).first()[0] or 0
+    seen = {r["word"]: r["n"] for r in names.where(F.col("n") >= every * LEAST_SHARE).collect()}  # 1 / LEAST_SHARE at most
     listed = {w: LISTED for w in BLOCK_WORDS | PLAIN_WORDS}
     # A name that splits into listed words is no word of its own, however often it stands.
     first = Segmenter(listed)
@@ -142,48 +158,65 @@ def fit(pages: DataFrame, url: str = "url") -> dict:
     counts = {w: int(LISTED * scale) for w in listed}
     for w, n in own.items():
         counts[w] = counts.get(w, 0) + n
+    sent = spark.sparkContext.broadcast(counts)
 
     def classes(batch: list, found: Counter) -> None:
-        segmenter = Segmenter(counts)
+        segmenter = _segmenter(sent)
         for u in batch:
-            words = features(u, segmenter)
-            kind = int(any(w[2:] in BLOCK_WORDS for w in words if w[0] == "h"))
-            found[("", kind)] += 1
-            found.update((w, kind) for w in words)
-
-    rows = _sum(urls, classes).collect()
-    n = {k: {r["word"]: r["n"] for r in rows if r["kind"] == k and r["word"]} for k in (0, 1)}
-    docs = {k: next((r["n"] for r in rows if r["kind"] == k and not r["word"]), 0) for k in (0, 1)}
-    for kind, listed_words in ((1, BLOCK_WORDS), (0, PLAIN_WORDS)):  # a listed word is known before it is met
-        for w in sorted(listed_words):
-            n[kind]["h:" + w] = n[kind].get("h:" + w, 0) + KNOWN * len(BLOCK_WORDS) / len(listed_words)
-    words = set(n[0]) | set(n[1])
-    total = {k: math.fsum(n[k].values()) + SMOOTH * (len(words) + 1) for k in (0, 1)}
-    ratio = {w: math.log((n[1].get(w, 0) + SMOOTH) / total[1]) - math.log((n[0].get(w, 0) + SMOOTH) / total[0]) for w in words}
-    unseen = math.log(total[0] / total[1])
-    return {"counts": counts, "ratio": ratio, "unseen": unseen, "prior": math.log((docs[1] + 1) / (docs[0] + 1))}
+            verdict = ruled(*host_and_path(u), rules)[1]
+            if verdict:
+                kind = int(verdict == "block")
+                found[("", kind)] += 1
+                found.update((w, kind) for w in features(u, segmenter))
+
+    # A listed word is known before it is met; both lists weigh the same.
+    known = [("h:" + w, kind, KNOWN * len(BLOCK_WORDS) / len(of)) for kind, of in ((1, BLOCK_WORDS), (0, PLAIN_WORDS)) for w in sorted(of)]
+    rows = materialize(_sum(urls, classes).unionByName(spark.createDataFrame(known, "word string, kind int, n double")), "url-words")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0.0))
+    words = rows.where("word <> ''").groupBy("word").agg(of(1).alias("n1"), of(0).alias("n0"))
+    size, t1, t0 = words.agg(F.count("*"), F.sum("n1"), F.sum("n0")).first()
+    t1, t0 = (t + SMOOTH * (size + 1) for t in (t1, t0))
+    ratio = F.log((F.col("n1") + SMOOTH) / t1) - F.log((F.col("n0") + SMOOTH) / t0)
+    docs = {r["kind"]: r["n"] for r in rows.where("word = ''").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return {"counts": sent, "ratio": materialize(words.select("word", ratio.alias("ratio")), "ratios"), "unseen": math.log(t0 / t1), "prior": math.log((docs.get(1, 0) + 1) / (docs.get(0, 0) + 1))}
+
+
+_held: dict = {}
+
+
+def _segmenter(sent) -> Segmenter:
+    """The segmenter of the broadcast counts, made once in a task."""
+    if _held.get("counts") is not sent.value:
+        _held.update(counts=sent.value, segmenter=Segmenter(sent.value))
+    return _held["segmenter"]
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """key, host, path, rule, verdict, score (probability of block by the method), host_words."""
-    model = fit(pages, url)
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(pages.sparkSession)
+    model = fit(pages, url, rules)
+    counts = model["counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        segmenter = Segmenter(m["counts"])
+        segmenter = _segmenter(counts)
         for b in batches:
             out = []
-            for u in b.column(1).to_pylist():
+            for u in b.column(0).to_pylist():
                 host, path = host_and_path(u)
                 words = features(u, segmenter)
-                z = m["prior"] + sum(m["ratio"].get(w, m["unseen"]) for w in words) if words else -20.0
-                p = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-                rule, verdict = ruled(host, path, rules)
-                out.append((host, path, rule, verdict or ("block" if p >= 0.5 else "allow"), p, " ".join(w[2:] for w in words if w[0] == "h")))
-            cols = [pa.array([r[i] for r in out], pa.float64() if i == 4 else pa.string()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["k", "host", "path", "rule", "verdict", "score", "host_words"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(F.col(key).alias("k"), F.col(url).alias("u")).mapInArrow(run, f"k {kind}, host string, path string, rule string, verdict string, score double, host_words string")
-    return out.withColumnRenamed("k", key)
+                out.append((u, host, path, *ruled(host, path, rules), " ".join(w[2:] for w in words if w[0] == "h"), words))
+            kinds = [pa.string()] * 6 + [pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["u", "host", "path", "rule", "fixed", "host_words", "words"])
+
+    # a null URL is judged as an empty one
+    rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(url), F.lit("")).alias("u"))
+    seen = rows.select("u").distinct().mapInArrow(run, "u string, host string, path string, rule string, fixed string, host_words string, words array<string>")
+    per = ["u", "host", "path", "rule", "fixed", "host_words"]
+    words = narrow_join(seen.select(*per, F.explode_outer("words").alias("word")), model["ratio"], "word", "left")
+    z = F.sum(F.when(F.col("word").isNotNull(), F.coalesce("ratio", F.lit(model["unseen"]))))
+    odds = F.coalesce(F.lit(model["prior"]) + z, F.lit(-20.0))
+    score = F.round(1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-500.0)), F.lit(500.0)))), 9)
+    judged = words.groupBy(*per).agg(score.alias("score"))
+    out = rows.join(judged, "u")
+    verdict = F.coalesce("fixed", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return out.select(F.col("k").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")
