@@ -7,7 +7,8 @@ It is kept as tables sharded by n-gram, which grow with the trusted text and go
 
 Scoring joins counts in shards: documents are dealt to chunks of about ``CHUNK_BYTES``, each chunk's distinct 4-grams are
 joined with the tables, order by order, and the answers meet the chunk's documents, whose negative log probabilities are
-summed there.  So a task holds the n-grams of one chunk, and a text is exchanged once.
+summed there.  So a task holds the n-grams of one chunk, and a text is exchanged once.  A chunk is a run of rows of one
+partition of the input, which is read twice for it; an input that is the result of a shuffle is written first.
 
 A document's perplexity is ``exp(mean negative log probability)``, over its symbols and ``PRIOR`` symbols at its language's
 median, which keeps short texts from being judged on a few letters.  Documents above the ``quantile`` of their language's
@@ -22,6 +23,7 @@ give empty results; all columns of the input are kept by ``keep_good``, whatever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,7 +144,7 @@ def probabilities(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]], o
     if order == 1:
         below = F.lit(1 / SYMBOLS)
     else:
-        shorter = rows.select(F.col("suffix").alias("gram")).distinct()
+        shorter = materialize(needed.select(_suffix("gram", order).alias("gram")).distinct(), "needed")
         rows = rows.join(probabilities(shorter, model, order - 1).select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         below = F.col("below")
     return rows.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * below).alias("p"))
@@ -159,25 +161,35 @@ def _fresh(columns: list[str], name: str) -> str:
 def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str) -> tuple[DataFrame, str, str]:
     """``docs`` with the number of symbols and their negative log probability, and the names of these two columns."""
     bounded_batches(docs.sparkSession)
+    if re.search(r"\bExchange\b", docs._jdf.queryExecution().executedPlan().toString()):
+        docs = materialize(docs, "measured")  # two readings must have the same partitions
     count, cost, chunk = (_fresh(docs.columns, x) for x in ("n_symbols", "nll", "chunk"))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, -(-size // CHUNK_BYTES))
-    parts = max(n, docs.rdd.getNumPartitions())
-    # Rows are dealt in turn, so that no key, however often it repeats, makes a chunk large.
-    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).repartition(parts, chunk)
-    at, of = docs.columns.index(text), len(docs.columns)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    per = max(1, rows * CHUNK_BYTES // max(size or 0, 1))
+    # A chunk is a run of rows of one partition, whatever their keys, so none is hot; 2**30 chunks a partition at most.
+    place = F.monotonically_increasing_id()
+    number = F.shiftleft(F.shiftright(place, 33), 30) + F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}L) div {per}L")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.empty(0, np.int64)
         for b in chunks(batches):
-            texts, of_chunk = b.column(at).to_pylist(), b.column(of).to_numpy()
-            for c in np.unique(of_chunk).tolist():
-                held = [grams(symbols(t)) for t, x in zip(texts, of_chunk.tolist(), strict=True) if x == c and t]
-                if held:
-                    found = pd.unique(np.concatenate(held))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c)), pa.array(found)], names=["chunk", "gram"])
-
-    asked = dealt.mapInArrow(ask, "chunk long, gram long").distinct()
-    answers = asked.join(probabilities(asked.select("gram").distinct(), model), "gram").select(F.col("chunk").alias("of_chunk"), "gram", "p")
+            texts, of_chunk = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for c in dict.fromkeys(of_chunk.tolist()):
+                if c != now and len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now)), pa.array(held)], names=["chunk", "gram"])
+                    held = held[:0]
+                now = c
+                met = [grams(symbols(t)) for t, x in zip(texts, of_chunk.tolist(), strict=True) if x == c and t]
+                if met:
+                    held = pd.unique(np.concatenate([held, pd.unique(np.concatenate(met))]))
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now)), pa.array(held)], names=["chunk", "gram"])
+
+    asked = materialize(docs.select(text, number.alias(chunk)).mapInArrow(ask, "chunk long, gram long"), "asked")
+    needed = materialize(asked.select("gram").distinct(), "needed")
+    answers = asked.join(probabilities(needed, model), "gram").select(F.col("chunk").alias("of_chunk"), "gram", "p")
+    dealt = docs.withColumn(chunk, number)
+    at, of = docs.columns.index(text), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType()), T.StructField(cost, T.DoubleType())])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
