@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scratch import kept
 
-def number_rows(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
-    """``df`` with gapless numbers from ``start`` in the given total order.
+
+def number_rows(df: DataFrame, order: list, name: str, start: int = 0, columns: list | None = None) -> DataFrame:
+    """``df`` (or its narrow ``columns``) with gapless numbers from ``start`` in the given total order.
 
     Rows are range-partitioned and sorted; a row's number is its place in its partition after the rows of the partitions
-    before.  The partitioned rows are kept, because range bounds are sampled anew by each evaluation.
+    before.  The placed rows are written, because range bounds are sampled anew by each evaluation.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = _kept(placed)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(columns or df.columns), F.monotonically_increasing_id().alias("_at"))
+    placed = kept(placed, "placed")
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # a row for each partition
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", (before + start).alias("_offset"))
-    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_offset") + at).drop("_part", "_offset", "_at")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + at).drop("_part", "_offset", "_at")
 
 
-def running_mean(lengths: DataFrame, field: str, position: str, length: str, total: int) -> dict[int, float]:
-    """Mean of each field over documents 1..total taken in order; a document without the field leaves the mean as it is.
+def telescoped(rows: DataFrame, field: str, position: str, factor: Column, term: Column) -> dict[int, tuple[float, float]]:
+    """For each field: the sum over its rows of ``term`` times the factors of all later rows, and the product of all factors.
 
-    ``mean_i = (mean_(i-1) * (i-1) + len_i) / i`` over the documents that have the field has the closed form
-    ``sum_i len_i / i * prod_(j > i) (j-1) / j``.  The product is telescoped from both ends as a sum of logarithms, added up
-    within blocks of positions first, so no task sees more than a block.
+    Products are sums of logarithms; a factor of 0 is told apart.  They are added up within blocks of positions first, so
+    no task sees more than a block.
     """
-    if not total:
-        return {}
     block = 1 << 16
-    rows = lengths.select(F.col(field).alias("f"), F.col(position).alias("j"), F.col(length).alias("n")).withColumn("g", F.expr(f"j div {block}"))
-    rows = rows.withColumn("w", F.when(F.col("j") > 1, F.log((F.col("j") - 1) / F.col("j"))).otherwise(F.lit(0.0)))
+    rows = rows.select(F.col(field).alias("f"), F.col(position).alias("j"), factor.cast("double").alias("a"), term.cast("double").alias("s")).withColumn("g", F.expr(f"j div {block}"))
+    rows = rows.withColumns({"w": F.when(F.col("a") > 0, F.log("a")).otherwise(F.lit(0.0)), "z": (F.col("a") <= 0).cast("int")})
     tail = Window.partitionBy("f", "g").orderBy("j").rowsBetween(1, Window.unboundedFollowing)
-    inner = rows.withColumn("after", F.coalesce(F.sum("w").over(tail), F.lit(0.0)))
-    parts = inner.groupBy("f", "g").agg(F.sum(F.col("n") / F.col("j") * F.exp("after")).alias("s"), F.sum("w").alias("w"))
+    inner = rows.withColumns({"after": F.coalesce(F.sum("w").over(tail), F.lit(0.0)), "ends": F.coalesce(F.sum("z").over(tail), F.lit(0))})
+    alive = lambda x: F.when(F.col("ends") == 0, x).otherwise(F.lit(0.0))
+    parts = inner.groupBy("f", "g").agg(F.sum(alive(F.col("s") * F.exp("after"))).alias("s"), F.sum("w").alias("w"), F.sum("z").alias("z"))
     later = Window.partitionBy("f").orderBy("g").rowsBetween(1, Window.unboundedFollowing)  # a row for each block
-    sums = parts.withColumn("after", F.coalesce(F.sum("w").over(later), F.lit(0.0))).groupBy("f").agg(F.sum(F.col("s") * F.exp("after")).alias("mean"))
-    return {r["f"]: r["mean"] for r in sums.collect()}  # a row for each field
+    parts = parts.withColumns({"after": F.coalesce(F.sum("w").over(later), F.lit(0.0)), "ends": F.coalesce(F.sum("z").over(later), F.lit(0))})
+    sums = parts.groupBy("f").agg(F.sum(alive(F.col("s") * F.exp("after"))).alias("s"), F.sum("w").alias("w"), F.sum("z").alias("z"), F.exp(F.sum("w")).alias("p"))
+    return {r["f"]: (r["s"], 0.0 if r["z"] else r["p"]) for r in sums.collect()}  # a row for each field

@@ -2,14 +2,16 @@
 
 ``docs(doc_ord, id, stored)``: live documents in order of arrival.  ``lengths(doc_ord, field_id, len)``: distinct raw tokens of
 each field that is not null.  ``postings(term, field_id, doc_ord, tf, len)``: occurrences; discarded documents' rows stay until
-``vacuum``.  Counters and the fields' running mean lengths are a few numbers on the driver.
+``vacuum``.  ``terms(term, field_id, df)``: how many stored postings each term has in each field; queries are expanded on it, and
+ranking takes its counts as long as no discarded documents are stored.  Counters and the fields' running mean lengths are a few
+numbers on the driver.
 
 Every change replaces DataFrames by new ones; nothing is mutated in place, and a search never changes the index.
 """
 
 from __future__ import annotations
 
-import math
+import sys
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,18 +20,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.analysis import Analyzer
-from lodestone.functions.numbering import number_rows, running_mean
+from lodestone.functions.analysis import Analyzer, process_text, tokenize_text
+from lodestone.functions.numbering import number_rows, telescoped
+from lodestone.functions.scratch import kept
 from lodestone.plans.query import SEARCH_DEFAULTS, SearchError, checked
 
 #: Discards, and their share, that make an automatic vacuum run.
 AUTO_VACUUM = {"min_dirt_count": 20, "min_dirt_factor": 0.1}
+#: Rows of (id, number) up to which they are broadcast; their count is known.
+BROADCAST_IDS = 1_000_000
+#: What the logger is told of a document that differs from what was indexed.
+VERSION_CONFLICT = 'document with id {id} changed between indexing and removal: the term "{term}" is not indexed in its field "{field}", so the index may be left inconsistent'
 #: Fixed value: defaults of suggestions, over which the configuration's and the call's options go.
 AUTO_SUGGEST = {"combine_with": "AND", "prefix": lambda term, i, terms: i == len(terms) - 1}
 
 Logger = Callable[[str, str, str], None]
 
 
+def log_to_stderr(level: str, message: str, code: str | None = None) -> None:
+    """The default logger."""
+    print(f"[lodestone] {level}: {message}", file=sys.stderr)
+
+
+#: Defaults of the options that are looked up by name, beside the configuration's own fields.
+NAMED_DEFAULTS: dict[str, Any] = {
+    "tokenize": tokenize_text,
+    "process_term": process_text,
+    "extract_field": lambda document, name: document.get(name),
+    "stringify_field": lambda value, name: str(value),
+    "id_field": "id",
+    "fields": None,
+    "store_fields": [],
+    "search_options": None,
+    "logger": log_to_stderr,
+    "auto_vacuum": True,
+}
+
+
 @dataclass
 class IndexConfig:
     """What an index is built from.
@@ -47,7 +74,7 @@ class IndexConfig:
     search_options: Mapping[str, Any] = field(default_factory=dict)
     auto_suggest_options: Mapping[str, Any] = field(default_factory=dict)
     auto_vacuum: Mapping[str, Any] | bool | None = True
-    logger: Logger | None = None
+    logger: Logger | None = log_to_stderr
 
     def __post_init__(self):
         if not self.fields:
@@ -60,11 +87,12 @@ class IndexConfig:
     def column(self, name: str) -> Column:
         return self.extract.get(name, F.col(name))
 
-    def default(self, name: str) -> Any:
-        """The value of a configuration option."""
-        if name == "auto_suggest_options" or name not in self.__dataclass_fields__:
+    @staticmethod
+    def default(name: str) -> Any:
+        """The default value of a constructor option."""
+        if name not in NAMED_DEFAULTS:
             raise SearchError(f'unknown option "{name}"')
-        return getattr(self, name)
+        return NAMED_DEFAULTS[name]
 
 
 class TextIndex:
@@ -79,6 +107,7 @@ class TextIndex:
         self.docs: DataFrame | None = None
         self.lengths = none("doc_ord long, field_id int, len long")
         self.postings = none("term string, field_id int, doc_ord long, tf long, len long")
+        self._terms: DataFrame | None = None
         self.means: dict[int, float] = {}
         self.document_count = self.next_ord = self.dirt_count = 0
 
@@ -105,30 +134,43 @@ class TextIndex:
         """Add documents in the given order (default: by id).  All or none: ids must be present, new and distinct."""
         c = self.config
         ident = c.column(c.id_field)
-        if not documents.where(ident.isNull()).isEmpty():
+        # Narrow rows are numbered; texts stay where they are, or meet their numbers once.
+        numbers = number_rows(documents, list(order or [ident]), "doc_ord", self.next_ord, [ident.alias("id")])
+        added, absent, distinct = numbers.agg(F.count("*"), F.sum(F.col("id").isNull().cast("int")), F.countDistinct("id")).first()
+        if absent:
             raise SearchError(f'document does not have id field "{c.id_field}"')
-        repeated = documents.groupBy(ident.alias("id")).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-        if repeated:
-            raise SearchError(f"duplicate id {repeated[0]['id']}")
+        if distinct < added:
+            raise SearchError(f"duplicate id {numbers.groupBy('id').count().where('count > 1').first()['id']}")
         if self.docs is not None:
-            met = documents.select(ident.alias("id")).join(self.docs.select("id"), "id", "left_semi").limit(1).collect()
+            met = numbers.select("id").join(self.docs.select("id"), "id", "left_semi").limit(1).collect()
             if met:
                 raise SearchError(f"duplicate id {met[0]['id']}")
-        named = number_rows(documents, list(order or [ident]), "doc_ord", self.next_ord)
+        numbers = numbers.select(F.col("id").alias("_id"), "doc_ord")
+        numbers = F.broadcast(numbers) if added <= BROADCAST_IDS else numbers
+        named = documents.join(numbers, ident == F.col("_id")).drop("_id")
         stored = F.struct(*[c.column(s).alias(s) for s in c.store_fields]) if c.store_fields else F.lit(None).cast("struct<_:int>")
-        docs = named.select("doc_ord", ident.alias("id"), stored.alias("stored"))
-        fields = self.analyze(named)
+        docs = kept(named.select("doc_ord", ident.alias("id"), stored.alias("stored")), "docs")
+        fields = kept(self.analyze(named), "analyzed")  # texts are read and cut once
         lengths = fields.select("doc_ord", "field_id", "len")
         # all rows of a key come from one document, so the partial aggregation has counted them before the shuffle
         postings = fields.select("doc_ord", "field_id", "len", F.explode("terms").alias("term")).groupBy("term", "field_id", "doc_ord", "len").agg(F.count("*").alias("tf")).select("term", "field_id", "doc_ord", "tf", "len")
-        added = named.count()
         self._extend_means(lengths, added)
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
         self.lengths = lengths if not self.document_count and not self.dirt_count else self.lengths.unionByName(lengths)
+        if self._terms is not None and self.next_ord:
+            more = postings.groupBy("term", "field_id").agg(F.count("*").alias("df"))
+            self._terms = self._terms.unionByName(more).groupBy("term", "field_id").agg(F.sum("df").alias("df"))
         self.postings = postings if not self.next_ord else self.postings.unionByName(postings)
         self.document_count += added
         self.next_ord += added
 
+    @property
+    def terms(self) -> DataFrame:
+        """(term, field_id, df) of the stored postings; kept by ``cache`` and on disk, else counted when it is read."""
+        if self._terms is None:
+            return self.postings.groupBy("term", "field_id").agg(F.count("*").alias("df"))
+        return self._terms
+
     def add(self, document: Mapping[str, Any]) -> None:
         self.add_all(self._frame([document]))
 
@@ -152,55 +194,75 @@ class TextIndex:
             return
         # positions go on from the live documents before; the old mean enters as one document of its total length
         place = lengths.withColumn("j", F.col("doc_ord") - self.next_ord + before + 1)
-        shrink = lengths.withColumn("j", F.col("doc_ord") - self.next_ord + before + 1).groupBy("field_id").agg(F.sum(F.when(F.col("j") > 1, F.log((F.col("j") - 1) / F.col("j"))).otherwise(F.lit(0.0))).alias("w"))
-        keep = {r["field_id"]: r["w"] for r in shrink.collect()}
-        for f, mean in running_mean(place, "field_id", "j", "len", total).items():
-            old = self.means.get(f, 0.0)
-            self.means[f] = mean + (old * math.exp(keep[f]) if before else 0.0)
-
-    def _shrink_means(self, lens: list[dict[int, int]]) -> None:
-        """Means after documents with these lengths left one after the other."""
-        for of in lens:
-            for f, n in of.items():
-                rest = self.document_count - 1
-                self.means[f] = (self.means[f] * self.document_count - n) / rest if rest else 0.0
-            self.document_count -= 1
+        for f, (s, factor) in telescoped(place, "field_id", "j", (F.col("j") - 1) / F.col("j"), F.col("len") / F.col("j")).items():
+            self.means[f] = s + (self.means.get(f, 0.0) * factor if before else 0.0)
+
+    def _shrink_means(self, lengths: DataFrame, gone: int) -> None:
+        """Means after ``gone`` documents left one after the other; ``lengths(place, field_id, len)``, places from 1."""
+        n = self.document_count
+        counts = {r["field_id"]: (r["n"], r["s"]) for r in lengths.groupBy("field_id").agg(F.count("*").alias("n"), F.sum("len").alias("s")).collect()}
+        if all(m == gone for m, _ in counts.values()):
+            for f, (_, s) in counts.items():
+                self.means[f] = (self.means[f] * n - s) / (n - gone) if n > gone else 0.0
+        else:
+            left = F.lit(n) - F.col("place")  # documents that stay after this one
+            factor = F.when(left > 0, (left + 1) / left).otherwise(F.lit(0.0))
+            for f, (s, product) in telescoped(lengths, "field_id", "place", factor, F.when(left > 0, -F.col("len") / left).otherwise(F.lit(0.0))).items():
+                self.means[f] = self.means[f] * product + s
+        self.document_count -= gone
 
     # -- removal
 
-    def _found(self, ids: Sequence[Any]) -> dict[Any, int]:
-        if self.docs is None or not ids:
-            return {}
-        return {r["id"]: r["doc_ord"] for r in self.docs.where(F.col("id").isin(list(ids))).select("id", "doc_ord").collect()}
-
-    def _drop(self, ids: Sequence[Any]) -> list[int]:
-        """Documents and lengths go, in the order of ``ids``; postings stay."""
-        found = self._found(ids)
-        absent = [i for i in ids if i not in found]
-        if absent or len(set(ids)) != len(ids):
-            raise SearchError(f"cannot discard document with id {absent[0] if absent else ids}: it is not in the index")
-        ords = [found[i] for i in ids]
-        lens: dict[int, dict[int, int]] = {o: {} for o in ords}
-        for r in self.lengths.where(F.col("doc_ord").isin(ords)).collect():
-            lens[r["doc_ord"]][r["field_id"]] = r["len"]
-        self._shrink_means([lens[o] for o in ords])
-        self.docs = self.docs.where(~F.col("doc_ord").isin(ords))
-        self.lengths = self.lengths.where(~F.col("doc_ord").isin(ords))
-        return ords
+    def _found(self, ids: DataFrame) -> DataFrame:
+        """``ids(id, place)`` with the documents' ``doc_ord``; every one must be there, and once."""
+        if self.docs is None:
+            found = ids.withColumn("doc_ord", F.lit(None).cast("long"))
+        else:
+            found = ids.join(self.docs.select("id", "doc_ord"), "id", "left")
+        found = kept(found, "found")
+        absent = found.where("doc_ord IS NULL").orderBy("place").select("id").first()
+        if absent:
+            raise SearchError(f"cannot discard document with id {absent['id']}: it is not in the index")
+        twice = found.groupBy("id").count().where("count > 1").first()
+        if twice:
+            raise SearchError(f"cannot discard document with id {twice['id']}: it is not in the index any more")
+        return found
+
+    def _placed(self, ids: Sequence[Any] | DataFrame) -> DataFrame:
+        """(id, place from 1) of a list, or of a DataFrame's column ``id`` in its order."""
+        if isinstance(ids, DataFrame):
+            return number_rows(ids.select("id"), ["id"], "place", 1)
+        kind = self.docs.schema["id"].dataType if self.docs is not None else None
+        if kind is None:
+            raise SearchError(f"cannot discard document with id {ids[0]}: it is not in the index")
+        for i in ids:
+            if not isinstance(i, str) if isinstance(kind, T.StringType) else isinstance(i, str) or i is None:
+                raise SearchError(f"cannot discard document with id {i}: it is not in the index")
+        return self.spark.createDataFrame([(i, n) for n, i in enumerate(ids, 1)], T.StructType([T.StructField("id", kind), T.StructField("place", T.LongType())]))
+
+    def _drop(self, found: DataFrame) -> int:
+        """The documents ``found(id, place, doc_ord)`` and their lengths go, in the order of places; postings stay."""
+        gone = found.select("doc_ord", "place")
+        n = gone.count()
+        small = F.broadcast(gone) if n <= BROADCAST_IDS else gone
+        self._shrink_means(self.lengths.join(small, "doc_ord").select("place", "field_id", "len"), n)
+        self.docs = self.docs.join(small.select("doc_ord"), "doc_ord", "left_anti")
+        self.lengths = self.lengths.join(small.select("doc_ord"), "doc_ord", "left_anti")
+        return n
 
     def discard(self, ident: Any) -> None:
         self.discard_all([ident])
 
-    def discard_all(self, ids: Iterable[Any]) -> None:
+    def discard_all(self, ids: Iterable[Any] | DataFrame) -> None:
         """Hide documents; their postings stay until a vacuum, which runs by itself past the configured conditions.
 
         The conditions are met after each document in turn, as if they were discarded one by one only for ``discard``;
-        a list is checked once, at its end.
+        a list is checked once, at its end.  A DataFrame's column ``id`` stands for a list in order of ids.
         """
-        ids = list(ids)
-        if ids:
-            self._drop(ids)
-            self.dirt_count += len(ids)
+        if not isinstance(ids, DataFrame):
+            ids = list(ids)
+        if ids if isinstance(ids, list) else not ids.isEmpty():
+            self.dirt_count += self._drop(self._found(self._placed(ids)))
             self._maybe_vacuum()
 
     def remove(self, document: Mapping[str, Any]) -> None:
@@ -221,28 +283,24 @@ class TextIndex:
                 return
             documents = self._frame(documents)
         c = self.config
-        ids = [r["id"] for r in documents.select(c.column(c.id_field).alias("id")).collect()]
-        if None in ids:
+        ids = documents.select(c.column(c.id_field).alias("id"))
+        if not ids.where("id IS NULL").isEmpty():
             raise SearchError(f'document does not have id field "{c.id_field}"')
-        found = self._found(ids)
-        for i in ids:
-            if i not in found:
-                raise SearchError(f"cannot remove document with id {i}: it is not in the index")
+        found = self._found(self._placed(ids))
         if c.logger is not None:
             self._report_changes(documents, found)
-        ords = self._drop(ids)
-        self.postings = self.postings.where(~F.col("doc_ord").isin(ords))
+        self._drop(found)
+        self.postings = self.postings.join(found.select("doc_ord"), "doc_ord", "left_anti").select("term", "field_id", "doc_ord", "tf", "len")
+        self._terms = None
 
-    def _report_changes(self, documents: DataFrame, found: Mapping[Any, int]) -> None:
+    def _report_changes(self, documents: DataFrame, found: DataFrame) -> None:
         c = self.config
-        orders = self.spark.createDataFrame(list(found.items()), T.StructType([T.StructField("_id", documents.select(c.column(c.id_field)).schema[0].dataType), T.StructField("doc_ord", T.LongType())]))
-        given = documents.join(orders, c.column(c.id_field) == F.col("_id")).drop("_id")
+        given = documents.join(found.select(F.col("id").alias("_id"), "doc_ord"), c.column(c.id_field) == F.col("_id"))
         now = self.analyze(given).select("doc_ord", "field_id", F.explode("terms").alias("term")).groupBy("term", "field_id", "doc_ord").agg(F.count("*").alias("now"))
-        held = self.postings.where(F.col("doc_ord").isin(list(found.values()))).select("term", "field_id", "doc_ord", "tf")
-        changed = now.join(held, ["term", "field_id", "doc_ord"], "left").where("tf IS NULL OR tf < now").orderBy("doc_ord", "field_id", "term").collect()
-        back = {o: i for i, o in found.items()}
-        for r in changed:
-            c.logger("warn", f'document with ID {back[r["doc_ord"]]} has changed before removal: term "{r["term"]}" was not present in field "{c.fields[r["field_id"]]}"; removing a changed document can corrupt the index', "version_conflict")
+        held = self.postings.join(found.select("doc_ord"), "doc_ord", "left_semi").select("term", "field_id", "doc_ord", "tf")
+        changed = now.join(held, ["term", "field_id", "doc_ord"], "left").where("tf IS NULL OR tf < now").join(found.select("id", "doc_ord"), "doc_ord")
+        for r in changed.orderBy("doc_ord", "field_id", "term").toLocalIterator():
+            c.logger("warn", VERSION_CONFLICT.format(id=r["id"], term=r["term"], field=c.fields[r["field_id"]]), "version_conflict")
 
     def replace(self, document: Mapping[str, Any]) -> None:
         """The new version is a new document at the end of the order."""
@@ -266,19 +324,22 @@ class TextIndex:
     def vacuum(self) -> None:
         """Rewrite the postings without those of documents that are gone."""
         if self.dirt_count and self.docs is not None:
-            self.postings = self.postings.join(self.docs.select("doc_ord"), "doc_ord", "left_semi").select("term", "field_id", "doc_ord", "tf", "len")
+            self.postings = kept(self.postings.join(self.docs.select("doc_ord"), "doc_ord", "left_semi").select("term", "field_id", "doc_ord", "tf", "len"), "postings")
+            self._terms = None
         self.dirt_count = 0
 
     @property
     def term_count(self) -> int:
         """Distinct terms, those of discarded documents included."""
-        return self.postings.select("term").distinct().count()
+        return self.terms.select("term").distinct().count()
 
     def has(self, ident: Any) -> bool:
-        return bool(self._found([ident]))
+        if self.docs is None or ident is None or isinstance(ident, str) != isinstance(self.docs.schema["id"].dataType, T.StringType):
+            return False
+        return not self.docs.where(F.col("id") == F.lit(ident)).isEmpty()
 
     def get_stored_fields(self, ident: Any) -> dict[str, Any] | None:
-        if self.docs is None:
+        if not self.has(ident):
             return None
         rows = self.docs.where(F.col("id") == ident).select("stored").limit(1).collect()
         if not rows:
@@ -286,11 +347,12 @@ class TextIndex:
         return {k: v for k, v in (rows[0]["stored"].asDict(True) if rows[0]["stored"] else {}).items() if v is not None}
 
     def cache(self) -> TextIndex:
-        """Keep the tables in memory or on executors' disks, postings laid out by term; ranges split frequent terms."""
+        """Keep the tables in memory or on executors' disks, postings and terms laid out by term; ranges split frequent terms."""
         self.postings = self.postings.repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "field_id").persist()
+        self._terms = self.terms.repartitionByRange("term").sortWithinPartitions("term").persist()
         self.lengths, self.docs = self.lengths.persist(), self.docs.persist() if self.docs is not None else None
         return self
 
     def lexicon(self) -> DataFrame:
         """(term, term_len) of all terms in the postings."""
-        return self.postings.select("term").distinct().withColumn("term_len", F.length("term"))
+        return self.terms.select("term").distinct().withColumn("term_len", F.length("term"))

@@ -1,8 +1,10 @@
 """Search: a query tree over the index tables, as one plan.
 
-All leaves share one pass over the postings: their term conditions are or-ed into the scan, each posting is exploded into the
-leaves that it matches, and a single aggregation by document holds one conditional sum for each leaf.  The tree of
-combinators is then arithmetic over those sums within a row, so AND, OR and AND_NOT need no joins.
+Leaves are expanded over the table of terms, which gives each term's weights and document counts; edit distances are taken
+there and nowhere else.  All leaves share one pass over the postings of the terms found: up to ``LITERALS`` of them stand as
+literals in the scan's filter, beyond that the scan meets them by a join.  Each posting is exploded into the leaves that it
+matches, and a single aggregation by document holds one conditional sum for each leaf.  The tree of combinators is then
+arithmetic over those sums within a row, so AND, OR and AND_NOT need no joins.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scratch import kept
 from lodestone.operators.index import TextIndex
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
 from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
@@ -19,6 +22,10 @@ from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolv
 
 #: Best rows up to which they are broadcast to the documents.
 BROADCAST_ROWS = 100_000
+#: Terms up to which they are literals of the postings' filter.
+LITERALS = 1_000
+#: Terms up to which they are broadcast to the postings.
+BROADCAST_TERMS = 1_000_000
 
 
 def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") -> DataFrame:
@@ -31,24 +38,35 @@ def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") ->
         raise SearchError(f"unknown df_mode {df_mode!r}")
     c, spark = index.config, index.spark
     ids = {name: i for i, name in enumerate(c.fields)}
-    rows = index.postings.where(any_of([term_filter(x, F.col("term")) for x in found]))
     dirty = index.dirt_count > 0
     keys = ["term", "field_id"]
+    matched = index.terms.where(any_of([term_filter(x, F.col("term")) for x in found]))
+    expands = any(x.prefix or x.distance for x in found)
+    if expands:
+        met = [r["term"] for r in matched.select("term").distinct().limit(LITERALS + 1).collect()]
+        if len(met) <= LITERALS:
+            matched = index.terms.where(F.col("term").isin(met))
+    else:
+        met = list(dict.fromkeys(x.term for x in found))
+    few = len(met) <= LITERALS
+    bounded = few or matched.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    stats = matched.select("term", "field_id", F.col("df").cast("double").alias("m"), expansions(found, F.col("term")).alias("xs"))
+    stats = F.broadcast(stats) if bounded else stats
+    rows = index.postings.where(F.col("term").isin(met)) if few else index.postings
     if dirty and df_mode == "snapshot":
         live = index.docs.select("doc_ord", F.lit(True).alias("live"))
-        rows = rows.join(live, "doc_ord", "left")
+        rows = rows.join(stats.drop("m"), keys).join(live, "doc_ord", "left")
         same = Window.partitionBy(*keys)
         gone = F.coalesce(F.sum(F.when(F.col("live").isNull(), 1).otherwise(0)).over(same.orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         rows = rows.withColumn("m", (F.count("*").over(same) - gone).cast("double")).where("live").drop("live")
-    else:
-        if dirty:
-            rows = rows.join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
+    elif dirty:
+        rows = rows.join(stats.drop("m"), keys).join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
         # counted before the shuffle; the statistics have a row for each matched term, not for each posting
         counts = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("m"))
-        if not any(x.prefix or x.distance for x in found):
-            counts = F.broadcast(counts)  # a row for each leaf and field at most
-        rows = rows.join(counts, keys)
-    rows = rows.withColumn("x", F.explode(expansions(found, F.col("term"))))
+        rows = rows.join(F.broadcast(counts) if bounded else counts, keys)
+    else:
+        rows = rows.join(stats, keys)
+    rows = rows.withColumn("x", F.explode("xs")).drop("xs")
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))]) if index.means else F.create_map().cast("map<int,double>")
     of = lambda name: by_leaf(found, lambda x: x.bm25[name], F.col("x.leaf"))
     rank = bm25(F.col("tf").cast("double"), index.document_count, F.col("m"), F.col("len").cast("double"), F.element_at(means, F.col("field_id")), of("k"), of("b"), of("d"))
@@ -197,29 +215,57 @@ def _deletions(term: Column, times: int) -> Column:
     return out
 
 
-def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: float, weights: dict[str, float], max_fuzzy: int = 6) -> DataFrame:
-    """(asked, term, weight): the lexicon's terms that each of ``asked(asked)`` means.
+#: Edits up to which terms meet by deletions, and the longest asked term for which they do; else by segments.
+DELETIONS, LONGEST = 2, 24
+
+
+def near_terms(wanted: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(asked, term, d) for the lexicon's terms within ``k`` edits, d > 0, of each of ``wanted(asked, k)``; equality joins only.
 
-    Equality joins only where the sizes may be large: a lexicon term meets an asked one by a prefix of it, or by a string
-    that both give after as many deletions as edits are allowed (two at most; longer distances meet by length band).
+    Short terms with one or two edits meet by a string that both give after as many deletions; the lexicon side is held to
+    the lengths asked for.  Otherwise an asked term is cut into ``k + 1`` segments, one of which stands in every term within
+    ``k`` edits unchanged and at most ``k`` places away: terms meet by length, segment and place.
     """
+    size = F.length("asked")
+    by_deletion = (F.col("k") <= DELETIONS) & (size <= LONGEST)
+    pairs = []
+    for n in range(1, DELETIONS + 1):
+        left = wanted.where(by_deletion & (F.col("k") == n))
+        lengths = left.select(F.explode(F.sequence(F.greatest(size - n, F.lit(0)), size + n)).alias("n")).distinct()
+        right = lexicon.select("term", F.length("term").alias("n")).where(F.col("n") <= LONGEST + n).join(lengths, "n", "left_semi")
+        cut = left.withColumn("cut", F.explode(_deletions(F.col("asked"), n)))
+        pairs.append(cut.join(right.select("term", F.explode(_deletions(F.col("term"), n)).alias("cut")), "cut").select("asked", "term", "k"))
+    # segment i of k + 1: characters from 1 + i * size div (k + 1) up to the next one's first
+    far = wanted.where(~by_deletion)
+    first = lambda i: F.expr(f"CAST(1 + ({i}) * length(asked) div (k + 1) AS INT)")
+    cut = far.select("asked", "k", F.posexplode(F.sequence(F.lit(0), F.col("k")))).drop("col").withColumnRenamed("pos", "i")
+    cut = cut.withColumns({"at": first("i"), "width": first("i + 1") - first("i")}).withColumn("piece", F.expr("substring(asked, at, width)"))
+    cut = cut.withColumn("n", F.explode(F.sequence(F.greatest(size - F.col("k"), F.lit(0)), size + F.col("k"))))
+    shapes = cut.select("n", "at", "width", "k").distinct()
+    place = F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("k")), F.least(F.col("at") + F.col("k"), F.greatest(F.lit(1), F.col("n") - F.col("width") + 1))))
+    pieces = lexicon.select("term", F.length("term").alias("n")).join(shapes, "n").withColumn("place", place).where("place + width <= n + 1 OR width = 0")
+    pieces = pieces.select("term", "n", "at", "width", "k", F.expr("substring(term, place, width)").alias("piece")).distinct()
+    pairs.append(cut.join(pieces, ["n", "at", "width", "k", "piece"]).select("asked", "term", "k"))
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.unionByName(p)
+    return out.distinct().withColumn("d", F.expr("levenshtein(asked, term, k)")).where("d > 0").select("asked", "term", "d")
+
+
+def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: float, weights: dict[str, float], max_fuzzy: int = 6) -> DataFrame:
+    """(asked, term, weight): the lexicon's terms that each of ``asked(asked)`` means; equality joins only."""
     size, own = F.length("term").cast("double"), F.length("asked").cast("double")
     parts = [asked.join(lexicon.select("term"), F.col("asked") == F.col("term")).select("asked", "term", F.lit(1.0).alias("weight"))]
     if prefix:
-        heads = lexicon.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", 1, i))).alias("asked")).where("asked <> term")
+        # a term meets the asked ones by its beginnings, of the lengths that are asked for
+        lengths = asked.select(F.length("asked").alias("n")).distinct()
+        longest = asked.agg(F.max(F.length("asked"))).first()[0] or 0
+        heads = lexicon.select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term") - 1, F.lit(longest))))).alias("n")).where("n < length(term)")
+        heads = heads.join(F.broadcast(lengths), "n", "left_semi").select("term", F.expr("substring(term, 1, n)").alias("asked"))
         parts.append(heads.join(asked, "asked").select("asked", "term", (F.lit(float(weights["prefix"])) * size / (size + F.lit(0.3) * (size - own))).alias("weight")))
     if fuzzy:
         k = F.least(F.lit(max_fuzzy), F.floor(F.length("asked") * F.lit(float(fuzzy)) + 0.5)).cast("int") if fuzzy < 1 else F.lit(int(fuzzy))
-        wanted = asked.withColumn("k", k).where("k > 0")
-        near = []
-        for n in (1, 2):
-            left = wanted.where(F.col("k") == n).withColumn("cut", F.explode(_deletions(F.col("asked"), n)))
-            right = lexicon.select("term", F.explode(_deletions(F.col("term"), n)).alias("cut"))
-            near.append(left.join(right, "cut").select("asked", "term", "k").distinct())
-        far = wanted.where("k > 2")
-        near.append(far.join(lexicon.select("term"), F.abs(F.length("term") - F.length("asked")) <= F.col("k")).select("asked", "term", "k"))
-        pairs = near[0].unionByName(near[1]).unionByName(near[2])
-        pairs = pairs.withColumn("d", F.expr("levenshtein(asked, term, k)")).where("d > 0")
+        pairs = near_terms(asked.withColumn("k", k).where("k > 0"), lexicon)
         if prefix:
             pairs = pairs.where(~F.col("term").startswith(F.col("asked")))
         parts.append(pairs.select("asked", "term", (F.lit(float(weights["fuzzy"])) * size / (size + F.col("d"))).alias("weight")))
@@ -233,7 +279,7 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     """A whole DataFrame of queries in one plan: (query_id, id, score, rank), the best ``k`` of each.
 
     Query terms are analysed by the document analyzer and met with the postings by one equi-join on the term, after
-    prefix and fuzzy terms were expanded over the lexicon.
+    prefix and fuzzy terms were expanded over the lexicon.  The expansion is evaluated once.
     """
     how = combinator(combine_with)
     if how == "and_not":
@@ -249,10 +295,15 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     words = asked.select("asked").distinct()
     if prefix or fuzzy:
         means_of = expand_batch(words, index.lexicon(), prefix, FUZZY_SHARE if fuzzy is True else float(fuzzy), {**WEIGHTS, **(weights or {})})
+        means_of = kept(means_of, "expanded")
     else:
         means_of = words.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
-    postings = postings.join(means_of.select("term").distinct(), "term", "left_semi")
-    counts = postings.groupBy("term", "field_id").agg(F.count("*").cast("double").alias("m"))
+    met = means_of.select("term").distinct()
+    if index.dirt_count:
+        postings = postings.join(met, "term", "left_semi")
+        counts = postings.groupBy("term", "field_id").agg(F.count("*").cast("double").alias("m"))
+    else:
+        counts = index.terms.join(met, "term", "left_semi").select("term", "field_id", F.col("df").cast("double").alias("m"))
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))])
     rank = bm25(F.col("tf").cast("double"), index.document_count, F.col("m"), F.col("len").cast("double"), F.element_at(means, F.col("field_id")), F.lit(float(b["k"])), F.lit(float(b["b"])), F.lit(float(b["d"])))
     # one row for each document and term, before terms meet queries

@@ -137,7 +137,7 @@ class Resolver:
         fields = tuple((n, float(boost[n]) if truthy(boost.get(n)) else 1.0) for n in names if n not in unknown)
         weights = {**WEIGHTS, **(options.get("weights") or {})}
         boost_term = options.get("boost_term")
-        max_fuzzy = options.get("max_fuzzy") or SEARCH_DEFAULTS["max_fuzzy"]
+        max_fuzzy = SEARCH_DEFAULTS["max_fuzzy"] if options.get("max_fuzzy") is None else options["max_fuzzy"]  # 0 allows none
         return Leaf(self._next(), term, of(options.get("prefix")) is True or (callable(options.get("prefix")) and truthy(of(options["prefix"]))), fuzzy_distance(term, of(options.get("fuzzy")), max_fuzzy), float(of(boost_term)) if callable(boost_term) else 1.0, fields, {k: float(v) for k, v in weights.items()}, {k: float(v) for k, v in bm25.items()}, options.get("boost_document"))
 
 

@@ -24,8 +24,7 @@ def ingest(stream: DataFrame, path: str, config: IndexConfig, checkpoint: str) -
         index = tables.load(spark, f"{path}/v{before}", config) if before is not None else TextIndex(spark, config)
         batch = batch.dropDuplicates([config.id_field]).persist()
         if index.docs is not None:
-            known = batch.select(F.col(config.id_field).alias("id")).join(index.docs.select("id"), "id", "left_semi")
-            index.discard_all([r["id"] for r in known.collect()])
+            index.discard_all(batch.select(F.col(config.id_field).alias("id")).join(index.docs.select("id"), "id", "left_semi"))
         if not batch.isEmpty():
             index.add_all(batch)
         tables.save(index, f"{path}/v{number}")

