@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.analysis import Analyzer
+from lodestone.functions.scratch import new_path
 from lodestone.operators.index import IndexConfig, TextIndex
 from lodestone.operators.prefix_map import PrefixMap
 from lodestone.operators.search import auto_suggest, search, search_batch
 from lodestone.plans.query import WILDCARD, tree
+from lodestone.sources import tables
+from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
+from lodestone.streaming.ingest import ingest, latest
 
 _built: dict[tuple, TextIndex] = {}
 
@@ -38,7 +42,7 @@ def parts_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _once(spark, sf_dir, "parts", lambda: TextIndex.build(table(spark, sf_dir, "part"), config()))
 
 
-def scored(rows: DataFrame, ident: str = "doc_id", *more: str) -> DataFrame:
+def scored(rows: DataFrame, ident: str = "doc_id", *more) -> DataFrame:
     return rows.select(F.col("id").alias(ident), F.round("score", 6).alias("score"), *more)
 
 
@@ -200,8 +204,6 @@ def remove_search(spark, sf_dir):
 
 
 def json_roundtrip(spark, sf_dir):
-    from lodestone.sources.interchange import from_json, to_json
-
     config = IndexConfig(["p_name"], id_field="p_partkey", store_fields=["p_brand"])
     # one JSON text of the whole table: bounded by the driver's memory alone
     index = from_json(spark, to_json(TextIndex.build(table(spark, sf_dir, "part"), config)), config)
@@ -209,17 +211,105 @@ def json_roundtrip(spark, sf_dir):
 
 
 def saved_search(spark, sf_dir):
-    import tempfile
-
-    from lodestone.sources import tables
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/saved-index-{abs(hash(sf_dir))}"
+    path = new_path(spark, "saved-index")
     index = parts_index(spark, sf_dir)
     tables.save(index, path)
     return scored(search(tables.load(spark, path, index.config), "cold plate", details=False, sort=False), "p_partkey")
 
 
+def json_version_1(spark, sf_dir):
+    """Version 1 wraps each posting map; the rest is as in version 2."""
+    config = IndexConfig(["p_name"], id_field="p_partkey")
+    plain = as_plain_object(TextIndex.build(table(spark, sf_dir, "part"), config))
+    old = {**plain, "serializationVersion": 1, "index": [[term, {f: {"df": len(of), "ds": of} for f, of in by.items()}] for term, by in plain["index"]]}
+    return scored(search(from_plain_object(spark, old, config), "small gear", details=False, sort=False), "p_partkey")
+
+
+def emptied_and_filled(spark, sf_dir):
+    index = _fresh(spark, sf_dir)
+    index.remove_all()
+    empty = (index.document_count, index.term_count, index.dirt_count)
+    index.add_all(table(spark, sf_dir, "part"))
+    rows = scored(search(index, "red ring", details=False, sort=False), "p_partkey")
+    return rows.withColumns({name: F.lit(n).cast("long") for name, n in zip(("documents_before", "terms_before", "dirt_before"), empty, strict=True)})
+
+
+def has_and_stored_fields(spark, sf_dir):
+    index, asked = parts_index(spark, sf_dir), [0, 1, 17, 19, -1, 10**12]
+    rows = [(i, index.has(i), (index.get_stored_fields(i) or {}).get("p_brand")) for i in asked]
+    return spark.createDataFrame(rows, "p_partkey long, present boolean, p_brand string")
+
+
+def snapshot_search(spark, sf_dir):
+    index = _fresh(spark, sf_dir)
+    index.discard_all(range(3, 150, 7))
+    return scored(search(index, "red ring", details=False, sort=False, df_mode="snapshot"), "p_partkey")
+
+
+def auto_vacuum(spark, sf_dir):
+    config = IndexConfig(["p_name"], id_field="p_partkey", auto_vacuum={"min_dirt_count": 12, "min_dirt_factor": 0.0})
+    index = TextIndex.build(table(spark, sf_dir, "part"), config)
+    index.discard_all(range(0, 11))
+    before, dirt = index.postings.count(), index.dirt_count
+    index.discard(11)
+    return spark.createDataFrame([(before, dirt, index.postings.count(), index.dirt_count, index.document_count)], "postings_before long, dirt_before long, postings_after long, dirt_after long, document_count long")
+
+
+def stringify_hook(spark, sf_dir):
+    config = IndexConfig(["p_name", "p_size"], id_field="p_partkey", stringify=lambda value, name: F.concat(F.lit("size "), value.cast("string")) if name == "p_size" else value)
+    return scored(search(TextIndex.build(table(spark, sf_dir, "part"), config), "size 7 ring", details=False, sort=False), "p_partkey")
+
+
+def discards_with_missing_fields(spark, sf_dir):
+    """Means after discards where not every document has every field."""
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("p_name"), "p_type")
+    index = TextIndex.build(docs, IndexConfig(["p_name", "p_type"], id_field="p_partkey", auto_vacuum=False))
+    index.discard_all(docs.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("id")))
+    return spark.createDataFrame([(f, round(m, 9)) for f, m in index.means.items()], "field_id int, avg_len double")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows that a limit has brought into one partition, with their places."""
+    return scored(rows, "doc_id", F.monotonically_increasing_id().alias("place"))
+
+
+def result_order(spark, sf_dir):
+    return _in_order(search(documents_index(spark, sf_dir), "the of and", details=False, limit=40))
+
+
+def wildcard_order(spark, sf_dir):
+    return _in_order(search(documents_index(spark, sf_dir), WILDCARD, details=False, limit=40))
+
+
+def stream_ingest(spark, sf_dir):
+    """The parts as a stream into a saved index, then a search on its last version."""
+    base, config = new_path(spark, "stream"), IndexConfig(["p_name", "p_brand", "p_type"], id_field="p_partkey")
+    schema = table(spark, sf_dir, "part").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/part.parquet*")
+    ingest(stream, f"{base}/index", config, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    index = tables.load(spark, f"{base}/index/v{latest(spark, f'{base}/index')}", config)
+    return scored(search(index, "cold plate", details=False, sort=False), "p_partkey")
+
+
+def map_changes(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    names.set("zebra", 5)
+    names.update("zebra", lambda v: v + 1)
+    names.fetch("newcomer", lambda: 9)
+    names.delete("red ring")
+    return names.rows
+
+
+def map_lookups(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    near = names.fuzzy_get("cold ring", 2)
+    keys, values = names.keys(), names.values()
+    copy = PrefixMap.of(spark, names.to_dict())
+    copy.clear()
+    rows = [(names.size, names.has("red ring"), names.has("no such"), names.get("red ring"), names.get("no such"), keys[0], sum(values), len(near), copy.size)]
+    return spark.createDataFrame(rows, "size long, has_one boolean, has_none boolean, value_of long, value_of_none long, first_key string, total long, near long, cleared long")
+
+
 def _names(spark, sf_dir) -> PrefixMap:
     return PrefixMap(table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("key")).agg(F.count("*").alias("value")))
 
@@ -274,6 +364,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "remove_search": remove_search,
     "json_roundtrip": json_roundtrip,
     "saved_search": saved_search,
+    "json_version_1": json_version_1,
+    "emptied_and_filled": emptied_and_filled,
+    "has_and_stored_fields": has_and_stored_fields,
+    "snapshot_search": snapshot_search,
+    "auto_vacuum": auto_vacuum,
+    "stringify_hook": stringify_hook,
+    "discards_with_missing_fields": discards_with_missing_fields,
+    "search_fuzzy_callable": found(q="nation erst thand", fuzzy=lambda term, i, terms: 0.2 if i % 2 == 0 else False),
+    "search_fuzzy_three": found(q="ertheation", fuzzy=3),
+    "search_max_fuzzy": found(q="whoutherthand nation", fuzzy=0.5, max_fuzzy=1),
+    "search_no_fuzzy": found(q="erst nation the", fuzzy=0.5, max_fuzzy=0),
+    "result_order": result_order,
+    "wildcard_order": wildcard_order,
+    "stream_ingest": stream_ingest,
+    "map_changes": map_changes,
+    "map_lookups": map_lookups,
     "prefix_map": prefix_map,
     "fuzzy_map": fuzzy_map,
 }

@@ -129,8 +129,39 @@ SELECT f AS field_id, round(mean, 9) AS avg_len FROM run WHERE j = (SELECT count
     "vacuum_stats": f"WITH {NAMES()} SELECT (SELECT count(*) FROM post) AS postings_before, 50::bigint AS dirt_count, round(50 / (1 + count(*))::double, 9) AS dirt_factor, (SELECT count(*) FROM post WHERE id >= 50) AS postings_after, 0::bigint AS dirt_after, count(*) - 50 AS document_count FROM src",
     "replace_search": ranked(base("(SELECT p_partkey, CASE WHEN p_partkey = 3 THEN 'red unicorn' ELSE p_name END AS p_name FROM part)", "p_partkey", ["p_name"]), _exact("unicorn", "red"), "p_partkey"),
     "remove_search": ranked(NAMES(gone="p_partkey < 30"), _exact("hot", "anvil"), "p_partkey", having="count(DISTINCT leaf) = 2"),
-    "json_roundtrip": f"SELECT r.p_partkey, score, p_brand FROM ({ranked(NAMES(where='p_partkey < 200'), _exact('small', 'gear'), 'p_partkey')}) r JOIN part p ON p.p_partkey = r.p_partkey",
+    "json_roundtrip": f"SELECT r.p_partkey, score, p_brand FROM ({ranked(NAMES(), _exact('small', 'gear'), 'p_partkey')}) r JOIN part p ON p.p_partkey = r.p_partkey",
     "saved_search": ranked(PARTS, _exact("cold", "plate"), "p_partkey"),
+    "json_version_1": ranked(NAMES(), _exact("small", "gear"), "p_partkey"),
+    "emptied_and_filled": f"SELECT *, 0::bigint AS documents_before, 0::bigint AS terms_before, 0::bigint AS dirt_before FROM ({ranked(NAMES(), _exact('red', 'ring'), 'p_partkey')})",
+    "has_and_stored_fields": "SELECT i::bigint AS p_partkey, i IN (SELECT p_partkey FROM part) AS present, p_brand FROM (SELECT unnest([0, 1, 17, 19, -1, 1000000000000]) AS i) LEFT JOIN part ON p_partkey = i",
+    "snapshot_search": f"""WITH {NAMES()}, gone AS (SELECT unnest(range(3, 150, 7)) AS id),
+counted AS (SELECT *, id IN (SELECT id FROM gone) AS stale FROM post),
+met AS (SELECT *, count(*) OVER (PARTITION BY term, f) - coalesce(sum(stale::int) OVER (PARTITION BY term, f ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM counted WHERE term IN ('red', 'ring')),
+live AS (SELECT count(*)::double AS n, (SELECT avg(len) FROM lens WHERE id NOT IN (SELECT id FROM gone)) AS avg_len FROM src WHERE id NOT IN (SELECT id FROM gone))
+SELECT id AS p_partkey, round(sum(ln(1 + (n - m + 0.5::double) / (m + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avg_len)))) * count(*), 6) AS score
+FROM met JOIN lens USING (id, f) CROSS JOIN live WHERE NOT stale GROUP BY id""",
+    "auto_vacuum": f"WITH {NAMES()} SELECT (SELECT count(*) FROM post) AS postings_before, 11::bigint AS dirt_before, (SELECT count(*) FROM post WHERE id >= 12) AS postings_after, 0::bigint AS dirt_after, count(*) - 12 AS document_count FROM src",
+    "stringify_hook": ranked(base("(SELECT p_partkey, p_name, 'size ' || p_size AS p_size FROM part)", "p_partkey", ["p_name", "p_size"]), _exact("size", "7", "ring"), "p_partkey"),
+    "discards_with_missing_fields": f"""WITH RECURSIVE {base('(SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name END AS p_name, p_type FROM part)', 'p_partkey', ['p_name', 'p_type'])},
+placed AS (SELECT s.id, x.f, row_number() OVER (PARTITION BY x.f ORDER BY s.id) AS j, len FROM src s CROSS JOIN (SELECT DISTINCT f FROM lens) x LEFT JOIN lens l ON l.id = s.id AND l.f = x.f),
+run AS (SELECT f, 0::bigint AS j, 0.0::double AS mean FROM (SELECT DISTINCT f FROM lens) UNION ALL
+  SELECT run.f, run.j + 1, CASE WHEN len IS NULL THEN mean ELSE (mean * run.j + len) / (run.j + 1) END FROM run JOIN placed ON placed.f = run.f AND placed.j = run.j + 1),
+leaving AS (SELECT f, len, row_number() OVER (PARTITION BY f ORDER BY id) AS j FROM placed WHERE id % 4 = 1),
+back AS (SELECT f, 0::bigint AS j, mean FROM run WHERE j = (SELECT count(*) FROM src) UNION ALL
+  SELECT back.f, back.j + 1, CASE WHEN len IS NULL THEN mean ELSE (mean * ((SELECT count(*) FROM src) - back.j) - len) / ((SELECT count(*) FROM src) - back.j - 1) END FROM back JOIN leaving ON leaving.f = back.f AND leaving.j = back.j + 1)
+SELECT f AS field_id, round(mean, 9) AS avg_len FROM back WHERE j = (SELECT count(*) FROM src WHERE id % 4 = 1)""",
+    "search_fuzzy_callable": ranked(DOCS, [leaf(0, "nation", k=1), leaf(1, "erst"), leaf(2, "thand", k=1)]),
+    "search_fuzzy_three": ranked(DOCS, [leaf(0, "ertheation", k=3)]),
+    "search_max_fuzzy": ranked(DOCS, [leaf(0, "whoutherthand", k=1), leaf(1, "nation", k=1)]),
+    "search_no_fuzzy": ranked(DOCS, _exact("erst", "nation", "the")),
+    "stream_ingest": ranked(PARTS, _exact("cold", "plate"), "p_partkey"),
+    "map_changes": "SELECT p_name AS key, count(*) AS value FROM part WHERE p_name <> 'red ring' GROUP BY p_name UNION ALL SELECT 'zebra', 6 UNION ALL SELECT 'newcomer', 9",
+    "map_lookups": """WITH n AS (SELECT p_name AS key, count(*) AS value FROM part GROUP BY p_name)
+SELECT count(*) AS size, (SELECT count(*) > 0 FROM n WHERE key = 'red ring') AS has_one, false AS has_none, (SELECT value FROM n WHERE key = 'red ring') AS value_of, NULL::bigint AS value_of_none,
+min(key) AS first_key, sum(value)::bigint AS total, (SELECT count(*) FROM n WHERE levenshtein(key, 'cold ring') <= 2) AS near, 0::bigint AS cleared FROM n""",
     "prefix_map": "SELECT p_name AS key, count(*) AS value FROM part WHERE starts_with(p_name, 'red ') GROUP BY p_name",
     "fuzzy_map": "SELECT p_name AS key, count(*) AS value, levenshtein(p_name, 'cold ring') AS distance FROM part WHERE levenshtein(p_name, 'cold ring') <= 3 GROUP BY p_name",
 }
+#: The best rows with their places, and documents in their own order.
+SQL["result_order"] = SQL["search_topk"].replace("SELECT doc_id, score FROM", "SELECT doc_id, score, row_number() OVER (ORDER BY exact DESC, first, doc_id) - 1 AS place FROM", 1).replace("LIMIT 20", "LIMIT 40")
+SQL["wildcard_order"] = "SELECT doc_id, 1.0::double AS score, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents ORDER BY doc_id LIMIT 40"
