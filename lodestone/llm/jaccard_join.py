@@ -8,8 +8,9 @@ two gives a signature: one difference leaves one of the three subsets alike.  Em
 empty ones alone would be possible, so empties do not attract strangers and no pair is lost.
 
 A pair that differs less shares more: ``shared_least`` bounds the common signatures of a similar pair from below, and a
-document with fewer shared signatures than any partner of its size asks for has no partner.  Such documents leave, which
-empties their groups, until few leave; documents that merely share a passage go that way.
+document with fewer shared signatures than any partner of its size asks for has no partner.  Such documents leave, twice,
+as each time others lose signatures with them; documents that merely share a passage go that way.  Signatures of the same
+members, of which near copies have hundreds, are one group with their number as its weight.
 
 Pairs are not spelled out within a signature's group.  Round 1 verifies each member against the group's smallest class.
 Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of different
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import bounded_batches, components, discard, materialize, narrow_join, new_path, partitions, remove
-from lodestone.llm.words import U, WordHashes, chunks, mix64, shingles
+from lodestone.llm.words import U, WordHashes, chunks, mix64, shingle_sets, shingles
 
 BINS = 64
 #: Sub-partitions of a partition; each subset that leaves one out is a signature.
@@ -84,11 +85,12 @@ class Bands:
         a second one the third."""
         return np.maximum(0, SUBS * n - (SUBS - 1) * np.minimum(k, n) - np.clip(k - n, 0, n))
 
-    def signs_empty(self, size: int, family: int, empty: int) -> bool:
-        """Whether a set's empty subsets sign: with so many, a partner could agree with it on empty ones alone."""
-        band = int(self.of(np.array([size]))[0])
-        other = min(size * self.den // self.num, self.high[band] * self.den // self.num) if family == band else self.high[family]
-        return empty >= self.alike(np.int64(self.partitions(family)), np.int64(self.differences(size, other)))
+    def sign_empties(self, sizes: np.ndarray, family: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        """Whether sets' empty subsets sign: with so many, a partner could agree with a set on empty ones alone."""
+        band = self.of(sizes)
+        high = np.array(self.high)
+        other = np.where(family == band, np.minimum(sizes, high[band]) * self.den // self.num, high[family])
+        return empty >= self.alike(self._partitions(family), self.differences(sizes, other))
 
     def shared_least(self, x: np.ndarray, y: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
         """Fewest signatures that similar sets of sizes x and y share; ex, ey (n, 2): their empty subsets in the family of
@@ -118,40 +120,51 @@ class Bands:
         return np.maximum(1, np.minimum(np.minimum(within, up), down))
 
 
-def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
-    """Signatures of one sorted distinct shingle set, and its empty subsets in its band's family and the one below."""
-    if not len(s):
-        return np.empty(0, U), [0, 0]
-    band, out, empty = int(bands.of(np.array([len(s)]))[0]), [], []
-    strong = mix64(s ^ U(0x5851F42D4C957F2D))
-    for family in (band, band - 1):
-        n = bands.partitions(family)
-        if not n:
-            empty.append(0)
-            continue
-        at = (s % U(SUBS * n)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        held = np.bincount(at, minlength=SUBS * n).reshape(n, SUBS)
-        ends = np.cumsum(held.ravel())
-        run = np.r_[U(0), np.cumsum(strong[order], dtype=U)]
-        sums = (run[ends] - run[ends - held.ravel()]).reshape(n, SUBS)
+def sign_sets(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of distinct non-empty shingle sets and whose they are, and each set's empty subsets (n, 2) in its band's
+    family and the one below."""
+    if not sets:
+        return np.empty(0, U), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    sizes = np.array([len(s) for s in sets])
+    band, flat, owner = bands.of(sizes), np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    strong = mix64(flat ^ U(0x5851F42D4C957F2D))
+    sigs, owners, empties = [], [], np.zeros((len(sets), 2), np.int64)
+    for step in (0, 1):
+        family = band - step
+        cells = SUBS * bands._partitions(family)
+        first = np.cumsum(cells) - cells
+        some = cells[owner] > 0
+        at = first[owner[some]] + (flat[some] % cells[owner[some]].astype(U)).astype(np.int64)
+        held = np.bincount(at, minlength=int(cells.sum())).reshape(-1, SUBS)
+        sums = np.zeros(held.size, U)
+        np.add.at(sums, at, strong[some])
+        sums = sums.reshape(-1, SUBS)
         # a subset is the partition without one of its sub-partitions
-        whole = sums.sum(axis=1, dtype=U)[:, None] - sums
+        whole = (sums.sum(axis=1, dtype=U)[:, None] - sums).ravel()
         filled = (held.sum(axis=1)[:, None] - held).ravel() > 0
-        sig = mix64(whole.ravel() + mix64(np.arange(SUBS * n, dtype=U) + U(family + 1) * U(1 << 40)))
-        empty.append(int(len(filled) - filled.sum()))
-        out.append(sig if bands.signs_empty(len(s), family, empty[-1]) else sig[filled])
-    return np.unique(np.concatenate(out)), empty
-
-
-def print_of(s: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return mix64(s).sum(dtype=U).tobytes() + mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).tobytes()
+        of = np.repeat(np.arange(len(sets)), cells)
+        place = (np.arange(len(of)) - first[of]).astype(U) + (family[of] + 1).astype(U) * U(1 << 40)
+        empties[:, step] = cells - np.bincount(of[filled], minlength=len(sets))
+        keep = filled | (bands.sign_empties(sizes, family, empties[:, step]) & (cells > 0))[of]
+        sigs.append(mix64(whole[keep] + mix64(place[keep])))
+        owners.append(of[keep])
+    return np.concatenate(sigs), np.concatenate(owners), empties
+
+
+def prints_of(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits that stand for each of some non-empty sets."""
+    if not sets:
+        return []
+    start = np.cumsum([0, *map(len, sets[:-1])])
+    flat = np.concatenate(sets)
+    both = np.stack([np.add.reduceat(mix64(flat), start, dtype=U), np.add.reduceat(mix64(flat ^ U(0x2545F4914F6CDD1D)), start, dtype=U)], axis=1)
+    data = both.tobytes()
+    return [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
 #: What the signing pass leaves for each row of the input (kind 0) and each class of a shared signature (kind 1).
-FIELDS = "kind int, id long, n_shingles long, print binary, bins binary, empty binary, least long, tag long, sig long"
-KINDS = {"id": pa.int64(), "n_shingles": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "empty": pa.binary(), "least": pa.int64(), "tag": pa.int64(), "sig": pa.int64()}
+FIELDS = "kind int, id long, n_shingles long, print binary, bins binary, empty binary, least long, tag long, sig long, weight long"
+KINDS = {"id": pa.int64(), "n_shingles": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "empty": pa.binary(), "least": pa.int64(), "tag": pa.int64(), "sig": pa.int64(), "weight": pa.int64()}
 
 
 def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, shards: int) -> DataFrame:
@@ -162,34 +175,32 @@ def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(num, den)
-        for b in chunks(batches):
-            sigs, tags, seen, sets = [], [], {}, []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, hashes, width)
-                if not len(s) or i is None:
-                    sets.append((i, len(s), *[None] * 5))
-                    continue
-                name = print_of(s)
-                if name not in seen:  # copies within a slice sign once; all copies are one class
-                    g, empty = signatures(s, bands)
-                    tag = int.from_bytes(name[:8], "little", signed=True)
-                    bins = np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-                    least = int(bands.shared_by_any(np.array([len(s)]), np.array([empty]))[0])
-                    seen[name] = bins, np.array(empty, np.int32).tobytes(), least, tag
-                    sigs.append(g)
-                    tags.append(np.full(len(g), tag, np.int64))
-                sets.append((i, len(s), name, *seen[name]))
-            rows = [(j % shards, *x, None, None) for j, x in enumerate(sets)]
-            if sigs:
-                g, i = np.concatenate(sigs), np.concatenate(tags)
+        for b in chunks(batches, 1 << 20):
+            ids, sets = b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), hashes, width)
+            some = [k for k, (i, s) in enumerate(zip(ids, sets, strict=True)) if len(s) and i is not None]
+            names = prints_of([sets[k] for k in some])
+            first: dict[bytes, int] = {}  # copies within a slice sign once; all copies are one class
+            for name, k in zip(names, some, strict=True):
+                first.setdefault(name, k)
+            own = [sets[k] for k in first.values()]
+            g, owner, empty = sign_sets(own, bands)
+            sizes = np.array([len(s) for s in own], np.int64)
+            tags = np.frombuffer(b"".join(first), np.int64)[::2]
+            bins = np.bincount(np.repeat(np.arange(len(own)), sizes) * BINS + (np.concatenate(own) >> U(58)).astype(np.int64), minlength=BINS * len(own)) if own else np.empty(0, np.int64)
+            bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
+            least = bands.shared_by_any(sizes, empty) if own else sizes
+            about = {name: (name, bins[j].tobytes(), empty[j].astype(np.int32).tobytes(), int(least[j]), int(tags[j])) for j, name in enumerate(first)}
+            of = dict(zip(some, names, strict=True))
+            rows = [(k % shards, i, len(s), *(about[of[k]] if k in of else [None] * 5), None, None) for k, (i, s) in enumerate(zip(ids, sets, strict=True))]
+            if len(g):
                 shard = ((g >> U(33)) % U(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                g, i = g[order], i[order]
+                g, i = g[order], tags[owner[order]]
                 at = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows += [(x, *[None] * 7, g[p:q].tobytes(), i[p:q].tobytes()) for x, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if p < q]
             kinds = [pa.int32(), *list(KINDS.values())[:7], pa.binary(), pa.binary()]
-            names = ["shard", *list(KINDS)[:7], "sigs", "tags"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
+            fields = ["shard", *list(KINDS)[:7], "sigs", "tags"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=fields)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind, n, **cols):
@@ -218,12 +229,23 @@ def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
         if len(g):  # copies of one class that were signed in several slices count once
             new = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
             g, i = g[new], i[new]
-        same = g[1:] == g[:-1]
-        twin = np.r_[False, same] | np.r_[same, False] if len(g) else np.zeros(0, bool)
-        g, i = g[twin].view(np.int64), i[twin]
+        if not len(g):
+            return
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        size = np.diff(np.r_[start, len(g)])
+        # groups of two or more; of those with the same members the first, with their number
+        whose = np.stack([np.add.reduceat(mix64(i.view(U)), start, dtype=U), np.add.reduceat(mix64(i.view(U) ^ U(0x2545F4914F6CDD1D)), start, dtype=U), size.astype(U)], axis=1)
+        start, size, whose = start[size > 1], size[size > 1], whose[size > 1]
+        order = np.lexsort(whose.T)
+        start, size, whose = start[order], size[order], whose[order]
+        new = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]).any(axis=1)]) if len(start) else np.empty(0, np.int64)
+        weight = np.diff(np.r_[new, len(start)])
+        start, size = start[new], size[new]
+        at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(start) else new
+        g, i, weight = g[at].view(np.int64), i[at], np.repeat(weight, size)
         for at in range(0, len(g), 100_000):
             cut = slice(at, at + 100_000)
-            yield out(1, len(g[cut]), tag=pa.array(i[cut]), sig=pa.array(g[cut]))
+            yield out(1, len(g[cut]), tag=pa.array(i[cut]), sig=pa.array(g[cut]), weight=pa.array(weight[cut]))
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     cut = rows.mapInArrow(sign, "shard int, id long, n_shingles long, print binary, bins binary, empty binary, least long, tag long, sigs binary, tags binary")
@@ -244,7 +266,7 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text:
             a, c = [], []
             for x, y, name, t in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 s = shingles(t, hashes, width)
-                if print_of(s) != name:
+                if not len(s) or prints_of([s])[0] != name:
                     continue  # another text under the same id
                 if y is None:
                     now, own = x, s
@@ -272,7 +294,7 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text:
 def _close(num: int, den: int, nearest: bool):
     """Pairs of one signature's members from different components that sizes and bins allow, with ``shared_least``.
 
-    Input rows: sig, x, y (blocks of the group), right, c, n_shingles, comp, bins, empty; sorted by the first four.  Where x
+    Input rows: sig, x, y (blocks of the group), right, c, n_shingles, comp, weight, bins, empty; sorted by the first four.  Where x
     and y differ, only pairs of a left and a right member are tried.  ``nearest``: of each signature and two components
     (by block) only the pair whose bins are closest, with their distance and the components.
     """
@@ -280,7 +302,7 @@ def _close(num: int, den: int, nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
 
-        def test(ids, sizes, comps, bins, empty, u, v):
+        def test(ids, sizes, comps, weight, bins, empty, u, v):
             ok = (comps[u] != comps[v]) & (np.minimum(sizes[u], sizes[v]) * den >= np.maximum(sizes[u], sizes[v]) * num)
             u, v = u[ok], v[ok]
             for at in range(0, len(u), 1 << 17):
@@ -288,6 +310,7 @@ def _close(num: int, den: int, nearest: bool):
                 far = np.abs(bins[p].astype(np.int16) - bins[q]).sum(axis=1, dtype=np.int64)
                 near = far <= bands.differences(sizes[p], sizes[q])
                 p, q, far = p[near], q[near], far[near]
+                w = weight[p]
                 if not len(p):
                     continue
                 a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
@@ -299,7 +322,7 @@ def _close(num: int, den: int, nearest: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(z[first]) for z in (a, b, far, x, y)], names=["a", "b", "far", "x", "y"])
                 else:
                     least = bands.shared_least(sizes[p], sizes[q], empty[p], empty[q])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least)], names=["a", "b", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least), pa.array(w)], names=["a", "b", "least", "weight"])
 
         def tiles(x, y, right, *cols):
             """Sorted whole tiles; those of one size and kind are tried together."""
@@ -322,9 +345,9 @@ def _close(num: int, den: int, nearest: bool):
 
         held = None
         for b in chunks(batches):
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            now.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, BINS))
-            now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, BINS))
+            now.append(np.frombuffer(b"".join(b.column(9).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
             if held is not None:
                 now = [np.concatenate(z) for z in zip(held, now, strict=True)]
             sig, x, y = now[:3]
@@ -346,7 +369,15 @@ def _tiles(rows: DataFrame, spark) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"x": F.least("home", "other"), "y": F.greatest("home", "other"), "right": (F.col("home") > F.col("other")).cast("int")})
     keys = ["sig", "x", "y"]
-    return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "right").select(*keys, "right", "c", "n_shingles", "comp", "bins", "empty")
+    return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "right").select(*keys, "right", "c", "n_shingles", "comp", "weight", "bins", "empty")
+
+
+def _collapsed(rows: DataFrame) -> DataFrame:
+    """(sig, tag, low, weight) of groups of two or more; one of all groups with the same members, with their joint weight."""
+    seen = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("tag")))
+    groups = rows.groupBy("sig").agg(F.min("tag").alias("low"), seen(1).alias("x"), seen(2).alias("y"), F.count("*").alias("n"), F.first("weight").alias("w")).where("n > 1")
+    heads = groups.groupBy("x", "y", "n", "low").agg(F.min("sig").alias("sig"), F.sum("w").alias("weight")).select("sig", "low", "weight")
+    return rows.select("sig", "tag").join(heads, "sig").select("sig", "tag", "low", "weight")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -359,17 +390,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shards = max(partitions(spark), docs.rdd.getNumPartitions())
     _sign(docs, key, text, width, num, den, shards).write.partitionBy("kind").parquet(path)
     signed = spark.read.schema(FIELDS).parquet(path)
-    every, shared = signed.where("kind = 0"), signed.where("kind = 1").select("tag", "sig")
+    every, shared = signed.where("kind = 0"), signed.where("kind = 1").select("sig", "tag", "weight")
     sets = every.where("print IS NOT NULL")
 
     # Documents that share too few signatures leave, and signatures that one class is left of.
     members, known = shared, sets.select("tag", "least")
     for _ in range(2):
-        enough = members.groupBy("tag").agg(F.count("*").alias("n_shared"))
+        enough = members.groupBy("tag").agg(F.sum("weight").alias("n_shared"))
         known = materialize(narrow_join(known, enough, "tag").where("n_shared >= least").select("tag", "least").distinct(), "able")
-        rows = narrow_join(members.select("sig", "tag"), known.select("tag"), "tag", "left_semi")
-        lows = rows.groupBy("sig").agg(F.min("tag").alias("low"), F.count("*").alias("n")).where("n > 1").select("sig", "low")
-        members = materialize(rows.join(lows, "sig").select("sig", "tag", "low"), "members")
+        rows = narrow_join(members.select("sig", "tag", "weight"), known.select("tag"), "tag", "left_semi")
+        members = materialize(_collapsed(rows), "members")
     # Classes that may have partners, and those of ids that repeat with several texts, which bind their classes.
     several = sets.groupBy("id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select("id")
     several = materialize(narrow_join(sets, several, "id", "left_semi").select("id", "print").distinct(), "several")
@@ -394,19 +424,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Round 2: groups that hold several components.  First the nearest pair of each two components of a group: where one
     # links them, their other pairs are settled.  Then all pairs that are left; similar ones share several signatures.
     for nearest in (True, False):
-        rows = members.select("sig", "tag").join(label, "tag").select("sig", "c", "comp")
+        rows = members.select("sig", "tag", "weight").join(label, "tag").select("sig", "c", "comp", "weight")
         open_ = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
         rows = materialize(rows.join(open_, "sig", "left_semi"), "open")
         # a partner in another component shares the signatures that hold both, which are open
-        many = rows.groupBy("c").agg(F.count("*").alias("n")).join(info.select("c", "n_shingles", "bins", "empty", "tag"), "c")
+        many = rows.groupBy("c").agg(F.sum("weight").alias("n")).join(info.select("c", "n_shingles", "bins", "empty", "tag"), "c")
         many = narrow_join(many, known, "tag").where("n >= least").drop("n", "tag", "least").distinct()
         rows = _tiles(rows.join(many, "c"), spark)
         if nearest:
             pairs = rows.mapInArrow(_close(num, den, True), "a long, b long, far long, x long, y long")
             pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
-            pairs = rows.mapInArrow(_close(num, den, False), "a long, b long, least long")
-            pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("shares")).where("shares >= least")
+            pairs = rows.mapInArrow(_close(num, den, False), "a long, b long, least long, weight long")
+            pairs = pairs.groupBy("a", "b", "least").agg(F.sum("weight").alias("shares")).where("shares >= least")
         pairs = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = materialize(links.unionByName(_verify(pairs, info, docs, key, text, width, num, den)), "links")
