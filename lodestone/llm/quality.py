@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import bounded_batches, materialize, narrow_join
+from lodestone.llm.shared import bounded_batches, discard, materialize, narrow_join
 from lodestone.llm.words import chunks
 
 ORDER = 4
@@ -48,42 +48,59 @@ LONG, BACK = 4, 12
 BOUND, REPEAT = 0, 0xFFFF
 #: Bytes of text that are scored together.
 CHUNK_BYTES = 32 << 20
+#: Bytes of text whose symbols are found together.
+RUN_BYTES = 1 << 19
 #: Digits of mean negative log probabilities.
 PLACES = 3
-SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-
-
-def symbols(text: str | None) -> np.ndarray:
-    """Symbols of a text, three boundaries in front."""
-    if not text:
-        return np.zeros(ORDER - 1, np.uint64)
-    units = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    # code points beyond the basic plane share the places of the surrogates, which no text has
-    out = np.where(units > 0xFFFF, 0xD800 + units % 2048, units).astype(np.uint64)
-    blank = np.isin(units, SPACES)
-    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+#: Which code points are white space, NUL included; none is beyond the last.
+BLANK = np.array([chr(c).isspace() or not c for c in range(0x3002)])
+
+
+def symbol_run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of some texts, three boundaries before each and one behind the last, and where the boundaries start."""
+    units = np.frombuffer(("\0\0\0" + "\0\0\0".join(texts) + "\0").encode("utf-32-le", "replace"), np.uint32)
+    out, beyond = units.astype(np.uint64), units > 0xFFFF
+    if beyond.any():  # they share the places of the surrogates, which no text has
+        out[beyond] = 0xD800 + out[beyond] % np.uint64(2048)
+    offset = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts)])
+    blank = BLANK[np.minimum(units, len(BLANK) - 1)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
     if len(start) > 1:
         # a word's number: sums of mixed letters by place, upper case folded for ASCII
-        low = np.where((units >= 65) & (units <= 90), units + 32, units).astype(np.uint64)
-        place = np.arange(len(units)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(units)]))
-        with np.errstate(over="ignore"):
-            mixed = (low + np.uint64(0x9E37)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed[blank] = 0
-        word = np.add.reduceat(mixed, start)
+        size = end - start
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        letters = units[np.repeat(start, size) + place].astype(np.uint64)
+        letters[(letters >= 65) & (letters <= 90)] += np.uint64(32)
+        mixed = (letters + np.uint64(0x9E37)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        word = np.add.reduceat(mixed, np.cumsum(size) - size)
+        of = np.searchsorted(offset, start, side="right")
         again = np.zeros(len(word), bool)
         for back in range(1, min(BACK, len(word) - 1) + 1):
-            again[back:] |= word[back:] == word[:-back]
-        again &= end - start >= LONG
+            again[back:] |= (word[back:] == word[:-back]) & (of[back:] == of[:-back])
+        again &= size >= LONG
         out = np.insert(out, end[again], REPEAT)
-    return np.r_[np.zeros(ORDER - 1, np.uint64), out]
+        offset = offset + np.searchsorted(end[again], offset, side="right")
+    return out, offset
+
+
+def symbols(text: str | None) -> np.ndarray:
+    """Symbols of a text, three boundaries in front."""
+    return symbol_run([text or ""])[0][:-1]
 
 
-def grams(s: np.ndarray) -> np.ndarray:
-    """The 4-grams of ``symbols`` as 64-bit numbers, the last symbol in the lowest 16 bits."""
-    return ((s[:-3] << np.uint64(48)) | (s[1:-2] << np.uint64(32)) | (s[2:-1] << np.uint64(16)) | s[3:]).view(np.int64)
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' 4-grams as 64-bit numbers, the last symbol in the lowest 16 bits, and how many each text has."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    s, offset = symbol_run([t or "" for t in texts])
+    codes = ((s[:-4] << np.uint64(48)) | (s[1:-3] << np.uint64(32)) | (s[2:-2] << np.uint64(16)) | s[3:-1]).view(np.int64)
+    own = np.ones(len(codes), bool)
+    between = offset[1:-1, None] - np.arange(1, ORDER)
+    own[between[between >= 0]] = False
+    return codes[own], np.diff(offset) - (ORDER - 1)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -99,10 +116,10 @@ def _counted(texts: DataFrame) -> DataFrame:
     """(gram, n) of a text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            held = [grams(symbols(t)) for t in b.column(0).to_pylist() if t]
-            if held:
-                at, found = pd.factorize(np.concatenate(held))
+        for b in chunks(batches, RUN_BYTES):
+            codes, _ = grams(b.column(0).to_pylist())
+            if len(codes):
+                at, found = pd.factorize(codes)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, minlength=len(found)))], names=["gram", "n"])
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -158,8 +175,9 @@ def _fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str) -> tuple[DataFrame, str, str]:
-    """``docs`` with the number of symbols and their negative log probability, and the names of these two columns."""
+def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str) -> tuple[DataFrame, str, str, list[DataFrame]]:
+    """``docs`` with the number of symbols and their negative log probability; the names of these two columns; the tables
+    that can go once the rows are written."""
     bounded_batches(docs.sparkSession)
     if re.search(r"\bExchange\b", docs._jdf.queryExecution().executedPlan().toString()):
         docs = materialize(docs, "measured")  # two readings must have the same partitions
@@ -172,22 +190,21 @@ def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: st
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, np.empty(0, np.int64)
-        for b in chunks(batches):
-            texts, of_chunk = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for c in dict.fromkeys(of_chunk.tolist()):
+        for b in chunks(batches, RUN_BYTES):
+            texts, of_chunk = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for c in dict.fromkeys(of_chunk):
                 if c != now and len(held):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now)), pa.array(held)], names=["chunk", "gram"])
                     held = held[:0]
                 now = c
-                met = [grams(symbols(t)) for t, x in zip(texts, of_chunk.tolist(), strict=True) if x == c and t]
-                if met:
-                    held = pd.unique(np.concatenate([held, pd.unique(np.concatenate(met))]))
+                codes, _ = grams([t for t, x in zip(texts, of_chunk, strict=True) if x == c and t])
+                held = pd.unique(np.concatenate([held, pd.unique(codes)]))
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now)), pa.array(held)], names=["chunk", "gram"])
 
     asked = materialize(docs.select(text, number.alias(chunk)).mapInArrow(ask, "chunk long, gram long"), "asked")
     needed = materialize(asked.select("gram").distinct(), "needed")
-    answers = asked.join(probabilities(needed, model), "gram").select(F.col("chunk").alias("of_chunk"), "gram", "p")
+    answers = asked.join(probabilities(needed, model), "gram").select(F.col("chunk").alias("of_chunk"), "gram", (-F.log("p")).cast("float").alias("cost"))
     dealt = docs.withColumn(chunk, number)
     at, of = docs.columns.index(text), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType()), T.StructField(cost, T.DoubleType())])
@@ -195,12 +212,11 @@ def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: st
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("gram").to_numpy()
         order = np.argsort(known)
-        known, cost_of = known[order], -np.log(right.column("p").to_numpy()[order])
+        known, cost_of = known[order], right.column("cost").to_numpy()[order].astype(np.float64)
         n_, nll = [], []
-        for b in chunks(left.to_batches()):
-            found = [grams(symbols(t)) if t else np.empty(0, np.int64) for t in b.column(at).to_pylist()]
-            sizes = np.array([len(f) for f in found], np.int64)
-            codes, distinct = pd.factorize(np.concatenate(found)) if len(found) else (np.empty(0, np.int64), known[:0])
+        for b in chunks(left.to_batches(), RUN_BYTES):
+            found, sizes = grams(b.column(at).to_pylist())
+            codes, distinct = pd.factorize(found)
             place = np.searchsorted(known, distinct)
             if len(distinct) and (not len(known) or (known[np.minimum(place, len(known) - 1)] != distinct).any()):
                 raise RuntimeError("a chunk's documents changed between its two readings")
@@ -212,7 +228,7 @@ def measured(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: st
         return pa.Table.from_arrays([*[left.column(i) for i in range(of)], *made], schema=None, names=schema.fieldNames())
 
     out = dealt.groupBy(chunk).cogroup(answers.groupBy("of_chunk")).applyInArrow(answer, schema)
-    return out, count, cost
+    return out, count, cost, [asked, needed]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.999) -> dict:
@@ -226,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     trusted = narrow_join(texts, materialize(trusted, "trusted"), "id")
     half = F.pmod(F.xxhash64("id"), F.lit(2))
     model = train(trusted.where(half == 0).select("t"))
-    held, count, cost = measured(trusted.where(half == 1).select("t", "l"), model, "t")
+    held, count, cost, spent = measured(trusted.where(half == 1).select("t", "l"), model, "t")
     held = materialize(held.select("l", F.col(count).alias("n"), F.col(cost).alias("nll")), "held")
+    discard(*spent)
     mean = F.round(F.col("nll") / F.col("n"), PLACES)
     middle = held.agg(F.percentile(mean, F.lit(0.5))).first()[0]
     medians = held.groupBy("l").agg(F.percentile(mean, F.lit(0.5)).alias("median")).select(_language("l").alias("of"), "median")
@@ -249,7 +266,7 @@ def _mean(cost: str, count: str) -> Column:
 
 def _judged(docs: DataFrame, fitted: dict, text: str, lang: str) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, the mean and whether it is good; and their names."""
-    rows, count, cost = measured(docs, fitted["model"], text)
+    rows, count, cost, _ = measured(docs, fitted["model"], text)
     middle, most = fitted["other"]
     mean, good = _fresh(docs.columns, "mean"), _fresh(docs.columns, "good")
     limits = fitted["limits"].select(F.col("of").alias("_of"), F.struct("median", "most").alias("_limit"))
