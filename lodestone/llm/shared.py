@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch on its way to or from a Python worker; long texts make a batch of few rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Edges, counted, up to which a round of ``components`` is one task; beyond, the same round shuffles.
+ONE_TASK = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)`` for every node of an edge.
 
@@ -88,21 +92,25 @@ def components(edges: DataFrame) -> DataFrame:
     edges are harmless; nulls must be filtered by the caller.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    small = e.count() <= ONE_TASK
+    joint = (lambda df: df.coalesce(1)) if small else (lambda df: df)  # rows of one partition need no exchange
     before = None
     while True:
+        held, e = e, joint(e)
         # large star: every larger neighbour of a node points to the node's smallest neighbour
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # edges whose larger end is the centre keep a link to that centre's minimum
         own = low.where("m < u").select("u", F.col("m").alias("v"))
-        e1 = big.unionByName(own).where("u > v").distinct()
+        e1 = joint(big.unionByName(own)).where("u > v").distinct()
         # small star: smaller neighbours and the node itself point to the smallest neighbour
         m1 = e1.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = e1.join(m1, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m1.select("u", F.col("m").alias("v")))
-        last, e = e, materialize(e2.where("u > v").distinct(), "cc")
-        discard(last)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e2 = joint(e1.join(m1, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m1.select("u", F.col("m").alias("v"))))
+        after = materialize(e2.where("u > v").distinct(), "cc")
+        now = tuple(joint(after).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e = after
+        remove(e.sparkSession, held._written)
         if now == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -6,8 +6,10 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U = np.uint64
@@ -59,9 +61,34 @@ def shingles(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndarray
     return np.unique(mix64(acc))
 
 
+def shingle_sets(texts: list[str | None], hashes: WordHashes, width: int = 5) -> list[np.ndarray]:
+    """``shingles`` of each text, hashed in one go."""
+    found = [words(t) for t in texts]
+    sizes = [len(w) for w in found]
+    ends = np.cumsum(sizes).tolist()
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(found)), U, ends[-1] if ends else 0)
+    acc = h.copy()
+    for j in range(1, width):
+        acc *= _A
+        acc[: max(0, len(h) - j)] += h[j:]
+    acc = mix64(acc)
+    out = []
+    for t, n, end in zip(texts, sizes, ends, strict=True):
+        if n < width:
+            out.append(shingles(t, hashes, width))
+            continue
+        own = np.sort(acc[end - n : end - width + 1])
+        new = np.empty(len(own), bool)
+        new[0] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
+    return out
+
+
 def release() -> None:
     """Give back what a reused worker process has left of its earlier tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -73,3 +100,5 @@ def chunks(batches: Iterator, max_bytes: int = 4 << 20) -> Iterator:
         step = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    b = None
+    release()

@@ -1,12 +1,16 @@
 """Joins, components and the pipeline against plain versions that compare everything with everything."""
 
+import collections
+import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
 
-from lodestone.llm import byte_bpe, embedding_dedup, jaccard_join, mixing, quality, toxicity
+from lodestone.llm import byte_bpe, embedding_dedup, jaccard_join, mixing, quality, shared, toxicity
 from lodestone.llm.shared import components
+from lodestone.llm.words import WordHashes, shingle_sets, shingles
 
 
 def closure(ids, links):
@@ -71,6 +75,24 @@ def test_jaccard_components(spark, seed):
     assert got == jaccard_truth(rows)
 
 
+def signed(s, bands):
+    g, _, empty = jaccard_join.sign_sets([s], bands)
+    return g, empty[0]
+
+
+def test_sets_sign_together_as_alone():
+    rng, bands = np.random.default_rng(1), jaccard_join.Bands(4, 5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in [1, 2, 3, 5, 500, 1, 40, 7000, 9]]
+    g, owner, empty = jaccard_join.sign_sets(sets, bands)
+    for k, s in enumerate(sets):
+        alone, e = signed(s, bands)
+        assert sorted(alone.tolist()) == sorted(g[owner == k].tolist()) and e.tolist() == empty[k].tolist() and len(set(alone.tolist())) == len(alone)
+    texts = [None, "", "a", "a b c d", "a b c d e", "A b c d e f g " * 9, " \t x", "é ü ñ ö ß"]
+    one = [shingles(t, WordHashes()) for t in texts]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(one, shingle_sets(texts, WordHashes()), strict=True))
+    assert shingle_sets([], WordHashes()) == [] and [len(x) for x in shingle_sets(["a", None], WordHashes())] == [1, 0]
+
+
 def test_signatures_meet_for_all_similar_pairs():
     """At and above the threshold a shared signature is certain, and no fewer are shared than the bound says."""
     rng = np.random.default_rng(4)
@@ -84,7 +106,7 @@ def test_signatures_meet_for_all_similar_pairs():
         if not len(other) or 5 * both < 4 * (len(base) + len(other) - both):
             continue
         bands = jaccard_join.Bands(4, 5)
-        (a, ea), (b, eb) = jaccard_join.signatures(base, bands), jaccard_join.signatures(other, bands)
+        (a, ea), (b, eb) = signed(base, bands), signed(other, bands)
         shared = len(np.intersect1d(a, b))
         assert shared >= bands.shared_least(np.array([len(base)]), np.array([len(other)]), np.array([ea]), np.array([eb]))[0] >= 1
         assert shared >= bands.shared_by_any(np.array([len(base)]), np.array([ea]))[0] >= 1
@@ -105,7 +127,7 @@ def test_bounds_hold_for_the_largest_differences(similarity):
             pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m)).astype(np.uint64))
             pool = rng.permutation(pool)
             x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
-            (a, ea), (b, eb) = jaccard_join.signatures(x, bands), jaccard_join.signatures(y, bands)
+            (a, ea), (b, eb) = signed(x, bands), signed(y, bands)
             shared = len(np.intersect1d(a, b))
             assert shared >= bands.shared_least(np.array([n]), np.array([m]), np.array([ea]), np.array([eb]))[0] >= 1
             assert shared >= max(bands.shared_by_any(np.array([n]), np.array([ea]))[0], bands.shared_by_any(np.array([m]), np.array([eb]))[0])
@@ -138,7 +160,9 @@ def test_groups_in_blocks(spark, monkeypatch):
     assert got == jaccard_truth(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(shared, "ONE_TASK", one_task)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, 100 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -167,6 +191,74 @@ def test_embedding_components(spark, block):
     assert got == {(i, int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(rows))}
 
 
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over symbols by dictionaries, from the definition."""
+
+    def __init__(self, texts):
+        self.counts = {quality.ORDER: collections.Counter()}
+        for t in texts:
+            s = quality.symbols(t).tolist()
+            self.counts[quality.ORDER].update(tuple(s[i : i + quality.ORDER]) for i in range(len(s) - quality.ORDER + 1))
+        for order in range(quality.ORDER - 1, 0, -1):
+            self.counts[order] = collections.Counter(g[1:] for g in self.counts[order + 1])
+        self.total, self.lost = collections.Counter(), collections.Counter()
+        self.cut = {}
+        for order, c in self.counts.items():
+            of = collections.Counter(c.values())
+            n1, n2, n3, n4 = (of[k] for k in (1, 2, 3, 4))
+            d = (0.5, 0.75, 0.9)
+            if min(n1, n2, n3, n4):
+                y = n1 / (n1 + 2 * n2)
+                d = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+            self.cut[order] = d
+            for g, n in c.items():
+                self.total[g[:-1]] += n
+                self.lost[g[:-1]] += d[min(n, 3) - 1]
+
+    def p(self, g):
+        if not g:
+            return 1 / quality.SYMBOLS
+        n, context = self.counts[len(g)][g], g[:-1]
+        if not self.total[context]:
+            return self.p(g[1:])
+        return ((n - self.cut[len(g)][min(n, 3) - 1]) / self.total[context] if n else 0) + self.lost[context] / self.total[context] * self.p(g[1:])
+
+    def nll(self, text):
+        s = quality.symbols(text).tolist()
+        return -sum(math.log(self.p(tuple(s[i : i + quality.ORDER]))) for i in range(len(s) - quality.ORDER + 1))
+
+
+def plain_quality(texts, langs, trusted, halves, quantile=0.999):
+    """Which texts are good: everything from the definition.  ``halves``: 0 trains, 1 sets limits."""
+    model = PlainKneserNey([texts[i] for i in trusted if halves[i] == 0 and texts[i]])
+    n = {i: len(quality.symbols(t)) - quality.ORDER + 1 for i, t in texts.items()}
+    nll = {i: model.nll(t) for i, t in texts.items()}
+    held = [i for i in trusted if halves[i] == 1 and texts[i]]
+    middle = {x: np.percentile([round(nll[i] / n[i], 3) for i in held if langs[i] == x], 50) for x in {langs[i] for i in held}}
+    mean = lambda i: round((nll[i] + quality.PRIOR * middle[langs[i]]) / (n[i] + quality.PRIOR), 3)
+    most = {x: np.percentile([mean(i) for i in held if langs[i] == x], 100 * quantile) for x in middle}
+    return {i: math.exp(mean(i)) for i in texts}, {i for i in texts if not n[i] or mean(i) <= most[langs[i]]}
+
+
+def test_quality_against_a_plain_version(spark):
+    rng = random.Random(9)
+    vocabulary = {"en": ["the", "river", "runs", "past", "quiet", "houses", "while"], "el": ["το", "ποτάμι", "τρέχει", "δίπλα", "σπίτια"]}
+    texts, langs = {}, {}
+    for i in range(160):
+        langs[i] = rng.choice(["en", "el"])
+        t = " ".join(rng.choice(vocabulary[langs[i]]) for _ in range(rng.randint(1, 40)))
+        texts[i] = t if i % 8 else "".join(rng.sample(t, len(t)))
+    texts |= {160: None, 161: ""}
+    langs |= {160: "en", 161: "el"}
+    docs = spark.createDataFrame([(i, texts[i], langs[i]) for i in texts], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(120)], "doc_id long, quality int")
+    halves = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2L) AS h").collect()}
+    perplexity, good = plain_quality(texts, langs, [i for i in range(120) if i % 8], halves)
+    got = {r["doc_id"]: r for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert all(math.isclose(got[i]["perplexity"], perplexity[i], rel_tol=2e-3) for i in texts)  # means are rounded
+    assert {i for i in texts if got[i]["good"]} == good and 100 < len(good) < 162
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's rows from its predecessor's by a plain version of its decision."""
     import corpus_pipeline
@@ -190,14 +282,9 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     good = step("quality", docs)
     assert good.columns == docs.columns
-    fitted = quality.fit(docs, labels)
-    model = quality.dense(fitted["model"])
     kept = {r["doc_id"] for r in good.collect()}
-    for r in docs.collect():
-        s = quality.symbols(r["text"])
-        median, most = fitted["limits"]["en"]
-        mean = (-model[quality.grams(s)].sum(dtype=float) + quality.PRIOR * median) / (len(s) - 3 + quality.PRIOR)
-        assert (r["doc_id"] in kept) == (len(s) == 3 or mean <= most)
+    halves = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2L) AS h").collect()}
+    assert kept == plain_quality(dict(enumerate(texts)), dict.fromkeys(range(len(texts)), "en"), [i for i in range(160) if not 150 <= i < 160], halves)[1]
     assert not kept & set(range(150, 160)) and len(kept) >= 160
     clean = step("toxicity", good)
     scorer = toxicity.Scorer(**toxicity.fit(good, labels))
@@ -214,3 +301,36 @@ def test_pipeline(spark, tmp_path):
     rows = step("tokenize", mixed).collect()
     assert len(rows) == sum(copies.values()) and all(r["ids"] == enc.encode_ordinary(left[r["doc_id"]] or "") for r in rows)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_pipeline_on_odd_input(spark, tmp_path):
+    """Nulls, empty and long texts, repeated ids and rows, names that operators use themselves; and no rows at all."""
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    long = "alpha beta gamma delta epsilon zeta eta theta " * 4000
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, "one two three four five six", "a"), (3, None, "a"), (4, "", None), (5, long, "a"), (6, long, "b"), (7, "short", "b"), (7, "a longer text under the same id", "b"), (None, "no id", "a"), (None, "no id", "a"), (8, "größe € 🙂", None)]
+    kind = "doc_id long, text string, source string, lang string, n_chars long, place int, nll string, chunk string, _of string"
+    made = [(*r, None if i % 2 else "en", 1, i, "x", "y", "z") for i, r in enumerate(rows)]
+    for name, part in (("some", made), ("none", [])):
+        spark.createDataFrame(part, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    single = stages["near_duplicates"](spark, docs, "")
+    assert single.columns == docs.columns
+    left = [(1, rows[0][1]), (3, None), (4, ""), (5, long), (7, rows[8][1]), (None, "no id"), (None, "no id"), (8, rows[11][1])]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in single.collect()))) == sorted(map(repr, left))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert out.columns == list(corpus_pipeline.TOKENS)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(corpus_pipeline.tokenizer_ranks()), special_tokens={})
+    texts = {i: t or "" for i, t in left}
+    copies = sorted(str(r["doc_id"]) for r in mixing.mix(single.select("doc_id", "source")).collect())
+    got = out.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == copies and all(r["ids"] == enc.encode_ordinary(texts[r["doc_id"]]) for r in got)
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for r in got)
+    docs.withColumn("mix_rate", docs["place"]).write.parquet(str(tmp_path / "clash" / "documents.parquet"))
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, str(tmp_path / "clash"))
