@@ -13,6 +13,10 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # for a few rows, compiling a stage takes longer than running it
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
