@@ -147,7 +147,7 @@ class TextIndex:
                 raise SearchError(f"duplicate id {met[0]['id']}")
         numbers = numbers.select(F.col("id").alias("_id"), "doc_ord")
         numbers = F.broadcast(numbers) if added <= BROADCAST_IDS else numbers
-        named = documents.join(numbers, ident == F.col("_id")).drop("_id")
+        named = documents.join(numbers, ident == F.col("_id")).drop("_id").repartition("doc_ord")  # few files, or one, hold few documents
         stored = F.struct(*[c.column(s).alias(s) for s in c.store_fields]) if c.store_fields else F.lit(None).cast("struct<_:int>")
         docs = kept(named.select("doc_ord", ident.alias("id"), stored.alias("stored")), "docs")
         fields = kept(self.analyze(named), "analyzed")  # texts are read and cut once
