@@ -24,4 +24,26 @@ both_ways AS (SELECT a, b FROM pairs WHERE 100 * both_n >= 80 * (na + nb - both_
 {_REACH}
 SELECT doc_id, len(sh) AS n_shingles, coalesce(low, doc_id) AS component_id FROM s LEFT JOIN low ON id = doc_id"""
 
-SQL = {"op1_embedding_dedup": OP1, "op4_source_mix": OP4, "op10_jaccard_join": OP10}
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents),
+q AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+total AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+words AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+post AS (SELECT doc_id, term, any_value(n)::BIGINT AS n, count(*) AS tf FROM words GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM post, total GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))))::BIGINT AS score FROM asked JOIN post USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM s WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20"""
+
+OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS w FROM documents),
+i AS (SELECT item_id, {_TERMS.format('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) > 0),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+hit AS (SELECT doc_id, p, n, item_id FROM (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM spots, (SELECT DISTINCT n FROM win) WHERE p + n - 1 <= len(w)) JOIN win USING (n, g)),
+places AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+SQL = {"op1_embedding_dedup": OP1, "op4_source_mix": OP4, "op10_jaccard_join": OP10, "op11_lexical_search": OP11, "op13_decontaminate": OP13}
