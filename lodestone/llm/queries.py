@@ -84,6 +84,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lexical_search import search_items
+
+    return search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.periodic_runs import find_runs, repeat_tail
+
+    rows = find_runs(table(spark, sf_dir, "documents"), edit=repeat_tail)
+    # a reduction from the left: of runs of equal length the first stays, and they stand by start and period
+    longest = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] > best["length"], r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    rows = rows.withColumn("r", longest)
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", F.expr("1000 * r.length div r.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import decontaminate
 
