@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from lodestone.functions.analysis import Analyzer
 from lodestone.functions.scratch import new_path
 from lodestone.operators.index import IndexConfig, TextIndex
 from lodestone.operators.prefix_map import PrefixMap
+from lodestone.operators.segments import SegmentedIndex
 from lodestone.operators.search import auto_suggest, search, search_batch
 from lodestone.plans.query import WILDCARD, tree
 from lodestone.sources import tables
 from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
-from lodestone.streaming.ingest import ingest, latest
+from lodestone.streaming.ingest import ingest
 
 _built: dict[tuple, TextIndex] = {}
 
@@ -42,6 +44,11 @@ def parts_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _once(spark, sf_dir, "parts", lambda: TextIndex.build(table(spark, sf_dir, "part"), config()))
 
 
+def blocked_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The documents' index with bounds of blocks."""
+    return _once(spark, sf_dir, "documents by blocks", lambda: copy.copy(documents_index(spark, sf_dir)).with_blocks())
+
+
 def scored(rows: DataFrame, ident: str = "doc_id", *more) -> DataFrame:
     return rows.select(F.col("id").alias(ident), F.round("score", 6).alias("score"), *more)
 
@@ -134,6 +141,15 @@ def search_batch_top(spark, sf_dir):
     return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def best_by_blocks(query, limit, **options):
+    return lambda spark, sf_dir: _in_order(search(blocked_index(spark, sf_dir), query, details=False, limit=limit, **options))
+
+
+def batch_by_blocks(spark, sf_dir):
+    rows = search_batch(blocked_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", k=5)
+    return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def match_terms(spark, sf_dir):
     rows = search(parts_index(spark, sf_dir), "re go economy", prefix=True, fuzzy=1, sort=False)
     pairs = F.flatten(F.transform(F.map_entries("match"), lambda e: F.transform(e["value"], lambda f: F.concat(e["key"], F.lit(":"), f))))
@@ -246,6 +262,14 @@ def snapshot_search(spark, sf_dir):
     return scored(search(index, "red ring", details=False, sort=False, df_mode="snapshot"), "p_partkey")
 
 
+def snapshot_overlap(spark, sf_dir):
+    """The first search after discards where two query terms reach the same terms, some of which stand twice in a name."""
+    twice = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    index = TextIndex.build(table(spark, sf_dir, "part").select("p_partkey", twice.alias("p_name")), IndexConfig(["p_name"], id_field="p_partkey", auto_vacuum=False))
+    index.discard_all(table(spark, sf_dir, "part").where("p_partkey % 6 = 1").select(F.col("p_partkey").alias("id")))
+    return scored(search(index, "red re rid", prefix=True, fuzzy=1, details=False, sort=False, df_mode="snapshot"), "p_partkey")
+
+
 def auto_vacuum(spark, sf_dir):
     config = IndexConfig(["p_name"], id_field="p_partkey", auto_vacuum={"min_dirt_count": 12, "min_dirt_factor": 0.0})
     index = TextIndex.build(table(spark, sf_dir, "part"), config)
@@ -268,6 +292,49 @@ def discards_with_missing_fields(spark, sf_dir):
     return spark.createDataFrame([(f, round(m, 9)) for f, m in index.means.items()], "field_id int, avg_len double")
 
 
+def removals_in_order(spark, sf_dir):
+    """Means after documents left in an order that is not by id, where not every document has every field."""
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("p_name"), "p_type", "p_size")
+    index = TextIndex.build(docs, IndexConfig(["p_name", "p_type"], id_field="p_partkey", logger=None))
+    index.remove_all(docs.where("p_partkey % 2 = 1"), order=[F.col("p_size").desc(), F.col("p_partkey").desc()])
+    return spark.createDataFrame([(f, round(m, 9)) for f, m in index.means.items()], "field_id int, avg_len double")
+
+
+# -- segments
+
+
+def _segmented(spark, sf_dir, fanout=None) -> SegmentedIndex:
+    """Three batches of parts, the last of which replaces one in five."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    index = SegmentedIndex.open(spark, new_path(spark, "segments"), IndexConfig(["p_name"], id_field="p_partkey", auto_vacuum=False), fanout=fanout)
+    index.add_all(parts.where("p_partkey % 2 = 0"))
+    index.add_all(parts.where("p_partkey % 2 = 1"))
+    index.replace_all(parts.where("p_partkey % 5 = 0").withColumn("p_name", F.concat("p_name", F.lit(" renewed ring"))))
+    return index
+
+
+def segmented_search(spark, sf_dir):
+    index = _segmented(spark, sf_dir)
+    return scored(search(index.index(), "red ring renewed", details=False, sort=False), "p_partkey")
+
+
+def segmented_topk(spark, sf_dir):
+    """Merged segments have no tombstones, so the best are found by blocks."""
+    index = _segmented(spark, sf_dir, fanout=2)
+    index.vacuum()
+    rows = search(index.index(), "red ring renewed", details=False, limit=25)
+    return rows.select(F.round("score", 6).alias("score"), F.monotonically_increasing_id().alias("place"))
+
+
+def segment_stats(spark, sf_dir):
+    """Counters of segments before and after the vacuum of those that are worn by a fifth."""
+    index = _segmented(spark, sf_dir)
+    index.discard_all(table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id")))
+    shown = lambda: (len(index.segments), index.dirt_count, sum(s.postings for s in index.segments))
+    before, worn = shown(), index.vacuum(min_share=0.3)
+    return spark.createDataFrame([(*before, worn, *shown(), index.document_count)], "segments long, dirt long, postings long, rewritten long, segments_after long, dirt_after long, postings_after long, document_count long")
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """Rows that a limit has brought into one partition, with their places."""
     return scored(rows, "doc_id", F.monotonically_increasing_id().alias("place"))
@@ -287,7 +354,7 @@ def stream_ingest(spark, sf_dir):
     schema = table(spark, sf_dir, "part").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/part.parquet*")
     ingest(stream, f"{base}/index", config, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    index = tables.load(spark, f"{base}/index/v{latest(spark, f'{base}/index')}", config)
+    index = SegmentedIndex.open(spark, f"{base}/index", config).index()
     return scored(search(index, "cold plate", details=False, sort=False), "p_partkey")
 
 
@@ -368,6 +435,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "emptied_and_filled": emptied_and_filled,
     "has_and_stored_fields": has_and_stored_fields,
     "snapshot_search": snapshot_search,
+    "snapshot_overlap": snapshot_overlap,
     "auto_vacuum": auto_vacuum,
     "stringify_hook": stringify_hook,
     "discards_with_missing_fields": discards_with_missing_fields,
@@ -382,4 +450,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_lookups": map_lookups,
     "prefix_map": prefix_map,
     "fuzzy_map": fuzzy_map,
+    "removals_in_order": removals_in_order,
+    "segmented_search": segmented_search,
+    "segmented_topk": segmented_topk,
+    "segment_stats": segment_stats,
+    "topk_by_blocks": best_by_blocks("the of and", 40),
+    "topk_rare_by_blocks": best_by_blocks("the erst nation", 10),
+    "topk_and_by_blocks": best_by_blocks("the of and", 15, combine_with="AND"),
+    "topk_tree_by_blocks": best_by_blocks(tree(tree("the", "of", combine_with="AND"), "nation", combine_with="AND_NOT"), 15),
+    "batch_by_blocks": batch_by_blocks,
 }

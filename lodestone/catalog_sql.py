@@ -165,3 +165,34 @@ min(key) AS first_key, sum(value)::bigint AS total, (SELECT count(*) FROM n WHER
 #: The best rows with their places, and documents in their own order.
 SQL["result_order"] = SQL["search_topk"].replace("SELECT doc_id, score FROM", "SELECT doc_id, score, row_number() OVER (ORDER BY exact DESC, first, doc_id) - 1 AS place FROM", 1).replace("LIMIT 20", "LIMIT 40")
 SQL["wildcard_order"] = "SELECT doc_id, 1.0::double AS score, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents ORDER BY doc_id LIMIT 40"
+
+
+def _best(leaves: list[str], limit: int, having: str = "true") -> str:
+    """The best documents in order: by score, deciding leaf, kind and term of its match, document."""
+    rows = ranked(DOCS, leaves, having=having).replace("round(sum(s) * count(DISTINCT q), 6) AS score", "round(sum(s) * count(DISTINCT q), 6) AS score, sum(s) * count(DISTINCT q) AS exact, min(leaf) AS first")
+    return f"SELECT doc_id, score, row_number() OVER (ORDER BY exact DESC, first, doc_id) - 1 AS place FROM ({rows}) ORDER BY exact DESC, first, doc_id LIMIT {limit}"
+
+
+SQL["topk_by_blocks"] = _best(_exact("the", "of", "and"), 40)
+SQL["topk_rare_by_blocks"] = _best(_exact("the", "erst", "nation"), 10)
+SQL["topk_and_by_blocks"] = _best(_exact("the", "of", "and"), 15, having="count(DISTINCT leaf) = 3")
+SQL["topk_tree_by_blocks"] = _best(_exact("the", "of", "nation"), 15, having="count(*) FILTER (leaf < 2) = 2 AND count(*) FILTER (leaf = 2) = 0")
+SQL["batch_by_blocks"] = SQL["search_batch"]
+_RENEWED = "(SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' renewed ring' ELSE p_name END AS p_name FROM part)"
+SQL["segmented_search"] = ranked(base(_RENEWED, "p_partkey", ["p_name"]), _exact("red", "ring", "renewed"), "p_partkey")
+SQL["segmented_topk"] = f"SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS place FROM ({SQL['segmented_search']}) ORDER BY score DESC LIMIT 25"
+SQL["segment_stats"] = f"""WITH old AS (SELECT p_partkey AS id, len(list_distinct(list_transform({tokens('p_name')}, lambda t: lower(t)))) AS n FROM part),
+rows AS (SELECT CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS seg, n, id % 5 = 0 OR id % 4 = 0 AS dead FROM old
+  UNION ALL SELECT 2, (SELECT len(list_distinct(list_transform({tokens("p_name || ' renewed ring'")}, lambda t: lower(t)))) FROM part WHERE p_partkey = id), id % 4 = 0 FROM old WHERE id % 5 = 0),
+per AS (SELECT seg, count(*) AS docs, count(*) FILTER (dead) AS dead, sum(n) AS n, sum(n) FILTER (NOT dead) AS live, count(*) FILTER (dead) / count(*)::double >= 0.3 AS worn FROM rows GROUP BY seg)
+SELECT count(*) AS segments, sum(dead)::bigint AS dirt, sum(n)::bigint AS postings, count(*) FILTER (worn) AS rewritten, count(*) AS segments_after, coalesce(sum(dead) FILTER (NOT worn), 0)::bigint AS dirt_after,
+  sum(CASE WHEN worn THEN live ELSE n END)::bigint AS postings_after, (sum(docs) - sum(dead))::bigint AS document_count FROM per"""
+SQL["removals_in_order"] = SQL["discards_with_missing_fields"].replace("row_number() OVER (PARTITION BY f ORDER BY id) AS j FROM placed WHERE id % 4 = 1", "row_number() OVER (PARTITION BY f ORDER BY p_size DESC, id DESC) AS j FROM placed JOIN part ON p_partkey = id WHERE id % 2 = 1").replace("FROM src WHERE id % 4 = 1", "FROM src WHERE id % 2 = 1")
+SQL["snapshot_overlap"] = f"""WITH {base("(SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || p_name ELSE p_name END AS p_name FROM part)", "p_partkey", ["p_name"])},
+live AS (SELECT count(*)::double AS n, (SELECT avg(len) FROM lens WHERE id % 6 <> 1) AS avg_len FROM src WHERE id % 6 <> 1),
+expanded AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY leaf) - 1 AS turn FROM ({' UNION ALL '.join([leaf(0, 'red', True, 1), leaf(1, 're', True, 1), leaf(2, 'rid', True, 1)])}) WHERE weight IS NOT NULL),
+met AS (SELECT e.*, p.id, p.tf, p.id % 6 = 1 AS stale, (SELECT count(*) FROM post a WHERE a.term = e.term)
+  - (SELECT count(*) FROM post a WHERE a.term = e.term AND a.id % 6 = 1 AND a.tf <= e.turn)
+  - coalesce(sum((p.id % 6 = 1 AND p.tf > e.turn)::int) OVER (PARTITION BY e.term, e.leaf ORDER BY p.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM expanded e JOIN post p USING (term))
+SELECT id AS p_partkey, round(sum(weight * ln(1 + (n - m + 0.5::double) / (m + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avg_len)))) * count(DISTINCT q), 6) AS score
+FROM met JOIN lens USING (id) CROSS JOIN live WHERE NOT stale GROUP BY id"""

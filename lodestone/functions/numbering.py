@@ -15,12 +15,17 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 0, columns:
     before.  The placed rows are written, because range bounds are sampled anew by each evaluation.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(columns or df.columns), F.monotonically_increasing_id().alias("_at"))
-    placed = kept(placed, "placed")
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # a row for each partition
+    return gapless(kept(placed, "placed"), "_at", name, start)
+
+
+def gapless(rows: DataFrame, at: str, name: str, start: int = 0) -> DataFrame:
+    """``rows`` with gapless numbers from ``start`` in place of ``at``, which held ``monotonically_increasing_id()`` of the plan
+    that wrote them: a row's place in its partition, after the rows of the partitions before."""
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # a row for each partition
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", (before + start).alias("_offset"))
-    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + at).drop("_part", "_offset", "_at")
+    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + place).drop("_part", "_offset", at)
 
 
 def telescoped(rows: DataFrame, field: str, position: str, factor: Column, term: Column) -> dict[int, tuple[float, float]]:

@@ -28,4 +28,13 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     """``df``, evaluated once: what is read afterwards stays the same however often, and survives any executor."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table of ``kept`` that nothing will read any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

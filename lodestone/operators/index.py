@@ -16,19 +16,24 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.analysis import Analyzer, process_text, tokenize_text
-from lodestone.functions.numbering import number_rows, telescoped
-from lodestone.functions.scratch import kept
+from lodestone.functions.numbering import gapless, number_rows, telescoped
+from lodestone.functions.scratch import kept, remove
+from lodestone.operators.topk import block_bounds
 from lodestone.plans.query import SEARCH_DEFAULTS, SearchError, checked
 
 #: Discards, and their share, that make an automatic vacuum run.
 AUTO_VACUUM = {"min_dirt_count": 20, "min_dirt_factor": 0.1}
 #: Rows of (id, number) up to which they are broadcast; their count is known.
 BROADCAST_IDS = 1_000_000
+#: Columns beside the documents' own: a list's places, ids and numbers.
+PLACE, _ID, _ORD = "_lodestone_place", "_lodestone_id", "_lodestone_ord"
+#: An order of documents: as they are read.
+ARRIVAL = "arrival"
 #: What the logger is told of a document that differs from what was indexed.
 VERSION_CONFLICT = 'document with id {id} changed between indexing and removal: the term "{term}" is not indexed in its field "{field}", so the index may be left inconsistent'
 #: Fixed value: defaults of suggestions, over which the configuration's and the call's options go.
@@ -108,6 +113,8 @@ class TextIndex:
         self.lengths = none("doc_ord long, field_id int, len long")
         self.postings = none("term string, field_id int, doc_ord long, tf long, len long")
         self._terms: DataFrame | None = None
+        self._blocks: DataFrame | None = None
+        self._scratch: list[DataFrame] = []
         self.means: dict[int, float] = {}
         self.document_count = self.next_ord = self.dirt_count = 0
 
@@ -119,51 +126,88 @@ class TextIndex:
         index.add_all(documents, order)
         return index
 
-    def analyze(self, documents: DataFrame) -> DataFrame:
-        """(doc_ord, field_id, tokens, terms) of documents that carry ``doc_ord``; null fields are absent."""
+    def _analyzed(self, documents: DataFrame, *keys: Column) -> DataFrame:
+        """``keys``, lens (array<long>, a field's distinct tokens, null where the field is) and terms (array<array<string>>)."""
         c = self.config
-        parts = []
+        tokens, terms = [], []
         for i, name in enumerate(c.fields):
             value = c.column(name)
-            tokens = F.when(value.isNotNull(), c.analyzer.tokenize_column(c.stringify(value, name), name))
-            parts.append(F.struct(F.lit(i).alias("field_id"), tokens.alias("tokens"), F.when(value.isNotNull(), c.analyzer.terms_column(tokens, name)).alias("terms")))
-        rows = documents.select("doc_ord", F.explode(F.array(*parts)).alias("x")).select("doc_ord", "x.*")
-        return rows.where("tokens IS NOT NULL").withColumn("len", F.size(F.array_distinct("tokens")).cast("long")).drop("tokens")
+            tokens.append(F.when(value.isNotNull(), c.analyzer.tokenize_column(c.stringify(value, name), name)).alias(f"_cut{i}"))
+            terms.append(F.when(F.col(f"_cut{i}").isNotNull(), c.analyzer.terms_column(F.col(f"_cut{i}"), name)))
+        lens = [F.size(F.array_distinct(f"_cut{i}")).cast("long") for i in range(len(tokens))]
+        # texts are cut once, then counted and processed
+        rows = documents.select(F.struct(*keys).alias("_keys"), *tokens)
+        present = [F.when(F.col(f"_cut{i}").isNotNull(), n) for i, n in enumerate(lens)]
+        return rows.select("_keys.*", F.array(*present).alias("lens"), F.array(*terms).alias("terms"))
+
+    def analyze(self, documents: DataFrame) -> DataFrame:
+        """(doc_ord, field_id, len, terms) of documents that carry ``doc_ord``; null fields are absent."""
+        rows = self._analyzed(documents, F.col("doc_ord"))
+        return rows.select("doc_ord", "terms", F.posexplode("lens").alias("field_id", "len")).where("len IS NOT NULL").withColumn("terms", F.get("terms", F.col("field_id")))
 
-    def add_all(self, documents: DataFrame, order: Sequence[Any] | None = None) -> None:
-        """Add documents in the given order (default: by id).  All or none: ids must be present, new and distinct."""
+    def add_all(self, documents: DataFrame, order: Sequence[Any] | str | None = None) -> None:
+        """Add documents in the given order (default: by id; ``ARRIVAL``: as they are read, without sorting ids).
+
+        All or none: ids must be present, new and distinct.  Texts are read, cut and written once as analysed documents, from
+        which documents, lengths and postings are taken; where texts must meet their numbers, these are broadcast up to
+        ``BROADCAST_IDS``.
+        """
         c = self.config
-        ident = c.column(c.id_field)
-        # Narrow rows are numbered; texts stay where they are, or meet their numbers once.
-        numbers = number_rows(documents, list(order or [ident]), "doc_ord", self.next_ord, [ident.alias("id")])
-        added, absent, distinct = numbers.agg(F.count("*"), F.sum(F.col("id").isNull().cast("int")), F.countDistinct("id")).first()
-        if absent:
-            raise SearchError(f'document does not have id field "{c.id_field}"')
-        if distinct < added:
-            raise SearchError(f"duplicate id {numbers.groupBy('id').count().where('count > 1').first()['id']}")
+        analyzed, added = self._numbered(documents, order)
+        counts = [x for i in range(len(c.fields)) for x in (F.count(F.get("lens", F.lit(i))).alias(f"n{i}"), F.sum(F.get("lens", F.lit(i))).alias(f"s{i}"))]
+        stats = analyzed.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("distinct"), *counts).first()
+        if not stats["rows"] == stats["distinct"] == added:
+            self._refuse(documents)
         if self.docs is not None:
-            met = numbers.select("id").join(self.docs.select("id"), "id", "left_semi").limit(1).collect()
+            met = analyzed.select("id").join(self.docs.select("id"), "id", "left_semi").limit(1).collect()
             if met:
                 raise SearchError(f"duplicate id {met[0]['id']}")
-        numbers = numbers.select(F.col("id").alias("_id"), "doc_ord")
-        numbers = F.broadcast(numbers) if added <= BROADCAST_IDS else numbers
-        named = documents.join(numbers, ident == F.col("_id")).drop("_id").repartition("doc_ord")  # few files, or one, hold few documents
-        stored = F.struct(*[c.column(s).alias(s) for s in c.store_fields]) if c.store_fields else F.lit(None).cast("struct<_:int>")
-        docs = kept(named.select("doc_ord", ident.alias("id"), stored.alias("stored")), "docs")
-        fields = kept(self.analyze(named), "analyzed")  # texts are read and cut once
-        lengths = fields.select("doc_ord", "field_id", "len")
+        docs = analyzed.select("doc_ord", "id", "stored")
+        lengths = analyzed.select("doc_ord", F.posexplode("lens").alias("field_id", "len")).where("len IS NOT NULL")
+        each = analyzed.select("doc_ord", "lens", F.posexplode("terms").alias("field_id", "terms"))
+        each = each.select("doc_ord", "field_id", F.get("lens", F.col("field_id")).alias("len"), F.explode("terms").alias("term"))
         # all rows of a key come from one document, so the partial aggregation has counted them before the shuffle
-        postings = fields.select("doc_ord", "field_id", "len", F.explode("terms").alias("term")).groupBy("term", "field_id", "doc_ord", "len").agg(F.count("*").alias("tf")).select("term", "field_id", "doc_ord", "tf", "len")
-        self._extend_means(lengths, added)
+        postings = each.groupBy("term", "field_id", "doc_ord", "len").agg(F.count("*").alias("tf")).select("term", "field_id", "doc_ord", "tf", "len")
+        self._extend_means(lengths, added, {i: (stats[f"n{i}"], stats[f"s{i}"]) for i in range(len(c.fields)) if stats[f"n{i}"]})
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
         self.lengths = lengths if not self.document_count and not self.dirt_count else self.lengths.unionByName(lengths)
         if self._terms is not None and self.next_ord:
             more = postings.groupBy("term", "field_id").agg(F.count("*").alias("df"))
             self._terms = self._terms.unionByName(more).groupBy("term", "field_id").agg(F.sum("df").alias("df"))
         self.postings = postings if not self.next_ord else self.postings.unionByName(postings)
+        self._blocks = None
         self.document_count += added
         self.next_ord += added
 
+    def _numbered(self, documents: DataFrame, order: Sequence[Any] | str | None) -> tuple[DataFrame, int]:
+        """(doc_ord, id, stored, lens, terms) of the documents, written once, and how many there are."""
+        c = self.config
+        ident = c.column(c.id_field)
+        stored = (F.struct(*[c.column(s).alias(s) for s in c.store_fields]) if c.store_fields else F.lit(None).cast("struct<_:int>")).alias("stored")
+        if order == ARRIVAL:
+            rows = kept(self._analyzed(documents, F.monotonically_increasing_id().alias("_at"), ident.alias("id"), stored), "analyzed")
+            self._scratch.append(rows)
+            return gapless(rows, "_at", "doc_ord", self.next_ord), rows.count()
+        order = list(order or [ident])
+        added = documents.count()
+        if added <= BROADCAST_IDS:
+            place = F.row_number().over(Window.orderBy(*order)) + (self.next_ord - 1)  # at most BROADCAST_IDS narrow rows
+            numbers = F.broadcast(documents.select(ident.alias(_ID), place.cast("long").alias(_ORD)))
+        else:
+            numbers = number_rows(documents, order, _ORD, self.next_ord, [ident.alias(_ID)])
+        rows = self._analyzed(documents.join(numbers, ident == F.col(_ID)), F.col(_ORD).alias("doc_ord"), ident.alias("id"), stored)
+        rows = kept(rows, "analyzed")
+        self._scratch.append(rows)
+        return rows, added
+
+    def _refuse(self, documents: DataFrame) -> None:
+        """Why documents were not added."""
+        ids = documents.select(self.config.column(self.config.id_field).alias("id"))
+        if not ids.where("id IS NULL").isEmpty():
+            raise SearchError(f'document does not have id field "{self.config.id_field}"')
+        twice = ids.groupBy("id").count().where("count > 1").first()
+        raise SearchError(f"duplicate id {twice['id']}" if twice else "the documents changed while they were read")
+
     @property
     def terms(self) -> DataFrame:
         """(term, field_id, df) of the stored postings; kept by ``cache`` and on disk, else counted when it is read."""
@@ -174,8 +218,14 @@ class TextIndex:
     def add(self, document: Mapping[str, Any]) -> None:
         self.add_all(self._frame([document]))
 
-    def _frame(self, documents: Sequence[Mapping[str, Any]]) -> DataFrame:
-        return self.spark.createDataFrame([dict(d) for d in documents], self._schema(documents))
+    def _frame(self, documents: Sequence[Mapping[str, Any]], place: str | None = None) -> DataFrame:
+        """Documents as a DataFrame, with their places in the list where a column's name is given."""
+        schema = self._schema(documents)
+        rows = [dict(d) for d in documents]
+        if place:
+            schema.add(place, T.LongType())
+            rows = [d | {place: i} for i, d in enumerate(rows)]
+        return self.spark.createDataFrame(rows, schema)
 
     def _schema(self, documents: Sequence[Mapping[str, Any]]) -> T.StructType:
         names = dict.fromkeys([self.config.id_field, *self.config.fields, *self.config.store_fields, *(k for d in documents for k in d)])
@@ -183,10 +233,9 @@ class TextIndex:
         kinds = {f.name: f.dataType for f in base}
         return T.StructType([T.StructField(n.split(".")[0], kinds.get(n.split(".")[0], T.StringType())) for n in dict.fromkeys(x.split(".")[0] for x in names)])
 
-    def _extend_means(self, lengths: DataFrame, added: int) -> None:
-        """Running means after the added documents; every one counts, also without the field."""
+    def _extend_means(self, lengths: DataFrame, added: int, counts: Mapping[int, tuple[int, int]]) -> None:
+        """Running means after the added documents; every one counts, also without the field.  ``counts``: rows, sum by field."""
         before, total = self.document_count, self.document_count + added
-        counts = {r["field_id"]: (r["n"], r["s"]) for r in lengths.groupBy("field_id").agg(F.count("*").alias("n"), F.sum("len").alias("s")).collect()}
         full = all(n == added for n, _ in counts.values())
         if full:
             for f, (_, s) in counts.items():
@@ -220,6 +269,7 @@ class TextIndex:
         else:
             found = ids.join(self.docs.select("id", "doc_ord"), "id", "left")
         found = kept(found, "found")
+        self._scratch.append(found)
         absent = found.where("doc_ord IS NULL").orderBy("place").select("id").first()
         if absent:
             raise SearchError(f"cannot discard document with id {absent['id']}: it is not in the index")
@@ -228,10 +278,10 @@ class TextIndex:
             raise SearchError(f"cannot discard document with id {twice['id']}: it is not in the index any more")
         return found
 
-    def _placed(self, ids: Sequence[Any] | DataFrame) -> DataFrame:
-        """(id, place from 1) of a list, or of a DataFrame's column ``id`` in its order."""
+    def _placed(self, ids: Sequence[Any] | DataFrame, order: Sequence[Any] | None = None) -> DataFrame:
+        """(id, place from 1) of a list in its order, or of a DataFrame's column ``id`` in the given one (default: by id)."""
         if isinstance(ids, DataFrame):
-            return number_rows(ids.select("id"), ["id"], "place", 1)
+            return number_rows(ids, list(order or ["id"]), "place", 1, ["id"])
         kind = self.docs.schema["id"].dataType if self.docs is not None else None
         if kind is None:
             raise SearchError(f"cannot discard document with id {ids[0]}: it is not in the index")
@@ -253,25 +303,27 @@ class TextIndex:
     def discard(self, ident: Any) -> None:
         self.discard_all([ident])
 
-    def discard_all(self, ids: Iterable[Any] | DataFrame) -> None:
+    def discard_all(self, ids: Iterable[Any] | DataFrame, order: Sequence[Any] | None = None) -> None:
         """Hide documents; their postings stay until a vacuum, which runs by itself past the configured conditions.
 
         The conditions are met after each document in turn, as if they were discarded one by one only for ``discard``;
-        a list is checked once, at its end.  A DataFrame's column ``id`` stands for a list in order of ids.
+        a list is checked once, at its end.  A DataFrame's column ``id`` stands for a list in the given order of its rows
+        (default: by id); where fields are missing, mean lengths depend on that order.
         """
         if not isinstance(ids, DataFrame):
             ids = list(ids)
         if ids if isinstance(ids, list) else not ids.isEmpty():
-            self.dirt_count += self._drop(self._found(self._placed(ids)))
+            self.dirt_count += self._drop(self._found(self._placed(ids, order)))
             self._maybe_vacuum()
 
     def remove(self, document: Mapping[str, Any]) -> None:
         self.remove_all([document])
 
-    def remove_all(self, documents: Sequence[Mapping[str, Any]] | DataFrame | None | str = "all") -> None:
+    def remove_all(self, documents: Sequence[Mapping[str, Any]] | DataFrame | None | str = "all", order: Sequence[Any] | None = None) -> None:
         """Without an argument empty the index, else take out the given documents at once.
 
-        Documents that differ from what was indexed are reported to the logger; their stored postings go all the same.
+        They leave in the order of the list, or in the given order of a DataFrame's rows (default: by id); where fields are
+        missing, mean lengths depend on it.  Documents that differ from what was indexed are reported to the logger; their stored postings go all the same.
         """
         if isinstance(documents, str):
             self.reset()
@@ -281,17 +333,17 @@ class TextIndex:
         if not isinstance(documents, DataFrame):
             if not documents:
                 return
-            documents = self._frame(documents)
+            documents, order = self._frame(documents, PLACE), [PLACE]
         c = self.config
-        ids = documents.select(c.column(c.id_field).alias("id"))
-        if not ids.where("id IS NULL").isEmpty():
+        ident = c.column(c.id_field)
+        if not documents.where(ident.isNull()).isEmpty():
             raise SearchError(f'document does not have id field "{c.id_field}"')
-        found = self._found(self._placed(ids))
+        found = self._found(number_rows(documents, list(order or [ident]), "place", 1, [ident.alias("id")]))
         if c.logger is not None:
             self._report_changes(documents, found)
         self._drop(found)
         self.postings = self.postings.join(found.select("doc_ord"), "doc_ord", "left_anti").select("term", "field_id", "doc_ord", "tf", "len")
-        self._terms = None
+        self._terms = self._blocks = None
 
     def _report_changes(self, documents: DataFrame, found: DataFrame) -> None:
         c = self.config
@@ -325,7 +377,8 @@ class TextIndex:
         """Rewrite the postings without those of documents that are gone."""
         if self.dirt_count and self.docs is not None:
             self.postings = kept(self.postings.join(self.docs.select("doc_ord"), "doc_ord", "left_semi").select("term", "field_id", "doc_ord", "tf", "len"), "postings")
-            self._terms = None
+            self._scratch.append(self.postings)
+            self._terms = self._blocks = None
         self.dirt_count = 0
 
     @property
@@ -347,12 +400,30 @@ class TextIndex:
         return {k: v for k, v in (rows[0]["stored"].asDict(True) if rows[0]["stored"] else {}).items() if v is not None}
 
     def cache(self) -> TextIndex:
-        """Keep the tables in memory or on executors' disks, postings and terms laid out by term; ranges split frequent terms."""
-        self.postings = self.postings.repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "field_id").persist()
-        self._terms = self.terms.repartitionByRange("term").sortWithinPartitions("term").persist()
+        """Keep the tables in memory or on executors' disks.
+
+        Postings are sorted by term where the aggregation has left them (a term's documents over all partitions, so frequent
+        terms are split), and a term's batches are told by their least and greatest terms.
+        """
+        self.postings = self.postings.sortWithinPartitions("term", "field_id").persist()
+        self._terms = self.terms.persist()
         self.lengths, self.docs = self.lengths.persist(), self.docs.persist() if self.docs is not None else None
         return self
 
+    def with_blocks(self) -> TextIndex:
+        """Keep the bounds of blocks of postings, by which searches for the best documents leave the others out."""
+        self._blocks = block_bounds(self.postings).persist()
+        return self
+
+    def close(self) -> None:
+        """Delete what was written for this index in the shared folder, and empty it.  Its searches' results end with it."""
+        for df in [self.postings, self._terms, self.lengths, self.docs, self._blocks]:
+            if df is not None:
+                df.unpersist()
+        for df in self._scratch:
+            remove(df)
+        self.reset()
+
     def lexicon(self) -> DataFrame:
         """(term, term_len) of all terms in the postings."""
         return self.terms.select("term").distinct().withColumn("term_len", F.length("term"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scratch import kept
 from lodestone.operators.index import TextIndex
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
+from lodestone.operators.topk import SLACK, block_bounds, promising, promising_of_each, window_of, within
 from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
 
 
@@ -24,41 +25,68 @@ from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolv
 BROADCAST_ROWS = 100_000
 #: Terms up to which they are literals of the postings' filter.
 LITERALS = 1_000
+#: Documents of a block over which stale ones are summed.
+STALE_BLOCK = 1 << 16
 #: Terms up to which they are broadcast to the postings.
 BROADCAST_TERMS = 1_000_000
 
 
-def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") -> DataFrame:
+class Matched:
+    """The terms that leaves mean: ``stats(term, field_id, m, xs)``, broadcast where ``bounded``; literals where ``few``."""
+
+    def __init__(self, index: TextIndex, found: list[Leaf]):
+        self.index, self.found = index, found
+        self._look_up()
+
+    def _look_up(self) -> None:
+        index, found = self.index, self.found
+        matched = index.terms.where(any_of([term_filter(x, F.col("term")) for x in found]))
+        expands = any(x.prefix or x.distance for x in found)
+        if expands:
+            met = [r["term"] for r in matched.select("term").distinct().limit(LITERALS + 1).collect()]
+            if len(met) <= LITERALS:
+                matched = index.terms.where(F.col("term").isin(met))
+        else:
+            met = list(dict.fromkeys(x.term for x in found))
+        self.met, self.few = met, len(met) <= LITERALS
+        self.bounded = self.few or matched.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        stats = matched.select("term", "field_id", F.col("df").cast("double").alias("m"), expansions(found, F.col("term")).alias("xs"))
+        self.stats = F.broadcast(stats) if self.bounded else stats
+
+    def of(self, table: DataFrame) -> DataFrame:
+        """Rows of a table by term, held to the terms where they are few."""
+        return table.where(F.col("term").isin(self.met)) if self.few else table
+
+    def weighed(self, rows: DataFrame, tf: str, length: str) -> DataFrame:
+        """``rows(term, field_id, m, xs, ...)`` for each leaf ``x`` with ``boost`` and ``rank``."""
+        index, found = self.index, self.found
+        if "xs" in rows.columns:
+            rows = rows.withColumn("x", F.explode("xs")).drop("xs")
+        means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))]) if index.means else F.create_map().cast("map<int,double>")
+        of = lambda name: by_leaf(found, lambda x: x.bm25[name], F.col("x.leaf"))
+        rank = bm25(F.col(tf).cast("double"), index.document_count, F.col("m"), F.col(length).cast("double"), F.element_at(means, F.col("field_id")), of("k"), of("b"), of("d"))
+        ids = {name: i for i, name in enumerate(index.config.fields)}
+        return rows.withColumn("boost", field_boost(found, ids, F.col("x.leaf"), F.col("field_id"))).where("boost IS NOT NULL").withColumn("rank", rank)
+
+
+def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live", matched: Matched | None = None, windows: DataFrame | None = None) -> DataFrame:
     """(doc_ord, leaf, kind, term, field_id, w): what each match adds to its document.
 
     ``df_mode``: a term's documents are the live ones (``live``) or, for the first search after discards on an index that
-    cleans itself as it goes (``snapshot``), all stored ones less the stale ones met before.
+    cleans itself as it goes (``snapshot``), all stored ones less the stale ones met before.  ``windows``: only of those
+    windows' documents, on an index without discarded ones.
     """
     if df_mode not in ("live", "snapshot"):
         raise SearchError(f"unknown df_mode {df_mode!r}")
-    c, spark = index.config, index.spark
-    ids = {name: i for i, name in enumerate(c.fields)}
     dirty = index.dirt_count > 0
     keys = ["term", "field_id"]
-    matched = index.terms.where(any_of([term_filter(x, F.col("term")) for x in found]))
-    expands = any(x.prefix or x.distance for x in found)
-    if expands:
-        met = [r["term"] for r in matched.select("term").distinct().limit(LITERALS + 1).collect()]
-        if len(met) <= LITERALS:
-            matched = index.terms.where(F.col("term").isin(met))
-    else:
-        met = list(dict.fromkeys(x.term for x in found))
-    few = len(met) <= LITERALS
-    bounded = few or matched.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    stats = matched.select("term", "field_id", F.col("df").cast("double").alias("m"), expansions(found, F.col("term")).alias("xs"))
-    stats = F.broadcast(stats) if bounded else stats
-    rows = index.postings.where(F.col("term").isin(met)) if few else index.postings
+    matched = matched or Matched(index, found)
+    stats, bounded = matched.stats, matched.bounded
+    rows = matched.of(index.postings)
+    if windows is not None:
+        rows = within(rows, windows)
     if dirty and df_mode == "snapshot":
-        live = index.docs.select("doc_ord", F.lit(True).alias("live"))
-        rows = rows.join(stats.drop("m"), keys).join(live, "doc_ord", "left")
-        same = Window.partitionBy(*keys)
-        gone = F.coalesce(F.sum(F.when(F.col("live").isNull(), 1).otherwise(0)).over(same.orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.withColumn("m", (F.count("*").over(same) - gone).cast("double")).where("live").drop("live")
+        rows = _as_met(index, rows.join(stats, keys), found)
     elif dirty:
         rows = rows.join(stats.drop("m"), keys).join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
         # counted before the shuffle; the statistics have a row for each matched term, not for each posting
@@ -66,11 +94,7 @@ def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") ->
         rows = rows.join(F.broadcast(counts) if bounded else counts, keys)
     else:
         rows = rows.join(stats, keys)
-    rows = rows.withColumn("x", F.explode("xs")).drop("xs")
-    means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))]) if index.means else F.create_map().cast("map<int,double>")
-    of = lambda name: by_leaf(found, lambda x: x.bm25[name], F.col("x.leaf"))
-    rank = bm25(F.col("tf").cast("double"), index.document_count, F.col("m"), F.col("len").cast("double"), F.element_at(means, F.col("field_id")), of("k"), of("b"), of("d"))
-    rows = rows.withColumn("boost", field_boost(found, ids, F.col("x.leaf"), F.col("field_id"))).where("boost IS NOT NULL")
+    rows = matched.weighed(rows, "tf", "len")
     weight = F.col("x.weight") * F.col("boost")
     boosted = [x for x in found if x.boost_document is not None]
     if boosted:
@@ -80,7 +104,30 @@ def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live") ->
             extra = F.when(F.col("x.leaf") == x.index, x.boost_document(F.col("id"), F.col("term"), F.col("stored")).cast("double")).otherwise(extra)
         rows = rows.withColumn("extra", extra).where("extra IS NOT NULL AND extra <> 0 AND NOT isnan(extra)")
         weight = weight * F.col("extra")
-    return rows.select("doc_ord", F.col("x.leaf").alias("leaf"), F.col("x.kind").alias("kind"), "term", "field_id", (weight * rank).alias("w"))
+    return rows.select("doc_ord", F.col("x.leaf").alias("leaf"), F.col("x.kind").alias("kind"), "term", "field_id", (weight * F.col("rank")).alias("w"))
+
+
+def _as_met(index: TextIndex, rows: DataFrame, found: list[Leaf]) -> DataFrame:
+    """Live ``rows(term, field_id, doc_ord, tf, m, xs)`` for each leaf ``x``, with the counts ``m`` that a search meets which
+    takes stale occurrences out as it goes.
+
+    Each leaf that reaches a term passes over its documents in order.  A pass takes one occurrence of every stale document:
+    it starts from all stored ones less those with no occurrence left, and has one less after each stale one it meets.  Both
+    are sums over blocks of documents, and over the places within a block, so no task sees all documents of a term.
+    """
+    ids = {name: i for i, name in enumerate(index.config.fields)}
+    keys = ["term", "field_id", "turn"]
+    searched = F.filter("xs", lambda x: field_boost(found, ids, x["leaf"], F.col("field_id")).isNotNull())
+    rows = rows.join(index.docs.select("doc_ord", F.lit(True).alias("live")), "doc_ord", "left")
+    rows = rows.select(*[c for c in rows.columns if c != "xs"], F.posexplode(searched).alias("turn", "x"), F.expr(f"doc_ord div {STALE_BLOCK}").alias("block"))
+    stale, left = F.col("live").isNull(), F.col("tf") > F.col("turn")
+    rows = rows.withColumns({"met": (stale & left).cast("int"), "spent": (stale & ~left).cast("int")})
+    blocks = rows.groupBy(*keys, "block").agg(F.sum("met").alias("met"), F.sum("spent").alias("spent"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.select(*keys, "block", (F.coalesce(F.sum("met").over(before), F.lit(0)) + F.sum("spent").over(Window.partitionBy(*keys))).alias("less"))
+    within_block = Window.partitionBy(*keys, "block").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("earlier", F.coalesce(F.sum("met").over(within_block), F.lit(0))).join(blocks, [*keys, "block"])
+    return rows.where("live").withColumn("m", F.col("m") - F.col("less") - F.col("earlier")).drop("live", "met", "spent", "block", "less", "earlier", "turn")
 
 
 def wildcards(index: TextIndex, found: list[Leaf]) -> list[DataFrame]:
@@ -92,16 +139,20 @@ def wildcards(index: TextIndex, found: list[Leaf]) -> list[DataFrame]:
 
 
 class _Fold:
-    """A node's presence, score, contributing leaves and deciding leaf, as Columns over one sum for each leaf."""
+    """A node's presence, score, contributing leaves and deciding leaf, as Columns over one sum for each leaf.
+
+    ``bound``: the sums are of a window's blocks, so the score bounds its documents' scores; what an AND_NOT takes away need
+    not be in the same documents, and takes nothing.
+    """
 
-    def __init__(self, node: Node | Leaf):
+    def __init__(self, node: Node | Leaf, bound: bool = False):
         if isinstance(node, Leaf):
             self.score = F.col(f"s{node.index}")
             self.present = self.score.isNotNull()
             self.live = F.when(self.present, F.array(F.lit(node.index))).otherwise(_none())
             self.first = F.when(self.present, F.lit(node.index))
             return
-        parts = [_Fold(c) for c in node.children]
+        parts = [_Fold(c, bound) for c in node.children]
         if not parts:
             self.score, self.present, self.live, self.first = F.lit(None).cast("double"), F.lit(False), _none(), F.lit(None).cast("int")
         elif node.combine_with == "or":
@@ -115,7 +166,7 @@ class _Fold:
             self.live = F.when(self.present, F.concat(*[p.live for p in parts])).otherwise(_none())
             self.first = F.when(self.present, parts[-1].first)
         else:
-            self.present = parts[0].present & ~any_of([p.present for p in parts[1:]])
+            self.present = parts[0].present if bound else parts[0].present & ~any_of([p.present for p in parts[1:]])
             self.score = F.when(self.present, parts[0].score)
             self.live = F.when(self.present, parts[0].live).otherwise(_none())
             self.first = F.when(self.present, parts[0].first)
@@ -125,22 +176,43 @@ def _none() -> Column:
     return F.array().cast("array<int>")
 
 
-def search(index: TextIndex, query: Any, *, details: bool = True, sort: bool = True, limit: int | None = None, df_mode: str = "live", **options: Any) -> DataFrame:
-    """Documents that match: id, score, terms, query_terms, match, and the stored fields.
+def _words(found: list[Leaf]) -> Column:
+    """The distinct query terms of the leaves that contribute to a row."""
+    names = {x.index: x.term for x in found}
+    words = F.array(*[F.lit(names.get(i)).cast("string") for i in range(len(found))])
+    return F.array_distinct(F.filter(F.transform("live", lambda i: F.get(words, i)), lambda t: t.isNotNull()))
 
-    ``details=False`` leaves terms, query_terms and match out and spares collecting them.  Ties keep the order of
-    arrival: by the deciding leaf, exact before prefix before fuzzy, term, field, then document.  A result filter sees
-    the finished row.
-    """
-    c = index.config
-    resolver = Resolver(c.fields, c.analyzer, c.search_options)
-    plan = resolver.resolve(query, options)
-    found = leaves(plan)
-    if index.docs is None or not found:
-        return _empty(index, details)
+
+def prunable(index: TextIndex, found: list[Leaf], limit: int | None, keep: Any) -> bool:
+    """Whether bounds hold: blocks are kept, nothing is discarded, and no weight is negative or unknown before a document is."""
+    if index._blocks is None or not limit or limit > BROADCAST_ROWS or keep is not None or index.dirt_count:
+        return False
+    sound = lambda x: x.boost_document is None and x.term is not None and x.boost >= 0 and all(b >= 0 for _, b in x.fields) and min(x.weights.values()) >= 0 and min(x.bm25.values()) >= 0 and x.bm25["b"] <= 1
+    return all(sound(x) for x in found)
+
+
+def window_bounds(index: TextIndex, plan: Node, found: list[Leaf], matched: Matched) -> DataFrame:
+    """(window, bound): the windows whose documents may match, and what their scores are at most."""
+    blocks = matched.of(index._blocks).groupBy("term", "field_id", "window").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))  # segments may share a window
+    rows = matched.weighed(blocks.join(matched.stats, ["term", "field_id"]), "max_tf", "min_len")
+    w = F.col("x.weight") * F.col("boost") * F.col("rank")
+    sums = rows.groupBy("window").agg(*[F.sum(F.when(F.col("x.leaf") == x.index, w)).alias(f"s{x.index}") for x in found])
+    fold = _Fold(plan, bound=True)
+    return sums.where(fold.present).withColumn("live", fold.live).select("window", (fold.score * F.greatest(F.size(_words(found)), F.lit(1))).alias("bound"))
+
+
+def surviving_windows(index: TextIndex, plan: Node, found: list[Leaf], matched: Matched, limit: int) -> DataFrame:
+    """(window, bound): the windows that may hold one of the ``limit`` best documents."""
+    bounds = kept(window_bounds(index, plan, found, matched), "bounds")
+    index._scratch.append(bounds)
+    rows = _per_document(plan, found, [contributions(index, found, matched=matched, windows=promising(bounds, limit))], False)
+    best = rows.select("score").orderBy(F.col("score").desc()).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
+    return bounds.where(F.col("bound") >= best["low"] * SLACK) if best["n"] == limit else bounds
+
+
+def _per_document(plan: Node, found: list[Leaf], parts: list[DataFrame], details: bool) -> DataFrame:
+    """(doc_ord, score, leaf, rank, live, words, hits) of the documents that match."""
     fold = _Fold(plan)
-    terms, stars = [x for x in found if x.term is not None], [x for x in found if x.term is None]
-    parts = ([contributions(index, terms, df_mode)] if terms else []) + wildcards(index, stars)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -154,23 +226,42 @@ def search(index: TextIndex, query: Any, *, details: bool = True, sort: bool = T
     docs = rows.groupBy("doc_ord").agg(*sums, *firsts, *([hits] if details else []))
     deciding = F.coalesce(*[F.when(fold.first == x.index, F.col(f"r{x.index}")) for x in found])
     docs = docs.where(fold.present).withColumn("live", fold.live)
-    names = {x.index: x.term for x in terms}
-    words = F.array(*[F.lit(names.get(i)).cast("string") for i in range(len(found))])
-    matched = F.array_distinct(F.filter(F.transform("live", lambda i: F.get(words, i)), lambda t: t.isNotNull()))
-    quality = F.greatest(F.size(matched), F.lit(1))
+    quality = F.greatest(F.size(_words(found)), F.lit(1))
     shown = ["doc_ord", (fold.score * quality).alias("score"), fold.first.alias("leaf"), deciding.alias("rank")]
+    return docs.select(*shown, *(["live", _words(found).alias("query_terms"), "hits"] if details else []))
+
+
+def search(index: TextIndex, query: Any, *, details: bool = True, sort: bool = True, limit: int | None = None, df_mode: str = "live", **options: Any) -> DataFrame:
+    """Documents that match: id, score, terms, query_terms, match, and the stored fields.
+
+    With a ``limit``, on an index that keeps blocks (``with_blocks``, or one read from disk), postings of windows that cannot
+    hold one of the best documents are not ranked; the result is the same.
+
+    ``details=False`` leaves terms, query_terms and match out and spares collecting them.  Ties keep the order of
+    arrival: by the deciding leaf, exact before prefix before fuzzy, term, field, then document.  A result filter sees
+    the finished row.
+    """
+    c = index.config
+    resolver = Resolver(c.fields, c.analyzer, c.search_options)
+    plan = resolver.resolve(query, options)
+    found = leaves(plan)
+    if index.docs is None or not found:
+        return _empty(index, details)
+    terms, stars = [x for x in found if x.term is not None], [x for x in found if x.term is None]
+    keep = options.get("filter", c.search_options.get("filter"))
+    matched = Matched(index, terms) if terms else None
+    windows = surviving_windows(index, plan, found, matched, limit) if prunable(index, found, limit, keep) else None
+    parts = ([contributions(index, terms, df_mode, matched, windows)] if terms else []) + wildcards(index, stars)
+    out = _per_document(plan, found, parts, details)
     if details:
         hit = F.array_sort(F.filter("hits", lambda h: F.array_contains(F.col("live"), h["leaf"])))
-        docs = docs.withColumn("hits", hit)
-        shown += [F.array_distinct(F.transform("hits", lambda h: h["term"])).alias("terms"), matched.alias("query_terms"), F.col("hits")]
-    out = docs.select(*shown)
+        out = out.withColumn("hits", hit).withColumn("terms", F.array_distinct(F.transform("hits", lambda h: h["term"]))).select("doc_ord", "score", "leaf", "rank", "terms", "query_terms", "hits")
     if details:
         fields = F.array(*[F.lit(f) for f in c.fields])
         # of a term that several operands matched, the last one's fields show
         last = lambda t: F.array_max(F.transform(F.filter("hits", lambda h: h["term"] == t), lambda h: h["leaf"]))
         of = lambda t: F.transform(F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: (h["term"] == t) & (h["leaf"] == last(t))), lambda h: h["field_id"]))), lambda i: F.get(fields, i))
         out = out.withColumn("match", F.map_from_arrays("terms", F.transform("terms", of))).drop("hits")
-    keep = options.get("filter", c.search_options.get("filter"))
     ordered = [F.col("score").desc(), F.col("leaf"), F.col("rank"), F.col("doc_ord")]
     if len(found) == 1 and stars and stars[0].boost_document is None:
         ordered = [F.col("doc_ord")]
@@ -279,7 +370,8 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     """A whole DataFrame of queries in one plan: (query_id, id, score, rank), the best ``k`` of each.
 
     Query terms are analysed by the document analyzer and met with the postings by one equi-join on the term, after
-    prefix and fuzzy terms were expanded over the lexicon.  The expansion is evaluated once.
+    prefix and fuzzy terms were expanded over the lexicon.  The expansion is evaluated once.  With a ``k``, on an index that
+    keeps blocks, a query meets only the windows of documents that may hold one of its best.
     """
     how = combinator(combine_with)
     if how == "and_not":
@@ -305,19 +397,48 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     else:
         counts = index.terms.join(met, "term", "left_semi").select("term", "field_id", F.col("df").cast("double").alias("m"))
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))])
-    rank = bm25(F.col("tf").cast("double"), index.document_count, F.col("m"), F.col("len").cast("double"), F.element_at(means, F.col("field_id")), F.lit(float(b["k"])), F.lit(float(b["b"])), F.lit(float(b["d"])))
-    # one row for each document and term, before terms meet queries
-    per_term = postings.join(counts, ["term", "field_id"]).groupBy("term", "doc_ord").agg(F.sum(rank).alias("w"))
-    if prefix or fuzzy:
-        per_asked = per_term.join(means_of, "term").groupBy("asked", "doc_ord").agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
-    else:
-        per_asked = per_term.withColumnRenamed("term", "asked")
-    rows = per_asked.join(asked, "asked").groupBy("query_id", "doc_ord").agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.count("*").alias("met"))
-    if how == "and":
-        rows = rows.join(need, "query_id").where("met = need")
-    rows = rows.withColumn("score", F.col("w") * F.greatest(F.col("met"), F.lit(1)))
+    rank = lambda tf, length: bm25(F.col(tf).cast("double"), index.document_count, F.col("m"), F.col(length).cast("double"), F.element_at(means, F.col("field_id")), F.lit(float(b["k"])), F.lit(float(b["b"])), F.lit(float(b["d"])))
+    expanded = bool(prefix or fuzzy)
+
+    def summed(rows: DataFrame, w: Column, unit: str) -> DataFrame:
+        """(asked, unit, w): the weights of ``rows(term, field_id, unit, ...)`` by query term; terms meet no queries yet."""
+        per_term = rows.join(counts, ["term", "field_id"]).groupBy("term", unit).agg(F.sum(w).alias("w"))
+        if not expanded:
+            return per_term.withColumnRenamed("term", "asked")
+        return per_term.join(means_of, "term").groupBy("asked", unit).agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
+
+    def scored(rows: DataFrame, *unit: str) -> DataFrame:
+        """(query_id, unit, score) of ``rows(query_id, times, unit, w)``."""
+        rows = rows.groupBy("query_id", *unit).agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.count("*").alias("met"))
+        if how == "and":
+            rows = rows.join(need, "query_id").where("met = need")
+        return rows.select("query_id", *unit, (F.col("w") * F.greatest(F.col("met"), F.lit(1))).alias("score"))
+
     # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_ord")
+    per_asked = summed(postings, rank("tf", "len"), "doc_ord")
+    sound = min(b.values()) >= 0 and b["b"] <= 1 and min({**WEIGHTS, **(weights or {})}.values()) >= 0
+    if k is None or index._blocks is None or index.dirt_count or not sound:
+        rows = scored(per_asked.join(asked, "asked"), "doc_ord")
+    else:
+        blocks = index._blocks.groupBy("term", "field_id", "window").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+        bounds = scored(summed(blocks, rank("max_tf", "min_len"), "window").join(asked, "asked"), "window").withColumnRenamed("score", "bound")
+        bounds = kept(bounds, "bounds")
+        index._scratch.append(bounds)
+
+        def exact(pairs: DataFrame) -> DataFrame:
+            """Scores of the documents of each query's windows; postings that no query needs there are not weighed."""
+            wanted = asked.join(pairs.select("query_id", "window"), "query_id")
+            terms = wanted.select("asked", "window").distinct()
+            terms = (terms.join(means_of, "asked").select("term", "window").distinct() if expanded else terms.withColumnRenamed("asked", "term"))
+            placed = postings.withColumn("window", window_of(F.col("doc_ord"))).join(terms, ["term", "window"], "left_semi")
+            rows = summed(placed, rank("tf", "len"), "doc_ord").withColumn("window", window_of(F.col("doc_ord")))
+            return scored(rows.join(wanted, ["asked", "window"]), "doc_ord")
+
+        first = exact(promising_of_each(bounds, k)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        low = first.select("query_id", F.col("score").alias("low"))  # a row for each query that has k documents there
+        pairs = bounds.join(low, "query_id", "left").where((F.col("bound") >= F.col("low") * SLACK - 1e-8) | F.col("low").isNull())
+        rows = exact(pairs)
     rows = rows.withColumn("rank", F.row_number().over(best))
     if k is not None:
         rows = rows.where(F.col("rank") <= k)

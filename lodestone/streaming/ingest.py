@@ -1,45 +1,38 @@
-"""Incremental ingest of a stream of documents into a saved index (an extension; the batch operators do not need it)."""
+"""Incremental ingest of a stream of documents into a segmented index (an extension; the batch operators do not need it)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lodestone.operators.index import IndexConfig, TextIndex
-from lodestone.sources import tables
+from lodestone.functions.scratch import kept, remove
+from lodestone.operators.index import IndexConfig
+from lodestone.operators.segments import FANOUT, SegmentedIndex
 
 
-def ingest(stream: DataFrame, path: str, config: IndexConfig, checkpoint: str) -> DataStreamWriter:
-    """A writer that adds each micro-batch to the index below ``path`` as a new version of it.
+def ingest(stream: DataFrame, path: str, config: IndexConfig, checkpoint: str, newest: Sequence[Any] | None = None, fanout: int | None = FANOUT) -> DataStreamWriter:
+    """A writer that adds each micro-batch to the index below ``path`` as one version of it, with one segment more.
 
-    Versions are folders ``v<batch>``; ``latest`` finds the last one written whole.  A batch that is delivered again after
-    a failure starts from the version before it, so it is not added twice.  Within a batch the last row of an id stays;
-    known ids are replaced.
+    What is written is in proportion to the batch: its own segment and the tombstones of the documents that it replaces, and
+    now and then a merge of segments of like size.  The version names its batch, so one that is delivered again after a
+    failure is not added twice.  Of several rows of an id within a batch the greatest by ``newest`` stays (columns of the
+    row; by default all of its columns, as JSON); known ids are replaced.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = latest(spark, path, number)
-        index = tables.load(spark, f"{path}/v{before}", config) if before is not None else TextIndex(spark, config)
-        batch = batch.dropDuplicates([config.id_field]).persist()
-        if index.docs is not None:
-            index.discard_all(batch.select(F.col(config.id_field).alias("id")).join(index.docs.select("id"), "id", "left_semi"))
-        if not batch.isEmpty():
-            index.add_all(batch)
-        tables.save(index, f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/n={number}")
-        batch.unpersist()
+        index = SegmentedIndex.open(batch.sparkSession, path, config, fanout=fanout)
+        if number <= index.manifest.batch:
+            return
+        turn = F.struct(*newest) if newest else F.to_json(F.struct(*batch.columns))
+        row = F.struct(*batch.columns)
+        rows = batch.groupBy(config.column(config.id_field).alias("_id")).agg(F.max_by(row, turn).alias("row")).select("row.*")
+        rows = kept(rows, "batch")
+        if not rows.isEmpty():
+            index.replace_all(rows, batch=number)
+        remove(rows)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-
-
-def latest(spark, path: str, below: int | None = None) -> int | None:
-    """The last version that was written whole (before ``below``)."""
-    try:
-        versions = spark.read.parquet(f"{path}/versions").select("version")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    return versions.where(F.lit(below).isNull() | (F.col("version") < F.lit(below))).agg(F.max("version")).first()[0]

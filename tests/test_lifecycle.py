@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import WILDCARD, IndexConfig, SearchError, TextIndex, search
+from lodestone.operators.index import ARRIVAL
 
 DOCS = [
     (1, "alpha beta", "the quick brown fox"),
@@ -108,3 +110,52 @@ def test_ids_are_checked(spark, index):
     assert index.config.default("id_field") == "id"
     with pytest.raises(SearchError):
         index.config.default("nothing")
+
+
+def stepwise(docs, gone):
+    """Mean length of a field after documents came and left one by one."""
+    n, mean = 0, 0.0
+    for d in docs:
+        n += 1
+        mean = (mean * (n - 1) + len(d["a"].split())) / n if d.get("a") else mean
+    for i in gone:
+        d = next(d for d in docs if d["id"] == i)
+        mean = (mean * n - len(d["a"].split())) / (n - 1) if d.get("a") else mean
+        n -= 1
+    return mean
+
+
+ODD = [{"id": 1, "a": "x y z", "b": "q"}, {"id": 2, "b": "q"}, {"id": 3, "a": "x", "b": "q"}, {"id": 4, "a": "x y", "b": "q"}, {"id": 5, "a": "u v w x", "b": "q"}]
+
+
+@pytest.mark.parametrize("gone", [[1, 2], [2, 1], [5, 2, 3], [3, 2, 5]])
+def test_removal_in_the_callers_order(spark, gone):
+    schema = "id int, a string, b string, turn int"
+    rows = spark.createDataFrame([d | {"turn": gone.index(d["id"]) if d["id"] in gone else 9} for d in ODD], schema)
+    leaving = rows.where(F.col("id").isin(gone))
+    want = stepwise(ODD, gone)
+    made = lambda: TextIndex.build(rows.drop("turn"), IndexConfig(["a", "b"], auto_vacuum=False))
+    as_list, as_rows, dropped, dropped_rows = made(), made(), made(), made()
+    as_list.remove_all([next(d for d in ODD if d["id"] == i) for i in gone])
+    as_rows.remove_all(leaving, order=[F.col("turn")])
+    dropped.discard_all(gone)
+    dropped_rows.discard_all(leaving, order=["turn"])
+    assert [i.means[0] for i in (as_list, as_rows, dropped, dropped_rows)] == [pytest.approx(want)] * 4
+    assert stepwise(ODD, [1, 2]) != pytest.approx(stepwise(ODD, [2, 1]))
+
+
+def test_arrival_order_numbers_without_sorting(spark):
+    rows = spark.createDataFrame([(i, "a b" if i % 2 else None) for i in (5, 3, 9, 1, 7, 2)], "id int, title string").repartition(3)
+    index = TextIndex.build(rows, IndexConfig(["title"]), order=ARRIVAL)
+    assert sorted(r["doc_ord"] for r in index.docs.collect()) == list(range(6))
+    index.add_all(rows.selectExpr("id + 100 AS id", "title"), order=ARRIVAL)
+    assert sorted(r["doc_ord"] for r in index.docs.collect()) == list(range(12))
+    with pytest.raises(SearchError, match="duplicate id 5"):
+        index.add_all(rows.where("id = 5"))
+    with pytest.raises(SearchError, match="duplicate id 3"):
+        index.add_all(rows.where("id = 3").union(rows.where("id = 3")).selectExpr("id", "title"))
+    with pytest.raises(SearchError, match="id field"):
+        index.add_all(rows.selectExpr("cast(null AS int) AS id", "title"), order=ARRIVAL)
+    assert index.document_count == 12
+    index.close()
+    assert index.document_count == 0

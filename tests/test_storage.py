@@ -4,9 +4,10 @@ import pytest
 
 from lodestone import IndexConfig, SearchError, TextIndex, search
 from lodestone.operators.prefix_map import PrefixMap
+from lodestone.operators.segments import SegmentedIndex
 from lodestone.sources import tables
 from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
-from lodestone.streaming.ingest import ingest, latest
+from lodestone.streaming.ingest import ingest
 
 DOCS = [(1, "alpha beta", "the quick brown fox"), (2, "beta gamma", None), (3, "gamma delta", "the fox and the dog")]
 SCHEMA = "id int, title string, text string"
@@ -84,6 +85,8 @@ def test_stream_ingest(spark, config, tmp_path):
         query = ingest(stream, str(tmp_path / "out"), config, str(tmp_path / "check")).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert query.exception() is None
-    index = tables.load(spark, f"{tmp_path}/out/v{latest(spark, f'{tmp_path}/out')}", config)
+    stored = SegmentedIndex.open(spark, str(tmp_path / "out"), config)
+    assert (stored.manifest.batch, len(stored.segments), stored.dirt_count) == (1, 2, 2)
+    index = stored.index()
     assert index.document_count == 3 and [r["id"] for r in search(index, "omega").collect()] == [2]
     assert [r["id"] for r in search(index, "beta").collect()] == [1]
