@@ -15,7 +15,7 @@ from lodestone.operators.prefix_map import PrefixMap
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.operators.search import auto_suggest, search, search_batch
 from lodestone.plans.query import WILDCARD, tree
-from lodestone.sources import tables
+from lodestone.sources import buckets, tables
 from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
 from lodestone.streaming.ingest import ingest
 
@@ -150,6 +150,14 @@ def batch_by_blocks(spark, sf_dir):
     return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def batch_by_buckets(spark, sf_dir):
+    path = new_path(spark, "buckets")
+    index = documents_index(spark, sf_dir)
+    buckets.save(index, path, buckets=8, part=500)
+    rows = search_batch(buckets.load(spark, path, index.config), table(spark, sf_dir, "benchmark"), "item_id", "text", k=5)
+    return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def match_terms(spark, sf_dir):
     rows = search(parts_index(spark, sf_dir), "re go economy", prefix=True, fuzzy=1, sort=False)
     pairs = F.flatten(F.transform(F.map_entries("match"), lambda e: F.transform(e["value"], lambda f: F.concat(e["key"], F.lit(":"), f))))
@@ -459,4 +467,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_and_by_blocks": best_by_blocks("the of and", 15, combine_with="AND"),
     "topk_tree_by_blocks": best_by_blocks(tree(tree("the", "of", combine_with="AND"), "nation", combine_with="AND_NOT"), 15),
     "batch_by_blocks": batch_by_blocks,
+    "batch_by_buckets": batch_by_buckets,
 }

@@ -177,7 +177,7 @@ SQL["topk_by_blocks"] = _best(_exact("the", "of", "and"), 40)
 SQL["topk_rare_by_blocks"] = _best(_exact("the", "erst", "nation"), 10)
 SQL["topk_and_by_blocks"] = _best(_exact("the", "of", "and"), 15, having="count(DISTINCT leaf) = 3")
 SQL["topk_tree_by_blocks"] = _best(_exact("the", "of", "nation"), 15, having="count(*) FILTER (leaf < 2) = 2 AND count(*) FILTER (leaf = 2) = 0")
-SQL["batch_by_blocks"] = SQL["search_batch"]
+SQL["batch_by_blocks"] = SQL["batch_by_buckets"] = SQL["search_batch"]
 _RENEWED = "(SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' renewed ring' ELSE p_name END AS p_name FROM part)"
 SQL["segmented_search"] = ranked(base(_RENEWED, "p_partkey", ["p_name"]), _exact("red", "ring", "renewed"), "p_partkey")
 SQL["segmented_topk"] = f"SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS place FROM ({SQL['segmented_search']}) ORDER BY score DESC LIMIT 25"

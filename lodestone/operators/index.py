@@ -114,6 +114,8 @@ class TextIndex:
         self.postings = none("term string, field_id int, doc_ord long, tf long, len long")
         self._terms: DataFrame | None = None
         self._blocks: DataFrame | None = None
+        #: Postings and counts in the same buckets by term, of an index that ``sources.buckets`` has read.
+        self.buckets: tuple[DataFrame, DataFrame] | None = None
         self._scratch: list[DataFrame] = []
         self.means: dict[int, float] = {}
         self.document_count = self.next_ord = self.dirt_count = 0
@@ -175,7 +177,7 @@ class TextIndex:
             more = postings.groupBy("term", "field_id").agg(F.count("*").alias("df"))
             self._terms = self._terms.unionByName(more).groupBy("term", "field_id").agg(F.sum("df").alias("df"))
         self.postings = postings if not self.next_ord else self.postings.unionByName(postings)
-        self._blocks = None
+        self._blocks = self.buckets = None
         self.document_count += added
         self.next_ord += added
 
@@ -343,7 +345,7 @@ class TextIndex:
             self._report_changes(documents, found)
         self._drop(found)
         self.postings = self.postings.join(found.select("doc_ord"), "doc_ord", "left_anti").select("term", "field_id", "doc_ord", "tf", "len")
-        self._terms = self._blocks = None
+        self._terms = self._blocks = self.buckets = None
 
     def _report_changes(self, documents: DataFrame, found: DataFrame) -> None:
         c = self.config
@@ -378,7 +380,7 @@ class TextIndex:
         if self.dirt_count and self.docs is not None:
             self.postings = kept(self.postings.join(self.docs.select("doc_ord"), "doc_ord", "left_semi").select("term", "field_id", "doc_ord", "tf", "len"), "postings")
             self._scratch.append(self.postings)
-            self._terms = self._blocks = None
+            self._terms = self._blocks = self.buckets = None
         self.dirt_count = 0
 
     @property

@@ -9,6 +9,7 @@ arithmetic over those sums within a row, so AND, OR and AND_NOT need no joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -416,6 +417,10 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
 
     # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_ord")
+    if index.buckets is not None and not index.dirt_count:
+        rows = _by_buckets(index, asked, means_of, rank("tf", "len"), lambda rows: scored(rows, "doc_ord"), expanded).withColumn("rank", F.row_number().over(best))
+        rows = rows.where(F.col("rank") <= k) if k is not None else rows
+        return rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select("query_id", "id", "score", "rank")
     per_asked = summed(postings, rank("tf", "len"), "doc_ord")
     sound = min(b.values()) >= 0 and b["b"] <= 1 and min({**WEIGHTS, **(weights or {})}.values()) >= 0
     if k is None or index._blocks is None or index.dirt_count or not sound:
@@ -443,3 +448,18 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     if k is not None:
         rows = rows.where(F.col("rank") <= k)
     return rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select("query_id", "id", "score", "rank")
+
+
+def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: Column, scored: Callable[[DataFrame], DataFrame], expanded: bool) -> DataFrame:
+    """Scores from buckets: terms that are asked for are sent to the buckets of counts, and those meet their postings in place."""
+    postings, counts = index.buckets
+    terms = asked.join(means_of, "asked") if expanded else asked.select("*", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    words = terms.select("term").distinct()
+    counts = counts.join(F.broadcast(words) if small else words, "term", "left_semi")
+    met = postings.join(counts.hint("merge"), ["term", "part"]).withColumn("m", F.element_at("counts", F.col("field_id")).cast("double"))
+    per_term = met.groupBy("term", "part", "doc_ord").agg(F.sum(rank).alias("w"))
+    rows = per_term.join(F.broadcast(terms) if small else terms, "term").withColumn("w", F.col("w") * F.col("weight"))
+    if expanded:
+        rows = rows.groupBy("query_id", "asked", "times", "doc_ord").agg(F.sum("w").alias("w"))
+    return scored(rows)
