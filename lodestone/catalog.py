@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.analysis import Analyzer
+from lodestone.functions.analysis import Analyzer, PythonAnalyzer
 from lodestone.functions.scratch import new_path
 from lodestone.operators.index import IndexConfig, TextIndex
 from lodestone.operators.prefix_map import PrefixMap
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.operators.search import auto_suggest, search, search_batch
-from lodestone.plans.query import WILDCARD, tree
+from lodestone.plans.query import WILDCARD, SearchError, tree
 from lodestone.sources import buckets, tables
 from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
 from lodestone.streaming.ingest import ingest
@@ -158,6 +158,15 @@ def batch_by_buckets(spark, sf_dir):
     return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def batch_by_neighbours(spark, sf_dir):
+    """Names without their first letter as queries, whose terms meet the lexicon by its stored deletions."""
+    parts = table(spark, sf_dir, "part")
+    index = TextIndex.build(parts, IndexConfig(["p_name"], id_field="p_partkey")).cache().with_neighbours()
+    queries = parts.select(F.col("p_partkey").alias("query_id"), F.expr("substring(p_name, 2)").alias("text"))
+    rows = search_batch(index, queries, k=3, fuzzy=0.3)
+    return rows.select("query_id", F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def match_terms(spark, sf_dir):
     rows = search(parts_index(spark, sf_dir), "re go economy", prefix=True, fuzzy=1, sort=False)
     pairs = F.flatten(F.transform(F.map_entries("match"), lambda e: F.transform(e["value"], lambda f: F.concat(e["key"], F.lit(":"), f))))
@@ -188,6 +197,74 @@ def hash_tokenizer(spark, sf_dir):
     return scored(search(index, "Brand#7", details=False, sort=False), "p_partkey")
 
 
+def fuzzy_by_neighbours(spark, sf_dir):
+    index = _once(spark, sf_dir, "parts with neighbours", lambda: copy.copy(parts_index(spark, sf_dir)).with_neighbours())
+    return scored(search(index, "rde ecanomy", fuzzy=2, prefix=True, details=False, sort=False), "p_partkey")
+
+
+def python_analyzer(spark, sf_dir):
+    """A tokenizer and a term processor in Python: halves of words, spelled backwards, short ones dropped."""
+    halves = lambda text: [h for w in text.split() for h in (w[: len(w) // 2], w[len(w) // 2 :])]
+    analyzer = PythonAnalyzer(halves, lambda token: token[::-1].lower() if len(token) > 1 else None)
+    index = TextIndex.build(table(spark, sf_dir, "part"), IndexConfig(["p_name"], id_field="p_partkey", analyzer=analyzer))
+    return scored(search(index, "ring anvil", details=False, sort=False), "p_partkey")
+
+
+def extract_hook(spark, sf_dir):
+    config = IndexConfig(["label"], id_field="key", extract={"key": F.col("p_partkey"), "label": F.concat_ws(" - ", "p_brand", "p_name")}, store_fields=["label"])
+    return scored(search(TextIndex.build(table(spark, sf_dir, "part"), config), "7 ring", details=False, sort=False, boost={"label": 2}), "p_partkey", "label")
+
+
+def search_time_analysis(spark, sf_dir):
+    rows = search(parts_index(spark, sf_dir), "GNIR|der", details=False, sort=False, tokenize=lambda text: text.split("|"), process_term=lambda term: term[::-1].lower())
+    return scored(rows, "p_partkey")
+
+
+def default_options(spark, sf_dir):
+    """The default functions, asked for by name, give what no options give."""
+    named = {name: IndexConfig.default(name) for name in ("tokenize", "process_term")}
+    return scored(search(parts_index(spark, sf_dir), "Red RING", details=False, sort=False, **named), "p_partkey")
+
+
+def changed_documents(spark, sf_dir):
+    """What the logger is told when documents are removed that have changed since they were indexed."""
+    told: dict[tuple[str, str], int] = {}
+
+    def count(level: str, message: str, code: str) -> None:
+        told[level, code] = told.get((level, code), 0) + 1
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    index = TextIndex.build(parts, IndexConfig(["p_name"], id_field="p_partkey", logger=count))
+    index.remove_all(parts.where("p_partkey % 10 = 3").withColumn("p_name", F.concat("p_name", F.lit(" altered since"))))
+    rows = [(level, code, n, index.document_count) for (level, code), n in told.items()]
+    return spark.createDataFrame(rows, "level string, code string, times long, document_count long")
+
+
+def refusals(spark, sf_dir):
+    """Requests on the parts that cannot be answered; none of them changes the index."""
+    parts, index = table(spark, sf_dir, "part").select("p_partkey", "p_name"), _fresh(spark, sf_dir)
+    cases = {
+        "id is there": lambda: index.add_all(parts.limit(1)),
+        "id twice": lambda: index.add_all(parts.selectExpr("0L - 1 AS p_partkey", "p_name").limit(2)),
+        "no id": lambda: index.add_all(parts.selectExpr("CAST(NULL AS BIGINT) AS p_partkey", "p_name").limit(1)),
+        "absent": lambda: index.discard(-5),
+        "nothing to remove": lambda: index.remove_all(None),
+        "unknown option": lambda: search(index, "red", fuzziness=1),
+        "unknown combination": lambda: search(index, "red ring", combine_with="XOR"),
+        "no fields": lambda: IndexConfig([]),
+        "unknown default": lambda: IndexConfig.default("colour"),
+    }
+    rows = []
+    for name, request in cases.items():
+        try:
+            request()
+            rows.append((name, False))
+        except SearchError:
+            rows.append((name, True))
+    left = _fresh(spark, sf_dir).docs.join(index.docs, "doc_ord").count()
+    return spark.createDataFrame([(*r, left) for r in rows], "request string, refused boolean, documents long")
+
+
 def nullable_field_mean(spark, sf_dir):
     docs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("p_name"), "p_type")
     index = TextIndex.build(docs, IndexConfig(["p_name", "p_type"], id_field="p_partkey"))
@@ -432,6 +509,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stopwords": stopwords,
     "synonyms": synonyms,
     "hash_tokenizer": hash_tokenizer,
+    "python_analyzer": python_analyzer,
+    "extract_hook": extract_hook,
+    "search_time_analysis": search_time_analysis,
+    "default_options": default_options,
+    "changed_documents": changed_documents,
+    "refusals": refusals,
     "nullable_field_mean": nullable_field_mean,
     "discard_search": discard_search,
     "vacuum_stats": vacuum_stats,
@@ -468,4 +551,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_tree_by_blocks": best_by_blocks(tree(tree("the", "of", combine_with="AND"), "nation", combine_with="AND_NOT"), 15),
     "batch_by_blocks": batch_by_blocks,
     "batch_by_buckets": batch_by_buckets,
+    "batch_by_neighbours": batch_by_neighbours,
+    "fuzzy_by_neighbours": fuzzy_by_neighbours,
 }

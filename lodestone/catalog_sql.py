@@ -196,3 +196,19 @@ met AS (SELECT e.*, p.id, p.tf, p.id % 6 = 1 AS stale, (SELECT count(*) FROM pos
   - coalesce(sum((p.id % 6 = 1 AND p.tf > e.turn)::int) OVER (PARTITION BY e.term, e.leaf ORDER BY p.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM expanded e JOIN post p USING (term))
 SELECT id AS p_partkey, round(sum(weight * ln(1 + (n - m + 0.5::double) / (m + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avg_len)))) * count(DISTINCT q), 6) AS score
 FROM met JOIN lens USING (id) CROSS JOIN live WHERE NOT stale GROUP BY id"""
+_HALVES = lambda x: f"flatten(list_transform(list_filter(string_split({x}, ' '), lambda w: w <> ''), lambda w: [w[1:len(w) // 2], w[len(w) // 2 + 1:]]))"
+SQL["python_analyzer"] = ranked(base("part", "p_partkey", ["p_name"], toks=_HALVES, terms="unnest(list_transform(list_filter(toks, lambda t: len(t) > 1), lambda t: lower(reverse(t))))"), _exact("ir", "gn", "na", "liv"), "p_partkey")
+SQL["extract_hook"] = f"SELECT r.p_partkey, score, p_brand || ' - ' || p_name AS label FROM ({ranked(base('part', 'p_partkey', ['concat(p_brand, chr(32), chr(45), chr(32), p_name)']), _exact('7', 'ring'), 'p_partkey', boosts={0: 2})}) r JOIN part p ON p.p_partkey = r.p_partkey"
+SQL["search_time_analysis"] = SQL["default_options"] = ranked(PARTS, _exact("ring", "red"), "p_partkey")
+SQL["changed_documents"] = f"""SELECT 'warn' AS level, 'version_conflict' AS code, sum((NOT list_contains(t, 'altered'))::int + (NOT list_contains(t, 'since'))::int)::bigint AS times, (SELECT count(*) FROM part WHERE p_partkey % 10 <> 3) AS document_count
+FROM (SELECT list_transform({tokens('p_name')}, lambda x: lower(x)) AS t FROM part WHERE p_partkey % 10 = 3)"""
+SQL["refusals"] = "SELECT request, true AS refused, (SELECT count(*) FROM part) AS documents FROM (VALUES ('id is there'), ('id twice'), ('no id'), ('absent'), ('nothing to remove'), ('unknown option'), ('unknown combination'), ('no fields'), ('unknown default')) t(request)"
+SQL["fuzzy_by_neighbours"] = ranked(PARTS, [leaf(0, "rde", True, 2), leaf(1, "ecanomy", True, 2)], "p_partkey")
+SQL["batch_by_neighbours"] = f"""WITH {NAMES()}, dfs AS (SELECT term, f, count(*)::double AS m FROM post GROUP BY term, f),
+asked AS (SELECT query_id, asked, count(*) AS times FROM (SELECT p_partkey AS query_id, lower(unnest({tokens('substr(p_name, 2)')})) AS asked FROM part) WHERE asked <> '' GROUP BY query_id, asked),
+meant AS (SELECT asked, term, CASE WHEN asked = term THEN 1.0::double ELSE 0.45::double * length(term) / (length(term) + levenshtein(asked, term)) END AS weight FROM (SELECT DISTINCT asked FROM asked), (SELECT DISTINCT term FROM post)
+  WHERE levenshtein(asked, term) <= least(6, floor(length(asked) * 0.3::double + 0.5::double))),
+per AS (SELECT query_id, asked, id, any_value(times) AS times, sum(weight * ln(1 + (n - m + 0.5::double) / (m + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avg_len)))) AS w
+  FROM asked JOIN meant USING (asked) JOIN post USING (term) JOIN dfs USING (term, f) JOIN lens USING (id, f) JOIN avgs USING (f) CROSS JOIN n GROUP BY query_id, asked, id),
+placed AS (SELECT query_id, id, sum(w * times) * count(*) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w * times) * count(*), 9) DESC, id) AS rank FROM per GROUP BY query_id, id)
+SELECT query_id, id AS p_partkey, round(score, 6) AS score, rank FROM placed WHERE rank <= 3"""

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Workers get these functions with the task, so they need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Fixed value: line breaks, separators and punctuation; tabs and symbols are parts of terms.
 SEPARATORS = r"[\n\r\p{Z}\p{P}]+"
@@ -57,10 +64,44 @@ class Analyzer:
         return F.filter(out, lambda t: t.isNotNull() & (t != ""))
 
 
-def query_terms(text: str, tokenize: Callable, process: Callable) -> list[str]:
-    """Terms of a query string in order; repeats stay, falsy ones go."""
+class PythonAnalyzer(Analyzer):
+    """An analyzer of plain Python functions, for what no Column expresses; documents go to them in Arrow batches.
+
+    ``tokenize(text) -> tokens`` and ``process(token) -> term, falsy value or list of terms`` serve documents and queries
+    alike.  Texts are cut in one batch function and tokens processed in another, so a field's lengths are counted over raw
+    tokens, as with Columns.  ``tokenize`` alone, or ``process`` alone, leaves the other to Columns.
+    """
+
+    def __init__(self, tokenize: Callable[[str], Iterable[str]] | None = None, process: Callable[[str], object] | None = None):
+        cut = _batched(tokenize) if tokenize else None
+        object.__setattr__(self, "_terms_of", _batched(lambda tokens: _terms(tokens, process)) if process else None)
+        super().__init__(
+            tokenize_column=(lambda value, field: cut(value)) if cut else tokenize_column,
+            tokenize_text=tokenize or tokenize_text,
+            process_text=process or process_text,
+        )
+
+    def terms_column(self, tokens: Column, field: str) -> Column:
+        return self._terms_of(tokens) if self._terms_of else super().terms_column(tokens, field)
+
+
+def _terms(tokens: Iterable[str], process: Callable[[str], object]) -> list[str]:
     out: list[str] = []
-    for token in tokenize(text):
+    for token in tokens:
         made = process(token)
         out += [t for t in (made if isinstance(made, (list, tuple)) else [made]) if truthy(t)]
     return out
+
+
+def _batched(function: Callable) -> Callable[[Column], Column]:
+    """A Column function that applies ``function`` to the values of Arrow batches; null for null, arrays of strings else."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else list(function(v)))
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+
+
+def query_terms(text: str, tokenize: Callable, process: Callable) -> list[str]:
+    """Terms of a query string in order; repeats stay, falsy ones go."""
+    return _terms(tokenize(text), process)

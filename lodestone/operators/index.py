@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from lodestone.functions.analysis import Analyzer, process_text, tokenize_text
 from lodestone.functions.numbering import gapless, number_rows, telescoped
 from lodestone.functions.scratch import kept, remove
+from lodestone.operators.neighbours import neighbour_table
 from lodestone.operators.topk import block_bounds
 from lodestone.plans.query import SEARCH_DEFAULTS, SearchError, checked
 
@@ -116,6 +117,7 @@ class TextIndex:
         self._blocks: DataFrame | None = None
         #: Postings and counts in the same buckets by term, of an index that ``sources.buckets`` has read.
         self.buckets: tuple[DataFrame, DataFrame] | None = None
+        self._neighbours: DataFrame | None = None
         self._scratch: list[DataFrame] = []
         self.means: dict[int, float] = {}
         self.document_count = self.next_ord = self.dirt_count = 0
@@ -177,7 +179,7 @@ class TextIndex:
             more = postings.groupBy("term", "field_id").agg(F.count("*").alias("df"))
             self._terms = self._terms.unionByName(more).groupBy("term", "field_id").agg(F.sum("df").alias("df"))
         self.postings = postings if not self.next_ord else self.postings.unionByName(postings)
-        self._blocks = self.buckets = None
+        self._blocks = self.buckets = self._neighbours = None
         self.document_count += added
         self.next_ord += added
 
@@ -417,6 +419,12 @@ class TextIndex:
         self._blocks = block_bounds(self.postings).persist()
         return self
 
+    def with_neighbours(self) -> TextIndex:
+        """Keep the lexicon by deletions, in which fuzzy terms of up to two edits are looked up."""
+        self._neighbours = kept(neighbour_table(self.lexicon()), "neighbours")
+        self._scratch.append(self._neighbours)
+        return self
+
     def close(self) -> None:
         """Delete what was written for this index in the shared folder, and empty it.  Its searches' results end with it."""
         for df in [self.postings, self._terms, self.lengths, self.docs, self._blocks]:

@@ -15,12 +15,13 @@ EXACT, PREFIX, FUZZY = 0, 1, 2
 PREFIX_DECAY = 0.3
 
 
-def term_filter(leaf: Leaf, term: Column) -> Column:
-    """Terms that a leaf expands to.  Equality and literal prefixes reach the scan; fuzzy terms are held to a length band."""
+def term_filter(leaf: Leaf, term: Column, edits: bool = True) -> Column:
+    """Terms that a leaf expands to.  Equality and literal prefixes reach the scan; fuzzy terms are held to a length band
+    (without ``edits``: left to another condition)."""
     found = term == F.lit(leaf.term)
     if leaf.prefix:
         found = found | term.startswith(F.lit(leaf.term))
-    if leaf.distance:
+    if leaf.distance and edits:
         found = found | (F.length(term).between(len(leaf.term) - leaf.distance, len(leaf.term) + leaf.distance) & (F.levenshtein(term, F.lit(leaf.term), leaf.distance) >= 0))
     return found
 

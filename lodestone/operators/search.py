@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scratch import kept
 from lodestone.operators.index import TextIndex
+from lodestone.operators.neighbours import DELETIONS, LONGEST, deletions, text_deletions
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
 from lodestone.operators.topk import SLACK, block_bounds, promising, promising_of_each, window_of, within
 from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
@@ -41,7 +42,8 @@ class Matched:
 
     def _look_up(self) -> None:
         index, found = self.index, self.found
-        matched = index.terms.where(any_of([term_filter(x, F.col("term")) for x in found]))
+        near = self._near()
+        matched = index.terms.where(any_of([term_filter(x, F.col("term"), x.index not in near) for x in found] + ([F.col("term").isin(sorted(set().union(*near.values())))] if near else [])))
         expands = any(x.prefix or x.distance for x in found)
         if expands:
             met = [r["term"] for r in matched.select("term").distinct().limit(LITERALS + 1).collect()]
@@ -54,6 +56,18 @@ class Matched:
         stats = matched.select("term", "field_id", F.col("df").cast("double").alias("m"), expansions(found, F.col("term")).alias("xs"))
         self.stats = F.broadcast(stats) if self.bounded else stats
 
+    def _near(self) -> dict[int, list[str]]:
+        """By leaf: candidates of fuzzy leaves from the stored deletions, which are asked for as literals; edits are counted later."""
+        kept = self.index._neighbours
+        asked = [x for x in self.found if kept is not None and 0 < x.distance <= DELETIONS and len(x.term) <= LONGEST]
+        out = {}
+        for x in asked:
+            cuts = text_deletions(x.term, x.distance)
+            rows = kept.where((F.col("times") <= x.distance) & F.col("cut").isin(sorted(cuts))).select("term").distinct().limit(LITERALS + 1).collect()
+            if len(rows) <= LITERALS:
+                out[x.index] = [r["term"] for r in rows]
+        return out
+
     def of(self, table: DataFrame) -> DataFrame:
         """Rows of a table by term, held to the terms where they are few."""
         return table.where(F.col("term").isin(self.met)) if self.few else table
@@ -298,24 +312,11 @@ def auto_suggest(index: TextIndex, query: str, *, limit: int | None = None, df_m
     return out.limit(limit) if limit is not None else out
 
 
-def _deletions(term: Column, times: int) -> Column:
-    """The term and what is left of it after up to ``times`` deletions of a character."""
-    less = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))
-    out = F.array(term)
-    for _ in range(times):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
-    return out
-
-
-#: Edits up to which terms meet by deletions, and the longest asked term for which they do; else by segments.
-DELETIONS, LONGEST = 2, 24
-
-
-def near_terms(wanted: DataFrame, lexicon: DataFrame) -> DataFrame:
+def near_terms(wanted: DataFrame, lexicon: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
     """(asked, term, d) for the lexicon's terms within ``k`` edits, d > 0, of each of ``wanted(asked, k)``; equality joins only.
 
-    Short terms with one or two edits meet by a string that both give after as many deletions; the lexicon side is held to
-    the lengths asked for.  Otherwise an asked term is cut into ``k + 1`` segments, one of which stands in every term within
+    Short terms with one or two edits meet by a string that both give after as many deletions; the lexicon side is read from
+    ``neighbours`` where they are kept, else made for the lengths asked for.  Otherwise an asked term is cut into ``k + 1`` segments, one of which stands in every term within
     ``k`` edits unchanged and at most ``k`` places away: terms meet by length, segment and place.
     """
     size = F.length("asked")
@@ -323,10 +324,13 @@ def near_terms(wanted: DataFrame, lexicon: DataFrame) -> DataFrame:
     pairs = []
     for n in range(1, DELETIONS + 1):
         left = wanted.where(by_deletion & (F.col("k") == n))
-        lengths = left.select(F.explode(F.sequence(F.greatest(size - n, F.lit(0)), size + n)).alias("n")).distinct()
-        right = lexicon.select("term", F.length("term").alias("n")).where(F.col("n") <= LONGEST + n).join(lengths, "n", "left_semi")
-        cut = left.withColumn("cut", F.explode(_deletions(F.col("asked"), n)))
-        pairs.append(cut.join(right.select("term", F.explode(_deletions(F.col("term"), n)).alias("cut")), "cut").select("asked", "term", "k"))
+        cut = left.withColumn("cut", F.explode(deletions(F.col("asked"), n)))
+        if neighbours is not None:
+            right = neighbours.where(F.col("times") <= n).select("term", "cut")
+        else:
+            lengths = left.select(F.explode(F.sequence(F.greatest(size - n, F.lit(0)), size + n)).alias("n")).distinct()
+            right = lexicon.select("term", F.length("term").alias("n")).where(F.col("n") <= LONGEST + n).join(lengths, "n", "left_semi").select("term", F.explode(deletions(F.col("term"), n)).alias("cut"))
+        pairs.append(cut.join(right, "cut").select("asked", "term", "k"))
     # segment i of k + 1: characters from 1 + i * size div (k + 1) up to the next one's first
     far = wanted.where(~by_deletion)
     first = lambda i: F.expr(f"CAST(1 + ({i}) * length(asked) div (k + 1) AS INT)")
@@ -344,7 +348,7 @@ def near_terms(wanted: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.distinct().withColumn("d", F.expr("levenshtein(asked, term, k)")).where("d > 0").select("asked", "term", "d")
 
 
-def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: float, weights: dict[str, float], max_fuzzy: int = 6) -> DataFrame:
+def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: float, weights: dict[str, float], max_fuzzy: int = 6, neighbours: DataFrame | None = None) -> DataFrame:
     """(asked, term, weight): the lexicon's terms that each of ``asked(asked)`` means; equality joins only."""
     size, own = F.length("term").cast("double"), F.length("asked").cast("double")
     parts = [asked.join(lexicon.select("term"), F.col("asked") == F.col("term")).select("asked", "term", F.lit(1.0).alias("weight"))]
@@ -357,7 +361,7 @@ def expand_batch(asked: DataFrame, lexicon: DataFrame, prefix: bool, fuzzy: floa
         parts.append(heads.join(asked, "asked").select("asked", "term", (F.lit(float(weights["prefix"])) * size / (size + F.lit(0.3) * (size - own))).alias("weight")))
     if fuzzy:
         k = F.least(F.lit(max_fuzzy), F.floor(F.length("asked") * F.lit(float(fuzzy)) + 0.5)).cast("int") if fuzzy < 1 else F.lit(int(fuzzy))
-        pairs = near_terms(asked.withColumn("k", k).where("k > 0"), lexicon)
+        pairs = near_terms(asked.withColumn("k", k).where("k > 0"), lexicon, neighbours)
         if prefix:
             pairs = pairs.where(~F.col("term").startswith(F.col("asked")))
         parts.append(pairs.select("asked", "term", (F.lit(float(weights["fuzzy"])) * size / (size + F.col("d"))).alias("weight")))
@@ -387,7 +391,7 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
         postings = postings.join(index.docs.select("doc_ord"), "doc_ord", "left_semi")
     words = asked.select("asked").distinct()
     if prefix or fuzzy:
-        means_of = expand_batch(words, index.lexicon(), prefix, FUZZY_SHARE if fuzzy is True else float(fuzzy), {**WEIGHTS, **(weights or {})})
+        means_of = expand_batch(words, index.lexicon(), prefix, FUZZY_SHARE if fuzzy is True else float(fuzzy), {**WEIGHTS, **(weights or {})}, neighbours=index._neighbours)
         means_of = kept(means_of, "expanded")
     else:
         means_of = words.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))

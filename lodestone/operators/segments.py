@@ -2,7 +2,7 @@
 
 Below the index's path:
 
-* ``segments/<name>/{docs,lengths,postings,terms,blocks}``: one batch of documents, never changed once written;
+* ``segments/<name>/{docs,lengths,postings,terms,blocks}`` (and ``neighbours``): one batch of documents, never changed once written;
 * ``deletes/<name>``: the documents (``doc_ord``) that one commit took out of the segments it met (tombstones);
 * ``manifests/version=<n>``: which segments and tombstones make up version ``n``, with the counters and mean lengths.
 
@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 
 from lodestone.functions.scratch import kept, remove
 from lodestone.operators.index import AUTO_VACUUM, BROADCAST_IDS, IndexConfig, TextIndex
+from lodestone.operators.neighbours import neighbour_table
 from lodestone.operators.topk import block_bounds
 from lodestone.plans.query import SearchError
 
 #: Segments of like size that are merged into one.
 FANOUT = 8
-TABLES = ("docs", "lengths", "postings", "terms", "blocks")
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,8 @@ class Manifest:
     document_count: int = 0
     next_ord: int = 0
     dirt_count: int = 0
+    #: Whether segments keep their lexicons by deletions.
+    neighbours: bool = False
     #: The last micro-batch of a stream that is in this version.
     batch: int = -1
 
@@ -88,8 +90,9 @@ class SegmentedIndex:
     # -- versions
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, config: IndexConfig, version: int | None = None, fanout: int | None = FANOUT) -> SegmentedIndex:
-        """The index at ``path`` (a new, empty one where there is none) in its last or the given version."""
+    def open(cls, spark: SparkSession, path: str, config: IndexConfig, version: int | None = None, fanout: int | None = FANOUT, neighbours: bool = False) -> SegmentedIndex:
+        """The index at ``path`` in its last or the given version; a new, empty one where there is none, whose segments will keep
+        ``neighbours`` for fuzzy terms."""
         rows = _manifests(spark, path)
         found = None
         if rows is not None:
@@ -97,7 +100,7 @@ class SegmentedIndex:
             found = rows.where(F.col("version") == last).select("value").first()
         if found is None and version is not None:
             raise SearchError(f"the index has no version {version}")
-        return cls(spark, path, config, Manifest.of(found[0]) if found else Manifest(0, tuple(config.fields)), fanout)
+        return cls(spark, path, config, Manifest.of(found[0]) if found else Manifest(0, tuple(config.fields), neighbours=neighbours), fanout)
 
     def versions(self) -> list[int]:
         rows = _manifests(self.spark, self.path)
@@ -176,6 +179,7 @@ class SegmentedIndex:
         terms = self._read("terms", m.segments)
         out._terms = terms if len(m.segments) == 1 else terms.groupBy("term", "field_id").agg(F.sum("df").alias("df"))
         out._blocks = self._read("blocks", m.segments)
+        out._neighbours = self._read("neighbours", m.segments) if m.neighbours else None
         return out
 
     # -- writing
@@ -188,6 +192,8 @@ class SegmentedIndex:
         postings = self.spark.read.schema(part.postings.schema).parquet(f"{at}/postings")
         postings.groupBy("term", "field_id").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
         block_bounds(postings).repartitionByRange("term", "window").sortWithinPartitions("term", "window").write.parquet(f"{at}/blocks")
+        if self.manifest.neighbours:
+            neighbour_table(self.spark.read.parquet(f"{at}/terms").select("term").distinct()).write.parquet(f"{at}/neighbours")
         part.lengths.write.parquet(f"{at}/lengths")
         part.docs.write.parquet(f"{at}/docs")
         return Segment(name, docs, postings.count())

@@ -5,8 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import IndexConfig, TextIndex, search
+from lodestone import IndexConfig, TextIndex, search, search_batch
+from lodestone.operators import search as searching
+from lodestone.operators.neighbours import neighbour_table, text_deletions
+from lodestone.operators.score import term_filter
 from lodestone.operators.search import expand_batch, near_terms
+from lodestone.operators.segments import SegmentedIndex
 
 
 def edits(a, b):
@@ -81,3 +85,37 @@ def test_terms_follow_the_life_cycle(spark, tmp_path):
     index.remove({"id": 4, "text": "a b1"})
     index.vacuum()
     assert counted(index) == stored(index) and ("new", 0) in counted(index)
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_stored_neighbours_against_all_pairs(spark, k):
+    asked, terms = words(k)
+    wanted = spark.createDataFrame([(w, k) for w in set(asked)], "asked string, k int")
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted((r["asked"], r["term"], r["d"]) for r in near_terms(wanted, lexicon, neighbour_table(lexicon)).collect())
+    assert got == sorted((a, t, d) for a in set(asked) for t in terms if 0 < (d := edits(a, t)) <= k) and got
+
+
+def test_deletions_of_queries_and_of_terms_agree(spark):
+    for term in ("", "a", "aab", "naïve", "abcabc"):
+        rows = {(r["cut"], r["times"]) for r in neighbour_table(spark.createDataFrame([(term,)], "term string")).collect()}
+        assert {c for c, _ in rows} == text_deletions(term, 2) and len(rows) == len({c for c, _ in rows})
+        assert {c for c, n in rows if n <= 1} == text_deletions(term, 1)
+
+
+def test_searches_read_stored_neighbours(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} albha bet{i % 3}a gamma") for i in range(30)], "id long, text string")
+    index = TextIndex.build(docs, IndexConfig(["text"])).cache()
+    kept = SegmentedIndex.open(spark, str(tmp_path), IndexConfig(["text"]), neighbours=True)
+    kept.add_all(docs.where("id < 20"), order=[F.col("id")])
+    kept.add_all(docs.where("id >= 20"))
+    found = lambda i, q, **o: sorted((r["id"], round(r["score"], 9), r["terms"]) for r in search(i, q, **o).collect())
+    queries = spark.createDataFrame([(1, "alpha bata"), (2, "gama alpha3")], "query_id long, text string")
+    batch = lambda i: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in search_batch(i, queries, k=None, fuzzy=2).collect())
+    plain, stored = found(index, "alpha bta", fuzzy=2), kept.index()
+    assert stored._neighbours is not None and found(stored, "alpha bta", fuzzy=2) == plain and len(plain) == 30
+    assert batch(stored) == batch(index)
+    # the lexicon is not compared, term by term, in a band of lengths
+    compared = []
+    monkeypatch.setattr(searching, "term_filter", lambda leaf, term, edits=True: compared.append(edits) or term_filter(leaf, term, edits))
+    assert search(stored, "bta", fuzzy=2).count() == 30 and compared == [False]
