@@ -396,11 +396,18 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     else:
         means_of = words.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
     met = means_of.select("term").distinct()
+    some = [r["term"] for r in met.limit(LITERALS + 1).collect()]
+    few = len(some) <= LITERALS
+    small = few or met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    # terms reach the scans as literals, or are sent to the postings, which are not moved for them
+    held = lambda rows: rows.where(F.col("term").isin(some)) if few else rows.join(F.broadcast(met) if small else met, "term", "left_semi")
     if index.dirt_count:
-        postings = postings.join(met, "term", "left_semi")
+        postings = held(postings)
         counts = postings.groupBy("term", "field_id").agg(F.count("*").cast("double").alias("m"))
     else:
-        counts = index.terms.join(met, "term", "left_semi").select("term", "field_id", F.col("df").cast("double").alias("m"))
+        postings = held(postings) if few else postings
+        counts = held(index.terms).select("term", "field_id", F.col("df").cast("double").alias("m"))
+    counts = F.broadcast(counts) if small else counts
     means = F.create_map(*[F.lit(y) for f, mean in index.means.items() for y in (f, float(mean))])
     rank = lambda tf, length: bm25(F.col(tf).cast("double"), index.document_count, F.col("m"), F.col(length).cast("double"), F.element_at(means, F.col("field_id")), F.lit(float(b["k"])), F.lit(float(b["b"])), F.lit(float(b["d"])))
     expanded = bool(prefix or fuzzy)
