@@ -264,6 +264,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", outp
 
 def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
     """``tokens``' columns and ``decoded`` (binary) from an array<int> column; null ids decode to nothing."""
+    if "decoded" in {c.lower() for c in tokens.columns}:
+        raise ValueError("column decoded clashes with the operator's own")
     sent = tokens.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
     names = tokens.columns

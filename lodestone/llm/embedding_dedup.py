@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import components, materialize, partitions
+from lodestone.llm.shared import by_numbers, components, materialize, partitions
 
 BLOCK = 2048
 
@@ -76,6 +76,10 @@ def _prepare(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFram
 
 def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = 0.9999, m: int = 48, seed: int = 5, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``df``."""
+    narrow = df.select(df[vec_id].alias("vec_id"), df[embedding].alias("embedding"), df[label].alias("label"))
+    other = by_numbers(narrow, "vec_id", lambda rows: embedding_components(rows, cosine=cosine, recall=recall, m=m, seed=seed, block=block), ["vec_id", "component_id"])
+    if other is not None:
+        return other
     spark = df.sparkSession
     half, least = calibrate(cosine, recall, m)
     rows = materialize(_prepare(df, vec_id, embedding, label), "vectors")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import bounded_batches, components, discard, materialize, narrow_join, new_path, partitions, remove
+from lodestone.llm.shared import bounded_batches, by_numbers, components, discard, materialize, narrow_join, new_path, partitions, remove
 from lodestone.llm.words import U, WordHashes, chunks, mix64, shingle_sets, shingles
 
 BINS = 64
@@ -384,6 +384,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) for each row of ``docs``; ``similarity`` is a fraction (numerator, denominator)."""
     num, den = similarity
     spark = docs.sparkSession
+    other = by_numbers(docs.select(docs[key], docs[text]), key, lambda rows: jaccard_components(rows, key, text, width, similarity), [key, "component_id"])
+    if other is not None:
+        return other
     bounded_batches(spark)
     path = new_path(spark, "signed")
     # A shard's signatures are sorted in one task: there are as many shards as splits of the input at least.

@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to or from a Python worker; long texts make a batch of few rows.
 BATCH_BYTES = 2 << 20
@@ -128,3 +130,23 @@ def narrow_join(rows: DataFrame, narrow: DataFrame, on: str, how: str = "inner",
     """
     small = narrow.limit(limit + 1).count() <= limit
     return rows.join(F.broadcast(narrow) if small else narrow, on, how)
+
+
+def by_numbers(docs: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], back: Sequence[str]) -> DataFrame | None:
+    """``run(docs)`` on whole-number keys in the order of ``docs``' own, which may be of any type that sorts.
+
+    None where the keys are whole numbers already.  ``back``: the result's columns that hold keys.  Equal keys have equal
+    numbers and a null key stays null, so ties, minima and repeats are as they would be.
+    """
+    kind = docs.schema[key].dataType
+    if isinstance(kind, T.IntegralType):
+        return None
+    ids = docs.select(docs[key].alias("_own")).where("_own IS NOT NULL").distinct()
+    ids = ids.repartitionByRange("_own").sortWithinPartitions("_own").select("_own", F.monotonically_increasing_id().alias("_number"))
+    ids = materialize(ids, "keys")
+    numbered = narrow_join(docs.withColumnRenamed(key, "_own"), ids, "_own", "left").withColumn(key, F.col("_number")).drop("_own", "_number")
+    out = run(numbered)
+    for name in back:
+        own = ids.select(F.col("_number").alias(name), "_own")
+        out = narrow_join(out, own, name, "left").withColumn(name, F.col("_own")).drop("_own").select(out.columns)
+    return out

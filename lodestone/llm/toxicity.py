@@ -258,11 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    train = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull() & ~_held_out(key)).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(toxic).cast("int").alias("y"))
+    kind = docs.schema[key].dataType.simpleString()
+    train = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull() & ~_held_out(key)).groupBy(F.col(key).cast(kind).alias("id")).agg(F.max(toxic).cast("int").alias("y"))
     n = train.count()
     if n > max_train:
         train = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     labelled = texts.join(F.broadcast(train), "id")  # at most about max_train rows of two numbers
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             least = [int(s[0]) >> 1 if len(s := shingles(t, hashes)) else None for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(least, pa.int64())], names=["id", "y", "least"])
 
-    printed = labelled.select("id", "t", "y").mapInArrow(prints, "id long, y int, least long").where("least IS NOT NULL")
+    printed = labelled.select("id", "t", "y").mapInArrow(prints, f"id {kind}, y int, least long").where("least IS NOT NULL")
     chosen = materialize(printed.groupBy("least", "y").agg(F.min("id").alias("id")).select("id", "y").distinct(), "toxic-sample")
     size = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)

@@ -485,3 +485,27 @@ def test_segmentation_against_all_splits():
         splits = [[name[i:j] for i, j in itertools.pairwise((0, *cut, len(name)))] for k in range(len(name)) for cut in itertools.combinations(range(1, len(name)), k)] if len(name) < 9 else [[name], ["longerword", "ab"], ["longerword", "a", "b"]]
         assert math.isclose(cost(s.split(name)), min(map(cost, splits)))
     assert "".join(s.split("xyz" * 20_000)) == "xyz" * 20_000
+
+
+def test_keys_that_are_no_numbers(spark):
+    texts = ["one two three four five six seven"] * 2 + ["other words stand here in this very text", None, "", "one two three four five six seven"]
+    names = ["b", "a", "c", "d", None, "e"]
+    by_number = docs_of(spark, texts, [2, 1, 3, 4, None, 5])
+    back = dict(zip([2, 1, 3, 4, None, 5], names, strict=True))
+    by_name = by_number.withColumn("doc_id", F.element_at(F.create_map(*[F.lit(x) for k, v in back.items() if k for x in (k, v)]), F.col("doc_id")))
+    told = lambda rows, keys: sorted(repr(tuple(back[v] if c in keys else v for c, v in r.asDict().items())) for r in rows.collect())
+    for run in (lambda d: jaccard_join.jaccard_components(d), lambda d: simhash.fingerprint_edits(d)):
+        plain, named = run(by_number), run(by_name)
+        assert named.schema["doc_id"].dataType.simpleString() == "string" and named.columns == plain.columns
+        assert told(named, ()) == told(plain, ("doc_id", "component_id"))
+    vectors = spark.createDataFrame([("x", "l", [1.0, 0.0]), ("w", "l", [1.0, 0.01]), ("v", "l", [0.0, 1.0]), (None, "l", [0.0, 1.0])], "vec_id string, label string, embedding array<double>")
+    rows = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(vectors).collect()}
+    assert rows["x"] == (1, "w", False) and rows["w"] == (1, "w", True) and rows["v"][1] == "v"
+    labels = by_name.select("doc_id", F.lit(1).alias("toxic")).limit(3)
+    scored = toxicity.toxicity(by_name, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in scored) == sorted(map(str, names))
+
+
+def test_decoding_refuses_a_clash(spark):
+    with pytest.raises(ValueError):
+        byte_bpe.decode(spark.createDataFrame([([1], "x")], "ids array<int>, Decoded string"), b"", "x")
