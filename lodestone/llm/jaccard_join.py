@@ -14,7 +14,7 @@ members, of which near copies have hundreds, are one group with their number as
 
 Pairs are not spelled out within a signature's group.  Round 1 verifies each member against the group's smallest class.
 Groups whose members then lie in one component are settled.  Round 2 takes the other groups: pairs of different
-components are first held against 64-bin element counts, whose L1 distance bounds the set difference from below, in
+components are first held against element counts in 256 bins, whose L1 distance bounds the set difference from below, in
 blocks that are dealt to tasks of their own, and must share as many signatures as similar sets of their sizes do at least.
 What is left is verified exactly, the nearest pair of each two components first.  The result is that of comparing all pairs.
 
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import bounded_batches, by_numbers, components, discard, materialize, narrow_join, new_path, partitions, remove
 from lodestone.llm.words import U, WordHashes, chunks, mix64, shingle_sets, shingles
 
-BINS = 64
+#: Bins by which elements are counted, and bins of sums of them that are compared first.
+BINS, COARSE = 256, 64
 #: Sub-partitions of a partition; each subset that leaves one out is a signature.
 SUBS = 3
 #: Members of a signature's group that are compared within one task; larger groups are cut into blocks of about so many.
@@ -186,7 +187,7 @@ def _sign(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
             g, owner, empty = sign_sets(own, bands)
             sizes = np.array([len(s) for s in own], np.int64)
             tags = np.frombuffer(b"".join(first), np.int64)[::2]
-            bins = np.bincount(np.repeat(np.arange(len(own)), sizes) * BINS + (np.concatenate(own) >> U(58)).astype(np.int64), minlength=BINS * len(own)) if own else np.empty(0, np.int64)
+            bins = np.bincount(np.repeat(np.arange(len(own)), sizes) * BINS + (np.concatenate(own) >> U(65 - BINS.bit_length())).astype(np.int64), minlength=BINS * len(own)) if own else np.empty(0, np.int64)
             bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
             least = bands.shared_by_any(sizes, empty) if own else sizes
             about = {name: (name, bins[j].tobytes(), empty[j].astype(np.int32).tobytes(), int(least[j]), int(tags[j])) for j, name in enumerate(first)}
@@ -302,12 +303,22 @@ def _close(num: int, den: int, nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
 
-        def test(ids, sizes, comps, weight, bins, empty, u, v):
+        def distance(bins: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            far = np.empty(len(p), np.int64)
+            for at in range(0, len(p), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                far[part] = np.abs(bins[p[part]].astype(np.int16) - bins[q[part]]).sum(axis=1, dtype=np.int64)
+            return far
+
+        def test(ids, sizes, comps, weight, bins, empty, coarse, u, v):
             ok = (comps[u] != comps[v]) & (np.minimum(sizes[u], sizes[v]) * den >= np.maximum(sizes[u], sizes[v]) * num)
             u, v = u[ok], v[ok]
             for at in range(0, len(u), 1 << 17):
                 p, q = u[at : at + (1 << 17)], v[at : at + (1 << 17)]
-                far = np.abs(bins[p].astype(np.int16) - bins[q]).sum(axis=1, dtype=np.int64)
+                # sums of bins are never farther apart than the bins
+                near = distance(coarse, p, q) <= bands.differences(sizes[p], sizes[q])
+                p, q = p[near], q[near]
+                far = distance(bins, p, q)
                 near = far <= bands.differences(sizes[p], sizes[q])
                 p, q, far = p[near], q[near], far[near]
                 w = weight[p]
@@ -348,6 +359,7 @@ def _close(num: int, den: int, nearest: bool):
             now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
             now.append(np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, BINS))
             now.append(np.frombuffer(b"".join(b.column(9).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64))
+            now.append(now[8].reshape(-1, COARSE, BINS // COARSE).sum(axis=2, dtype=np.int16))
             if held is not None:
                 now = [np.concatenate(z) for z in zip(held, now, strict=True)]
             sig, x, y = now[:3]
