@@ -450,7 +450,7 @@ def test_url_verdicts_against_a_plain_version(spark):
     urls = [f"https://{rng.choice(['www.', ''])}{rng.choice(hosts)}.{rng.choice(['com', 'net', 'example.org'])}/{rng.choice(['de', 'fr', 'es', 'en'])}/{rng.randrange(3)}{rng.choice(['', '/gardennews', '/slots?x#y'])}" for _ in range(300)] + [None, ""]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
     model = url_filter.fit(pages)
-    segmenter = url_filter.Segmenter(model["counts"].value)
+    segmenter = url_filter.Segmenter({r["word"]: r["n"] for r in model["vocabulary"].collect()})
     n = {0: collections.Counter(), 1: collections.Counter()}
     docs = collections.Counter()
     for kind, of in ((1, url_filter.BLOCK_WORDS), (0, url_filter.PLAIN_WORDS)):
@@ -509,3 +509,12 @@ def test_keys_that_are_no_numbers(spark):
 def test_decoding_refuses_a_clash(spark):
     with pytest.raises(ValueError):
         byte_bpe.decode(spark.createDataFrame([([1], "x")], "ids array<int>, Decoded string"), b"", "x")
+
+
+def test_rare_words_are_words_among_many_pages_too(spark):
+    """A name that stands once splits names alike among 10 pages and among a hundred thousand."""
+    few = [f"http://www.site{i}.net/page" for i in range(9)] + ["http://zorblax.net/", "http://zorblaxcasino.net/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(few)], "page_id long, url string")
+    many = pages.unionByName(spark.range(100_000).selectExpr("id + 100 AS page_id", "concat('http://ordinary.net/news/', id % 7) AS url"))
+    told = [{r["page_id"]: r["host_words"] for r in url_filter.judge(p).where("page_id < 100").collect()} for p in (pages, many)]
+    assert told[0] == told[1] and told[0][10] == "zorblax casino"
