@@ -38,6 +38,8 @@ from lodestone.llm.words import chunks
 SPACED = frozenset([r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""])
 #: Characters of a text that are not halved further.
 LEAF_CHARS = 256
+#: Ids of a leaf in decoding.
+LEAF_IDS = 256
 #: Bytes of a piece below which a merge loop is used without halving.
 LEAF = 4
 #: No merge; above any rank.
@@ -227,7 +229,11 @@ class TreeBpe:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), "<u4").tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        """The ids' bytes: a leaf's are looked up, and the halves of longer sequences are concatenated up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", output: str = "digest") -> DataFrame:

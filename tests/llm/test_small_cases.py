@@ -518,3 +518,17 @@ def test_rare_words_are_words_among_many_pages_too(spark):
     many = pages.unionByName(spark.range(100_000).selectExpr("id + 100 AS page_id", "concat('http://ordinary.net/news/', id % 7) AS url"))
     told = [{r["page_id"]: r["host_words"] for r in url_filter.judge(p).where("page_id < 100").collect()} for p in (pages, many)]
     assert told[0] == told[1] and told[0][10] == "zorblax casino"
+
+
+def test_decoding_up_the_tree(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from lodestone.llm.queries import tokenizer_ranks
+
+    bpe = byte_bpe.TreeBpe(byte_bpe.read_ranks(tokenizer_ranks()), public_tokenizers.PATTERN)
+    text = LONG[:5000] + "äöü ß €\n" * 50
+    ids = bpe.encode(text)
+    for leaf in (1, 3, 256):
+        monkeypatch.setattr(byte_bpe, "LEAF_IDS", leaf)
+        assert bpe.decode(ids) == text.encode() and bpe.decode(np.array([], np.int64)) == b""
