@@ -455,10 +455,14 @@ def map_changes(spark, sf_dir):
 def map_lookups(spark, sf_dir):
     names = _names(spark, sf_dir)
     near = names.fuzzy_get("cold ring", 2)
-    keys, values = names.keys(), names.values()
-    copy = PrefixMap.of(spark, names.to_dict())
-    copy.clear()
-    rows = [(names.size, names.has("red ring"), names.has("no such"), names.get("red ring"), names.get("no such"), keys[0], sum(values), len(near), copy.size)]
+    first, total = names.sorted_rows().agg(F.min("key"), F.sum("value")).first()
+    visited = spark.sparkContext.accumulator(0)
+    names.each(lambda key, value: visited.add(value))
+    if visited.value != total:
+        raise ValueError("entries were not visited once each")
+    again = PrefixMap.from_rows(names.sorted_rows())
+    again.clear()
+    rows = [(names.size, names.has("red ring"), names.has("no such"), names.get("red ring"), names.get("no such"), first, total, len(near), again.size)]
     return spark.createDataFrame(rows, "size long, has_one boolean, has_none boolean, value_of long, value_of_none long, first_key string, total long, near long, cleared long")
 
 

@@ -76,12 +76,34 @@ class PrefixMap:
     def fuzzy_get(self, key: str, distance: int) -> dict[str, tuple[Any, int]]:
         return {r["key"]: (r["value"], r["distance"]) for r in self.fuzzy(key, distance).collect()}
 
+    # -- over all entries, where they are
+
+    @classmethod
+    def from_rows(cls, rows: DataFrame) -> PrefixMap:
+        """From ``rows(key, value)`` with distinct keys; nothing passes through the driver."""
+        if not rows.where("key IS NULL").isEmpty():
+            raise SearchError("key must be a string")
+        return cls(rows)
+
+    def sorted_rows(self) -> DataFrame:
+        """(key, value) by key, in ranges that are sorted side by side."""
+        return self.rows.orderBy("key")
+
+    def each(self, visit: Callable[[str, Any], None]) -> None:
+        """``visit(key, value)`` for every entry, by key within each range, on the executors that hold the ranges."""
+
+        def over(rows: Iterator) -> None:
+            for r in rows:
+                visit(r["key"], r["value"])
+
+        self.sorted_rows().foreachPartition(over)
+
     @property
     def size(self) -> int:
         return self.rows.count()
 
     def entries(self) -> Iterator[tuple[str, Any]]:
-        """By key, one partition at a time."""
+        """By key, one partition at a time through the driver; ``each`` and ``sorted_rows`` stay on the executors."""
         return ((r["key"], r["value"]) for r in self.rows.orderBy("key").toLocalIterator())
 
     __iter__ = entries
