@@ -14,6 +14,7 @@ from lodestone.operators.index import IndexConfig, TextIndex
 from lodestone.operators.prefix_map import PrefixMap
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.operators.search import auto_suggest, search, search_batch
+from lodestone.operators.suggestions import suggestion_table
 from lodestone.plans.query import WILDCARD, SearchError, tree
 from lodestone.sources import buckets, tables
 from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
@@ -202,6 +203,11 @@ def fuzzy_by_neighbours(spark, sf_dir):
     return scored(search(index, "rde ecanomy", fuzzy=2, prefix=True, details=False, sort=False), "p_partkey")
 
 
+def suggestions_beforehand(spark, sf_dir):
+    rows = suggestion_table(parts_index(spark, sf_dir), longest=4, k=5, boost={"p_name": 2})
+    return rows.select("prefix", "suggestion", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 def python_analyzer(spark, sf_dir):
     """A tokenizer and a term processor in Python: halves of words, spelled backwards, short ones dropped."""
     halves = lambda text: [h for w in text.split() for h in (w[: len(w) // 2], w[len(w) // 2 :])]
@@ -510,6 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_batch": search_batch_top,
     "match_terms": match_terms,
     "suggest_prefix": suggest_prefix,
+    "suggestions_beforehand": suggestions_beforehand,
     "stopwords": stopwords,
     "synonyms": synonyms,
     "hash_tokenizer": hash_tokenizer,

@@ -212,3 +212,11 @@ per AS (SELECT query_id, asked, id, any_value(times) AS times, sum(weight * ln(1
   FROM asked JOIN meant USING (asked) JOIN post USING (term) JOIN dfs USING (term, f) JOIN lens USING (id, f) JOIN avgs USING (f) CROSS JOIN n GROUP BY query_id, asked, id),
 placed AS (SELECT query_id, id, sum(w * times) * count(*) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w * times) * count(*), 9) DESC, id) AS rank FROM per GROUP BY query_id, id)
 SELECT query_id, id AS p_partkey, round(score, 6) AS score, rank FROM placed WHERE rank <= 3"""
+SQL["suggestions_beforehand"] = f"""WITH {PARTS}, dfs AS (SELECT term, f, count(*)::double AS m FROM post GROUP BY term, f),
+w AS (SELECT id, term, sum(CASE f WHEN 0 THEN 2.0::double ELSE 1.0::double END * ln(1 + (n - m + 0.5::double) / (m + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avg_len)))) AS w
+  FROM post JOIN dfs USING (term, f) JOIN lens USING (id, f) JOIN avgs USING (f) CROSS JOIN n GROUP BY id, term),
+begun AS (SELECT id, term, w, substr(term, 1, k) AS prefix, k, length(term)::double AS size FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= length(term)),
+docs AS (SELECT prefix, id, sum(w * CASE WHEN size = k THEN 1.0::double ELSE 0.375::double * size / (size + 0.3::double * (size - k)) END) AS score, string_agg(term, ' ' ORDER BY size > k, term) AS suggestion FROM begun GROUP BY prefix, id),
+phrases AS (SELECT prefix, suggestion, avg(score) AS score FROM docs GROUP BY prefix, suggestion),
+placed AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY round(score, 9) DESC, suggestion) AS place FROM phrases)
+SELECT prefix, suggestion, round(score, 6) AS score, place FROM placed WHERE place <= 5"""
