@@ -101,6 +101,11 @@ class IndexConfig:
         return NAMED_DEFAULTS[name]
 
 
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` of a few numbers each, ``n`` of them: broadcast up to ``BROADCAST_IDS``."""
+    return F.broadcast(rows) if n <= BROADCAST_IDS else rows
+
+
 class TextIndex:
     """An index over documents given as DataFrames."""
 
@@ -163,7 +168,7 @@ class TextIndex:
         if not stats["rows"] == stats["distinct"] == added:
             self._refuse(documents)
         if self.docs is not None:
-            met = analyzed.select("id").join(self.docs.select("id"), "id", "left_semi").limit(1).collect()
+            met = self.docs.select("id").join(sent(analyzed.select("id"), added), "id", "left_semi").limit(1).collect()
             if met:
                 raise SearchError(f"duplicate id {met[0]['id']}")
         docs = analyzed.select("doc_ord", "id", "stored")
@@ -271,7 +276,11 @@ class TextIndex:
         if self.docs is None:
             found = ids.withColumn("doc_ord", F.lit(None).cast("long"))
         else:
-            found = ids.join(self.docs.select("id", "doc_ord"), "id", "left")
+            ids = kept(ids, "asked")
+            self._scratch.append(ids)
+            # few ids are sent to the documents, which are read in place
+            met = self.docs.select("id", "doc_ord").join(sent(ids.select("id").distinct(), ids.count()), "id", "left_semi")
+            found = ids.join(met, "id", "left")
         found = kept(found, "found")
         self._scratch.append(found)
         absent = found.where("doc_ord IS NULL").orderBy("place").select("id").first()

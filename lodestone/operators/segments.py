@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.scratch import kept, remove
-from lodestone.operators.index import AUTO_VACUUM, BROADCAST_IDS, IndexConfig, TextIndex
+from lodestone.operators.index import AUTO_VACUUM, BROADCAST_IDS, IndexConfig, TextIndex, sent
 from lodestone.operators.neighbours import neighbour_table
 from lodestone.operators.topk import block_bounds
 from lodestone.plans.query import SearchError
@@ -204,11 +204,11 @@ class SegmentedIndex:
         part.means, part.document_count, part.next_ord = dict(base.means), base.document_count, base.next_ord
         try:
             part.add_all(documents, order)
+            added = part.document_count - base.document_count
             if base.segments:
-                met = part.docs.select("id").join(self._live("docs", base.segments).select("id"), "id", "left_semi").limit(1).collect()
+                met = self._live("docs", base.segments).select("id").join(sent(part.docs.select("id"), added), "id", "left_semi").limit(1).collect()
                 if met:
                     raise SearchError(f"duplicate id {met[0]['id']}")
-            added = part.document_count - base.document_count
             more = (self._write(part, added),) if added else ()
             changes = {f.name: getattr(base, f.name) for f in dataclasses.fields(base) if f.name != "version"}
             self._commit(**changes | {"segments": base.segments + more, "means": part.means, "document_count": part.document_count, "next_ord": part.next_ord} | dict(state))
@@ -226,11 +226,13 @@ class SegmentedIndex:
         if self.segments:
             ident = c.column(c.id_field)
             turn = [F.struct(*order).alias("turn")] if order and not isinstance(order, str) else []
-            known = documents.join(self._live("docs", self.segments).select(F.col("id").alias("_lodestone_known")), ident == F.col("_lodestone_known"), "left_semi")
-            known = kept(known.select(ident.alias("id"), *turn).dropDuplicates(["id"]), "known")
+            asked = kept(documents.select(ident.alias("id"), *turn).dropDuplicates(["id"]), "asked")
+            held = self._live("docs", self.segments).select("id").join(sent(asked.select("id"), asked.count()), "id", "left_semi")
+            known = kept(asked.join(held, "id", "left_semi"), "known")
             if not known.isEmpty():
                 base = self._tombstones(known, ["turn"] if turn else None)
             remove(known)
+            remove(asked)
         self._append(base, documents, order, state)
         self._maybe_vacuum()
 
@@ -265,7 +267,7 @@ class SegmentedIndex:
         """``found`` with the name of each document's segment, which is a folder in its file's path."""
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"/segments/([0-9a-f]+)/docs/", 1)
         where = self._read("docs", self.segments).select("doc_ord", folder.alias("segment"))
-        return found.join(where, "doc_ord")
+        return where.join(sent(found, found.count()), "doc_ord")
 
     def remove_all(self, ids: Iterable[Any] | DataFrame, order: Any = None) -> None:
         """Take documents out at once: their segments, and no others, are rewritten without them, and leave no dirt."""
