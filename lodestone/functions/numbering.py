@@ -32,16 +32,17 @@ def telescoped(rows: DataFrame, field: str, position: str, factor: Column, term:
     """For each field: the sum over its rows of ``term`` times the factors of all later rows, and the product of all factors.
 
     Products are sums of logarithms; a factor of 0 is told apart.  They are added up within blocks of positions first, so
-    no task sees more than a block.
+    no task sees more than a block.  Windows run backwards from the last row: a frame that ends at the last row would be added
+    up anew for each row.
     """
     block = 1 << 16
     rows = rows.select(F.col(field).alias("f"), F.col(position).alias("j"), factor.cast("double").alias("a"), term.cast("double").alias("s")).withColumn("g", F.expr(f"j div {block}"))
     rows = rows.withColumns({"w": F.when(F.col("a") > 0, F.log("a")).otherwise(F.lit(0.0)), "z": (F.col("a") <= 0).cast("int")})
-    tail = Window.partitionBy("f", "g").orderBy("j").rowsBetween(1, Window.unboundedFollowing)
+    tail = Window.partitionBy("f", "g").orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumns({"after": F.coalesce(F.sum("w").over(tail), F.lit(0.0)), "ends": F.coalesce(F.sum("z").over(tail), F.lit(0))})
     alive = lambda x: F.when(F.col("ends") == 0, x).otherwise(F.lit(0.0))
     parts = inner.groupBy("f", "g").agg(F.sum(alive(F.col("s") * F.exp("after"))).alias("s"), F.sum("w").alias("w"), F.sum("z").alias("z"))
-    later = Window.partitionBy("f").orderBy("g").rowsBetween(1, Window.unboundedFollowing)  # a row for each block
+    later = Window.partitionBy("f").orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     parts = parts.withColumns({"after": F.coalesce(F.sum("w").over(later), F.lit(0.0)), "ends": F.coalesce(F.sum("z").over(later), F.lit(0))})
     sums = parts.groupBy("f").agg(F.sum(alive(F.col("s") * F.exp("after"))).alias("s"), F.sum("w").alias("w"), F.sum("z").alias("z"), F.exp(F.sum("w")).alias("p"))
     return {r["f"]: (r["s"], 0.0 if r["z"] else r["p"]) for r in sums.collect()}  # a row for each field
