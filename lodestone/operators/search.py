@@ -375,7 +375,8 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     """A whole DataFrame of queries in one plan: (query_id, id, score, rank), the best ``k`` of each.
 
     Query terms are analysed by the document analyzer and met with the postings by one equi-join on the term, after
-    prefix and fuzzy terms were expanded over the lexicon.  The expansion is evaluated once.  With a ``k``, on an index that
+    prefix and fuzzy terms were expanded over the lexicon.  The expansion is evaluated once, and queries of the same terms are
+    ranked once.  With a ``k``, on an index that
     keeps blocks, a query meets only the windows of documents that may hold one of its best.
     """
     how = combinator(combine_with)
@@ -385,6 +386,7 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     tokens = c.analyzer.tokenize_column(F.col(text), c.fields[0])
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(c.analyzer.terms_column(tokens, c.fields[0])).alias("asked"))
     asked = asked.groupBy("query_id", "asked").agg(F.count("*").alias("times"))
+    asked, sharers = _shared(index, asked)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     postings = index.postings
     if index.dirt_count:
@@ -426,12 +428,17 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
             rows = rows.join(need, "query_id").where("met = need")
         return rows.select("query_id", *unit, (F.col("w") * F.greatest(F.col("met"), F.lit(1))).alias("score"))
 
+    def to_each(rows: DataFrame) -> DataFrame:
+        """(query_id, id, score, rank) of every query from the ``rows`` of those that were ranked."""
+        rows = rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select(F.col("query_id").alias("group"), "id", "score", "rank")
+        return rows.join(sharers, "group").select("query_id", "id", "score", "rank")
+
     # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_ord")
     if index.buckets is not None and not index.dirt_count:
         rows = _by_buckets(index, asked, means_of, rank("tf", "len"), lambda rows: scored(rows, "doc_ord"), expanded).withColumn("rank", F.row_number().over(best))
         rows = rows.where(F.col("rank") <= k) if k is not None else rows
-        return rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select("query_id", "id", "score", "rank")
+        return to_each(rows)
     per_asked = summed(postings, rank("tf", "len"), "doc_ord")
     sound = min(b.values()) >= 0 and b["b"] <= 1 and min({**WEIGHTS, **(weights or {})}.values()) >= 0
     if k is None or index._blocks is None or index.dirt_count or not sound:
@@ -458,7 +465,20 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     rows = rows.withColumn("rank", F.row_number().over(best))
     if k is not None:
         rows = rows.where(F.col("rank") <= k)
-    return rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select("query_id", "id", "score", "rank")
+    return to_each(rows)
+
+
+def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``asked(query_id, asked, times)`` with one query for each set of terms, and (group, query_id) of all that share it.
+
+    Queries of the same terms have the same answers, so one of them is ranked and its best rows go to each.
+    """
+    bags = kept(asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("asked", "times"))).alias("terms")), "bags")
+    groups = kept(bags.select("terms").distinct().select("terms", F.monotonically_increasing_id().alias("group")), "groups")
+    index._scratch += [bags, groups]
+    n = groups.limit(BROADCAST_ROWS + 1).count()
+    sharers = bags.join(F.broadcast(groups) if n <= BROADCAST_ROWS else groups, "terms").select("group", "query_id")
+    return groups.select(F.col("group").alias("query_id"), F.explode("terms").alias("term")).select("query_id", "term.asked", "term.times"), sharers
 
 
 def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: Column, scored: Callable[[DataFrame], DataFrame], expanded: bool) -> DataFrame:
