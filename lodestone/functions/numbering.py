@@ -28,6 +28,17 @@ def gapless(rows: DataFrame, at: str, name: str, start: int = 0) -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + place).drop("_part", "_offset", at)
 
 
+def in_order(rows: DataFrame, key: str, at: str) -> bool:
+    """Whether ``key`` rises strictly in the order of ``at``, which holds ``monotonically_increasing_id()`` of the plan that wrote
+    the rows: within each partition, and from one to the next."""
+    rows = rows.select(F.shiftright(at, 33).alias("part"), F.col(at).alias("at"), F.col(key).alias("key"))
+    falls = lambda low, high: F.coalesce(low >= high, F.lit(False)).cast("int")
+    before = F.lag("key").over(Window.partitionBy("part").orderBy("at"))
+    parts = rows.select("part", "key", falls(before, F.col("key")).alias("fall")).groupBy("part").agg(F.max("fall").alias("fall"), F.min("key").alias("low"), F.max("key").alias("high"))
+    before = F.lag("high").over(Window.orderBy("part"))  # a row for each partition
+    return not parts.select(F.greatest("fall", falls(before, F.col("low"))).alias("fall")).agg(F.max("fall")).first()[0]
+
+
 def telescoped(rows: DataFrame, field: str, position: str, factor: Column, term: Column) -> dict[int, tuple[float, float]]:
     """For each field: the sum over its rows of ``term`` times the factors of all later rows, and the product of all factors.
 

@@ -16,13 +16,22 @@ The result is that of the full ranking.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Workers get these functions with the task, so they need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Documents of a window.
 WINDOW = 256
+#: Postings over which bounds are taken at a time.
+STRETCH = 1_000_000
 #: Windows that are ranked first, at least.
 FIRST = 16
 #: Stretches of windows up to which they are literals of the postings' filter.
@@ -42,6 +51,30 @@ def block_bounds(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "field_id", window_of(F.col("doc_ord")).alias("window")).agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
 
 
+def local_bounds(postings: DataFrame) -> DataFrame:
+    """The same without an exchange, of ``postings`` that lie by document: bounds are taken over ``STRETCH`` postings at a time, so a
+    block may have several rows, which searches put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= STRETCH:
+                yield from _bounds(held)
+                held, n = [], 0
+        if n:
+            yield from _bounds(held)
+
+    rows = postings.select("term", "field_id", window_of(F.col("doc_ord")).alias("window"), "tf", "len")
+    return rows.mapInArrow(run, "term string, field_id int, window long, max_tf long, min_len long")
+
+
+def _bounds(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    found = pa.Table.from_batches(batches).group_by(["term", "field_id", "window"]).aggregate([("tf", "max"), ("len", "min")])
+    return found.select(["term", "field_id", "window", "tf_max", "len_min"]).rename_columns(["term", "field_id", "window", "max_tf", "min_len"]).to_batches()
+
+
 def within(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """``postings`` of the windows: by ranges in the scan's filter where they are few, else by a join."""
     found = windows.select("window").limit(BROADCAST_WINDOWS + 1)
