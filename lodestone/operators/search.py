@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scratch import kept
+from lodestone.operators.batch import best_in_windows
 from lodestone.operators.index import TextIndex
 from lodestone.operators.neighbours import DELETIONS, LONGEST, deletions, text_deletions
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
@@ -436,13 +437,18 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_ord")
     if index.buckets is not None and not index.dirt_count:
-        rows = _by_buckets(index, asked, means_of, rank("tf", "len"), lambda rows: scored(rows, "doc_ord"), expanded).withColumn("rank", F.row_number().over(best))
+        rows = _by_buckets(index, asked, means_of, rank("tf", "len"), lambda rows: scored(rows, "doc_ord"), expanded, k, how == "and").withColumn("rank", F.row_number().over(best))
         rows = rows.where(F.col("rank") <= k) if k is not None else rows
         return to_each(rows)
-    per_asked = summed(postings, rank("tf", "len"), "doc_ord")
     sound = min(b.values()) >= 0 and b["b"] <= 1 and min({**WEIGHTS, **(weights or {})}.values()) >= 0
     if k is None or index._blocks is None or index.dirt_count or not sound:
-        rows = scored(per_asked.join(asked, "asked"), "doc_ord")
+        rows = None
+        if k is not None:
+            weights = postings.join(counts, ["term", "field_id"]).withColumn("w", rank("tf", "len"))
+            weights = weights.join(F.broadcast(means_of) if small else means_of, "term").withColumn("w", F.col("w") * F.col("weight")) if expanded else weights.withColumnRenamed("term", "asked")
+            rows = best_in_windows(weights.select("asked", "doc_ord", "w"), asked, k, how == "and")
+        if rows is None:
+            rows = scored(summed(postings, rank("tf", "len"), "doc_ord").join(asked, "asked"), "doc_ord")
     else:
         blocks = index._blocks.groupBy("term", "field_id", "window").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
         bounds = scored(summed(blocks, rank("max_tf", "min_len"), "window").join(asked, "asked"), "window").withColumnRenamed("score", "bound")
@@ -481,7 +487,7 @@ def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.select(F.col("group").alias("query_id"), F.explode("terms").alias("term")).select("query_id", "term.asked", "term.times"), sharers
 
 
-def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: Column, scored: Callable[[DataFrame], DataFrame], expanded: bool) -> DataFrame:
+def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: Column, scored: Callable[[DataFrame], DataFrame], expanded: bool, k: int | None, every: bool) -> DataFrame:
     """Scores from buckets: terms that are asked for are sent to the buckets of counts, and those meet their postings in place."""
     postings, counts = index.buckets
     terms = asked.join(means_of, "asked") if expanded else asked.select("*", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
@@ -489,6 +495,12 @@ def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: C
     words = terms.select("term").distinct()
     counts = counts.join(F.broadcast(words) if small else words, "term", "left_semi")
     met = postings.join(counts.hint("merge"), ["term", "part"]).withColumn("m", F.element_at("counts", F.col("field_id")).cast("double"))
+    if k is not None:
+        weights = met.withColumn("w", rank).drop("part")
+        weights = weights.join(F.broadcast(means_of) if small else means_of, "term").withColumn("w", F.col("w") * F.col("weight")) if expanded else weights.withColumnRenamed("term", "asked")
+        rows = best_in_windows(weights.select("asked", "doc_ord", "w"), asked, k, every)
+        if rows is not None:
+            return rows
     per_term = met.groupBy("term", "part", "doc_ord").agg(F.sum(rank).alias("w"))
     rows = per_term.join(F.broadcast(terms) if small else terms, "term").withColumn("w", F.col("w") * F.col("weight"))
     if expanded:
