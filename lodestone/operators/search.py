@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scratch import kept
-from lodestone.operators.batch import best_in_windows
+from lodestone.operators import batch, topk
+from lodestone.operators.batch import best_in_windows, sent_terms
 from lodestone.operators.index import TextIndex
 from lodestone.operators.neighbours import DELETIONS, LONGEST, deletions, text_deletions
 from lodestone.operators.score import any_of, bm25, by_leaf, expansions, field_boost, term_filter
-from lodestone.operators.topk import SLACK, block_bounds, promising, promising_of_each, window_of, within
+from lodestone.operators.topk import BROADCAST_WINDOWS, SLACK, block_bounds, promising, promising_of_each, window_of, within
 from lodestone.plans.query import BM25, FUZZY_SHARE, WEIGHTS, Leaf, Node, Resolver, SearchError, combinator, leaves
 
 
@@ -422,6 +423,12 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
             return per_term.withColumnRenamed("term", "asked")
         return per_term.join(means_of, "term").groupBy("asked", unit).agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
 
+    def weighed(rows: DataFrame, w: Column, unit: str) -> DataFrame:
+        """(asked, doc_ord, w) of the same, not added up: ``unit`` stands for the document."""
+        rows = rows.join(counts, ["term", "field_id"]).withColumn("w", w)
+        rows = rows.join(F.broadcast(means_of) if small else means_of, "term").withColumn("w", F.col("w") * F.col("weight")) if expanded else rows.withColumnRenamed("term", "asked")
+        return rows.select("asked", F.col(unit).alias("doc_ord"), "w")
+
     def scored(rows: DataFrame, *unit: str) -> DataFrame:
         """(query_id, unit, score) of ``rows(query_id, times, unit, w)``."""
         rows = rows.groupBy("query_id", *unit).agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.count("*").alias("met"))
@@ -444,36 +451,79 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     if k is None or index._blocks is None or index.dirt_count or not sound:
         rows = None
         if k is not None:
-            weights = postings.join(counts, ["term", "field_id"]).withColumn("w", rank("tf", "len"))
-            weights = weights.join(F.broadcast(means_of) if small else means_of, "term").withColumn("w", F.col("w") * F.col("weight")) if expanded else weights.withColumnRenamed("term", "asked")
-            rows = best_in_windows(weights.select("asked", "doc_ord", "w"), asked, k, how == "and")
+            sent_pairs = sent_terms(asked)
+            rows = best_in_windows(weighed(postings, rank("tf", "len"), "doc_ord"), sent_pairs, k, how == "and") if sent_pairs is not None else None
         if rows is None:
             rows = scored(summed(postings, rank("tf", "len"), "doc_ord").join(asked, "asked"), "doc_ord")
     else:
-        blocks = index._blocks.groupBy("term", "field_id", "window").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
-        bounds = scored(summed(blocks, rank("max_tf", "min_len"), "window").join(asked, "asked"), "window").withColumnRenamed("score", "bound")
-        bounds = kept(bounds, "bounds")
-        index._scratch.append(bounds)
-
-        def exact(pairs: DataFrame) -> DataFrame:
-            """Scores of the documents of each query's windows; postings that no query needs there are not weighed."""
-            wanted = asked.join(pairs.select("query_id", "window"), "query_id")
-            terms = wanted.select("asked", "window").distinct()
-            terms = (terms.join(means_of, "asked").select("term", "window").distinct() if expanded else terms.withColumnRenamed("asked", "term"))
-            placed = postings.withColumn("window", window_of(F.col("doc_ord"))).join(terms, ["term", "window"], "left_semi")
-            rows = summed(placed, rank("tf", "len"), "doc_ord").withColumn("window", window_of(F.col("doc_ord")))
-            return scored(rows.join(wanted, ["asked", "window"]), "doc_ord")
-
-        first = exact(promising_of_each(bounds, k)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
-        low = first.select("query_id", F.col("score").alias("low"))  # a row for each query that has k documents there
-        pairs = bounds.join(low, "query_id", "left").where((F.col("bound") >= F.col("low") * SLACK - 1e-8) | F.col("low").isNull())
-        rows = exact(pairs)
+        # only blocks of the terms that are asked for are put together
+        blocks = held(index._blocks).groupBy("term", "field_id", "window").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+        sent_pairs = sent_terms(asked)
+        if sent_pairs is not None:
+            rows = _by_windows(index, weighed, rank, blocks, postings, asked, sent_pairs, means_of if expanded else None, k, how == "and", best)
+        else:
+            rows = _by_pairs(index, summed, scored, rank, blocks, postings, asked, means_of if expanded else None, k, best)
     rows = rows.withColumn("rank", F.row_number().over(best))
     if k is not None:
         rows = rows.where(F.col("rank") <= k)
     return to_each(rows)
 
 
+def _by_windows(index: TextIndex, weighed: Callable, rank: Callable, blocks: DataFrame, postings: DataFrame, asked: DataFrame, pairs: list, means_of: DataFrame | None, k: int, every: bool, best: Any) -> DataFrame:
+    """(query_id, doc_ord, score): the best of each query by bounds of blocks, without rows for pairs of queries and documents.
+
+    The most promising blocks are ranked first, then those whose bound reaches the k-th score there, less the ones ranked already.
+    """
+    bits = topk.WINDOW.bit_length() - 1
+    # as many blocks lie in a group as make one window of documents
+    bounds = best_in_windows(weighed(blocks, rank("max_tf", "min_len"), "window"), pairs, None, every, max(batch.WINDOW_BITS - bits, 0))
+    bounds = kept(bounds.select("query_id", F.col("doc_ord").alias("window"), F.col("score").alias("bound")), "bounds")
+    index._scratch.append(bounds)
+
+    def exact(chosen: DataFrame, tag: str) -> DataFrame:
+        """The best documents of each query in its blocks ``chosen(query_id, window)``; postings of other blocks are left out beforehand."""
+        chosen = kept(chosen.select("query_id", F.col("window").alias("block")), tag)
+        index._scratch.append(chosen)
+        needed = asked.select("query_id", F.col("asked").alias("term")) if means_of is None else asked.join(means_of, "asked").select("query_id", "term")
+        rows = postings.withColumn("block", window_of(F.col("doc_ord")))
+        cells = chosen.join(needed.distinct(), "query_id").select("term", "block").distinct()
+        # a query has few promising blocks; where most blocks stay, their numbers alone are sent
+        if chosen.limit(BROADCAST_WINDOWS // 32 + 1).count() <= BROADCAST_WINDOWS // 32 and cells.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            rows = rows.join(F.broadcast(cells), ["term", "block"], "left_semi")
+        else:
+            blocks = chosen.select("block").distinct()
+            rows = rows.join(F.broadcast(blocks) if blocks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else blocks, "block", "left_semi")
+        return best_in_windows(weighed(rows, rank("tf", "len"), "doc_ord"), pairs, k, every, max(batch.WINDOW_BITS, bits), chosen, bits)
+
+    likely = promising_of_each(bounds, k)
+    first = kept(exact(likely, "likely"), "first")
+    index._scratch.append(first)
+    low = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("low"))  # a row for each query that has k documents there
+    rest = bounds.join(low, "query_id", "left").where((F.col("bound") >= F.col("low") * SLACK - 1e-8) | F.col("low").isNull())
+    rest = rest.select("query_id", "window").join(likely.select("query_id", "window"), ["query_id", "window"], "left_anti")
+    return first.unionByName(exact(rest, "rest"))
+
+
+def _by_pairs(index: TextIndex, summed: Callable, scored: Callable, rank: Callable, blocks: DataFrame, postings: DataFrame, asked: DataFrame, means_of: DataFrame | None, k: int, best: Any) -> DataFrame:
+    """The same by joins, for more terms of queries than are sent to the tasks."""
+    bounds = scored(summed(blocks, rank("max_tf", "min_len"), "window").join(asked, "asked"), "window").withColumnRenamed("score", "bound")
+    bounds = kept(bounds, "bounds")
+    index._scratch.append(bounds)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Scores of the documents of each query's windows; postings that no query needs there are not weighed."""
+        wanted = asked.join(pairs.select("query_id", "window"), "query_id")
+        terms = wanted.select("asked", "window").distinct()
+        terms = (terms.join(means_of, "asked").select("term", "window").distinct() if means_of is not None else terms.withColumnRenamed("asked", "term"))
+        placed = postings.withColumn("window", window_of(F.col("doc_ord"))).join(terms, ["term", "window"], "left_semi")
+        rows = summed(placed, rank("tf", "len"), "doc_ord").withColumn("window", window_of(F.col("doc_ord")))
+        return scored(rows.join(wanted, ["asked", "window"]), "doc_ord")
+
+    first = exact(promising_of_each(bounds, k)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    low = first.select("query_id", F.col("score").alias("low"))  # a row for each query that has k documents there
+    return exact(bounds.join(low, "query_id", "left").where((F.col("bound") >= F.col("low") * SLACK - 1e-8) | F.col("low").isNull()))
+
+
 def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``asked(query_id, asked, times)`` with one query for each set of terms, and (group, query_id) of all that share it.
 
@@ -498,9 +548,9 @@ def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: C
     if k is not None:
         weights = met.withColumn("w", rank).drop("part")
         weights = weights.join(F.broadcast(means_of) if small else means_of, "term").withColumn("w", F.col("w") * F.col("weight")) if expanded else weights.withColumnRenamed("term", "asked")
-        rows = best_in_windows(weights.select("asked", "doc_ord", "w"), asked, k, every)
-        if rows is not None:
-            return rows
+        pairs = sent_terms(asked)
+        if pairs is not None:
+            return best_in_windows(weights.select("asked", "doc_ord", "w"), pairs, k, every)
     per_term = met.groupBy("term", "part", "doc_ord").agg(F.sum(rank).alias("w"))
     rows = per_term.join(F.broadcast(terms) if small else terms, "term").withColumn("w", F.col("w") * F.col("weight"))
     if expanded:
