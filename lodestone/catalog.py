@@ -80,12 +80,12 @@ def token_counts(spark, sf_dir):
 
 def field_lengths(spark, sf_dir):
     index = parts_index(spark, sf_dir)
-    return index.lengths.join(index.docs, "doc_ord").select(F.col("id").alias("p_partkey"), "field_id", "len")
+    return index.with_docs(index.lengths, "id").select(F.col("id").alias("p_partkey"), "field_id", "len")
 
 
 def postings_build(spark, sf_dir):
     index = documents_index(spark, sf_dir)
-    return index.postings.join(index.docs, "doc_ord").select("term", F.col("id").alias("doc_id"), "tf", "len")
+    return index.with_docs(index.postings, "id").select("term", F.col("id").alias("doc_id"), "tf", "len")
 
 
 def lexicon(spark, sf_dir):

@@ -115,7 +115,7 @@ def contributions(index: TextIndex, found: list[Leaf], df_mode: str = "live", ma
     weight = F.col("x.weight") * F.col("boost")
     boosted = [x for x in found if x.boost_document is not None]
     if boosted:
-        rows = rows.join(index.docs, "doc_ord")
+        rows = index.with_docs(rows, "id", "stored")
         extra = F.lit(1.0)
         for x in boosted:
             extra = F.when(F.col("x.leaf") == x.index, x.boost_document(F.col("id"), F.col("term"), F.col("stored")).cast("double")).otherwise(extra)
@@ -285,7 +285,7 @@ def search(index: TextIndex, query: Any, *, details: bool = True, sort: bool = T
     if limit is not None and keep is None:
         out = out.orderBy(*ordered).limit(limit)  # stored fields of the best rows only
         out = F.broadcast(out) if limit <= BROADCAST_ROWS else out
-    joined = out.join(index.docs, "doc_ord")
+    joined = index.with_docs(out, "id", "stored")
     stored = [F.col(f"stored.{s}").alias(s) for s in c.store_fields if s != "id"]
     columns = ["id", "score", *(["terms", "query_terms", "match"] if details else []), *stored]
     if keep is not None:
@@ -388,7 +388,7 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     tokens = c.analyzer.tokenize_column(F.col(text), c.fields[0])
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(c.analyzer.terms_column(tokens, c.fields[0])).alias("asked"))
     asked = asked.groupBy("query_id", "asked").agg(F.count("*").alias("times"))
-    asked, sharers = _shared(index, asked)
+    asked, sharers, n = _shared(index, asked)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     postings = index.postings
     if index.dirt_count:
@@ -438,7 +438,9 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
 
     def to_each(rows: DataFrame) -> DataFrame:
         """(query_id, id, score, rank) of every query from the ``rows`` of those that were ranked."""
-        rows = rows.join(index.docs.select("doc_ord", "id"), "doc_ord").select(F.col("query_id").alias("group"), "id", "score", "rank")
+        few_rows = k is not None and n * k <= BROADCAST_ROWS
+        rows = F.broadcast(rows).join(index.docs.select("doc_ord", "id"), "doc_ord") if few_rows else index.with_docs(rows, "id")
+        rows = rows.select(F.col("query_id").alias("group"), "id", "score", "rank")
         return rows.join(sharers, "group").select("query_id", "id", "score", "rank")
 
     # sums of doubles depend on the order of addition, so scores that agree to nine places are ties
@@ -524,8 +526,9 @@ def _by_pairs(index: TextIndex, summed: Callable, scored: Callable, rank: Callab
     return exact(bounds.join(low, "query_id", "left").where((F.col("bound") >= F.col("low") * SLACK - 1e-8) | F.col("low").isNull()))
 
 
-def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``asked(query_id, asked, times)`` with one query for each set of terms, and (group, query_id) of all that share it.
+def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``asked(query_id, asked, times)`` with one query for each set of terms, (group, query_id) of all that share it, and how many
+    sets there are, counted to ``BROADCAST_ROWS`` and one more.
 
     Queries of the same terms have the same answers, so one of them is ranked and its best rows go to each.
     """
@@ -534,7 +537,7 @@ def _shared(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     index._scratch += [bags, groups]
     n = groups.limit(BROADCAST_ROWS + 1).count()
     sharers = bags.join(F.broadcast(groups) if n <= BROADCAST_ROWS else groups, "terms").select("group", "query_id")
-    return groups.select(F.col("group").alias("query_id"), F.explode("terms").alias("term")).select("query_id", "term.asked", "term.times"), sharers
+    return groups.select(F.col("group").alias("query_id"), F.explode("terms").alias("term")).select("query_id", "term.asked", "term.times"), sharers, n
 
 
 def _by_buckets(index: TextIndex, asked: DataFrame, means_of: DataFrame, rank: Column, scored: Callable[[DataFrame], DataFrame], expanded: bool, k: int | None, every: bool) -> DataFrame:

@@ -58,3 +58,15 @@ def test_json_roundtrip_takes_every_part(spark, tmp_path):
     index = TextIndex.build(spark.read.parquet(str(tmp_path / "part.parquet")), IndexConfig(["p_name"], id_field="p_partkey", store_fields=["p_brand"]))
     want = catalog.scored(search(index, "small gear", details=False, sort=False), "p_partkey", "p_brand")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_documents_are_not_sent_to_their_rows(spark, tmp_path, monkeypatch):
+    spark.range(60).selectExpr("id AS p_partkey", "concat('small ring ', id % 3) AS p_name", "concat('b', id % 7) AS p_brand", "'tin' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr("lodestone.operators.index.BROADCAST_IDS", 20)
+    catalog.parts_index(spark, str(tmp_path)).docs.count()  # once cached, its size is that of compressed columns
+    for name, n in (("field_lengths", 180), ("search_multifield", 60)):
+        rows = catalog.QUERIES[name](spark, str(tmp_path))
+        assert len(rows.collect()) == n
+        assert "ShuffledHashJoin" in rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lens = {(r["p_partkey"], r["field_id"]): r["len"] for r in catalog.QUERIES["field_lengths"](spark, str(tmp_path)).collect()}
+    assert lens == {(i, f): (3, 1, 1)[f] for i in range(60) for f in range(3)}
