@@ -17,7 +17,7 @@ from lodestone.operators.search import auto_suggest, search, search_batch
 from lodestone.operators.suggestions import suggestion_table
 from lodestone.plans.query import WILDCARD, SearchError, tree
 from lodestone.sources import buckets, tables
-from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
+from lodestone.sources.interchange import read_json, write_json
 from lodestone.streaming.ingest import ingest
 
 _built: dict[tuple, TextIndex] = {}
@@ -312,8 +312,9 @@ def remove_search(spark, sf_dir):
 
 def json_roundtrip(spark, sf_dir):
     config = IndexConfig(["p_name"], id_field="p_partkey", store_fields=["p_brand"])
-    # one JSON text of the whole table: bounded by the driver's memory alone
-    index = from_json(spark, to_json(TextIndex.build(table(spark, sf_dir, "part"), config)), config)
+    path = new_path(spark, "portable")
+    write_json(TextIndex.build(table(spark, sf_dir, "part"), config), path)
+    index = read_json(spark, path, config, stored="p_brand string")
     return scored(search(index, "small gear", details=False, sort=False), "p_partkey", "p_brand")
 
 
@@ -327,9 +328,9 @@ def saved_search(spark, sf_dir):
 def json_version_1(spark, sf_dir):
     """Version 1 wraps each posting map; the rest is as in version 2."""
     config = IndexConfig(["p_name"], id_field="p_partkey")
-    plain = as_plain_object(TextIndex.build(table(spark, sf_dir, "part"), config))
-    old = {**plain, "serializationVersion": 1, "index": [[term, {f: {"df": len(of), "ds": of} for f, of in by.items()}] for term, by in plain["index"]]}
-    return scored(search(from_plain_object(spark, old, config), "small gear", details=False, sort=False), "p_partkey")
+    path = new_path(spark, "portable")
+    write_json(TextIndex.build(table(spark, sf_dir, "part"), config), path, version=1)
+    return scored(search(read_json(spark, path, config), "small gear", details=False, sort=False), "p_partkey")
 
 
 def emptied_and_filled(spark, sf_dir):

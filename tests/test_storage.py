@@ -6,7 +6,8 @@ from lodestone import IndexConfig, SearchError, TextIndex, search
 from lodestone.operators.prefix_map import PrefixMap
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.sources import tables
-from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, to_json
+from lodestone.sources import interchange
+from lodestone.sources.interchange import as_plain_object, from_json, from_plain_object, read_json, to_json, write_json
 from lodestone.streaming.ingest import ingest
 
 DOCS = [(1, "alpha beta", "the quick brown fox"), (2, "beta gamma", None), (3, "gamma delta", "the fox and the dog")]
@@ -90,3 +91,32 @@ def test_stream_ingest(spark, config, tmp_path):
     index = stored.index()
     assert index.document_count == 3 and [r["id"] for r in search(index, "omega").collect()] == [2]
     assert [r["id"] for r in search(index, "beta").collect()] == [1]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_the_portable_form_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch, version):
+    monkeypatch.setattr(interchange, "PIECE", 4)
+    config = IndexConfig(["title", "text"], store_fields=["title", "n"])
+    docs = [(f"d{i}", None if i % 5 == 0 else f'al"pha {{x, \tb{i % 3}', None if i % 4 == 1 else f"the fox {'fox ' * (i % 3)}é\\{i}", i if i % 2 else None) for i in range(40)]
+    index = TextIndex.build(spark.createDataFrame(docs, "id string, title string, text string, n long"), config)
+    index.discard("d7")
+    path = tmp_path / "portable"
+    write_json(index, str(path), version)
+    text = "".join(f.read_text() for f in sorted(path.glob("*/part-*")))
+    plain, want = json.loads(text), as_plain_object(index)
+    if version == 1:
+        want = want | {"serializationVersion": 1, "index": [[t, {f: {"df": len(of), "ds": of} for f, of in by.items()}] for t, by in want["index"]]}
+    assert plain == json.loads(json.dumps(want))
+    again, whole = read_json(spark, str(path), config, stored="title string, n long"), from_json(spark, text, config)
+    shown = lambda rows: sorted(map(repr, rows.collect()))
+    for name in ("postings", "lengths", "docs"):
+        a, b = getattr(again, name), getattr(whole, name)
+        assert shown(a.select(*b.columns)) == shown(b) and not a.isEmpty()
+    assert found(again, "fox x", df_mode="snapshot") == found(index, "fox x", df_mode="snapshot")
+    assert again.get_stored_fields("d1") == index.get_stored_fields("d1")
+
+
+def test_an_empty_index_in_the_portable_form(spark, tmp_path, config):
+    write_json(TextIndex(spark, config), str(tmp_path / "none"))
+    again = read_json(spark, str(tmp_path / "none"), config)
+    assert (again.document_count, again.docs, again.postings.count()) == (0, None, 0)
