@@ -44,15 +44,15 @@ class Matched:
 
     def _look_up(self) -> None:
         index, found = self.index, self.found
-        near = self._near()
-        matched = index.terms.where(any_of([term_filter(x, F.col("term"), x.index not in near) for x in found] + ([F.col("term").isin(sorted(set().union(*near.values())))] if near else [])))
-        expands = any(x.prefix or x.distance for x in found)
-        if expands:
+        if any(x.prefix or x.distance for x in found):
+            near = self._near()
+            matched = index.terms.where(any_of([term_filter(x, F.col("term"), x.index not in near) for x in found] + ([F.col("term").isin(sorted(set().union(*near.values())))] if near else [])))
             met = [r["term"] for r in matched.select("term").distinct().limit(LITERALS + 1).collect()]
             if len(met) <= LITERALS:
                 matched = index.terms.where(F.col("term").isin(met))
         else:
             met = list(dict.fromkeys(x.term for x in found))
+            matched = index.terms_of(met) if len(met) <= LITERALS else index.terms.where(F.col("term").isin(met))
         self.met, self.few = met, len(met) <= LITERALS
         self.bounded = self.few or matched.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         stats = matched.select("term", "field_id", F.col("df").cast("double").alias("m"), expansions(found, F.col("term")).alias("xs"))
